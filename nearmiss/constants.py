@@ -14,7 +14,7 @@ T_MIN_S = 0.05
 TAU_CRITICAL_S = 3.0
 STATIC_EPS = 1e-12
 CONTACT_TOL = 1e-9
-METHOD_BOX = "obb_swept_sat"
+METHOD_BOX = "obb_swept_sat_cv_fixed_heading_v1"
 
 OBJECT_TYPES = {
     0: "TYPE_UNSET",

@@ -49,7 +49,7 @@ SELECT scenario_id, CAST(time_index AS BIGINT) AS time_index, {r6('ts', 'timesta
   status = 'right_censored' AS right_censored, status = 'current_geometry_overlap' AS overlap_now_flag,
   CASE WHEN status IN ('current_geometry_overlap', 'future_contact_event', 'right_censored') THEN n_valid ELSE 0 END AS n_eligible_pairs,
   CASE WHEN status = 'current_geometry_overlap' THEN n_over END AS n_obb_overlap,
-  CASE WHEN status = 'future_contact_event' THEN n_future END AS n_obb_future_contact, 'obb_swept_sat' AS ttc_method,
+  CASE WHEN status = 'future_contact_event' THEN n_future END AS n_obb_future_contact, 'obb_swept_sat_cv_fixed_heading_v1' AS ttc_method,
   {r6("CASE WHEN status IN ('future_contact_event', 'right_censored') THEN 10.0 END", 'censor_time_s')}
 FROM (SELECT s.*, p.* EXCLUDE (scenario_id, time_index),
   CASE WHEN NOT any_valid THEN 'invalid_frame' WHEN NOT ego_ok THEN 'invalid_ego_state' WHEN n_near IS NULL THEN 'no_exposure'
