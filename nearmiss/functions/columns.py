@@ -19,7 +19,8 @@ def nan_to_null(c: Column) -> Column:
 
 
 def clip(c: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Value limited to [low, high]; NULL stays NULL (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def wrap_angle(a: Column) -> Column:

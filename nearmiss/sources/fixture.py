@@ -116,3 +116,48 @@ def scores(spark, sf_dir):
 
 def predictions(spark, sf_dir):
     return view(spark, sf_dir, "predictions")
+
+
+def records(spark, sf_dir):
+    """Nested scenario records rebuilt from the flat views, as a reader would find them.
+
+    A record holds its whole scenario by nature; here that is at most 7 tracks
+    x 91 states, 98 map points and 364 signal rows.
+    """
+    from pyspark.sql import functions as F
+    from nearmiss.sources.records import RECORD
+
+    s = states(spark, sf_dir)
+    codes = F.create_map(*[F.lit(x) for kv in {"TYPE_VEHICLE": 1, "TYPE_PEDESTRIAN": 2, "TYPE_CYCLIST": 3, "TYPE_OTHER": 7}.items() for x in kv])
+    fields = ["valid", "center_x", "center_y", "center_z", "velocity_x", "velocity_y", "heading", "length", "width", "height"]
+    state = F.struct(*[F.col(f) if f == "valid" else F.coalesce(f, F.lit(0.0)).alias(f) for f in fields])
+    tracks = s.groupBy("scenario_id", "track_id").agg(
+        F.max(codes[F.col("object_type")]).alias("code"),
+        F.map_from_entries(F.collect_list(F.struct("time_index", state.alias("s")))).alias("by_time"))
+    blank = F.struct(F.lit(False).alias("valid"), *[F.lit(0.0).alias(f) for f in fields[1:]])
+    dense = F.transform(F.sequence(F.lit(0), F.lit(90)), lambda t: F.coalesce(F.col("by_time")[t], blank))
+    tracks = tracks.select("scenario_id", F.struct(F.col("track_id").cast("long").alias("id"), F.col("code").alias("object_type"), dense.alias("states")).alias("t"))
+    # The ego is track 1, so its position in the sorted list is 0 where it exists.
+    tracks = tracks.groupBy("scenario_id").agg(F.array_sort(F.collect_list("t")).alias("tracks"))
+    m = map_points(spark, sf_dir).groupBy("scenario_id", "feature_id", "feature_type").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("point_index", "x", "y", "z"))),
+                    lambda p: F.when(p["x"].isNotNull(), F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z")))).alias("pts"))
+    one = lambda kind, value: F.when(F.col("feature_type") == kind, value).alias(kind)
+    line, area = F.struct(F.col("pts").alias("polyline")), F.struct(F.col("pts").alias("polygon"))
+    m = m.select("scenario_id", F.struct(
+        F.col("feature_id").alias("id"), one("lane", line), one("road_line", line), one("road_edge", line), one("crosswalk", area),
+        one("speed_bump", area), one("stop_sign", F.struct(F.col("pts")[0].alias("position"))), one("driveway", area)).alias("f"))
+    m = m.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct(F.col("f.id").alias("id"), "f"))).alias("fs"))
+    m = m.select("scenario_id", F.transform("fs", lambda x: x["f"]).alias("map_features"))
+    sig = signals(spark, sf_dir).groupBy("scenario_id", "time_index").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("lane_id").alias("lane"), F.col("state_code").alias("state"),
+        F.when(F.col("stop_point_x").isNotNull(), F.struct(F.col("stop_point_x").alias("x"), F.col("stop_point_y").alias("y"))).alias("stop_point")))).alias("ls"))
+    sig = sig.groupBy("scenario_id").agg(F.map_from_entries(F.collect_list(F.struct("time_index", "ls"))).alias("by_time"))
+    empty = F.array().cast("array<struct<lane:bigint,state:int,stop_point:struct<x:double,y:double>>>")
+    sig = sig.select("scenario_id", F.transform(F.sequence(F.lit(0), F.lit(90)), lambda t: F.struct(
+        F.coalesce(F.col("by_time")[t], empty).alias("lane_states"))).alias("dynamic_map_states"))
+    out = tracks.join(m, "scenario_id", "left").join(sig, "scenario_id", "left").select(
+        "scenario_id", F.transform(F.sequence(F.lit(0), F.lit(90)), lambda t: t.cast("double") / 10.0).alias("timestamps_seconds"), "tracks",
+        F.lit(0).alias("sdc_track_index"), F.array(F.lit(2).cast("long")).alias("objects_of_interest"), "map_features", "dynamic_map_states",
+        F.array().cast("array<struct<x:double,y:double,z:double>>").alias("sdc_paths"))
+    return out.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD.fields])

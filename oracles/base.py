@@ -144,7 +144,8 @@ FROM (SELECT scenario_id, count(*) AS total_frames, count(*) FILTER (WHERE statu
         sum(CASE WHEN ttc <= 3 THEN dt END) AS tet3, sum(CASE WHEN ttc <= 5 THEN dt END) AS tet5,
         count(*) FILTER (WHERE d_type = 'TYPE_VEHICLE') AS veh, count(*) FILTER (WHERE d_type = 'TYPE_PEDESTRIAN') AS ped,
         count(*) FILTER (WHERE d_type = 'TYPE_CYCLIST') AS cyc
-      FROM (SELECT *, coalesce(greatest(0.01, least(0.5, lead(ts) OVER (PARTITION BY scenario_id ORDER BY time_index) - ts)), 0.1) AS dt FROM frames)
+      FROM (SELECT *, CASE WHEN nxt IS NULL THEN 0.1 ELSE greatest(0.01, least(0.5, nxt - ts)) END AS dt
+            FROM (SELECT *, lead(ts) OVER (PARTITION BY scenario_id ORDER BY time_index) AS nxt FROM frames))
       GROUP BY scenario_id) a
 LEFT JOIN (SELECT scenario_id, count(*) AS n_ep, max(dur) AS max_ep FROM episodes GROUP BY 1) e ON a.scenario_id = e.scenario_id
 LEFT JOIN recovery r ON a.scenario_id = r.scenario_id
