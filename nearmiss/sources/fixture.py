@@ -70,8 +70,8 @@ FROM {lineitem} GROUP BY l_suppkey, l_orderkey % 91, l_partkey % 4) AS s
 SCORES_SQL = """
 SELECT CAST(l_suppkey AS STRING) AS scenario_id, CAST(l_orderkey % 91 AS INT) AS time_index,
        CASE WHEN MIN(l_quantity) <= 12 THEN 1 ELSE 0 END AS y,
-       ROUND((CAST(50 AS DOUBLE) - MIN(l_quantity) + MIN(l_extendedprice % CAST(60 AS DOUBLE))) / CAST(110 AS DOUBLE), 2) AS p_base,
-       ROUND((CAST(50 AS DOUBLE) - MIN(l_quantity) + MIN(l_extendedprice % CAST(30 AS DOUBLE))) / CAST(80 AS DOUBLE), 2) AS p_full,
+       FLOOR((CAST(50 AS DOUBLE) - MIN(l_quantity) + MIN(l_extendedprice % CAST(60 AS DOUBLE))) / CAST(1.1 AS DOUBLE)) / CAST(100 AS DOUBLE) AS p_base,
+       FLOOR((CAST(50 AS DOUBLE) - MIN(l_quantity) + MIN(l_extendedprice % CAST(30 AS DOUBLE))) / CAST(0.8 AS DOUBLE)) / CAST(100 AS DOUBLE) AS p_full,
        COUNT(*) AS n_lines, MIN(l_extendedprice % CAST(70 AS DOUBLE)) AS gap_m
 FROM {lineitem} GROUP BY l_suppkey, l_orderkey % 91
 """
