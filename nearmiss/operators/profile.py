@@ -81,52 +81,67 @@ def dominant_turnover(frames: DataFrame) -> DataFrame:
     """Changes of the dominant actor over consecutive exposed frames."""
     before = F.lag("dominant_actor_id").over(ORDERED)
     return (frames.filter("is_exposed").withColumn("changed", flag(F.col("dominant_actor_id") != before))
-            .groupBy("scenario_id").agg(F.count_if("changed").alias("dominant_actor_turnover_count")))
+            .groupBy("scenario_id").agg(F.count_if("changed").alias("dominant_actor_turnover_count"),
+                                        (F.count_if("changed") / F.count("*")).alias("dominant_actor_turnover_rate")))
 
 
-def severity_components(frames: DataFrame, taus=(1, 2, 3, 5)) -> DataFrame:
-    """Counts, peak, mean, integrated severity, time exposed and class shares in one pass."""
+def with_timeline(frames: DataFrame, *, tau: float, merge_gap_s: float, hold_s: float) -> DataFrame:
+    """Per-frame marks of the whole profile: duration, episode number, safe hold, change of dominant actor."""
     c = F.col
-    valid = ~c("status").isin(INVALID_EGO, INVALID_FRAME)
-    share = lambda t: F.count_if(flag(c("dominant_actor_type") == t))
-    agg = (frames.withColumn("dt", frame_duration()).groupBy("scenario_id").agg(
-        F.count("*").alias("total_frames"), F.count_if(valid).alias("valid_frames"),
-        F.count_if("is_exposed").alias("exposed_frames"),
-        F.coalesce(F.max("severity_c_t"), F.lit(0.0)).alias("criticality_peak"),
-        F.coalesce(F.sum(c("severity_c_t") * c("dt")), F.lit(0.0)).alias("criticality_auc_s"),
-        F.coalesce(F.avg("severity_c_t"), F.lit(0.0)).alias("criticality_mean_exposed"),
-        *[F.coalesce(F.sum(F.when(c("scene_ttc_min_s") <= float(t), c("dt"))), F.lit(0.0)).alias(f"tet_{t}s_s")
-          for t in taus],
-        share("TYPE_VEHICLE").alias("n_veh"), share("TYPE_PEDESTRIAN").alias("n_ped"),
-        share("TYPE_CYCLIST").alias("n_cyc")))
-    per = lambda num, den: F.when(c(den) > 0, c(num) / F.greatest(c(den), F.lit(1))).otherwise(F.lit(0.0))
-    return agg.withColumns({
-        "valid_frame_fraction": per("valid_frames", "total_frames"),
-        "exposure_frame_fraction": per("exposed_frames", "valid_frames"),
-        "fraction_dominant_vehicle": per("n_veh", "exposed_frames"),
-        "fraction_dominant_pedestrian": per("n_ped", "exposed_frames"),
-        "fraction_dominant_cyclist": per("n_cyc", "exposed_frames")}).drop("n_veh", "n_ped", "n_cyc")
-
-
-def scenario_profile(frames: DataFrame, *, tau: float = 3.0, merge_gap_s: float = 0.5,
-                     min_duration_s: float = 0.5, hold_s: float = 0.5) -> DataFrame:
-    """Full profile; a scenario without an exposed frame gets zeros and a censored recovery."""
+    earlier = ORDERED.rowsBetween(W.unboundedPreceding, -1)
+    critical = flag(c("scene_ttc_min_s") <= tau)
+    rows = frames.withColumns({
+        "dt": frame_duration(), "critical": critical, "rank": F.row_number().over(ORDERED),
+        "last_s": F.max("timestamp_s").over(SCENARIO),
+        "peak": F.min_by(F.when(c("is_exposed"), F.struct("timestamp_s", "time_index")),
+                         F.when(c("is_exposed"), F.struct(-c("severity_c_t"), c("time_index")))).over(SCENARIO),
+        "changed": flag(c("is_exposed") & (c("dominant_actor_id") != F.last("dominant_actor_id", True).over(earlier)))})
+    rows = rows.withColumns({
+        "last_critical_s": F.last(F.when(c("critical"), c("timestamp_s")), True).over(earlier),
+        "last_bad": F.max(F.when(c("critical"), c("rank"))).over(SO_FAR),
+        "peak_rank": F.min(F.when(c("time_index") == c("peak.time_index"), c("rank"))).over(SCENARIO)})
+    # A critical frame opens an episode if the one before ended more than the merge gap ago.
+    fresh = c("critical") & F.coalesce(c("timestamp_s") - (c("last_critical_s") + F.lit(DT_S)) > merge_gap_s, F.lit(True))
+    streak = c("rank") - F.greatest("last_bad", c("peak_rank") - 1)
+    return rows.withColumns({
+        "episode": F.when(c("critical"), F.sum(fresh.cast("int")).over(SO_FAR)),
+        "held_s": F.when(~c("critical") & (c("rank") >= c("peak_rank")) & (streak >= hold_frames(hold_s)), c("timestamp_s"))})
+
+
+def scenario_profile(frames: DataFrame, *, tau: float = 3.0, merge_gap_s: float = 0.5, min_duration_s: float = 0.5,
+                     hold_s: float = 0.5, taus=(1, 2, 3, 5)) -> DataFrame:
+    """Full profile in one exchange: frame marks, then episodes, then scenarios.
+
+    A scenario without an exposed frame gets zeros and a censored recovery.
+    """
     c = F.col
-    frames = frames.repartition("scenario_id")
-    base = severity_components(frames)
-    episodes = (critical_episodes(frames, tau=tau, merge_gap_s=merge_gap_s, min_duration_s=min_duration_s)
-                .groupBy("scenario_id").agg(F.count("*").alias("episode_count_3s"),
-                                            F.max("duration_s").alias("max_episode_duration_3s_s")))
-    out = (base.join(episodes, "scenario_id", "left")
-           .join(recovery_time(frames, tau=tau, hold_s=hold_s), "scenario_id", "left")
-           .join(dominant_turnover(frames), "scenario_id", "left"))
-    zero = lambda n, v: F.coalesce(c(n), F.lit(v))
+    rows = with_timeline(frames, tau=tau, merge_gap_s=merge_gap_s, hold_s=hold_s)
+    is_type = lambda t: F.count_if(flag(c("dominant_actor_type") == t))
+    per_episode = rows.groupBy("scenario_id", "episode").agg(
+        F.count("*").alias("total_frames"), F.count_if(~c("status").isin(INVALID_EGO, INVALID_FRAME)).alias("valid_frames"),
+        F.count_if("is_exposed").alias("exposed_frames"), F.max("severity_c_t").alias("peak_sev"), F.sum("severity_c_t").alias("sum_sev"),
+        F.sum(c("severity_c_t") * c("dt")).alias("auc"),
+        *[F.sum(F.when(c("scene_ttc_min_s") <= float(t), c("dt"))).alias(f"tet{t}") for t in taus],
+        is_type("TYPE_VEHICLE").alias("veh"), is_type("TYPE_PEDESTRIAN").alias("ped"), is_type("TYPE_CYCLIST").alias("cyc"),
+        F.count_if("changed").alias("turns"), F.min("held_s").alias("held_s"), F.max("peak.timestamp_s").alias("peak_s"), F.max("last_s").alias("last_s"),
+        F.when(c("episode").isNotNull(), F.max("timestamp_s") + F.lit(DT_S) - F.min("timestamp_s")).alias("duration_s"))
+    kept = F.when(c("duration_s") >= min_duration_s, c("duration_s"))
+    total = lambda n: F.sum(n)
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    out = per_episode.groupBy("scenario_id").agg(
+        total("total_frames").alias("total_frames"), total("valid_frames").alias("valid_frames"), total("exposed_frames").alias("exposed_frames"),
+        zero(F.max("peak_sev")).alias("criticality_peak"), zero(total("auc")).alias("criticality_auc_s"), total("sum_sev").alias("sum_sev"),
+        *[zero(total(f"tet{t}")).alias(f"tet_{t}s_s") for t in taus],
+        total("veh").alias("veh"), total("ped").alias("ped"), total("cyc").alias("cyc"), total("turns").alias("dominant_actor_turnover_count"),
+        F.count(kept).alias("episode_count_3s"), zero(F.max(kept)).alias("max_episode_duration_3s_s"),
+        F.min("held_s").alias("held_s"), F.max("peak_s").alias("peak_s"), F.max("last_s").alias("last_s"))
+    share = lambda num, den: F.when(c(den) > 0, c(num) / F.greatest(c(den), F.lit(1))).otherwise(F.lit(0.0))
     out = out.withColumns({
-        "episode_count_3s": zero("episode_count_3s", 0),
-        "max_episode_duration_3s_s": zero("max_episode_duration_3s_s", 0.0),
-        "recovery_time_3s_s": zero("recovery_time_3s_s", 0.0),
-        "recovery_censored_3s": zero("recovery_censored_3s", True),
-        "dominant_actor_turnover_count": zero("dominant_actor_turnover_count", 0)})
-    return out.withColumn("dominant_actor_turnover_rate",
-                          F.when(c("exposed_frames") > 0, c("dominant_actor_turnover_count")
-                                 / F.greatest(c("exposed_frames"), F.lit(1))).otherwise(F.lit(0.0)))
+        "valid_frame_fraction": share("valid_frames", "total_frames"), "exposure_frame_fraction": share("exposed_frames", "valid_frames"),
+        "criticality_mean_exposed": zero(share("sum_sev", "exposed_frames")),
+        "recovery_time_3s_s": F.when(c("peak_s").isNull(), F.lit(0.0)).otherwise(
+            F.greatest(F.coalesce(c("held_s") - F.lit(hold_s), c("last_s")) - c("peak_s"), F.lit(0.0))),
+        "recovery_censored_3s": c("held_s").isNull(),
+        "dominant_actor_turnover_rate": share("dominant_actor_turnover_count", "exposed_frames"),
+        **{f"fraction_dominant_{n}": share(s, "exposed_frames") for n, s in (("vehicle", "veh"), ("pedestrian", "ped"), ("cyclist", "cyc"))}})
+    return out.drop("sum_sev", "veh", "ped", "cyc", "held_s", "peak_s", "last_s")

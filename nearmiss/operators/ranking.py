@@ -1,16 +1,21 @@
 """Order statistics without a global window.
 
 Everything that needs "how much lies before this value" goes through
-prefix_sums: rows are first reduced to one per distinct value, values are cut
-into ranges at approximate quantiles, each range is summed on its own and the
-range totals (a bounded table) supply the offsets. The quantiles only balance
-the work; the sums are exact.
+prefix_sums: rows are reduced to one per distinct value and stored. A table of
+checked small size is summed in one ordered window per group; a larger one is
+cut into ranges at approximate quantiles, each range is summed on its own and
+the range totals (a bounded table) supply the offsets. The quantiles only
+balance the work; the sums are exact either way.
 """
 import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nearmiss.operators.pairs import salted_join
+from nearmiss.session import durable
+
+# Distinct values up to which one ordered window per group is used.
+SMALL = 200_000
 
 
 def range_root(df: DataFrame) -> int:
@@ -19,19 +24,19 @@ def range_root(df: DataFrame) -> int:
     return max(4, math.ceil(math.sqrt(width)))
 
 
-def range_bounds(df: DataFrame, value: str, root: int) -> Column:
-    """Inner quantile bounds of a column as a scalar subquery."""
-    n = root * root
-    steps = [i / n for i in range(1, n)]
-    return df.agg(F.percentile_approx(value, steps, max(1000, 10 * n)).alias("b")).scalar()
-
+def range_of(df: DataFrame, value: str) -> Column:
+    """Range number of a value: how many approximate quantiles of the column lie below it.
 
-def range_of(value: Column, bounds: Column, root: int) -> Column:
-    """Number of bounds below the value, found in two steps of `root` comparisons."""
-    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(root - 1)), lambda i: F.get(bounds, i * root - 1)),
-                             lambda b: b < value))
-    fine = F.size(F.filter(F.slice(bounds, coarse * root + 1, root), lambda b: b < value))
-    return coarse * root + fine
+    The quantiles are at most a few thousand numbers; they are compared in two
+    steps of `root` each.
+    """
+    root = range_root(df)
+    n = root * root
+    cuts = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], max(1000, 10 * n))).first()[0]
+    bounds = F.array(*[F.lit(float(b)) for b in cuts])
+    every = F.array(*[F.lit(float(b)) for b in cuts[root - 1::root]])
+    coarse = F.size(F.filter(every, lambda b: b < F.col(value)))
+    return coarse * root + F.size(F.filter(F.slice(bounds, coarse * root + 1, root), lambda b: b < F.col(value)))
 
 
 def prefix_sums(df: DataFrame, keys: list, value: str, sums: dict) -> DataFrame:
@@ -40,20 +45,23 @@ def prefix_sums(df: DataFrame, keys: list, value: str, sums: dict) -> DataFrame:
     `sums` maps names to the columns to add up; results are name, name_before
     and name_total. NULL values are left out.
     """
-    root = range_root(df)
     names = list(sums)
-    points = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
-    ranged = points.withColumn("bounds", range_bounds(points, value, root))
-    ranged = ranged.withColumn("range", range_of(F.col(value), F.col("bounds"), root)).drop("bounds")
-    inside = W.partitionBy(*keys, "range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranged = ranged.withColumns({f"{n}_in": F.coalesce(F.sum(n).over(inside), F.lit(0.0)) for n in names})
-    per_range = ranged.groupBy(*keys, "range").agg(*[F.sum(n).alias(f"{n}_range") for n in names])
+    points = durable(df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
+                     .agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    ahead = group.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_range.withColumns({f"{n}_off": F.coalesce(F.sum(f"{n}_range").over(ahead), F.lit(0.0)) for n in names}
-                                    | {f"{n}_total": F.sum(f"{n}_range").over(group) for n in names})
-    out = ranged.join(offsets.drop(*[f"{n}_range" for n in names]), [*keys, "range"])
+    upto = (W.unboundedPreceding, -1)
+    if points.count() <= SMALL:
+        before = group.orderBy(value).rowsBetween(*upto)
+        return points.select(*keys, value, *names, *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"{n}_before") for n in names],
+                             *[F.sum(n).over(group).alias(f"{n}_total") for n in names])
+    ranged = points.withColumn("range", range_of(points, value))
+    inside = W.partitionBy(*keys, "range").orderBy(value).rowsBetween(*upto)
+    per_range = ranged.groupBy(*keys, "range").agg(*[F.sum(n).alias(f"{n}_range") for n in names])
+    ahead = group.orderBy("range").rowsBetween(*upto)
+    offsets = per_range.select(*keys, "range", *[F.coalesce(F.sum(f"{n}_range").over(ahead), F.lit(0.0)).alias(f"{n}_off") for n in names],
+                               *[F.sum(f"{n}_range").over(group).alias(f"{n}_total") for n in names])
+    ranged = ranged.withColumns({f"{n}_in": F.coalesce(F.sum(n).over(inside), F.lit(0.0)) for n in names})
+    out = ranged.join(offsets, [*keys, "range"])
     return out.select(*keys, value, *names, *[(F.col(f"{n}_off") + F.col(f"{n}_in")).alias(f"{n}_before") for n in names],
                       *[f"{n}_total" for n in names])
 
@@ -97,15 +105,27 @@ def spearman(df: DataFrame, keys: list, x: str, y: str, *, weight: Column | None
     count = F.lit(1.0) if count is None else count.cast("double")
     weight = F.lit(1.0) if weight is None else weight
     df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = df.groupBy(*keys, x, y).agg(F.sum(count).alias("f"), F.sum(weight * count).alias("w"))
-    rx = average_ranks(pairs, keys, x, F.col("f")).withColumnRenamed("rank", "rx")
-    ry = average_ranks(pairs, keys, y, F.col("f")).select(*keys, y, F.col("rank").alias("ry"))
-    rows = salted_join(ry, salted_join(rx, pairs, [*keys, x], [y], buckets=2), [*keys, y], [x], buckets=2)
+    pairs = durable(df.groupBy(*keys, x, y).agg(F.sum(count).alias("f"), F.sum(weight * count).alias("w")))
+    if pairs.count() <= SMALL:
+        rows = pairs.withColumns({"rx": tied_rank(keys, x, "f"), "ry": tied_rank(keys, y, "f"),
+                                  "n_total": F.sum("f").over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))})
+    else:
+        rx = average_ranks(pairs, keys, x, F.col("f")).withColumnRenamed("rank", "rx")
+        ry = average_ranks(pairs, keys, y, F.col("f")).select(*keys, y, F.col("rank").alias("ry"))
+        rows = salted_join(ry, salted_join(rx, pairs, [*keys, x], [y], buckets=2), [*keys, y], [x], buckets=2)
     n = F.col("n_total")
     agg = [correlation(F.col("w"), F.col("rx") / n, F.col("ry") / n).alias("rho"), F.max(n).cast("long").alias("n")]
     return rows.groupBy(*keys).agg(*agg) if keys else rows.agg(*agg)
 
 
+def tied_rank(keys: list, value: str, count: str) -> Column:
+    """Average rank by one ordered window per group, for tables of checked size."""
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    upto = F.sum(count).over(group.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))
+    at = F.sum(count).over(W.partitionBy(*keys, value))
+    return upto - at + (at + 1) / 2
+
+
 def kendall_tau_b(df: DataFrame, keys: list, x: str, y: str) -> DataFrame:
     """Tau-b from discordance counts, without forming pairs.
 
@@ -115,7 +135,7 @@ def kendall_tau_b(df: DataFrame, keys: list, x: str, y: str) -> DataFrame:
     the order of x: n log n rows in place of n^2 pairs.
     """
     df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = df.groupBy(*keys, x, y).agg(F.count("*").cast("double").alias("f"))
+    pairs = durable(df.groupBy(*keys, x, y).agg(F.count("*").cast("double").alias("f")))
     order_y = prefix_sums(pairs.select(*keys, y).distinct(), keys, y, {"k": F.lit(1.0)})
     order_y = order_y.select(*keys, y, F.col("k_before").cast("long").alias("oy"), F.col("k_total").cast("long").alias("ny"))
     rows = salted_join(order_y, pairs, [*keys, y], [x], buckets=2)

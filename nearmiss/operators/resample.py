@@ -6,9 +6,10 @@ recompute them; rows are never copied, their weights are multiplied.
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nearmiss.functions.columns import hex_uniform
-from nearmiss.operators.metrics import curve_metrics
+from nearmiss.operators.metrics import curve_metrics, long_scores
 from nearmiss.operators.pairs import salted_join
-from nearmiss.operators.ranking import prefix_sums, spearman
+from nearmiss.operators.ranking import exact_quantiles, prefix_sums, spearman
+from nearmiss.session import durable
 
 
 def dense_index(ids: DataFrame) -> DataFrame:
@@ -21,13 +22,13 @@ def dense_index(ids: DataFrame) -> DataFrame:
 
 def bootstrap_draws(ids: DataFrame, *, n_boot: int, seed: int = 42) -> DataFrame:
     """(replicate, scenario_id, multiplicity): n draws with replacement per replicate."""
-    index = dense_index(ids)
-    n = index.agg(F.count("*").cast("double")).scalar()
-    position = index.select("idx", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+    index = durable(dense_index(ids))
+    position = (index.select("idx", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+                .withColumn("n", F.lit(float(index.count()))))
     u = hex_uniform(F.md5(F.concat_ws("|", F.lit(str(seed)), "replicate", "idx")), 13)
-    drawn = (position.withColumn("n", n).select("replicate", F.floor(u * F.col("n")).cast("long").alias("idx"))
+    drawn = (position.select("replicate", F.floor(u * F.col("n")).cast("long").alias("idx"))
              .groupBy("replicate", "idx").agg(F.count("*").alias("m")))
-    return drawn.join(index, "idx").select("replicate", "scenario_id", "m")
+    return durable(drawn.join(index, "idx").select("replicate", "scenario_id", "m"))
 
 
 def paired_metric_replicates(scores: DataFrame, draws: DataFrame, y: str, w: Column, models: dict) -> DataFrame:
@@ -36,7 +37,6 @@ def paired_metric_replicates(scores: DataFrame, draws: DataFrame, y: str, w: Col
     Rows are merged to distinct (scenario, model, score) before they meet the
     replicates.
     """
-    from nearmiss.operators.metrics import long_scores
     rows = long_scores(scores.withColumns({"w_": w, "y_": F.col(y).cast("double")}), ["scenario_id", "w_", "y_"], models)
     merged = rows.groupBy("scenario_id", "model", "p").agg(F.sum(F.col("w_") * F.col("y_")).alias("pos"), F.sum("w_").alias("all"))
     drawn = salted_join(draws, merged, ["scenario_id"], ["model", "p"], buckets=2)
@@ -68,7 +68,6 @@ def verdict(delta: Column, low: Column) -> Column:
 
 def paired_delta_interval(scores: DataFrame, y: str, w: Column, contrasts: dict, models: dict, *, n_boot: int, seed: int = 42) -> DataFrame:
     """Point and bootstrap difference of AP and AUROC per contrast {name: (model_2, model_1)}."""
-    from nearmiss.operators.metrics import long_scores
     draws = bootstrap_draws(scores, n_boot=n_boot, seed=seed)
     reps = paired_metric_replicates(scores, draws, y, w, models)
     rows = long_scores(scores.withColumns({"w_": w, "y_": F.col(y)}), ["w_", "y_"], models)
@@ -99,7 +98,6 @@ def bootstrap_spearman(df: DataFrame, keys: list, x: str, y: str, draws: DataFra
 def paired_mean_interval(df: DataFrame, a: str, b: str, *, n_boot: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Scenario-mean difference a - b: mean, median and interval over resampled scenarios."""
     per = df.groupBy("scenario_id").agg((F.avg(a) - F.avg(b)).alias("delta"))
-    from nearmiss.operators.ranking import exact_quantiles
     draws = bootstrap_draws(per, n_boot=n_boot, seed=seed)
     reps = draws.join(per, "scenario_id").groupBy("replicate").agg((F.sum(F.col("delta") * F.col("m")) / F.sum("m")).alias("d"))
     point = per.agg(F.avg("delta").alias("delta_mean"), F.count("*").alias("n_scenarios"))
