@@ -3,69 +3,56 @@
 Each step is its own projection, so a shared term is computed once per row and
 the whole chain stays inside code generation.
 """
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nearmiss.constants import CONTACT_TOL, STATIC_EPS, T_MAX_S
-from nearmiss.functions.columns import flag
 
 STATE = ["center_x", "center_y", "velocity_x", "velocity_y", "heading", "length", "width"]
 
 
-def prefixed(df: DataFrame, prefix: str, extra=()) -> list:
-    return [F.col(c).alias(prefix + c) for c in [*STATE, *extra]]
+def prefixed(prefix: str) -> list:
+    return [F.col(c).alias(prefix + c) for c in STATE]
 
 
-def with_relative_state(df: DataFrame) -> DataFrame:
-    """dx, dy, dvx, dvy and centre distance."""
-    return df.withColumns({
-        "dx": F.col("t_center_x") - F.col("e_center_x"),
-        "dy": F.col("t_center_y") - F.col("e_center_y"),
-        "dvx": F.col("t_velocity_x") - F.col("e_velocity_x"),
-        "dvy": F.col("t_velocity_y") - F.col("e_velocity_y"),
-    })
+def with_exprs(df: DataFrame, **exprs: str) -> DataFrame:
+    """One projection adding SQL expressions."""
+    return df.selectExpr("*", *[f"{e} AS {n}" for n, e in exprs.items()])
 
 
-def distance() -> Column:
-    return F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+def with_relative_state(df: DataFrame) -> DataFrame:
+    """Position and velocity of the target relative to the ego, and centre distance."""
+    df = with_exprs(df, dx="t_center_x - e_center_x", dy="t_center_y - e_center_y",
+                    dvx="t_velocity_x - e_velocity_x", dvy="t_velocity_y - e_velocity_y")
+    return with_exprs(df, pair_distance_m="sqrt(dx * dx + dy * dy)")
 
 
-def closing_speed(dist: Column) -> Column:
+def closing_speed(dist: str = "pair_distance_m") -> Column:
     """Speed at which the gap shrinks along the line of centres; 0 when centres coincide."""
-    unit = F.when(dist > 1e-6, dist).otherwise(F.lit(1.0))
-    radial = F.col("dvx") * (F.col("dx") / unit) + F.col("dvy") * (F.col("dy") / unit)
-    return F.when(dist > 1e-6, -radial).otherwise(F.lit(0.0))
+    return F.expr(f"CASE WHEN {dist} > 1e-6 THEN -(dvx * (dx / {dist}) + dvy * (dy / {dist})) ELSE 0D END")
 
 
-def in_heading_frame(x: Column, y: Column, heading: Column) -> tuple[Column, Column]:
+def in_heading_frame(x: str, y: str, heading: str) -> tuple[Column, Column]:
     """(longitudinal, lateral) components of a vector in a heading frame."""
-    c, s = F.cos(heading), F.sin(heading)
-    return x * c + y * s, -x * s + y * c
+    return (F.expr(f"{x} * cos({heading}) + {y} * sin({heading})"),
+            F.expr(f"-{x} * sin({heading}) + {y} * cos({heading})"))
+
+
+def speed(prefix: str = "") -> Column:
+    vx, vy = f"{prefix}velocity_x", f"{prefix}velocity_y"
+    return F.expr(f"sqrt({vx} * {vx} + {vy} * {vy})")
 
 
 def with_box_axes(df: DataFrame) -> DataFrame:
-    """Per separating axis (two per box): centre offset, relative speed, summed support radius."""
-    ec, es = F.cos("e_heading"), F.sin("e_heading")
-    tc, ts = F.cos("t_heading"), F.sin("t_heading")
-    df = df.withColumns({"ec": ec, "es": es, "tc": tc, "ts": ts,
-                         "ehl": F.col("e_length") / 2, "ehw": F.col("e_width") / 2,
-                         "thl": F.col("t_length") / 2, "thw": F.col("t_width") / 2})
-    c = F.col
-    df = df.withColumns({"rc": c("ec") * c("tc") + c("es") * c("ts"),
-                         "rs": c("ec") * c("ts") - c("es") * c("tc")})
-    out = {}
-    for i, (cx, sx) in enumerate((("ec", "es"), ("tc", "ts"))):
-        for j, (ax, ay) in enumerate(((c(cx), c(sx)), (-c(sx), c(cx)))):
-            k = 2 * i + j
-            out[f"o{k}"] = c("dx") * ax + c("dy") * ay
-            out[f"v{k}"] = c("dvx") * ax + c("dvy") * ay
-    ac, as_ = F.abs("rc"), F.abs("rs")
-    out["r0"] = c("ehl") + ac * c("thl") + as_ * c("thw")
-    out["r1"] = c("ehw") + as_ * c("thl") + ac * c("thw")
-    out["r2"] = c("thl") + ac * c("ehl") + as_ * c("ehw")
-    out["r3"] = c("thw") + as_ * c("ehl") + ac * c("ehw")
-    return df.withColumns(out)
+    """Per separating axis (two per box): centre offset o, relative speed v, summed support radius r."""
+    df = with_exprs(df, ec="cos(e_heading)", es="sin(e_heading)", tc="cos(t_heading)", ts="sin(t_heading)",
+                    ehl="e_length / 2", ehw="e_width / 2", thl="t_length / 2", thw="t_width / 2")
+    df = with_exprs(df, rc="ec * tc + es * ts", rs="ec * ts - es * tc")
+    axes = [("ec", "es"), ("(-es)", "ec"), ("tc", "ts"), ("(-ts)", "tc")]
+    return with_exprs(
+        df, **{f"o{k}": f"dx * {x} + dy * {y}" for k, (x, y) in enumerate(axes)},
+        **{f"v{k}": f"dvx * {x} + dvy * {y}" for k, (x, y) in enumerate(axes)},
+        r0="ehl + abs(rc) * thl + abs(rs) * thw", r1="ehw + abs(rs) * thl + abs(rc) * thw",
+        r2="thl + abs(rc) * ehl + abs(rs) * ehw", r3="thw + abs(rs) * ehl + abs(rc) * ehw")
 
 
 BOX_TEMP = ["ec", "es", "tc", "ts", "ehl", "ehw", "thl", "thw", "rc", "rs",
@@ -78,26 +65,16 @@ def with_swept_contact(df: DataFrame, t_max: float = T_MAX_S) -> DataFrame:
     Adds ttc_s, contact_exit_s, overlap_now, hit_future: the intersection over
     the four axes of the times at which the projections touch, within [0, t_max].
     """
-    c, inf = F.col, float("inf")
-    enter, leave = [F.lit(0.0)], [F.lit(float(t_max))]
-    for k in range(4):
-        o, v, r = c(f"o{k}"), c(f"v{k}"), c(f"r{k}")
-        still = F.abs(v) < STATIC_EPS
-        inside = F.abs(o) <= r + CONTACT_TOL
-        div = F.when(still, F.lit(1.0)).otherwise(v)
-        a, b = (-r - o) / div, (r - o) / div
-        enter.append(F.when(still, F.when(inside, F.lit(0.0)).otherwise(F.lit(inf)))
-                     .otherwise(F.least(a, b)))
-        leave.append(F.when(still, F.when(inside, F.lit(float(t_max))).otherwise(F.lit(-inf)))
-                     .otherwise(F.greatest(a, b)))
-    df = df.withColumns({"enter_s": F.greatest(*enter), "leave_s": F.least(*leave)})
-    hit = c("enter_s") <= c("leave_s") + CONTACT_TOL
-    return df.withColumns({
-        "hit_future": hit,
-        "overlap_now": hit & (c("enter_s") <= CONTACT_TOL),
-        "ttc_s": F.when(hit, c("enter_s")).otherwise(F.lit(float(t_max))),
-        "contact_exit_s": F.when(hit, c("leave_s")),
-    }).drop("enter_s", "leave_s")
+    def bound(k: int, pick: str, inside: float, never: str) -> str:
+        return (f"CASE WHEN abs(v{k}) < {STATIC_EPS!r}D THEN CASE WHEN abs(o{k}) <= r{k} + {CONTACT_TOL!r}D THEN {inside!r}D "
+                f"ELSE double('{never}') END ELSE {pick}((-r{k} - o{k}) / v{k}, (r{k} - o{k}) / v{k}) END")
+
+    df = with_exprs(df, enter_s=f"greatest(0D, {', '.join(bound(k, 'least', 0.0, 'Infinity') for k in range(4))})",
+                    leave_s=f"least({float(t_max)!r}D, {', '.join(bound(k, 'greatest', float(t_max), '-Infinity') for k in range(4))})")
+    df = with_exprs(df, hit_future=f"enter_s <= leave_s + {CONTACT_TOL!r}D")
+    return with_exprs(df, overlap_now=f"hit_future AND enter_s <= {CONTACT_TOL!r}D",
+                      ttc_s=f"CASE WHEN hit_future THEN enter_s ELSE {float(t_max)!r}D END",
+                      contact_exit_s="CASE WHEN hit_future THEN leave_s END").drop("enter_s", "leave_s")
 
 
 def box_clearance() -> Column:
@@ -107,22 +84,16 @@ def box_clearance() -> Column:
     distance of eight corners to the other box, taken in that box's own frame,
     is exact; touching or overlapping boxes are at distance 0.
     """
-    c = F.col
-
-    def corner_gaps(ox, oy, sin_sign, hl, hw, bl, bw):
-        for a in (1, -1):
-            for b in (1, -1):
-                x = ox + a * hl * c("rc") + sin_sign * b * hw * c("rs")
-                y = oy - sin_sign * a * hl * c("rs") + b * hw * c("rc")
-                gx = F.greatest(F.abs(x) - bl, F.lit(0.0))
-                gy = F.greatest(F.abs(y) - bw, F.lit(0.0))
-                yield gx * gx + gy * gy
+    def corners(ox, oy, sin, hl, hw, bl, bw):
+        for a in ("", "-"):
+            for b in ("", "-"):
+                x = f"{ox} + {a}{hl} * rc + {b}{hw} * {sin}"
+                y = f"{oy} - {a}{hl} * {sin} + {b}{hw} * rc"
+                yield f"pow(greatest(abs({x}) - {bl}, 0D), 2) + pow(greatest(abs({y}) - {bw}, 0D), 2)"
 
-    of_ego = corner_gaps(-c("o2"), -c("o3"), 1, c("ehl"), c("ehw"), c("thl"), c("thw"))
-    of_target = corner_gaps(c("o0"), c("o1"), -1, c("thl"), c("thw"), c("ehl"), c("ehw"))
-    apart = reduce(lambda p, q: p | q,
-                   [F.abs(c(f"o{k}")) > c(f"r{k}") + CONTACT_TOL for k in range(4)])
-    return F.when(apart, F.sqrt(F.least(*of_ego, *of_target))).otherwise(F.lit(0.0))
+    gaps = [*corners("-o2", "-o3", "rs", "ehl", "ehw", "thl", "thw"), *corners("o0", "o1", "(-rs)", "thl", "thw", "ehl", "ehw")]
+    apart = " OR ".join(f"abs(o{k}) > r{k} + {CONTACT_TOL!r}D" for k in range(4))
+    return F.expr(f"CASE WHEN {apart} THEN sqrt(least({', '.join(gaps)})) ELSE 0D END")
 
 
 def with_circle_contact(df: DataFrame, t_max: float = T_MAX_S) -> DataFrame:
@@ -131,30 +102,17 @@ def with_circle_contact(df: DataFrame, t_max: float = T_MAX_S) -> DataFrame:
     Adds circle_ttc_s, circle_overlap_now, circle_hit_future (also true for an
     overlap) and circle_dtc_m, the smallest gap of the circles on the way.
     """
-    c = F.col
-    radius = lambda p: F.sqrt(c(p + "length") * c(p + "length") + c(p + "width") * c(p + "width")) * 0.5
-    df = df.withColumns({
-        "cr": radius("e_") + radius("t_"),
-        "qa": c("dvx") * c("dvx") + c("dvy") * c("dvy"),
-        "qb": (c("dx") * c("dvx") + c("dy") * c("dvy")) * 2.0,
-        "d2": c("dx") * c("dx") + c("dy") * c("dy"),
-    })
-    moving = c("qa") > STATIC_EPS
-    den = F.when(moving, c("qa")).otherwise(F.lit(1.0))
-    df = df.withColumns({
-        "disc": c("qb") * c("qb") - c("qa") * 4.0 * (c("d2") - c("cr") * c("cr")),
-        "t_close": F.when(moving, -c("qb") / (den * 2.0)).otherwise(F.lit(0.0)),
-        "overlap": F.sqrt("d2") <= c("cr"),
-        "root": F.when(moving, (-c("qb") - F.sqrt(F.greatest(
-            c("qb") * c("qb") - c("qa") * 4.0 * (c("d2") - c("cr") * c("cr")), F.lit(0.0)))) / (den * 2.0)),
-    })
-    meets = ~c("overlap") & flag((c("disc") >= 0) & (c("root") > 0) & (c("root") <= t_max))
-    on_way = (c("t_close") > 0) & (c("t_close") <= t_max)
-    nearest2 = F.greatest(c("qa") * c("t_close") * c("t_close") + c("qb") * c("t_close") + c("d2"), F.lit(0.0))
-    gap = F.greatest(F.sqrt(F.when(on_way, nearest2).otherwise(c("d2"))) - c("cr"), F.lit(0.0))
-    return df.withColumns({
-        "circle_overlap_now": c("overlap"),
-        "circle_hit_future": c("overlap") | meets,
-        "circle_ttc_s": F.when(c("overlap"), F.lit(0.0)).when(meets, c("root")).otherwise(F.lit(float(t_max))),
-        "circle_dtc_m": F.when(c("overlap") | meets, F.lit(0.0)).otherwise(gap),
-    }).drop("cr", "qa", "qb", "d2", "disc", "t_close", "overlap", "root")
+    tm = f"{float(t_max)!r}D"
+    radius = lambda p: f"sqrt({p}length * {p}length + {p}width * {p}width) / 2"
+    df = with_exprs(df, cr=f"{radius('e_')} + {radius('t_')}", qa="dvx * dvx + dvy * dvy",
+                    qb="2 * (dx * dvx + dy * dvy)", d2="dx * dx + dy * dy")
+    df = with_exprs(df, overlap="sqrt(d2) <= cr", disc="qb * qb - 4 * qa * (d2 - cr * cr)")
+    df = with_exprs(df, t_close=f"CASE WHEN qa > {STATIC_EPS!r}D THEN -qb / (2 * qa) ELSE 0D END",
+                    root=f"CASE WHEN qa > {STATIC_EPS!r}D AND disc >= 0 THEN (-qb - sqrt(disc)) / (2 * qa) END")
+    df = with_exprs(df, meets=f"NOT overlap AND coalesce(root > 0 AND root <= {tm}, false)",
+                    nearest2=f"CASE WHEN t_close > 0 AND t_close <= {tm} THEN greatest(qa * t_close * t_close + qb * t_close + d2, 0D) ELSE d2 END")
+    return with_exprs(
+        df, circle_overlap_now="overlap", circle_hit_future="overlap OR meets",
+        circle_ttc_s=f"CASE WHEN overlap THEN 0D WHEN meets THEN root ELSE {tm} END",
+        circle_dtc_m="CASE WHEN overlap OR meets THEN 0D ELSE greatest(sqrt(nearest2) - cr, 0D) END",
+    ).drop("cr", "qa", "qb", "d2", "overlap", "disc", "t_close", "root", "meets", "nearest2")

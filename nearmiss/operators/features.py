@@ -1,47 +1,44 @@
 """Ego-centric context features, past and present only."""
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from nearmiss.constants import (CENSORED, CURRENT_INDEX, E_DYNAMIC, E_HIST, E_STATIC, FUTURE_CONTACT, HISTORY_FRAMES, N_FRAMES,
-                                NO_EXPOSURE, OVERLAP, P_CLEAN, RADIUS_M)
+from nearmiss.constants import E_DYNAMIC, E_HIST, E_STATIC, HISTORY_FRAMES, N_FRAMES, P_CLEAN, RADIUS_M
 from nearmiss.functions import geometry as G
 from nearmiss.functions.columns import flag, salt_of, all_salts
 from nearmiss.operators.kinematics import kinematics
-from nearmiss.operators.frames import frame_labels
+from nearmiss.operators.frames import frame_labels, scene_criticality
 from nearmiss.operators.mapjoin import dispersion, lane_context, nearest_distance, signal_context
-from nearmiss.operators.pairs import FRAME, SALT, ego_states, full_state, pair_metrics, salted_join
-from nearmiss.operators.profile import ORDERED, with_runs  # noqa: F401
+from nearmiss.operators.pairs import FRAME, SALT, ego_states, ego_track, frame_presence, full_state
+from nearmiss.operators.profile import ORDERED
+from nearmiss.session import durable
 
-SPEED = lambda p: F.sqrt(F.col(p + "velocity_x") * F.col(p + "velocity_x") + F.col(p + "velocity_y") * F.col(p + "velocity_y"))
 
-
-def ego_motion(states: DataFrame) -> DataFrame:
+def ego_motion(presence: DataFrame) -> DataFrame:
     """Ego acceleration and yaw rate per frame, 0 where undefined."""
-    ego = kinematics(states.filter(flag(F.col("is_sdc"))))
+    ego = kinematics(ego_track(presence))
     return ego.select(*FRAME, F.coalesce("derived_accel_mps2", F.lit(0.0)).alias("ego_accel"),
                       F.coalesce("derived_yaw_rate_rps", F.lit(0.0)).alias("ego_yaw_rate"))
 
 
-def ego_positions(states: DataFrame) -> DataFrame:
-    return ego_states(states).select(*FRAME, F.col("e_center_x").alias("x0"), F.col("e_center_y").alias("y0"))
+def ego_positions(presence: DataFrame) -> DataFrame:
+    return ego_states(presence).select(*FRAME, F.col("e_center_x").alias("x0"), F.col("e_center_y").alias("y0"))
 
 
-def past_actor_pairs(states: DataFrame, focal: DataFrame, *, steps: int = HISTORY_FRAMES,
+def past_actor_pairs(states: DataFrame, presence: DataFrame, focal: DataFrame, *, steps: int = HISTORY_FRAMES,
                      radius_m: float = RADIUS_M, salt: int = SALT) -> DataFrame:
     """Usable actors of any class at frames u in [t - steps, t] against the ego state and focal actor of t.
 
     The range is turned into an equi join by repeating the one-row-per-frame
     ego side for each u; the actor rows are shuffled once.
     """
-    ego = (ego_states(states).drop("ego_track_id").join(focal, FRAME, "left")
+    ego = (ego_states(presence).drop("ego_track_id").join(focal, FRAME, "left")
            .withColumn("u", F.explode(F.sequence(F.greatest(F.col("time_index") - steps, F.lit(0)), F.col("time_index"))))
            .withColumn("salt", all_salts(salt)))
     actors = (states.filter(~flag(F.col("is_sdc")) & full_state())
-              .select("scenario_id", F.col("time_index").alias("u"), "track_id", "object_type", *G.prefixed(states, "t_"))
+              .select("scenario_id", F.col("time_index").alias("u"), "track_id", "object_type", *G.prefixed("t_"))
               .withColumn("salt", salt_of(F.col("track_id"), buckets=salt)))
     pairs = G.with_relative_state(ego.join(actors, ["scenario_id", "u", "salt"]).drop("salt"))
-    return (pairs.withColumn("d", G.distance()).filter(F.col("d") <= radius_m)
-            .withColumns({"is_focal": flag(F.col("track_id") == F.col("focal_id")),
-                          "closing": G.closing_speed(F.col("d"))}))
+    return (pairs.withColumnRenamed("pair_distance_m", "d").filter(F.col("d") <= radius_m)
+            .withColumns({"is_focal": flag(F.col("track_id") == F.col("focal_id")), "closing": G.closing_speed("d")}))
 
 
 def actor_context(past: DataFrame) -> DataFrame:
@@ -53,8 +50,8 @@ def actor_context(past: DataFrame) -> DataFrame:
     positive = F.greatest(c("closing"), F.lit(0.0))
     moving = c("d") > 1e-4
     pressure = F.when(other & moving, positive / F.greatest(F.lit(1.0), c("d")))
-    lon, lat = G.in_heading_frame(c("dx"), c("dy"), c("e_heading"))
-    vlon, vlat = G.in_heading_frame(c("dvx"), c("dvy"), c("e_heading"))
+    lon, lat = G.in_heading_frame("dx", "dy", "e_heading")
+    vlon, vlat = G.in_heading_frame("dvx", "dvy", "e_heading")
     focal = lambda x: F.max(F.when(now & c("is_focal"), x))
     within = lambda r: F.count_if(now & (c("d") <= r))
     kind = lambda *names: F.count_if(now & c("object_type").isin(*names))
@@ -63,11 +60,11 @@ def actor_context(past: DataFrame) -> DataFrame:
         within(30.0).alias("n30"), within(50.0).alias("n50"), within(70.0).alias("n70"),
         kind("TYPE_VEHICLE").alias("veh"), kind("TYPE_PEDESTRIAN").alias("ped"), kind("TYPE_CYCLIST").alias("cyc"),
         F.count(third(c("d"))).alias("n3"), F.min(third(c("d"))).alias("nearest"),
-        F.avg(third(SPEED("t_"))).alias("spd"), F.stddev_pop(third(SPEED("t_"))).alias("spd_std"),
+        F.avg(third(G.speed("t_"))).alias("spd"), F.stddev_pop(third(G.speed("t_"))).alias("spd_std"),
         F.avg(third(F.cos("t_heading"))).alias("mc"), F.avg(third(F.sin("t_heading"))).alias("ms"),
         F.max(third(F.when(moving, positive))).alias("pmax"), F.count_if(now & other & (c("closing") > 0)).alias("n_closing"),
         focal(lon).alias("lon"), focal(lat).alias("lat"), focal(vlon).alias("vlon"), focal(vlat).alias("vlat"),
-        focal(SPEED("t_")).alias("fspd"))
+        focal(G.speed("t_")).alias("fspd"))
     keep = [x for x in per_u.columns if x not in (*FRAME, "u", "pressure")]
     first_u = F.greatest(c("time_index") - HISTORY_FRAMES, F.lit(0))
     return per_u.groupBy(*FRAME).agg(
@@ -117,10 +114,10 @@ def _entropy(counts: list, total: Column) -> Column:
     return out
 
 
-def physics_controls(frames: DataFrame, states: DataFrame, context: DataFrame) -> DataFrame:
+def physics_controls(frames: DataFrame, presence: DataFrame, context: DataFrame) -> DataFrame:
     """Twelve ego and focal-actor controls; the focal actor is the nearest by clearance."""
     c = F.col
-    ego = ego_states(states).select(*FRAME, SPEED("e_").alias("ego_speed")).join(ego_motion(states), FRAME, "left")
+    ego = ego_states(presence).select(*FRAME, G.speed("e_").alias("ego_speed")).join(ego_motion(presence), FRAME, "left")
     rows = frames.join(ego, FRAME).join(context, FRAME, "left")
     zero = lambda x: F.coalesce(c(x), F.lit(0.0))
     values = [c("ego_speed"), zero("ego_accel"), zero("ego_yaw_rate"), zero("lon"), zero("lat"), zero("vlon"), zero("vlat"), zero("fspd"),
@@ -130,9 +127,9 @@ def physics_controls(frames: DataFrame, states: DataFrame, context: DataFrame) -
     return rows.select(*FRAME, *[v.alias(n) for n, v in zip(P_CLEAN, values)])
 
 
-def static_context(states: DataFrame, points: DataFrame, signals: DataFrame) -> DataFrame:
+def static_context(presence: DataFrame, points: DataFrame, signals: DataFrame) -> DataFrame:
     """Seven map features per usable ego frame, plus the stop-signal count."""
-    pos = ego_positions(states)
+    pos = ego_positions(presence)
     kinds = ["crosswalk", "stop_sign", "speed_bump", "road_edge"]
     near = nearest_distance(pos, points.filter(F.col("feature_type").isin(*kinds)))
     near = near.groupBy(*FRAME).agg(*[F.min(F.when(F.col("feature_type") == k, F.col("distance_m"))).alias(k) for k in kinds])
@@ -143,10 +140,10 @@ def static_context(states: DataFrame, points: DataFrame, signals: DataFrame) ->
     return rows.select(*FRAME, *[v.alias(n) for n, v in zip(E_STATIC, values)], F.coalesce("stop_signals", none).alias(E_DYNAMIC[-1]))
 
 
-def dynamic_context(states: DataFrame, context: DataFrame) -> DataFrame:
+def dynamic_context(presence: DataFrame, context: DataFrame) -> DataFrame:
     """Density, composition and third-party motion; defaults where nobody is around."""
     c = F.col
-    rows = ego_states(states).select(*FRAME).join(context, FRAME, "left")
+    rows = ego_states(presence).select(*FRAME).join(context, FRAME, "left")
     zero = lambda x: F.coalesce(c(x).cast("double"), F.lit(0.0))
     total = zero("n70")
     share = lambda x: F.when(total > 0, x / F.greatest(total, F.lit(1.0))).otherwise(F.lit(0.0))
@@ -157,10 +154,10 @@ def dynamic_context(states: DataFrame, context: DataFrame) -> DataFrame:
     return rows.select(*FRAME, *[v.alias(n) for n, v in zip(E_DYNAMIC[:-1], values)])
 
 
-def history_context(frames: DataFrame, states: DataFrame, context: DataFrame) -> DataFrame:
+def history_context(frames: DataFrame, states: DataFrame, presence: DataFrame, context: DataFrame) -> DataFrame:
     """Seven one-second history features."""
     c = F.col
-    rows = ego_states(states).select(*FRAME).join(actor_history(frames, states), FRAME).join(context, FRAME, "left")
+    rows = ego_states(presence).select(*FRAME).join(actor_history(frames, states), FRAME).join(context, FRAME, "left")
     steps = F.least(c("time_index"), F.lit(HISTORY_FRAMES))
     zero = lambda x: F.coalesce(c(x), F.lit(0.0))
     values = [c("n_mean"), c("n_std"), c("n_slope"), zero("p_total") / (steps + 1), zero("p_peak"),
@@ -172,15 +169,22 @@ def focal_of(frames: DataFrame) -> DataFrame:
     return frames.select(*FRAME, F.col("focal_actor_id").alias("focal_id"))
 
 
-def frame_feature_table(states: DataFrame, points: DataFrame, signals: DataFrame, frames: DataFrame) -> DataFrame:
-    """Labels at 2 / 3 / 5 s, scenario-equal weight and 39 features for every valid frame."""
-    context = actor_context(past_actor_pairs(states, focal_of(frames)))
+def frame_feature_table(states: DataFrame, points: DataFrame, signals: DataFrame, *, presence: DataFrame | None = None,
+                        frames: DataFrame | None = None) -> DataFrame:
+    """Labels at 2 / 3 / 5 s, scenario-equal weight and 39 features for every valid frame.
+
+    The per-frame tables that several feature groups read (ego presence, frame
+    outcomes, actor context) are stored once; the actor table is read four times.
+    """
+    presence = durable(frame_presence(states)) if presence is None else presence
+    frames = durable(scene_criticality(states, presence)) if frames is None else frames
+    context = durable(actor_context(past_actor_pairs(states, presence, focal_of(frames))))
     return (frame_labels(frames).select(*FRAME, "status", "target_ttc_s", "target_c_t", "target_y_tau_2s", "target_y_tau_3s",
                                         "target_y_tau_5s", "weight_scenario_equal")
-            .join(physics_controls(frames, states, context), FRAME, "left")
-            .join(static_context(states, points, signals), FRAME, "left")
-            .join(dynamic_context(states, context), FRAME, "left")
-            .join(history_context(frames, states, context), FRAME, "left"))
+            .join(physics_controls(frames, presence, context), FRAME, "left")
+            .join(static_context(presence, points, signals), FRAME, "left")
+            .join(dynamic_context(presence, context), FRAME, "left")
+            .join(history_context(frames, states, presence, context), FRAME, "left"))
 
 
 def scenario_feature_means(table: DataFrame, features: list) -> DataFrame:

@@ -4,36 +4,32 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from nearmiss.constants import (CENSORED, CONTACT_TOL, DT_S, FUTURE_CONTACT, INVALID_EGO, INVALID_FRAME,
                                 METHOD_BOX, N_FRAMES, NO_EXPOSURE, OVERLAP, T_MAX_S, T_MIN_S, TAU_CRITICAL_S)
 from nearmiss.functions.columns import clip, flag
-from nearmiss.operators.pairs import FRAME, circle_pair_metrics, full_state, pair_metrics
-
-
-def frame_presence(states: DataFrame) -> DataFrame:
-    """Per frame: any row, any valid actor, ego flags and ego track id."""
-    sdc = flag(F.col("is_sdc"))
-    return states.groupBy(*FRAME).agg(
-        (F.count("*") > 0).alias("any_row"),
-        F.max(flag(F.col("valid"))).alias("any_valid"),
-        F.max(sdc & flag(F.col("valid"))).alias("ego_flagged"),
-        F.max(sdc & full_state()).alias("ego_ok"),
-        F.max(F.when(sdc, F.col("track_id"))).alias("ego_track_id"))
+from nearmiss.operators.pairs import FRAME, circle_pair_metrics, frame_presence, pair_metrics
+from nearmiss.session import durable
 
 
 def frame_spine(presence: DataFrame, n_frames: int = N_FRAMES) -> DataFrame:
-    """All scenarios x frames 0..n-1 with presence flags; absent frames have none set."""
-    grid = (presence.groupBy("scenario_id").agg(F.max("ego_track_id").alias("ego_track_id"))
-            .withColumn("time_index", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1)))))
-    return (grid.join(presence.drop("ego_track_id"), FRAME, "left")
-            .withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("any_row", "any_valid", "ego_flagged", "ego_ok")})
-            .withColumn("timestamp_seconds", F.col("time_index") * F.lit(DT_S)))
+    """All scenarios x frames 0..n-1 with presence flags; absent frames have none set.
+
+    A scenario's frames (at most n) are gathered into one map and laid out on
+    the grid, which needs one exchange and no join.
+    """
+    flags = ["any_row", "any_valid", "ego_flagged", "ego_ok"]
+    per = (presence.filter(F.col("time_index").between(0, n_frames - 1)).groupBy("scenario_id").agg(
+        F.max("ego_track_id").alias("ego_track_id"),
+        F.map_from_entries(F.collect_list(F.struct("time_index", F.struct(*flags)))).alias("seen")))
+    grid = per.select("scenario_id", "ego_track_id", "seen", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("time_index"))
+    return grid.select(*FRAME, "ego_track_id", (F.col("time_index") * F.lit(DT_S)).alias("timestamp_seconds"),
+                       *[F.coalesce(F.try_element_at("seen", F.col("time_index"))[f], F.lit(False)).alias(f) for f in flags])
 
 
-def frame_targets(states: DataFrame, *, pairs: DataFrame | None = None, n_frames: int = N_FRAMES) -> DataFrame:
+def frame_targets(states: DataFrame, *, n_frames: int = N_FRAMES) -> DataFrame:
     """Frame label by precedence: overlap beats future contact beats censored.
 
     Near actors whose numerics are unusable keep a frame out of no_exposure.
     """
-    if pairs is None:
-        pairs = pair_metrics(states, clearance=False, valid_targets_only=False)
+    presence = durable(frame_presence(states))
+    pairs = pair_metrics(states, presence, clearance=False, valid_targets_only=False)
     c = F.col
     future = c("obb_hit_future") & ~c("obb_overlap_now") & (c("obb_ttc_s") > CONTACT_TOL)
     reduced = pairs.groupBy(*FRAME).agg(
@@ -42,7 +38,7 @@ def frame_targets(states: DataFrame, *, pairs: DataFrame | None = None, n_frames
         F.count_if("obb_overlap_now").alias("n_obb_overlap"),
         F.count_if(future).alias("n_obb_future_contact"),
         F.min(F.when(future, c("obb_ttc_s"))).alias("min_future"))
-    out = frame_spine(frame_presence(states), n_frames).join(reduced, FRAME, "left")
+    out = frame_spine(presence, n_frames).join(reduced, FRAME, "left")
     status = (F.when(~c("any_valid"), INVALID_FRAME).when(~c("ego_ok"), INVALID_EGO)
               .when(c("n_near").isNull(), NO_EXPOSURE).when(c("n_obb_overlap") > 0, OVERLAP)
               .when(c("n_obb_future_contact") > 0, FUTURE_CONTACT).otherwise(CENSORED))
@@ -71,10 +67,9 @@ def frame_targets_log(states: DataFrame, *, pairs: DataFrame | None = None) -> D
         F.count("*").alias("n_pairs"),
         F.min_by(F.struct("derived_ttc_2d_s", "derived_hit_future", "target_track_id", "target_object_type"),
                  F.struct("derived_ttc_2d_s", "target_track_id")).alias("b"))
-    has_ego = states.filter(flag(c("is_sdc"))).select("scenario_id").distinct()
-    frames = frame_presence(states).join(has_ego, "scenario_id", "left_semi")
-    clock = states.groupBy(*FRAME).agg(F.min("timestamp_seconds").alias("timestamp_seconds"))
-    out = frames.join(clock, FRAME).join(best, FRAME, "left")
+    has_ego = F.max("ego_row").over(W.partitionBy("scenario_id"))
+    frames = frame_presence(states).withColumn("has_ego", has_ego).filter("has_ego").withColumnRenamed("clock_s", "timestamp_seconds")
+    out = frames.join(best, FRAME, "left")
     exposed = c("any_valid") & c("ego_flagged") & c("n_pairs").isNotNull()
     event = exposed & c("b.derived_hit_future")
     return out.select(
@@ -91,15 +86,15 @@ def frame_targets_log(states: DataFrame, *, pairs: DataFrame | None = None) -> D
          .when(c("n_pairs").isNull(), NO_EXPOSURE).when(event, "event").otherwise(CENSORED).alias("target_status"))
 
 
-def scene_criticality(states: DataFrame, *, pairs: DataFrame | None = None, n_frames: int = N_FRAMES,
-                      t_min: float = 0.0, t_max: float = T_MAX_S, tau: float = TAU_CRITICAL_S) -> DataFrame:
+def scene_criticality(states: DataFrame, presence: DataFrame | None = None, *, n_frames: int = N_FRAMES, t_min: float = 0.0,
+                      t_max: float = T_MAX_S, tau: float = TAU_CRITICAL_S) -> DataFrame:
     """Frame severity with the focal (nearest) and dominant (soonest) actor.
 
     Both picks are total orders, so the result does not depend on row order:
     focal by (clearance, distance, id), dominant by (TTC, clearance, distance, id).
     """
-    if pairs is None:
-        pairs = pair_metrics(states, t_max=t_max)
+    presence = durable(frame_presence(states)) if presence is None else presence
+    pairs = pair_metrics(states, presence, t_max=t_max)
     c = F.col
     pick = F.struct(c("target_track_id").alias("id"), c("target_object_type").alias("type"),
                     c("clearance_m").alias("clearance"), c("pair_distance_m").alias("dist"),
@@ -111,7 +106,7 @@ def scene_criticality(states: DataFrame, *, pairs: DataFrame | None = None, n_fr
         F.min_by(pick, F.struct("obb_ttc_s", "clearance_m", "pair_distance_m", "target_track_id")).alias("d"),
         F.count("*").alias("n_valid_targets_70m"), by_type("TYPE_VEHICLE").alias("n_vehicles_70m"),
         by_type("TYPE_PEDESTRIAN").alias("n_pedestrians_70m"), by_type("TYPE_CYCLIST").alias("n_cyclists_70m"))
-    out = frame_spine(frame_presence(states), n_frames).join(reduced, FRAME, "left")
+    out = frame_spine(presence, n_frames).join(reduced, FRAME, "left")
     contact = c("d.overlap") | (c("d.ttc") <= 1e-6)
     status = (F.when(~c("any_row"), INVALID_FRAME).when(~c("ego_ok"), INVALID_EGO).when(c("d").isNull(), NO_EXPOSURE)
               .when(contact, OVERLAP).when(c("d.hit") & (c("d.ttc") < t_max), FUTURE_CONTACT).otherwise(CENSORED))

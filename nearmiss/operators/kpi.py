@@ -2,17 +2,18 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from nearmiss.functions.columns import finite, flag
+from nearmiss.functions.geometry import speed
 from nearmiss.operators.kinematics import kinematics
 from nearmiss.operators.mapjoin import nearest_distance
-from nearmiss.operators.pairs import FRAME, circle_pair_metrics
+from nearmiss.operators.pairs import FRAME, circle_pair_metrics, ego_track, frame_presence
+from nearmiss.session import durable
 
 KPIS = ["max_jerk", "drac_max", "rss_margin_min", "cross_track_error_max", "ttlc_min", "offroad_ratio"]
 
 
-def max_jerk(states: DataFrame) -> DataFrame:
+def max_jerk(ego: DataFrame) -> DataFrame:
     """Largest absolute ego jerk."""
-    ego = kinematics(states.filter(flag(F.col("is_sdc"))))
-    return ego.groupBy("scenario_id").agg(F.max(F.abs("derived_jerk_mps3")).alias("max_jerk"))
+    return kinematics(ego).groupBy("scenario_id").agg(F.max(F.abs("derived_jerk_mps3")).alias("max_jerk"))
 
 
 def drac_max(pairs: DataFrame) -> DataFrame:
@@ -22,50 +23,49 @@ def drac_max(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("scenario_id").agg(F.coalesce(F.max(drac), F.lit(0.0)).alias("drac_max"))
 
 
-def rss_margin_min(pairs: DataFrame, states: DataFrame, *, rho: float = 0.5, a_max: float = 4.0) -> DataFrame:
+def rss_margin_min(pairs: DataFrame, ego: DataFrame, *, rho: float = 0.5, a_max: float = 4.0) -> DataFrame:
     """Smallest gap beyond the reaction-plus-braking distance of the ego.
 
     The speed depends on the frame only, so pairs are reduced to the smallest
     distance per frame before the speed is looked up.
     """
-    speed = F.sqrt(F.col("velocity_x") * F.col("velocity_x") + F.col("velocity_y") * F.col("velocity_y"))
-    ego = states.filter(flag(F.col("is_sdc")) & flag(F.col("valid"))).select(*FRAME, speed.alias("v")).filter(finite(F.col("v")))
+    ego = ego.filter("valid").select(*FRAME, speed().alias("v")).filter(finite(F.col("v")))
     nearest = pairs.groupBy(*FRAME).agg(F.min("pair_distance_m").alias("d"))
     v = F.col("v")
     margin = F.col("d") - (v * rho + v * v / (2.0 * a_max))
     return nearest.join(ego, FRAME).groupBy("scenario_id").agg(F.min(margin).alias("rss_margin_min"))
 
 
-def _ego_positions(states: DataFrame) -> DataFrame:
+def _ego_positions(ego: DataFrame) -> DataFrame:
     placed = finite(F.col("center_x")) & finite(F.col("center_y"))
-    return (states.filter(flag(F.col("is_sdc")) & flag(F.col("valid")) & placed)
+    return (ego.filter(F.col("valid") & placed)
             .select(*FRAME, F.col("center_x").alias("x0"), F.col("center_y").alias("y0")))
 
 
-def cross_track_and_offroad(states: DataFrame, points: DataFrame, *, edge_m: float = 2.0) -> DataFrame:
+def cross_track_and_offroad(ego: DataFrame, points: DataFrame, *, edge_m: float = 2.0) -> DataFrame:
     """Largest distance to the nearest lane point, and share of frames off the nearest road edge."""
-    near = nearest_distance(_ego_positions(states), points.filter(F.col("feature_type").isin("lane", "road_edge")))
+    near = nearest_distance(_ego_positions(ego), points.filter(F.col("feature_type").isin("lane", "road_edge")))
     lane = F.when(F.col("feature_type") == "lane", F.col("distance_m"))
     edge = F.when(F.col("feature_type") == "road_edge", (F.col("distance_m") > edge_m).cast("double"))
     return near.groupBy("scenario_id").agg(F.round(F.max(lane), 4).alias("cross_track_error_max"),
                                            F.round(F.avg(edge), 4).alias("offroad_ratio"))
 
 
-def ttlc_min(states: DataFrame, *, lane_width_m: float = 3.7) -> DataFrame:
+def ttlc_min(ego: DataFrame, *, lane_width_m: float = 3.7) -> DataFrame:
     """Half lane width over lateral speed, smallest over frames drifting faster than 0.1 m/s."""
     c = F.col
     lateral = F.abs(-c("velocity_x") * F.sin("heading") + c("velocity_y") * F.cos("heading"))
-    ego = states.filter(flag(c("is_sdc")) & flag(c("valid"))).withColumn("v_lat", lateral)
+    ego = ego.filter("valid").withColumn("v_lat", lateral)
     return ego.groupBy("scenario_id").agg(
         F.round(F.min(F.when(finite(c("v_lat")) & (c("v_lat") > 0.1), F.lit(lane_width_m / 2) / F.greatest(c("v_lat"), F.lit(0.1)))), 4).alias("ttlc_min"))
 
 
 def all_kpis(states: DataFrame, points: DataFrame) -> DataFrame:
     """The six indicators per scenario; NULL means not measurable."""
-    pairs = circle_pair_metrics(states)
-    out = states.select("scenario_id").distinct()
-    for part in (max_jerk(states), drac_max(pairs), rss_margin_min(pairs, states),
-                 cross_track_and_offroad(states, points), ttlc_min(states)):
+    presence = durable(frame_presence(states))
+    ego, pairs = ego_track(presence), durable(circle_pair_metrics(states).select(*FRAME, "pair_distance_m", "derived_closing_speed_mps"))
+    out = presence.select("scenario_id").distinct()
+    for part in (max_jerk(ego), drac_max(pairs), rss_margin_min(pairs, ego), cross_track_and_offroad(ego, points), ttlc_min(ego)):
         out = out.join(part, "scenario_id", "left")
     return out.select("scenario_id", *KPIS)
 
@@ -77,10 +77,10 @@ def kpi_coverage(kpis: DataFrame) -> DataFrame:
                                    F.round((n - ok) / n, 4).alias("missing_rate"))
 
 
-def response_kpis(states: DataFrame, frames: DataFrame) -> DataFrame:
+def response_kpis(presence: DataFrame, frames: DataFrame) -> DataFrame:
     """Ego response percentiles (at most one value per frame) and the radial closing proxy."""
     c = F.col
-    ego = kinematics(states.filter(flag(c("is_sdc")))).withColumns({
+    ego = kinematics(ego_track(presence)).withColumns({
         "decel": F.when(c("derived_accel_mps2").isNotNull(), F.greatest(F.lit(0.0), -c("derived_accel_mps2"))), "jerk": F.abs("derived_jerk_mps3"),
         "yaw": F.abs("derived_yaw_rate_rps"), "lat": F.abs(c("derived_speed_mps") * c("derived_yaw_rate_rps"))})
     p95 = lambda x, n: F.coalesce(F.percentile(x, F.lit(0.95)), F.lit(0.0)).alias(n)
@@ -99,21 +99,22 @@ def motion_continuity(states: DataFrame, points: DataFrame) -> DataFrame:
     """Per-scenario ego continuity checks with their measured values."""
     c = F.col
     w = W.partitionBy("scenario_id").orderBy("time_index")
-    ego = kinematics(states.filter(flag(c("is_sdc"))))
-    lane = (nearest_distance(_ego_positions(states), points.filter(c("feature_type") == "lane"))
+    presence = durable(frame_presence(states))
+    ego = ego_track(presence)
+    lane = (nearest_distance(_ego_positions(ego), points.filter(c("feature_type") == "lane"))
             .select(*FRAME, c("distance_m").alias("cte")))
-    rows = ego.join(lane, FRAME, "left")
+    rows = kinematics(ego).join(lane, FRAME, "left")
     step = lambda n: c(n) - F.lag(n).over(w)
     dt = F.greatest(step("timestamp_seconds"), F.lit(1e-12))
     rows = rows.withColumns({"sx": step("center_x"), "sy": step("center_y"), "dt": dt, "dspd": step("derived_speed_mps"),
                              "dh": step("heading"), "dcte": F.abs(step("cte"))})
     jump = F.sqrt(c("sx") * c("sx") + c("sy") * c("sy"))
     fd = F.sqrt((c("sx") / c("dt")) * (c("sx") / c("dt")) + (c("sy") / c("dt")) * (c("sy") / c("dt")))
-    speed = F.sqrt(c("velocity_x") * c("velocity_x") + c("velocity_y") * c("velocity_y"))
+    spd = speed()
     turn = F.abs(F.pmod(c("dh") + F.pi(), F.pi() * 2) - F.pi())
     rows = rows.withColumns({
         "jump": jump, "turn": turn,
-        "v_err": F.when(speed > 0.5, F.abs(fd - speed) / F.greatest(speed, F.lit(1.0))),
+        "v_err": F.when(spd > 0.5, F.abs(fd - spd) / F.greatest(spd, F.lit(1.0))),
         "a_err": F.abs(c("dspd") / c("dt") - c("derived_accel_mps2")) / F.greatest(F.abs("derived_accel_mps2"), F.lit(0.5))})
     top = lambda x, n: F.round(F.coalesce(F.max(x), F.lit(0.0)), 4).alias(n)
     span = lambda x: F.coalesce(F.max(x) - F.min(x), F.lit(0.0))
@@ -125,7 +126,7 @@ def motion_continuity(states: DataFrame, points: DataFrame) -> DataFrame:
     tracks = (states.filter(flag(c("valid"))).withColumn("gap", c("time_index") - F.lag("time_index").over(track))
               .groupBy("scenario_id", "track_id").agg(flag(F.max("gap") > 5).alias("fragmented"))
               .groupBy("scenario_id").agg(F.count("*").alias("n_tracks"), F.count_if("fragmented").alias("n_fragmented")))
-    out = states.select("scenario_id").distinct().join(per, "scenario_id", "left").join(tracks, "scenario_id", "left")
+    out = presence.select("scenario_id").distinct().join(per, "scenario_id", "left").join(tracks, "scenario_id", "left")
     out = out.withColumn("fragmentation_ratio", F.round(F.coalesce(c("n_fragmented") / F.greatest(c("n_tracks"), F.lit(1)), F.lit(0.0)), 4))
     below = lambda x, t: F.coalesce(c(x) < t, F.lit(True))
     return out.withColumns({

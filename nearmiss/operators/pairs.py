@@ -4,99 +4,112 @@ from pyspark.sql import Column, DataFrame, functions as F
 from nearmiss.constants import (CENSORED, ELIGIBLE_TYPES, FUTURE_CONTACT, INVALID_TARGET,
                                 METHOD_BOX, OVERLAP, RADIUS_M, T_MAX_S)
 from nearmiss.functions import geometry as G
-from nearmiss.functions.columns import all_salts, finite, flag, salt_of
+from nearmiss.functions.columns import all_salts, flag, salt_of
 
 FRAME = ["scenario_id", "time_index"]
 # Ego side copies per frame: a frame with very many actors is joined in this many pieces.
 SALT = 8
 
+IS_EGO = "coalesce(is_sdc, false)"
+FULL_STATE = " AND ".join(["coalesce(valid, false)", *[f"coalesce(abs({c}) < double('Infinity'), false)" for c in G.STATE],
+                           "length > 0", "width > 0"])
+
 
 def full_state() -> Column:
     """Valid flag set, every kinematic value finite, box of positive size."""
-    ok = flag(F.col("valid"))
-    for c in G.STATE:
-        ok = ok & finite(F.col(c))
-    return ok & (F.col("length") > 0) & (F.col("width") > 0)
+    return F.expr(FULL_STATE)
 
 
 def eligible_type() -> Column:
     return F.col("object_type").isin(*ELIGIBLE_TYPES)
 
 
-def salted_join(ego: DataFrame, rows: DataFrame, keys: list, salt_on: list, how="inner", buckets=SALT) -> DataFrame:
+def salted_join(small: DataFrame, rows: DataFrame, keys: list, salt_on: list, how="inner", buckets=SALT) -> DataFrame:
     """Equi join of a one-row-per-key side with a many-row side whose keys may be hot.
 
     The many side is cut by a hash of `salt_on`; the small side is repeated once
     per cut, so no key is handled by a single task.
     """
-    left = ego.withColumn("salt", all_salts(buckets))
+    left = small.withColumn("salt", all_salts(buckets))
     right = rows.withColumn("salt", salt_of(*[F.col(c) for c in salt_on], buckets=buckets))
     return left.join(right, [*keys, "salt"], how).drop("salt")
 
 
-def ego_states(states: DataFrame, extra=()) -> DataFrame:
-    return (states.filter(flag(F.col("is_sdc")) & full_state())
-            .select(*FRAME, F.col("track_id").alias("ego_track_id"), *G.prefixed(states, "e_", extra)))
+def frame_presence(states: DataFrame) -> DataFrame:
+    """One row per frame that has any row: presence flags and the ego's own state.
+
+    The only full pass over the actor table besides the pair join; reduced
+    before the shuffle. Ego values (e_*) are those of a flagged-valid ego row.
+    """
+    ego = lambda c: f"max(CASE WHEN {IS_EGO} AND coalesce(valid, false) THEN {c} END) AS e_{c}"
+    return states.groupBy(*FRAME).agg(*[F.expr(x) for x in (
+        "count(*) > 0 AS any_row", "max(coalesce(valid, false)) AS any_valid",
+        f"max({IS_EGO}) AS ego_row", f"max({IS_EGO} AND coalesce(valid, false)) AS ego_flagged", f"max({IS_EGO} AND {FULL_STATE}) AS ego_ok",
+        f"max(CASE WHEN {IS_EGO} THEN track_id END) AS ego_track_id", "min(timestamp_seconds) AS clock_s", *[ego(c) for c in G.STATE])])
+
+
+def ego_states(presence: DataFrame) -> DataFrame:
+    """Usable ego states, one per frame."""
+    return presence.filter("ego_ok").select(*FRAME, "ego_track_id", *[f"e_{c}" for c in G.STATE])
 
 
-def ego_target_pairs(states: DataFrame, *, radius_m: float = RADIUS_M, any_type: bool = False,
+def ego_track(presence: DataFrame) -> DataFrame:
+    """The ego's rows in the layout of the actor table."""
+    return presence.filter("ego_row").select(
+        *FRAME, F.col("ego_track_id").alias("track_id"), F.col("clock_s").alias("timestamp_seconds"),
+        F.lit(True).alias("is_sdc"), F.col("ego_flagged").alias("valid"), *[F.col(f"e_{c}").alias(c) for c in G.STATE])
+
+
+def ego_target_pairs(states: DataFrame, presence: DataFrame | None = None, *, radius_m: float = RADIUS_M,
                      valid_targets_only: bool = True, salt: int = SALT) -> DataFrame:
-    """Every other actor within `radius_m` of a usable ego state, same scenario and frame.
+    """Every other vehicle, pedestrian or cyclist within `radius_m` of a usable ego state of its frame.
 
     With valid_targets_only=False, actors flagged valid but with unusable
     numerics stay as rows with pair_valid = false.
     """
+    presence = frame_presence(states) if presence is None else presence
     keep = full_state() if valid_targets_only else flag(F.col("valid"))
-    targets = states.filter(~flag(F.col("is_sdc")) & keep & (F.lit(True) if any_type else eligible_type()))
-    targets = targets.select(*FRAME, F.col("track_id").alias("target_track_id"),
-                             F.col("object_type").alias("target_object_type"),
-                             full_state().alias("pair_valid"), *G.prefixed(states, "t_"))
-    pairs = salted_join(ego_states(states), targets, FRAME, ["target_track_id"], buckets=salt)
-    return (G.with_relative_state(pairs)
-            .withColumn("pair_distance_m", G.distance())
-            .filter(F.col("pair_distance_m") <= radius_m))
+    targets = states.filter(~flag(F.col("is_sdc")) & keep & eligible_type())
+    targets = targets.select(*FRAME, F.col("track_id").alias("target_track_id"), F.col("object_type").alias("target_object_type"),
+                             full_state().alias("pair_valid"), *G.prefixed("t_"))
+    pairs = G.with_relative_state(salted_join(ego_states(presence), targets, FRAME, ["target_track_id"], buckets=salt))
+    return pairs.filter(F.col("pair_distance_m") <= radius_m)
 
 
-def pair_metrics(states: DataFrame, *, clearance: bool = True, t_max: float = T_MAX_S, **join) -> DataFrame:
+def pair_metrics(states: DataFrame, presence: DataFrame | None = None, *, clearance: bool = True, t_max: float = T_MAX_S, **join) -> DataFrame:
     """Box time-to-contact, closing speed and (optionally) boundary clearance for every pair."""
-    pairs = ego_target_pairs(states, **join)
-    pairs = G.with_swept_contact(G.with_box_axes(pairs), t_max)
+    pairs = G.with_swept_contact(G.with_box_axes(ego_target_pairs(states, presence, **join)), t_max)
     ok = F.col("pair_valid")
     cols = {
-        "closing_speed_mps": F.when(ok, G.closing_speed(F.col("pair_distance_m"))),
-        "obb_ttc_s": F.when(ok, F.col("ttc_s")).otherwise(F.lit(float(t_max))),
-        "obb_hit_future": ok & F.col("hit_future"),
-        "obb_overlap_now": ok & F.col("overlap_now"),
-        "obb_status": F.when(~ok, INVALID_TARGET).when(F.col("overlap_now"), OVERLAP)
-                       .when(F.col("hit_future"), FUTURE_CONTACT).otherwise(CENSORED),
+        "closing_speed_mps": F.when(ok, G.closing_speed()),
+        "obb_ttc_s": F.expr(f"CASE WHEN pair_valid THEN ttc_s ELSE {float(t_max)!r}D END"),
+        "obb_hit_future": F.expr("pair_valid AND hit_future"),
+        "obb_overlap_now": F.expr("pair_valid AND overlap_now"),
+        "obb_status": F.expr(f"CASE WHEN NOT pair_valid THEN '{INVALID_TARGET}' WHEN overlap_now THEN '{OVERLAP}' "
+                             f"WHEN hit_future THEN '{FUTURE_CONTACT}' ELSE '{CENSORED}' END"),
         "ttc_method": F.lit(METHOD_BOX),
         "ttc_horizon_s": F.lit(float(t_max)),
     }
     if clearance:
         cols["clearance_m"] = F.when(ok, G.box_clearance())
-    return (pairs.withColumns(cols)
-            .drop(*G.BOX_TEMP, "ttc_s", "contact_exit_s", "overlap_now", "hit_future"))
+    return pairs.withColumns(cols).drop(*G.BOX_TEMP, "ttc_s", "contact_exit_s", "overlap_now", "hit_future")
 
 
-def circle_pair_metrics(states: DataFrame, *, radius_m: float = RADIUS_M, t_max: float = T_MAX_S,
-                        salt: int = SALT) -> DataFrame:
+def circle_pair_metrics(states: DataFrame, *, radius_m: float = RADIUS_M, t_max: float = T_MAX_S, salt: int = SALT) -> DataFrame:
     """Circle time-to-contact per pair. Missing velocities count as standing still here."""
-    still = {v: F.coalesce(F.when(finite(F.col(v)), F.col(v)), F.lit(0.0)) for v in ("velocity_x", "velocity_y")}
-    placed = flag(F.col("valid")) & finite(F.col("center_x")) & finite(F.col("center_y"))
-    sized = flag((F.col("length") > 0) & (F.col("width") > 0))
-    base = states.filter(placed & sized).withColumns(still)
-    ego = (base.filter(flag(F.col("is_sdc")))
-           .select(*FRAME, F.col("track_id").alias("ego_track_id"), *G.prefixed(base, "e_")))
-    targets = (base.filter(~flag(F.col("is_sdc")) & eligible_type())
+    still = {v: F.expr(f"CASE WHEN abs({v}) < double('Infinity') THEN {v} ELSE 0D END") for v in ("velocity_x", "velocity_y")}
+    base = states.filter("coalesce(valid, false) AND abs(center_x) < double('Infinity') AND abs(center_y) < double('Infinity') "
+                         "AND length > 0 AND width > 0").withColumns(still)
+    ego = base.filter(IS_EGO).select(*FRAME, F.col("track_id").alias("ego_track_id"), *G.prefixed("e_"))
+    targets = (base.filter(F.expr(f"NOT {IS_EGO}") & eligible_type())
                .select(*FRAME, F.col("track_id").alias("target_track_id"),
-                       F.col("object_type").alias("target_object_type"), *G.prefixed(base, "t_")))
+                       F.col("object_type").alias("target_object_type"), *G.prefixed("t_")))
     pairs = G.with_relative_state(salted_join(ego, targets, FRAME, ["target_track_id"], buckets=salt))
-    pairs = pairs.withColumn("pair_distance_m", G.distance()).filter(F.col("pair_distance_m") <= radius_m)
-    pairs = G.with_circle_contact(pairs, t_max)
+    pairs = G.with_circle_contact(pairs.filter(F.col("pair_distance_m") <= radius_m), t_max)
     return pairs.select(
         *FRAME, "ego_track_id", "target_track_id", "target_object_type", "pair_distance_m",
         F.col("circle_ttc_s").alias("derived_ttc_2d_s"), F.col("circle_dtc_m").alias("derived_dtc_m"),
-        G.closing_speed(F.col("pair_distance_m")).alias("derived_closing_speed_mps"),
+        G.closing_speed().alias("derived_closing_speed_mps"),
         F.col("circle_overlap_now").alias("derived_overlap_now"),
         F.col("circle_hit_future").alias("derived_hit_future"),
         F.lit(True).alias("derived_pair_valid"),
@@ -105,8 +118,7 @@ def circle_pair_metrics(states: DataFrame, *, radius_m: float = RADIUS_M, t_max:
 
 def circle_vs_box(states: DataFrame, **join) -> DataFrame:
     """Both methods on one pair row, for the containment audit."""
-    pairs = G.with_swept_contact(G.with_box_axes(ego_target_pairs(states, **join)))
-    pairs = G.with_circle_contact(pairs)
+    pairs = G.with_circle_contact(G.with_swept_contact(G.with_box_axes(ego_target_pairs(states, **join))))
     return pairs.select(*FRAME, "ego_track_id", "target_track_id", "target_object_type",
                         "circle_ttc_s", F.col("ttc_s").alias("obb_ttc_s"),
                         "circle_overlap_now", F.col("overlap_now").alias("obb_overlap_now"),
@@ -124,10 +136,17 @@ def containment_audit(both: DataFrame) -> DataFrame:
 
 
 def pair_key(pairs: DataFrame) -> DataFrame:
-    """String key of a pair row plus a digest of the ego and target state it was computed from."""
-    digest = lambda cols: F.sha2(F.concat_ws("|", *[F.coalesce(F.bround(F.col(c), 3).cast("decimal(20,3)").cast("string"), F.lit("")) for c in cols]), 256)
-    kinematic = [p + c for p in ("e_", "t_") for c in G.STATE[:5]]
-    box = [p + c for p in ("e_", "t_") for c in G.STATE[5:]]
+    """String key of a pair row plus digests of the ego and target state it was computed from."""
+    text = lambda c: F.coalesce(F.bround(F.col(c), 3).cast("decimal(20,3)").cast("string"), F.lit(""))
+    digest = lambda cols: F.sha2(F.concat_ws("|", *[text(c) for c in cols]), 256)
     return pairs.withColumns({
         "target_pair_key": F.concat_ws("_", "scenario_id", "time_index", "ego_track_id", "target_track_id"),
-        "state_hash": digest(kinematic), "dimension_hash": digest(box)})
+        "state_hash": digest([p + c for p in ("e_", "t_") for c in G.STATE[:5]]),
+        "dimension_hash": digest([p + c for p in ("e_", "t_") for c in G.STATE[5:]])})
+
+
+def pair_key_audit(pairs: DataFrame) -> DataFrame:
+    """Row, distinct-key and distinct-state counts; keys must be unique."""
+    per_key = pair_key(pairs).groupBy("target_pair_key").agg(F.count("*").alias("n"), F.count_if(F.length("state_hash") == 64).alias("h"))
+    return per_key.agg(F.sum("n").alias("n_pairs"), F.count("*").alias("distinct_keys"), F.count_if(F.col("n") > 1).alias("duplicate_keys"),
+                       F.sum("h").alias("hashed_rows"))

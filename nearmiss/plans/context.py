@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 from nearmiss.constants import E_DYNAMIC, E_HIST, E_STATIC, P_CLEAN
 from nearmiss.operators import features as X, kinematics as K, mapjoin as MJ
 from nearmiss.plans.catalog import query, rounded
+from nearmiss.operators.frames import scene_criticality
+from nearmiss.operators.pairs import frame_presence
 from nearmiss.plans.core import frames_of
+from nearmiss.session import durable
 from nearmiss.sources.fixture import map_points, signals, states
 
 
@@ -22,7 +25,7 @@ def path_length(spark, sf_dir):
 
 @query
 def nearest_map_point(spark, sf_dir):
-    return rounded(MJ.nearest_distance(X.ego_positions(states(spark, sf_dir)), map_points(spark, sf_dir)))
+    return rounded(MJ.nearest_distance(X.ego_positions(frame_presence(states(spark, sf_dir))), map_points(spark, sf_dir)))
 
 
 @query
@@ -32,41 +35,43 @@ def lane_heading(spark, sf_dir):
 
 @query
 def lane_points_in_radius(spark, sf_dir):
-    return rounded(MJ.lane_context(X.ego_positions(states(spark, sf_dir)), map_points(spark, sf_dir)))
+    return rounded(MJ.lane_context(X.ego_positions(frame_presence(states(spark, sf_dir))), map_points(spark, sf_dir)))
 
 
 @query
 def signals_in_radius(spark, sf_dir):
-    return rounded(MJ.signal_context(X.ego_positions(states(spark, sf_dir)), signals(spark, sf_dir)))
+    return rounded(MJ.signal_context(X.ego_positions(frame_presence(states(spark, sf_dir))), signals(spark, sf_dir)))
 
 
 def _context(spark, sf_dir):
     s = states(spark, sf_dir)
-    f = frames_of(spark, sf_dir)
-    return s, f, X.actor_context(X.past_actor_pairs(s, X.focal_of(f)))
+    presence = durable(frame_presence(s))
+    frames = durable(scene_criticality(s, presence))
+    return s, presence, frames, durable(X.actor_context(X.past_actor_pairs(s, presence, X.focal_of(frames))))
 
 
 @query
 def p_clean_features(spark, sf_dir):
-    s, f, ctx = _context(spark, sf_dir)
-    return rounded(X.physics_controls(f, s, ctx))
+    _, presence, frames, ctx = _context(spark, sf_dir)
+    return rounded(X.physics_controls(frames, presence, ctx))
 
 
 @query
 def e_static_features(spark, sf_dir):
-    return rounded(X.static_context(states(spark, sf_dir), map_points(spark, sf_dir), signals(spark, sf_dir)))
+    presence = durable(frame_presence(states(spark, sf_dir)))
+    return rounded(X.static_context(presence, map_points(spark, sf_dir), signals(spark, sf_dir)))
 
 
 @query
 def e_dynamic_features(spark, sf_dir):
-    s, _, ctx = _context(spark, sf_dir)
-    return rounded(X.dynamic_context(s, ctx))
+    _, presence, _, ctx = _context(spark, sf_dir)
+    return rounded(X.dynamic_context(presence, ctx))
 
 
 @query
 def e_hist_features(spark, sf_dir):
-    s, f, ctx = _context(spark, sf_dir)
-    return rounded(X.history_context(f, s, ctx))
+    s, presence, frames, ctx = _context(spark, sf_dir)
+    return rounded(X.history_context(frames, s, presence, ctx))
 
 
 @query
@@ -75,7 +80,7 @@ def composition_turnover(spark, sf_dir):
 
 
 def feature_table(spark, sf_dir):
-    return X.frame_feature_table(states(spark, sf_dir), map_points(spark, sf_dir), signals(spark, sf_dir), frames_of(spark, sf_dir))
+    return X.frame_feature_table(states(spark, sf_dir), map_points(spark, sf_dir), signals(spark, sf_dir))
 
 
 @query

@@ -74,3 +74,8 @@ def critical_episodes(spark, sf_dir):
 @query
 def recovery_time(spark, sf_dir):
     return rounded(PR.recovery_time(frames_of(spark, sf_dir)))
+
+
+@query
+def pair_key_audit(spark, sf_dir):
+    return rounded(P.pair_key_audit(P.ego_target_pairs(states(spark, sf_dir))))

@@ -1,12 +1,12 @@
 """Catalog: flattening, audits, splits and indicators."""
 from pyspark.sql import functions as F
 
-from nearmiss.constants import E_DYNAMIC, E_STATIC, P_CLEAN
 from nearmiss.operators import frames as FR, kpi as KP, quality as Q, splits as SP
 from nearmiss.operators.kinematics import kinematics
+from nearmiss.operators.pairs import frame_presence
 from nearmiss.plans.catalog import query, rounded
-from nearmiss.plans.context import feature_table
 from nearmiss.plans.core import frames_of, profile_of
+from nearmiss.session import durable
 from nearmiss.sources import records as R
 from nearmiss.sources.fixture import map_points, records, signals, states
 
@@ -208,7 +208,9 @@ def kpi_coverage(spark, sf_dir):
 
 @query
 def response_kpis(spark, sf_dir):
-    return rounded(KP.response_kpis(states(spark, sf_dir), frames_of(spark, sf_dir)), 5)
+    s = states(spark, sf_dir)
+    presence = durable(frame_presence(s))
+    return rounded(KP.response_kpis(presence, FR.scene_criticality(s, presence)), 5)
 
 
 @query

