@@ -105,3 +105,41 @@ E_HIST = [
     "e_hist__closing_pressure_sum_slope_1s",
     "e_hist__actor_composition_turnover_1s",
 ]
+
+# Feature groups of the nested models.
+E_COMPOSITION = E_DYNAMIC[:6]
+E_INTERACTION = E_DYNAMIC[6:12]
+E_STATIC_MODEL = [E_STATIC[0], E_STATIC[1], E_STATIC[2], E_STATIC[3], E_STATIC[5]]
+E_EXCLUDED = [E_STATIC[4], E_STATIC[6], E_DYNAMIC[12]]
+E_ALL = E_STATIC_MODEL + E_COMPOSITION + E_INTERACTION
+NESTED_MODELS = {
+    "M_P": P_CLEAN,
+    "M_E": E_ALL,
+    "M_P_Eall": P_CLEAN + E_ALL,
+    "M_P_Estatic": P_CLEAN + E_STATIC_MODEL,
+    "M_P_Ecomp": P_CLEAN + E_COMPOSITION,
+    "M_P_Einteract": P_CLEAN + E_INTERACTION,
+    "M_P_Eall_Ehist": P_CLEAN + E_ALL + E_HIST,
+}
+CONTRASTS = {
+    "M_P_Eall_minus_M_P": ("M_P_Eall", "M_P"),
+    "M_P_Einteract_minus_M_P": ("M_P_Einteract", "M_P"),
+    "M_P_Estatic_minus_M_P": ("M_P_Estatic", "M_P"),
+    "M_P_Ecomp_minus_M_P": ("M_P_Ecomp", "M_P"),
+    "M_P_Eall_Ehist_minus_M_P_Eall": ("M_P_Eall_Ehist", "M_P_Eall"),
+}
+R2_STATE = ["ego_speed_mps", "ego_accel_mps2", "ego_yaw_rate_rps", "n_eligible_pairs", "min_pair_distance_m", "max_closing_speed_mps"]
+R2_CONTEXT = ["traffic_n_valid_agents"]
+R2_MODELS = {"M0": [], "M1": R2_STATE, "M2": R2_CONTEXT, "M3": R2_STATE + R2_CONTEXT}
+TAU_LEVELS = (1.0, 2.0, 3.0, 5.0, 7.0, 10.0)
+QUANTILE_LEVELS = (0.05, 0.10, 0.25, 0.50)
+
+# Model-table features.
+C_ODD = [
+    "odd_n_map_features", "odd_n_lanes", "odd_n_road_lines", "odd_n_road_edges", "odd_n_crosswalks", "odd_n_stop_signs",
+    "odd_n_speed_bumps", "odd_n_driveways", "odd_n_valid_agents", "odd_n_vehicles", "odd_n_pedestrians", "odd_n_cyclists",
+    "odd_has_signal", "odd_n_active_signals", "odd_signal_go_ratio", "odd_signal_stop_ratio",
+]
+Z_STATE = ["ego_speed_mps", "ego_speed_ratio"]
+MODEL_FEATURES = C_ODD + Z_STATE
+DEFAULT_SPEED_LIMIT_MPS = 13.4

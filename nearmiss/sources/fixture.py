@@ -82,8 +82,8 @@ SELECT CAST(l_suppkey AS STRING) AS scenario_id, CAST(l_orderkey % 91 AS INT) AS
        CAST(l_orderkey % 91 AS DOUBLE) / CAST(10 AS DOUBLE) AS timestamp_seconds,
        MAX(l_discount) * CAST(10 AS DOUBLE) AS pred_p_exposure,
        MIN(l_quantity) / CAST(25 AS DOUBLE) AS pred_mu,
-       CAST(0.3 AS DOUBLE) + MIN(l_tax) * CAST(5 AS DOUBLE) AS pred_sigma,
-       LN(CAST(0.05 AS DOUBLE) + MIN(l_extendedprice % CAST(9 AS DOUBLE))) AS y_log_ttc,
+       CAST(0.7 AS DOUBLE) + MIN(l_tax) * CAST(5 AS DOUBLE) AS pred_sigma,
+       LN(CAST(0.5 AS DOUBLE) + MIN(l_extendedprice % CAST(9 AS DOUBLE))) AS y_log_ttc,
        CASE WHEN MIN(l_discount) < CAST(0.075 AS DOUBLE) THEN 1 ELSE 0 END AS exposure_flag,
        CASE WHEN MIN(l_discount) >= CAST(0.075 AS DOUBLE) THEN 'no_exposure'
             WHEN MIN(l_quantity) < 20 THEN 'event' ELSE 'right_censored' END AS target_status
