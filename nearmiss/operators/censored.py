@@ -69,7 +69,7 @@ class CensoredLogNormal:
         return asdict(self)
 
 
-def model_rows(df: DataFrame, features: list, *, ttc: str = "ttc_obb_swept_s", censored: str = "right_censored", censor_time: str | None = "censor_time_s") -> DataFrame:
+def model_rows(df: DataFrame, *, ttc: str = "ttc_obb_swept_s", censored: str = "right_censored", censor_time: str | None = "censor_time_s") -> DataFrame:
     """y_log, censor_log, censored next to the features."""
     limit = log_ttc(F.coalesce(F.col(censor_time), F.lit(T_MAX_S))) if censor_time else F.lit(math.log(T_MAX_S))
     return df.withColumns({"y_log": log_ttc(F.col(ttc)), "censor_log": limit, "censored": F.col(censored)})

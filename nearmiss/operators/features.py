@@ -73,14 +73,15 @@ def actor_context(past: DataFrame) -> DataFrame:
         F.max(here(c("pressure"))).alias("p_now"), F.max(F.when(c("u") == first_u, c("pressure"))).alias("p_first"))
 
 
-def composition_changes(states: DataFrame) -> DataFrame:
-    """Frames at which the set of non-ego actors differs from the frame before.
+def composition_changes(states: DataFrame, *, include_ego: bool = False) -> DataFrame:
+    """Frames at which the set of (non-ego) actors differs from the frame before.
 
     A set changed if some actor appears or has disappeared, so only each
     actor's own neighbouring rows are compared and no set is gathered.
     """
     track = W.partitionBy("scenario_id", "track_id").orderBy("time_index")
-    rows = states.filter(~flag(F.col("is_sdc"))).select("scenario_id", "track_id", "time_index").distinct()
+    kept = states if include_ego else states.filter(~flag(F.col("is_sdc")))
+    rows = kept.select("scenario_id", "track_id", "time_index").distinct()
     t = F.col("time_index")
     rows = rows.withColumns({
         "came": F.when((t > 0) & F.coalesce(F.lag(t).over(track) != t - 1, F.lit(True)), t),
