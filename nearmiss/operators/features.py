@@ -8,7 +8,7 @@ from nearmiss.operators.kinematics import kinematics
 from nearmiss.operators.frames import frame_labels, scene_criticality
 from nearmiss.operators.mapjoin import dispersion, lane_context, nearest_distance, signal_context
 from nearmiss.operators.pairs import FRAME, SALT, ego_states, ego_track, frame_presence, full_state
-from nearmiss.operators.profile import ORDERED
+from nearmiss.operators.profile import ordered
 from nearmiss.session import durable
 
 
@@ -97,14 +97,14 @@ def history_slope(last: Column, first: Column, steps: Column) -> Column:
 
 def actor_history(frames: DataFrame, states: DataFrame) -> DataFrame:
     """Rolling actor counts and composition turnover over the frame and the ten before it."""
-    w = ORDERED.rowsBetween(-HISTORY_FRAMES, 0)
+    w = ordered().rowsBetween(-HISTORY_FRAMES, 0)
     n = F.col("n_valid_targets_70m").cast("double")
     rows = frames.select(*FRAME, "n_valid_targets_70m").join(composition_changes(states), FRAME, "left")
     steps = F.least(F.col("time_index"), F.lit(HISTORY_FRAMES))
     return rows.select(
         *FRAME, F.avg(n).over(w).alias("n_mean"), F.stddev_pop(n).over(w).alias("n_std"),
         history_slope(n, F.first(n).over(w), steps).alias("n_slope"),
-        F.coalesce(F.sum("changed").over(ORDERED.rowsBetween(1 - HISTORY_FRAMES, 0)), F.lit(0)).cast("double").alias("turnover"))
+        F.coalesce(F.sum("changed").over(ordered().rowsBetween(1 - HISTORY_FRAMES, 0)), F.lit(0)).cast("double").alias("turnover"))
 
 
 def _entropy(counts: list, total: Column) -> Column:

@@ -3,13 +3,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from nearmiss.functions.columns import finite, flag, wrap_angle
 
-TRACK = W.partitionBy("scenario_id", "track_id").orderBy("time_index")
+
+def track():
+    return W.partitionBy("scenario_id", "track_id").orderBy("time_index")
 
 
 def kinematics(states: DataFrame) -> DataFrame:
     """Speed, acceleration, yaw rate and jerk from consecutive valid rows of a track."""
     c = F.col
-    before = lambda name: F.lag(name).over(TRACK)
+    before = lambda name: F.lag(name).over(track())
     moving = flag(c("valid")) & finite(c("velocity_x")) & finite(c("velocity_y"))
     df = states.withColumn("usable", moving).withColumn(
         "derived_speed_mps",
@@ -30,8 +32,8 @@ def kinematics(states: DataFrame) -> DataFrame:
 def path_length(states: DataFrame) -> DataFrame:
     """Cumulative path length of each track over its valid rows."""
     rows = states.filter(flag(F.col("valid")))
-    dx = F.col("center_x") - F.lag("center_x").over(TRACK)
-    dy = F.col("center_y") - F.lag("center_y").over(TRACK)
+    dx = F.col("center_x") - F.lag("center_x").over(track())
+    dy = F.col("center_y") - F.lag("center_y").over(track())
     step = F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
     return (rows.withColumn("step_m", step)
-            .withColumn("path_m", F.sum("step_m").over(TRACK.rowsBetween(W.unboundedPreceding, 0))))
+            .withColumn("path_m", F.sum("step_m").over(track().rowsBetween(W.unboundedPreceding, 0))))

@@ -9,7 +9,7 @@ from nearmiss.operators.features import composition_changes, ego_motion
 from nearmiss.operators.kinematics import kinematics
 from nearmiss.operators.mapjoin import dispersion
 from nearmiss.operators.pairs import FRAME, ego_states, frame_presence, full_state, pair_metrics, salted_join
-from nearmiss.operators.profile import ORDERED
+from nearmiss.operators.profile import ordered
 from nearmiss.session import durable
 
 # Feature names.
@@ -40,7 +40,7 @@ ENV_HIST_7 = ["e_hist__n_actors_70m_mean_1s", "e_hist__n_actors_70m_std_1s", "e_
 def prospective_outcome(frames: DataFrame, *, index: int = CURRENT_INDEX, horizon: int = HORIZON_FRAMES, tau: float = TAU_CRITICAL_S) -> DataFrame:
     """At the current frame: onset within 1 s and 2 s, future peak severity and its change."""
     c = F.col
-    ahead = lambda n: ORDERED.rowsBetween(1, n)
+    ahead = lambda n: ordered().rowsBetween(1, n)
     rows = frames.withColumns({"ttc_1s": F.min("scene_ttc_min_s").over(ahead(horizon // 2)), "ttc_2s": F.min("scene_ttc_min_s").over(ahead(horizon)),
                                "peak_2s": F.coalesce(F.max("severity_c_t").over(ahead(horizon)), F.lit(0.0))})
     rows = rows.filter((c("time_index") == index) & ~c("status").isin(INVALID_FRAME, INVALID_EGO))
@@ -206,7 +206,7 @@ def landmark_features(states: DataFrame, frames: DataFrame, *, index: int = CURR
     df = (now.join(ego, FRAME).join(dom, FRAME, "left").join(_totals(rows), FRAME, "left")
           .na.fill(0, ["n", "n30", "n50", "veh", "ped", "cyc", "n_closing"]).na.fill(0.0, ["s1", "s2", "sc", "ss", "press"]))
     df = df.withColumns({f"x_{k}": v.cast("double") for k, v in _without("one").items()})
-    w = ORDERED.rowsBetween(-index, 0)
+    w = ordered().rowsBetween(-index, 0)
     n = c("n_valid_targets_70m").cast("double")
     moving = flag(c("valid")) & ~flag(c("is_sdc"))
     spd = past.filter(moving).groupBy(*FRAME).agg(F.avg(G.speed()).alias("frame_speed"))

@@ -9,25 +9,32 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from nearmiss.constants import DT_S, INVALID_EGO, INVALID_FRAME
 from nearmiss.functions.columns import clip, flag
 
-SCENARIO = W.partitionBy("scenario_id")
-ORDERED = SCENARIO.orderBy("time_index")
-SO_FAR = ORDERED.rowsBetween(W.unboundedPreceding, 0)
+def scenario():
+    return W.partitionBy("scenario_id")
+
+
+def ordered():
+    return scenario().orderBy("time_index")
+
+
+def so_far():
+    return ordered().rowsBetween(W.unboundedPreceding, 0)
 
 
 def frame_duration() -> Column:
     """Time to the next frame, clipped to [0.01, 0.5]; the last frame counts 0.1 s."""
-    return F.coalesce(clip(F.lead("timestamp_s").over(ORDERED) - F.col("timestamp_s"), 0.01, 0.5), F.lit(DT_S))
+    return F.coalesce(clip(F.lead("timestamp_s").over(ordered()) - F.col("timestamp_s"), 0.01, 0.5), F.lit(DT_S))
 
 
-def with_runs(df: DataFrame, member: Column, name: str = "run", order=SO_FAR) -> DataFrame:
+def with_runs(df: DataFrame, member: Column, name: str = "run") -> DataFrame:
     """Number the maximal runs of consecutive member rows (non-members get the run before them)."""
-    starts = member & ~F.coalesce(F.lag(member).over(ORDERED), F.lit(False))
-    return df.withColumn(name, F.sum(starts.cast("int")).over(order))
+    starts = member & ~F.coalesce(F.lag(member).over(ordered()), F.lit(False))
+    return df.withColumn(name, F.sum(starts.cast("int")).over(so_far()))
 
 
 def merge_intervals(intervals: DataFrame, *, merge_gap_s: float, min_duration_s: float) -> DataFrame:
     """Join intervals of a scenario that are at most `merge_gap_s` apart; keep long ones."""
-    by_start = SCENARIO.orderBy("start_s")
+    by_start = scenario().orderBy("start_s")
     previous = F.max("end_s").over(by_start.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("start_s") - previous > merge_gap_s).cast("int"), F.lit(1))
     return (intervals.withColumn("fresh", fresh)
@@ -59,13 +66,13 @@ def recovery_time(frames: DataFrame, *, tau: float = 3.0, hold_s: float = 0.5) -
     """From the first severity peak to the first safe streak of `hold_s`, else to the last frame."""
     c = F.col
     first_peak = F.min_by(F.when(c("is_exposed"), c("timestamp_s")),
-                          F.when(c("is_exposed"), F.struct(-c("severity_c_t"), c("time_index")))).over(SCENARIO)
+                          F.when(c("is_exposed"), F.struct(-c("severity_c_t"), c("time_index")))).over(scenario())
     rows = frames.withColumns({
-        "peak_s": first_peak, "last_s": F.max("timestamp_s").over(SCENARIO),
+        "peak_s": first_peak, "last_s": F.max("timestamp_s").over(scenario()),
         "safe": ~flag(c("scene_ttc_min_s") <= tau)})
     rows = rows.filter(c("timestamp_s") >= c("peak_s"))
-    rows = rows.withColumn("rank", F.row_number().over(ORDERED))
-    bad_rank = F.max(F.when(~c("safe"), c("rank"))).over(SO_FAR)
+    rows = rows.withColumn("rank", F.row_number().over(ordered()))
+    bad_rank = F.max(F.when(~c("safe"), c("rank"))).over(so_far())
     rows = rows.withColumn("streak", c("rank") - F.coalesce(bad_rank, F.lit(0)))
     held = c("safe") & (c("streak") >= hold_frames(hold_s))
     return (rows.groupBy("scenario_id")
@@ -79,7 +86,7 @@ def recovery_time(frames: DataFrame, *, tau: float = 3.0, hold_s: float = 0.5) -
 
 def dominant_turnover(frames: DataFrame) -> DataFrame:
     """Changes of the dominant actor over consecutive exposed frames."""
-    before = F.lag("dominant_actor_id").over(ORDERED)
+    before = F.lag("dominant_actor_id").over(ordered())
     return (frames.filter("is_exposed").withColumn("changed", flag(F.col("dominant_actor_id") != before))
             .groupBy("scenario_id").agg(F.count_if("changed").alias("dominant_actor_turnover_count"),
                                         (F.count_if("changed") / F.count("*")).alias("dominant_actor_turnover_rate")))
@@ -88,23 +95,23 @@ def dominant_turnover(frames: DataFrame) -> DataFrame:
 def with_timeline(frames: DataFrame, *, tau: float, merge_gap_s: float, hold_s: float) -> DataFrame:
     """Per-frame marks of the whole profile: duration, episode number, safe hold, change of dominant actor."""
     c = F.col
-    earlier = ORDERED.rowsBetween(W.unboundedPreceding, -1)
+    earlier = ordered().rowsBetween(W.unboundedPreceding, -1)
     critical = flag(c("scene_ttc_min_s") <= tau)
     rows = frames.withColumns({
-        "dt": frame_duration(), "critical": critical, "rank": F.row_number().over(ORDERED),
-        "last_s": F.max("timestamp_s").over(SCENARIO),
+        "dt": frame_duration(), "critical": critical, "rank": F.row_number().over(ordered()),
+        "last_s": F.max("timestamp_s").over(scenario()),
         "peak": F.min_by(F.when(c("is_exposed"), F.struct("timestamp_s", "time_index")),
-                         F.when(c("is_exposed"), F.struct(-c("severity_c_t"), c("time_index")))).over(SCENARIO),
+                         F.when(c("is_exposed"), F.struct(-c("severity_c_t"), c("time_index")))).over(scenario()),
         "changed": flag(c("is_exposed") & (c("dominant_actor_id") != F.last("dominant_actor_id", True).over(earlier)))})
     rows = rows.withColumns({
         "last_critical_s": F.last(F.when(c("critical"), c("timestamp_s")), True).over(earlier),
-        "last_bad": F.max(F.when(c("critical"), c("rank"))).over(SO_FAR),
-        "peak_rank": F.min(F.when(c("time_index") == c("peak.time_index"), c("rank"))).over(SCENARIO)})
+        "last_bad": F.max(F.when(c("critical"), c("rank"))).over(so_far()),
+        "peak_rank": F.min(F.when(c("time_index") == c("peak.time_index"), c("rank"))).over(scenario())})
     # A critical frame opens an episode if the one before ended more than the merge gap ago.
     fresh = c("critical") & F.coalesce(c("timestamp_s") - (c("last_critical_s") + F.lit(DT_S)) > merge_gap_s, F.lit(True))
     streak = c("rank") - F.greatest("last_bad", c("peak_rank") - 1)
     return rows.withColumns({
-        "episode": F.when(c("critical"), F.sum(fresh.cast("int")).over(SO_FAR)),
+        "episode": F.when(c("critical"), F.sum(fresh.cast("int")).over(so_far())),
         "held_s": F.when(~c("critical") & (c("rank") >= c("peak_rank")) & (streak >= hold_frames(hold_s)), c("timestamp_s"))})
 
 

@@ -67,14 +67,18 @@ def verdict(delta: Column, low: Column) -> Column:
 
 
 def paired_delta_interval(scores: DataFrame, y: str, w: Column, contrasts: dict, models: dict, *, n_boot: int, seed: int = 42) -> DataFrame:
-    """Point and bootstrap difference of AP and AUROC per contrast {name: (model_2, model_1)}."""
+    """Point and bootstrap difference of AP and AUROC per contrast {name: (model_2, model_1)}.
+
+    Differences are rounded at 1e-12, so equal predictions differ by exactly 0
+    whatever the order of summation.
+    """
     draws = bootstrap_draws(scores, n_boot=n_boot, seed=seed)
     reps = paired_metric_replicates(scores, draws, y, w, models)
     rows = long_scores(scores.withColumns({"w_": w, "y_": F.col(y)}), ["w_", "y_"], models)
     point = curve_metrics(rows, ["model"], "y_", "p", F.col("w_")).select(F.lit(-1).alias("replicate"), "model", "pr_auc", "auroc")
     both = reps.select(F.col("replicate").cast("int"), "model", "pr_auc", "auroc").unionByName(point)
     pick = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
-    wide = both.groupBy("replicate").agg(*[(pick(b, c) - pick(a, c)).alias(f"{name}|{c}") for name, (b, a) in contrasts.items() for c in ("pr_auc", "auroc")])
+    wide = both.groupBy("replicate").agg(*[F.round(pick(b, c) - pick(a, c), 12).alias(f"{name}|{c}") for name, (b, a) in contrasts.items() for c in ("pr_auc", "auroc")])
     long = wide.select("replicate", F.inline(F.array(*[F.struct(
         F.lit(n).alias("contrast"), F.lit(b).alias("model_2"), F.lit(a).alias("model_1"),
         F.col(f"`{n}|pr_auc`").alias("d_pr"), F.col(f"`{n}|auroc`").alias("d_auc")) for n, (b, a) in contrasts.items()])))

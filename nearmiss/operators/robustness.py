@@ -6,13 +6,10 @@ from nearmiss.operators import ranking as RK, resample as RS
 from nearmiss.operators.diagnostics import COMPONENTS, DEFAULTS, diagnostic_vector, risk_curve
 from nearmiss.session import durable
 
-ORDERED = W.partitionBy("scenario_id").orderBy("time_index")
-
-
 def subsample_hz(df: DataFrame, target_hz: float, original_hz: float = 10.0) -> DataFrame:
     """Every k-th frame of a scenario by position."""
     step = max(1, round(original_hz / target_hz))
-    return df.withColumn("pos", F.row_number().over(ORDERED)).filter((F.col("pos") - 1) % step == 0).drop("pos")
+    return df.withColumn("pos", F.row_number().over(W.partitionBy("scenario_id").orderBy("time_index"))).filter((F.col("pos") - 1) % step == 0).drop("pos")
 
 
 def frame_dropout(df: DataFrame, rate: float, seed: int = 42) -> DataFrame:

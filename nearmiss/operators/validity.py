@@ -69,8 +69,8 @@ def _t_two_sided(rho, n):
     def p_value(r, k):
         if r is None or k is None or k < 3 or r != r:
             return None
-        if abs(r) >= 1.0:
-            return 0.0
+        if abs(r) >= 1.0 or r == 0.0:
+            return float(r == 0.0)
         df = k - 2.0
         x = df / (df + r * r * df / (1.0 - r * r))
         a, b = df / 2.0, 0.5

@@ -79,7 +79,7 @@ def weighted_spearman(spark, sf_dir):
 
 def per_scenario(spark, sf_dir):
     return scores(spark, sf_dir).groupBy("scenario_id").agg(
-        F.max("p_base").alias("peak_base"), F.sum("y").alias("hits"), F.avg("gap_m").alias("mean_gap"))
+        F.max("p_base").alias("peak_base"), F.sum("y").alias("hits"), F.round(F.avg("gap_m"), 9).alias("mean_gap"))
 
 
 @query

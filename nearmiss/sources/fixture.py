@@ -72,7 +72,7 @@ SELECT CAST(l_suppkey AS STRING) AS scenario_id, CAST(l_orderkey % 91 AS INT) AS
        CASE WHEN MIN(l_quantity) <= 12 THEN 1 ELSE 0 END AS y,
        FLOOR((CAST(50 AS DOUBLE) - MIN(l_quantity) + MIN(l_extendedprice % CAST(60 AS DOUBLE))) / CAST(1.1 AS DOUBLE)) / CAST(100 AS DOUBLE) AS p_base,
        FLOOR((CAST(50 AS DOUBLE) - MIN(l_quantity) + MIN(l_extendedprice % CAST(30 AS DOUBLE))) / CAST(0.8 AS DOUBLE)) / CAST(100 AS DOUBLE) AS p_full,
-       COUNT(*) AS n_lines, MIN(l_extendedprice % CAST(70 AS DOUBLE)) AS gap_m
+       COUNT(*) AS n_lines, FLOOR(MIN(l_extendedprice % CAST(70 AS DOUBLE)) * CAST(10 AS DOUBLE)) / CAST(10 AS DOUBLE) AS gap_m
 FROM {lineitem} GROUP BY l_suppkey, l_orderkey % 91
 """
 

@@ -2,7 +2,7 @@
 from nearmiss.constants import C_ODD, MODEL_FEATURES, Z_STATE
 from nearmiss.operators.landmark import CONTEXT_13, ENV_HIST_7, ENV_INST_13, PHYSICS_16, PHYSICS_21
 from oracles import analysis as AN, statistics as ST  # noqa: F401  (define the CTEs used here)
-from oracles.base import _CTES, _pairs, add_cte, query, r6
+from oracles.base import _TYPES, _pairs, add_cte, query, r6
 from oracles.context import KEY
 from oracles.core import SQL as CORE
 from oracles.tables import SPLIT, _hex, _m
@@ -44,8 +44,7 @@ SELECT 'M0' AS model, split, {r6('avg(pow(g - exposure_flag, 2))', 'gate_brier')
 FROM (SELECT *, {AN.phi('((y_log_ttc - u) / s)')} AS p FROM mt, (SELECT avg(exposure_flag) AS g, avg(y_log_ttc) FILTER (WHERE target_status = 'event') AS u,
   stddev_samp(y_log_ttc) FILTER (WHERE target_status = 'event') AS s FROM mt WHERE split = 'train')) WHERE split <> 'internal_holdout' GROUP BY split""", "mt")
 
-add_cte("ft", [], "SELECT 1")
-_CTES["ft"] = (["spine", "pairs_raw"], CORE["frame_targets"].rsplit(")\nSELECT", 1)[0] and "SELECT" + CORE["frame_targets"].rsplit("\n\nSELECT", 1)[1])
+add_cte("ft", ["spine", "pairs_raw"], "SELECT" + CORE["frame_targets"].rsplit("\n\nSELECT", 1)[1])
 add_cte("r2", ["ft", "kin", "pairs", "fctx"], """
 SELECT f.scenario_id, f.time_index, target_status, ttc_obb_swept_s, right_censored, overlap_now_flag, ttc_method, censor_time_s, speed AS ego_speed_mps, accel AS ego_accel_mps2, yaw AS ego_yaw_rate_rps, n_eligible_pairs,
   min_pair_distance_m, max_closing_speed_mps, n_valid_agents AS traffic_n_valid_agents FROM ft f LEFT JOIN kin k ON k.is_sdc AND f.scenario_id = k.scenario_id AND f.time_index = k.time_index
@@ -68,7 +67,7 @@ SELECT *, coalesce(ttc, 10.0) > 3 AS calm FROM (SELECT *, min(ttc) OVER (PARTITI
 _PRO = f"""CAST(calm AND coalesce(t2 <= 3, FALSE) AS BIGINT) AS y_onset_3s_h2s, CAST(calm AND coalesce(t1 <= 3, FALSE) AS BIGINT) AS y_onset_3s_h1s"""
 SQL["prospective_outcome"] = query(f"SELECT {KEY}, status AS current_status, {_PRO}, {r6('pk', 'future_peak_c_h2s')}, {r6('pk - coalesce(sev, 0.0)', 'delta_future_peak_c_h2s')} FROM prosp", "prosp")
 
-add_cte("far_pairs", ["full_state"], _pairs(True, _CTES["pairs"][1] and "AND t.object_type IN ('TYPE_VEHICLE', 'TYPE_PEDESTRIAN', 'TYPE_CYCLIST')").replace("WHERE dist <= 70.0", "WHERE e_idx BETWEEN 10 AND 30").replace("SELECT e.scenario_id, e.time_index, e.track_id AS ego_id", "SELECT e.scenario_id, e.time_index, e.time_index AS e_idx, e.track_id AS ego_id"))
+add_cte("far_pairs", ["full_state"], _pairs(True, _TYPES).replace("WHERE dist <= 70.0", "WHERE e_idx BETWEEN 10 AND 30").replace("SELECT e.scenario_id, e.time_index, e.track_id AS ego_id", "SELECT e.scenario_id, e.time_index, e.time_index AS e_idx, e.track_id AS ego_id"))
 add_cte("follow", ["far_pairs", "full_state"], """
 SELECT l.*, ev.f AS ev_f, ev.ttc AS ev_ttc, ev.o AS ev_o, lost, CASE WHEN l.dist > 70 THEN 'OUT_OF_RADIUS' WHEN l.overlap_now THEN 'INDEX_OVERLAP' WHEN l.ttc <= 3 THEN 'INDEX_ALREADY_CRITICAL' END AS reason
 FROM (SELECT * FROM far_pairs WHERE time_index = 10) l

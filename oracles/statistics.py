@@ -87,7 +87,7 @@ FROM (SELECT * EXCLUDE (w, f), w * f AS w, f FROM (SELECT *, {w} AS w, {f} AS f
 SQL["spearman"] = query(f"SELECT split, {r6('rho')}, n FROM ({spear('split', 'p_base', 'gap_m', 'ws')})", "ws")
 SQL["weighted_spearman"] = query(f"SELECT split, {r6('rho')}, n FROM ({spear('split', 'p_base', 'n_lines', 'ws', w='w0')})", "ws")
 add_cte("per_scen", ["ws"], """
-SELECT scenario_id, split, max(p_base) AS peak_base, CAST(sum(y) AS BIGINT) AS hits, avg(gap_m) AS mean_gap FROM ws GROUP BY 1, 2""")
+SELECT scenario_id, split, max(p_base) AS peak_base, CAST(sum(y) AS BIGINT) AS hits, round(avg(gap_m), 9) AS mean_gap FROM ws GROUP BY 1, 2""")
 SQL["kendall_tau_b"] = query(f"""
 SELECT split, {r6('CASE WHEN (n0 - n1) * (n0 - n2) > 0 THEN s / sqrt((n0 - n1) * (n0 - n2)) END', 'tau')}, n FROM (
 SELECT a.split, sum(sign(a.peak_base - b.peak_base) * sign(a.hits - b.hits)) AS s, count(*) AS n0,
