@@ -59,25 +59,32 @@ BOX_TEMP = ["ec", "es", "tc", "ts", "ehl", "ehw", "thl", "thw", "rc", "rs",
             *[p + str(k) for p in "ovr" for k in range(4)]]
 
 
-def with_swept_contact(df: DataFrame, t_max: float = T_MAX_S) -> DataFrame:
+def with_swept_contact(df: DataFrame, t_max: float = T_MAX_S, *, clearance: bool = False) -> DataFrame:
     """Constant-velocity contact window of two boxes (needs with_box_axes).
 
     Adds ttc_s, contact_exit_s, overlap_now, hit_future: the intersection over
-    the four axes of the times at which the projections touch, within [0, t_max].
-    """
-    def bound(k: int, pick: str, inside: float, never: str) -> str:
-        return (f"CASE WHEN abs(v{k}) < {STATIC_EPS!r}D THEN CASE WHEN abs(o{k}) <= r{k} + {CONTACT_TOL!r}D THEN {inside!r}D "
-                f"ELSE double('{never}') END ELSE {pick}((-r{k} - o{k}) / v{k}, (r{k} - o{k}) / v{k}) END")
+    the four axes of the times at which the projections touch, within
+    [0, t_max]; on request also the boundary distance, box_gap_m.
 
-    df = with_exprs(df, enter_s=f"greatest(0D, {', '.join(bound(k, 'least', 0.0, 'Infinity') for k in range(4))})",
-                    leave_s=f"least({float(t_max)!r}D, {', '.join(bound(k, 'greatest', float(t_max), '-Infinity') for k in range(4))})")
+    The axes are handled by one array function. It keeps this projection out of
+    the fused stage, whose single method would otherwise be too long for the
+    JVM to compile; the projection's own code is split into small methods.
+    """
+    tm, axes = f"{float(t_max)!r}D", ", ".join(f"named_struct('o', o{k}, 'v', v{k}, 'r', r{k})" for k in range(4))
+    window = f"""transform(array({axes}), a -> CASE WHEN abs(a.v) < {STATIC_EPS!r}D
+        THEN CASE WHEN abs(a.o) <= a.r + {CONTACT_TOL!r}D THEN named_struct('i', 0D, 'x', {tm})
+                  ELSE named_struct('i', double('Infinity'), 'x', double('-Infinity')) END
+        ELSE named_struct('i', least((-a.r - a.o) / a.v, (a.r - a.o) / a.v), 'x', greatest((-a.r - a.o) / a.v, (a.r - a.o) / a.v)) END)"""
+    df = with_exprs(df, axis_window=window, **({"box_gap_m": box_clearance()} if clearance else {}))
+    each = lambda f: ", ".join(f"axis_window[{k}].{f}" for k in range(4))
+    df = with_exprs(df, enter_s=f"greatest(0D, {each('i')})", leave_s=f"least({tm}, {each('x')})")
     df = with_exprs(df, hit_future=f"enter_s <= leave_s + {CONTACT_TOL!r}D")
     return with_exprs(df, overlap_now=f"hit_future AND enter_s <= {CONTACT_TOL!r}D",
-                      ttc_s=f"CASE WHEN hit_future THEN enter_s ELSE {float(t_max)!r}D END",
-                      contact_exit_s="CASE WHEN hit_future THEN leave_s END").drop("enter_s", "leave_s")
+                      ttc_s=f"CASE WHEN hit_future THEN enter_s ELSE {tm} END",
+                      contact_exit_s="CASE WHEN hit_future THEN leave_s END").drop("axis_window", "enter_s", "leave_s")
 
 
-def box_clearance() -> Column:
+def box_clearance() -> str:
     """Boundary distance of two boxes (needs with_box_axes).
 
     Disjoint convex boxes are nearest at a corner of one of them, so the
@@ -93,7 +100,7 @@ def box_clearance() -> Column:
 
     gaps = [*corners("-o2", "-o3", "rs", "ehl", "ehw", "thl", "thw"), *corners("o0", "o1", "(-rs)", "thl", "thw", "ehl", "ehw")]
     apart = " OR ".join(f"abs(o{k}) > r{k} + {CONTACT_TOL!r}D" for k in range(4))
-    return F.expr(f"CASE WHEN {apart} THEN sqrt(least({', '.join(gaps)})) ELSE 0D END")
+    return f"CASE WHEN {apart} THEN sqrt(least({', '.join(gaps)})) ELSE 0D END"
 
 
 def with_circle_contact(df: DataFrame, t_max: float = T_MAX_S) -> DataFrame:

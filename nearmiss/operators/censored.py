@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from nearmiss.constants import T_MAX_S, T_MIN_S
 from nearmiss.functions import normal as N
-from nearmiss.operators.linear import gram
+from nearmiss.operators.linear import gram, gram_and_sums
 from nearmiss.session import durable
 
 LOG_SIGMA_BOUNDS = (math.log(0.01), math.log(100.0))
@@ -115,8 +115,7 @@ def _pass(data: DataFrame, features: list, params: np.ndarray, n: int):
     """Mean NLL (without Jacobian and constants), gradient and Hessian at (gamma, theta).
 
     With u = (1, x, -t), t the event or censoring log time, both kinds of rows
-    have gradient g u and curvature k u u'; the Gram matrix of (1, x, t, g)
-    with weight k and a second one with weight 1 hold all sums.
+    have gradient g u and curvature k u u', so one pass returns everything.
     """
     theta = float(params[-1])
     t = F.when(F.col("censored"), F.col("censor_log")).otherwise(F.col("y_log"))
@@ -130,13 +129,8 @@ def _pass(data: DataFrame, features: list, params: np.ndarray, n: int):
                              "k": F.when(F.col("censored"), h * (h - F.col("r"))).otherwise(F.lit(1.0)),
                              "v": F.when(F.col("censored"), -F.col("ls")).otherwise(F.col("r") * F.col("r") * 0.5 - math.log(theta)),
                              "e": (~F.col("censored")).cast("double")})
-    rows = rows.select(*features, "neg_t", "g", "v", "e", "k")
-    size = len(features) + 2
-    first = gram(rows, [*features, "neg_t", "g", "v", "e"])
-    second = gram(rows, [*features, "neg_t"], "k")
-    grad = first[size, :size].copy()
-    n_event, value = first[0, size + 2], first[0, size + 1]
+    hess, grad, (value, n_event) = gram_and_sums(rows, [*features, "neg_t"], "k", by=["g"], sums=["v", "e"])
+    grad = grad[0].copy()
     grad[-1] -= n_event / theta
-    hess = second.copy()
     hess[-1, -1] += n_event / theta ** 2
     return value / n, grad / n, hess / n

@@ -11,27 +11,34 @@ from nearmiss.session import durable
 
 
 def gram(df: DataFrame, columns: list, weight: str | None = None) -> np.ndarray:
-    """Sum of w z z' with z = (1, columns); NULL counts as 0.
+    """Sum of w z z' with z = (1, columns); NULL counts as 0."""
+    return gram_and_sums(df, columns, weight)[0]
 
-    Each task reduces its rows to one matrix, so only (p+1)^2 numbers per task
-    are shuffled and (p+1)^2 reach the driver, whatever the number of rows.
+
+def gram_and_sums(df: DataFrame, columns: list, weight: str | None = None, *, by: list = (), sums: list = ()) -> tuple:
+    """(sum of w z z', sum of `by` z', sum of `sums`) in one pass, with z = (1, columns).
+
+    Each task reduces its rows to these few matrices, so only their elements
+    are shuffled and reach the driver, whatever the number of rows.
     """
-    data = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"z{i}") for i, c in enumerate(columns)],
-                     (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    size = len(columns) + 1
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    data = df.select(*[zero(c).alias(f"z{i}") for i, c in enumerate(columns)], *[zero(c).alias(f"b{i}") for i, c in enumerate(by)],
+                     *[zero(c).alias(f"s{i}") for i, c in enumerate(sums)], (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    size, nb, ns = len(columns) + 1, len(by), len(sums)
 
     def partial(batches):
-        total = np.zeros((size, size))
+        total = np.zeros(size * size + nb * size + ns)
         for pdf in batches:
-            z = np.column_stack([np.ones(len(pdf)), pdf.drop(columns="w").to_numpy(float)])
-            total += (z * pdf["w"].to_numpy(float)[:, None]).T @ z
-        yield pd.DataFrame({"pos": np.arange(size * size), "value": total.ravel()})
+            m = pdf.to_numpy(float)
+            z = np.column_stack([np.ones(len(m)), m[:, :size - 1]])
+            total += np.concatenate([((z * m[:, -1:]).T @ z).ravel(), (m[:, size - 1:size - 1 + nb].T @ z).ravel(), m[:, size - 1 + nb:-1].sum(axis=0)])
+        yield pd.DataFrame({"pos": np.arange(len(total)), "value": total})
 
-    sums = data.mapInPandas(partial, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value"))
-    out = np.zeros(size * size)
-    for r in sums.collect():
+    out = np.zeros(size * size + nb * size + ns)
+    for r in data.mapInPandas(partial, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value")).collect():
         out[r["pos"]] = r["value"]
-    return out.reshape(size, size)
+    cut = size * size
+    return out[:cut].reshape(size, size), out[cut:cut + nb * size].reshape(nb, size), out[cut + nb * size:]
 
 
 @dataclass

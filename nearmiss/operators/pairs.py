@@ -15,6 +15,12 @@ FULL_STATE = " AND ".join(["coalesce(valid, false)", *[f"coalesce(abs({c}) < dou
                            "length > 0", "width > 0"])
 
 
+def not_null(prefix: str = "") -> str:
+    """Spelled out after a filter on usable states: Spark then generates code without null branches,
+    small enough for the JVM to compile."""
+    return " AND ".join(f"{prefix}{c} IS NOT NULL" for c in G.STATE)
+
+
 def full_state() -> Column:
     """Valid flag set, every kinematic value finite, box of positive size."""
     return F.expr(FULL_STATE)
@@ -50,7 +56,7 @@ def frame_presence(states: DataFrame) -> DataFrame:
 
 def ego_states(presence: DataFrame) -> DataFrame:
     """Usable ego states, one per frame."""
-    return presence.filter("ego_ok").select(*FRAME, "ego_track_id", *[f"e_{c}" for c in G.STATE])
+    return presence.filter(f"ego_ok AND {not_null('e_')}").select(*FRAME, "ego_track_id", *[f"e_{c}" for c in G.STATE])
 
 
 def ego_track(presence: DataFrame) -> DataFrame:
@@ -68,17 +74,20 @@ def ego_target_pairs(states: DataFrame, presence: DataFrame | None = None, *, ra
     numerics stay as rows with pair_valid = false.
     """
     presence = frame_presence(states) if presence is None else presence
-    keep = full_state() if valid_targets_only else flag(F.col("valid"))
-    targets = states.filter(~flag(F.col("is_sdc")) & keep & eligible_type())
+    placed = "coalesce(valid, false) AND abs(center_x) < double('Infinity') AND abs(center_y) < double('Infinity')"
+    keep = f"{FULL_STATE} AND {not_null()}" if valid_targets_only else placed
+    targets = states.filter(F.expr(f"NOT {IS_EGO} AND {keep}") & eligible_type())
+    # Values of rows that are not usable are never read: pair_valid guards every result.
+    value = (lambda c: F.col(c)) if valid_targets_only else (lambda c: F.coalesce(F.col(c), F.lit(0.0)))
     targets = targets.select(*FRAME, F.col("track_id").alias("target_track_id"), F.col("object_type").alias("target_object_type"),
-                             full_state().alias("pair_valid"), *G.prefixed("t_"))
+                             (F.lit(True) if valid_targets_only else full_state()).alias("pair_valid"), *[value(c).alias(f"t_{c}") for c in G.STATE])
     pairs = G.with_relative_state(salted_join(ego_states(presence), targets, FRAME, ["target_track_id"], buckets=salt))
     return pairs.filter(F.col("pair_distance_m") <= radius_m)
 
 
 def pair_metrics(states: DataFrame, presence: DataFrame | None = None, *, clearance: bool = True, t_max: float = T_MAX_S, **join) -> DataFrame:
     """Box time-to-contact, closing speed and (optionally) boundary clearance for every pair."""
-    pairs = G.with_swept_contact(G.with_box_axes(ego_target_pairs(states, presence, **join)), t_max)
+    pairs = G.with_swept_contact(G.with_box_axes(ego_target_pairs(states, presence, **join)), t_max, clearance=clearance)
     ok = F.col("pair_valid")
     cols = {
         "closing_speed_mps": F.when(ok, G.closing_speed()),
@@ -91,15 +100,15 @@ def pair_metrics(states: DataFrame, presence: DataFrame | None = None, *, cleara
         "ttc_horizon_s": F.lit(float(t_max)),
     }
     if clearance:
-        cols["clearance_m"] = F.when(ok, G.box_clearance())
-    return pairs.withColumns(cols).drop(*G.BOX_TEMP, "ttc_s", "contact_exit_s", "overlap_now", "hit_future")
+        cols["clearance_m"] = F.when(ok, F.col("box_gap_m"))
+    return pairs.withColumns(cols).drop(*G.BOX_TEMP, "ttc_s", "contact_exit_s", "overlap_now", "hit_future", "box_gap_m")
 
 
 def circle_pair_metrics(states: DataFrame, *, radius_m: float = RADIUS_M, t_max: float = T_MAX_S, salt: int = SALT) -> DataFrame:
     """Circle time-to-contact per pair. Missing velocities count as standing still here."""
     still = {v: F.expr(f"CASE WHEN abs({v}) < double('Infinity') THEN {v} ELSE 0D END") for v in ("velocity_x", "velocity_y")}
-    base = states.filter("coalesce(valid, false) AND abs(center_x) < double('Infinity') AND abs(center_y) < double('Infinity') "
-                         "AND length > 0 AND width > 0").withColumns(still)
+    base = states.filter("coalesce(valid, false) AND center_x IS NOT NULL AND center_y IS NOT NULL AND abs(center_x) < double('Infinity') "
+                         "AND abs(center_y) < double('Infinity') AND length > 0 AND width > 0").withColumns(still)
     ego = base.filter(IS_EGO).select(*FRAME, F.col("track_id").alias("ego_track_id"), *G.prefixed("e_"))
     targets = (base.filter(F.expr(f"NOT {IS_EGO}") & eligible_type())
                .select(*FRAME, F.col("track_id").alias("target_track_id"),
