@@ -75,7 +75,7 @@ def model_rows(df: DataFrame, *, ttc: str = "ttc_obb_swept_s", censored: str = "
     return df.withColumns({"y_log": log_ttc(F.col(ttc)), "censor_log": limit, "censored": F.col(censored)})
 
 
-def fit(df: DataFrame, name: str, features: list, *, max_iter: int = 50, tol: float = 1e-9) -> CensoredLogNormal:
+def fit(df: DataFrame, name: str, features: list, *, max_iter: int = 50, tol: float = 1e-7) -> CensoredLogNormal:
     """Newton fit on rows from model_rows. An empty feature list gives the intercept-only model."""
     data = durable(df.select(*[F.col(f).cast("double").alias(f) for f in features], "y_log", "censor_log", "censored"))
     p = len(features)
