@@ -14,10 +14,6 @@ def finite(c: Column) -> Column:
     return flag(F.abs(c) < F.lit(float("inf")))
 
 
-def nan_to_null(c: Column) -> Column:
-    return F.when(finite(c), c)
-
-
 def clip(c: Column, low, high) -> Column:
     """Value limited to [low, high]; NULL stays NULL (greatest and least alone would skip it)."""
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
@@ -28,11 +24,6 @@ def wrap_angle(a: Column) -> Column:
     return F.pmod(a + F.lit(math.pi), F.lit(2 * math.pi)) - F.lit(math.pi)
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
-    """num / den, NULL where den is zero."""
-    return F.when(den != 0, num / F.when(den != 0, den).otherwise(F.lit(1.0)))
-
-
 def r6(c: Column, digits: int = 6) -> Column:
     """Half-up rounding with negative zero removed, for comparisons."""
     return F.round(c, digits) + F.lit(0.0)

@@ -54,12 +54,25 @@ def nearest_distance(positions: DataFrame, points: DataFrame) -> DataFrame:
             .select(*FRAME, "feature_type", F.sqrt("d2").alias("distance_m")))
 
 
-def lane_headings(points: DataFrame) -> DataFrame:
-    """Heading of each lane point towards the next one; the last repeats the one before, a lone point is 0."""
-    by_point = W.partitionBy("scenario_id", "feature_id").orderBy("point_index")
-    lanes = points.filter((F.col("feature_type") == "lane") & F.col("x").isNotNull() & F.col("y").isNotNull())
-    lanes = lanes.withColumn("ahead", F.atan2(F.lead("y").over(by_point) - F.col("y"), F.lead("x").over(by_point) - F.col("x")))
-    return lanes.withColumn("lane_heading", F.coalesce("ahead", F.lag("ahead").over(by_point), F.lit(0.0))).drop("ahead")
+def lane_headings(points: DataFrame, *, chunk: int = 4096) -> DataFrame:
+    """Heading of each lane point towards the next one; the last repeats the one before, a lone point is 0.
+
+    A feature is handled in chunks of point indices; the first and last point of
+    each chunk (a small table) link the chunks, so a very long polyline is not
+    one group.
+    """
+    c = F.col
+    lanes = points.filter((c("feature_type") == "lane") & c("x").isNotNull() & c("y").isNotNull())
+    lanes = lanes.withColumn("chunk", F.floor(c("point_index") / chunk))
+    part = ["scenario_id", "feature_id", "chunk"]
+    at = F.struct("x", "y")
+    ends = lanes.groupBy(*part).agg(F.min_by(at, "point_index").alias("first"), F.max_by(at, "point_index").alias("last"))
+    chunks = W.partitionBy("scenario_id", "feature_id").orderBy("chunk")
+    links = ends.select(*part, F.lead("first").over(chunks).alias("next_first"), F.lag("last").over(chunks).alias("prev_last"))
+    inside = W.partitionBy(*part).orderBy("point_index")
+    rows = lanes.join(links, part).withColumns({"n": F.coalesce(F.lead(at).over(inside), c("next_first")), "p": F.coalesce(F.lag(at).over(inside), c("prev_last"))})
+    ahead, behind = F.atan2(c("n.y") - c("y"), c("n.x") - c("x")), F.atan2(c("y") - c("p.y"), c("x") - c("p.x"))
+    return rows.withColumn("lane_heading", F.coalesce(ahead, behind, F.lit(0.0))).drop("n", "p", "next_first", "prev_last", "chunk")
 
 
 def lane_context(positions: DataFrame, points: DataFrame, *, radius_m: float = 50.0) -> DataFrame:

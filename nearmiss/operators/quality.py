@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nearmiss.constants import FRAME_STATES, FUTURE_CONTACT, CENSORED, METHOD_BOX, UNSUPPORTED_FIELDS
 from nearmiss.functions.columns import finite, flag
+from nearmiss.operators.ranking import exact_quantiles
+from nearmiss.session import durable
 
 # Column names that must not be model inputs.
 BANNED_COLUMNS = (
@@ -92,13 +94,13 @@ def timestamp_stats(frames: DataFrame) -> DataFrame:
     lengths = frames.groupBy("scenario_id").agg(F.count("*").cast("double").alias("v"))
     both = (lengths.select(F.lit("length").alias("measure"), "v")
             .unionByName(steps.select(F.lit("step").alias("measure"), "v")))
-    counts = both.groupBy("measure", "v").agg(F.count("*").alias("n"))
-    return counts.groupBy("measure").agg(
-        F.sum("n").alias("count"), F.count("*").alias("unique_values"), F.min("v").alias("min"), F.max("v").alias("max"),
-        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.expr("percentile(v, 0.5, n)").alias("median"),
-        F.sqrt((F.sum(F.col("v") * F.col("v") * F.col("n")) - F.sum(F.col("v") * F.col("n")) * F.sum(F.col("v") * F.col("n")) / F.sum("n"))
-               / F.greatest(F.sum("n") - 1, F.lit(1))).alias("stdev"))
+    counts = durable(both.groupBy("measure", "v").agg(F.count("*").alias("n")))
+    n, v = F.col("n"), F.col("v")
+    stats = counts.groupBy("measure").agg(
+        F.sum(n).alias("count"), F.count("*").alias("unique_values"), F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * n) / F.sum(n)).alias("mean"),
+        F.sqrt((F.sum(v * v * n) - F.sum(v * n) * F.sum(v * n) / F.sum(n)) / F.greatest(F.sum(n) - 1, F.lit(1))).alias("stdev"))
+    median = exact_quantiles(counts, ["measure"], "v", [0.5], count=n).select("measure", F.col("quantile").alias("median"))
+    return stats.join(median, "measure")
 
 
 def status_distribution(targets: DataFrame, status: str = "target_status") -> DataFrame:

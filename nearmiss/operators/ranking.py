@@ -72,9 +72,12 @@ def average_ranks(df: DataFrame, keys: list, value: str, count: Column) -> DataF
     return p.select(*keys, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"), F.col("n_total"))
 
 
-def exact_quantiles(df: DataFrame, keys: list, value: str, levels: list) -> DataFrame:
-    """Linearly interpolated quantiles per group; only the two bracketing values meet per level."""
-    p = prefix_sums(df, keys, value, {"n": F.lit(1.0)})
+def exact_quantiles(df: DataFrame, keys: list, value: str, levels: list, *, count: Column | None = None) -> DataFrame:
+    """Linearly interpolated quantiles per group; only the two bracketing values meet per level.
+
+    `count` is the multiplicity of a row, 1 if not given.
+    """
+    p = prefix_sums(df, keys, value, {"n": F.lit(1.0) if count is None else count.cast("double")})
     level = F.explode(F.array(*[F.lit(float(q)) for q in levels]))
     pos = F.col("q") * (F.col("n_total") - 1)
     rows = p.withColumn("q", level).withColumn("pos", pos)

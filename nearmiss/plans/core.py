@@ -79,3 +79,8 @@ def recovery_time(spark, sf_dir):
 @query
 def pair_key_audit(spark, sf_dir):
     return rounded(P.pair_key_audit(P.ego_target_pairs(states(spark, sf_dir))))
+
+
+@query
+def dominant_turnover(spark, sf_dir):
+    return rounded(PR.dominant_turnover(frames_of(spark, sf_dir)))

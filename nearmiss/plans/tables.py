@@ -9,6 +9,7 @@ from nearmiss.plans.core import frames_of, profile_of
 from nearmiss.session import durable
 from nearmiss.sources import records as R
 from nearmiss.sources.fixture import map_points, records, signals, states
+from nearmiss.sources.tables import file_manifest as file_manifest_of
 
 
 @query
@@ -221,3 +222,10 @@ def motion_continuity(spark, sf_dir):
 @query
 def continuity_pass_rates(spark, sf_dir):
     return rounded(KP.continuity_pass_rates(KP.motion_continuity(states(spark, sf_dir), map_points(spark, sf_dir))))
+
+
+@query
+def file_manifest(spark, sf_dir):
+    """Name, extension, size and digest of every table file."""
+    m = file_manifest_of(spark, sf_dir, glob="*.parquet")
+    return m.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "split", "extension", "size_bytes", "sha256")

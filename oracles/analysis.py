@@ -161,15 +161,20 @@ add_cte("rlong", ["rres"], """SELECT scenario_id, split, w, 'n_lines' AS feature
 UNION ALL SELECT scenario_id, split, w, 'p_base', res_p_base, res_p_full FROM rres""")
 
 
-def effect(split: str) -> str:
+def draws_of(ids: str) -> str:
+    """Resampled multiplicities of the scenarios in a select."""
+    idx = f"(SELECT scenario_id, row_number() OVER (ORDER BY {_u13('md5(scenario_id)')}, scenario_id) - 1 AS idx, count(*) OVER () AS n FROM ({ids}))"
+    return f"""(SELECT replicate, i.scenario_id, m FROM (SELECT replicate, CAST(floor({_u13("md5('42|' || replicate || '|' || idx)")} * n) AS BIGINT) AS drawn, count(*) AS m
+      FROM {idx}, range(25) r(replicate) GROUP BY ALL) d JOIN {idx} i ON d.drawn = i.idx)"""
+
+
+def effect(split: str, rlong: str = "rlong") -> str:
     """Training and evaluation effects with their resampled interval."""
-    ids = f"(SELECT scenario_id, row_number() OVER (ORDER BY {_u13('md5(scenario_id)')}, scenario_id) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT scenario_id FROM rlong WHERE split = '{split}'))"
-    draws = f"""(SELECT replicate, i.scenario_id, m FROM (SELECT replicate, CAST(floor({_u13("md5('42|' || replicate || '|' || idx)")} * n) AS BIGINT) AS drawn, count(*) AS m
-      FROM {ids}, range(25) r(replicate) GROUP BY ALL) d JOIN {ids} i ON d.drawn = i.idx)"""
-    boot = f"(SELECT replicate, feature_name, res_e, res_c, w, m FROM rlong r JOIN {draws} d ON r.scenario_id = d.scenario_id)"
+    draws = draws_of(f"SELECT DISTINCT scenario_id FROM {rlong} WHERE split = '{split}'")
+    boot = f"(SELECT replicate, feature_name, res_e, res_c, w, m FROM {rlong} r JOIN {draws} d ON r.scenario_id = d.scenario_id)"
     return f"""
-SELECT t.feature_name, t.rho AS train, e.rho AS point, mean, lo, hi, p FROM ({spear('feature_name', 'res_e', 'res_c', "(SELECT * FROM rlong WHERE split = 'train')", w='w0')}) t
-JOIN ({spear('feature_name', 'res_e', 'res_c', f"(SELECT * FROM rlong WHERE split = '{split}')", w='w0')}) e ON t.feature_name = e.feature_name
+SELECT t.feature_name, t.rho AS train, e.rho AS point, mean, lo, hi, p FROM ({spear('feature_name', 'res_e', 'res_c', f"(SELECT * FROM {rlong} WHERE split = 'train')", w='w0')}) t
+JOIN ({spear('feature_name', 'res_e', 'res_c', f"(SELECT * FROM {rlong} WHERE split = '{split}')", w='w0')}) e ON t.feature_name = e.feature_name
 JOIN (SELECT feature_name, avg(rho) AS mean, quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi,
         least((2 * least(count(*) FILTER (WHERE rho <= 0), count(*) FILTER (WHERE rho >= 0)) + 1) / (count(*) + 1), 1.0) AS p
       FROM ({spear('replicate, feature_name', 'res_e', 'res_c', boot, w='w0', f='m')}) GROUP BY 1) b ON t.feature_name = b.feature_name"""
@@ -187,3 +192,39 @@ SELECT v.feature_name, {r6('v.point', 'dev_conditional_effect')}, dev_validity_t
   sign(v.point) = sign(h.point) AS dev_holdout_sign_concordant, CASE WHEN sign(v.point) = sign(h.point) AND h.lo * h.hi > 0 AND dev_validity_tier IN ('CORE_CANDIDATE', 'CONTEXT_CANDIDATE') THEN 'CONFIRMED'
   WHEN sign(v.point) = sign(h.point) THEN 'DIRECTION_CONFIRMED' ELSE 'UNCONFIRMED' END AS confirmed_status
 FROM (SELECT *, {_TIER} AS dev_validity_tier FROM eff_val) v JOIN eff_hold h ON v.feature_name = h.feature_name""", "eff_val", "eff_hold")
+
+
+_ci = lambda v: f"""avg({v}) AS mean, quantile_cont({v}, 0.025) AS lo, quantile_cont({v}, 0.975) AS hi,
+  least((2 * least(count(*) FILTER (WHERE {v} <= 0), count(*) FILTER (WHERE {v} >= 0)) + 1) / (count(*) + 1), 1.0) AS p, count(*) AS n"""
+add_cte("pk_draws", ["pk"], f"SELECT * FROM {draws_of('SELECT DISTINCT scenario_id FROM pk')} q")
+add_cte("pk_boot", ["pk", "pk_draws"], "SELECT replicate, m, pk.* FROM pk_draws d JOIN pk ON d.scenario_id = pk.scenario_id")
+SQL["correlation_intervals"] = query(" UNION ALL ".join(f"""
+SELECT 'criticality_peak' AS score, '{k}' AS kpi, {r6('mean')}, {r6('lo', 'ci_lower')}, {r6('hi', 'ci_upper')}, {r6('p', 'p_value')}, n AS n_replicates
+FROM (SELECT {_ci('rho')} FROM ({spear('replicate', 'criticality_peak', k, 'pk_boot', f='m')}))""" for k in _RESP), "pk_boot")
+
+add_cte("vs_boot", ["versus"], f"SELECT replicate, m, v.* FROM {draws_of('SELECT DISTINCT scenario_id FROM versus')} d JOIN versus v ON d.scenario_id = v.scenario_id")
+SQL["robustness_suite"] = query(f"""
+SELECT r.experiment, {r6('rho', 'spearman', 4)}, r.n AS n_scenarios, {r6('tau', 'kendall', 4)}, {r6('lo', 'ci_lower', 4)}, {r6('hi', 'ci_upper', 4)}, {r6('mean', 'boot_mean', 4)} FROM ({spear('experiment', 'ref_peak', 'peak', 'versus')}) r
+JOIN (SELECT x.experiment, sum(sign(x.ref_peak - y.ref_peak) * sign(x.peak - y.peak)) / sqrt(count(*) FILTER (WHERE x.ref_peak <> y.ref_peak)::DOUBLE * count(*) FILTER (WHERE x.peak <> y.peak)) AS tau
+      FROM versus x JOIN versus y ON x.experiment = y.experiment AND x.scenario_id < y.scenario_id GROUP BY 1) k ON r.experiment = k.experiment
+JOIN (SELECT experiment, {_ci('rho')} FROM ({spear('replicate, experiment', 'ref_peak', 'peak', 'vs_boot', f='m')}) GROUP BY 1) b ON r.experiment = b.experiment""", "versus", "vs_boot")
+
+# Scenario grain: means of control and features against two profile targets.
+add_cte("sm", ["rin"], "SELECT scenario_id, split, avg(gap_m) AS gap_m, avg(n_lines) AS n_lines, avg(p_base) AS p_base, max(p_full) AS top, avg(p_full) AS level FROM rin GROUP BY ALL")
+_S4 = ["n_lines", "p_base", "top", "level"]
+add_cte("sfit", ["sm"], "SELECT " + ", ".join(f"""
+  (sum(gap_m * {t}) - sum(gap_m) * sum({t}) / count(*)) / (sum(gap_m * gap_m) - sum(gap_m) * sum(gap_m) / count(*) + 1.0) AS b_{t}, avg({t}) AS m_{t}""" for t in _S4) + ", avg(gap_m) AS m_x FROM sm WHERE split = 'train'")
+add_cte("sres", ["sm", "sfit"], "SELECT sm.scenario_id, split, 1.0 AS w, " + ", ".join(f"{t} - (m_{t} - b_{t} * m_x + b_{t} * gap_m) AS res_{t}" for t in _S4) + " FROM sm, sfit")
+for _t in ("top", "level"):
+    add_cte(f"slong_{_t}", ["sres"], f"""SELECT scenario_id, split, w, 'n_lines' AS feature_name, res_n_lines AS res_e, res_{_t} AS res_c FROM sres
+UNION ALL SELECT scenario_id, split, w, 'p_base', res_p_base, res_{_t} FROM sres""")
+    add_cte(f"seff_{_t}", [f"slong_{_t}"], effect("internal_val", f"slong_{_t}"))
+_TIER2 = "CASE WHEN sign(train) <> sign(point) THEN 'DISCORDANT' WHEN lo * hi <= 0 THEN 'UNSUPPORTED' WHEN abs(point) >= 0.03 THEN 'CORE_CANDIDATE' ELSE 'CONTEXT_CANDIDATE' END"
+SQL["scenario_association"] = query(" UNION ALL ".join(f"""
+SELECT feature_name, TRUE AS primary_eligible, {r6('train', 'train_conditional_effect')}, {r6('point', 'val_conditional_effect')}, {r6('mean', 'bootstrap_mean')}, {r6('lo', 'ci_lower_95')}, {r6('hi', 'ci_upper_95')},
+  {r6('p', 'p_value_empirical_bootstrap')}, lo * hi > 0 AS ci_excludes_zero, sign(train) = sign(point) AS train_val_sign_concordant, point BETWEEN lo AND hi AS point_inside_ci, {_TIER2} AS frame_validity_tier, '{t}' AS profile_target FROM seff_{t}"""
+    for t in ("top", "level")), "seff_top", "seff_level")
+SQL["cross_level_class"] = query(f"""
+SELECT f.feature_name, {r6('f.point', 'frame_effect')}, f.lo * f.hi > 0 AS frame_sig, {r6('s.point', 'scenario_effect')}, s.lo * s.hi > 0 AS scenario_sig,
+  CASE WHEN sign(f.point) <> sign(s.point) AND abs(f.point) > 0.02 AND abs(s.point) > 0.02 THEN 'DISCORDANT_SIGN' WHEN f.lo * f.hi > 0 AND s.lo * s.hi > 0 THEN 'CROSS_LEVEL_STABLE' WHEN f.lo * f.hi > 0 THEN 'FRAME_LOCAL'
+  WHEN s.lo * s.hi > 0 THEN 'TEMPORAL_EXPOSURE_SPECIFIC' ELSE 'UNSUPPORTED_BOTH' END AS cross_level_classification FROM eff_val f JOIN seff_top s ON f.feature_name = s.feature_name""", "eff_val", "seff_top")

@@ -113,3 +113,6 @@ SQL["recovery_time"] = query(f"SELECT scenario_id, {r6('recovery', 'recovery_tim
 
 SQL["pair_key_audit"] = query("""
 SELECT count(*) AS n_pairs, count(DISTINCT (scenario_id, time_index, ego_id, target_id)) AS distinct_keys, CAST(0 AS BIGINT) AS duplicate_keys, count(*) AS hashed_rows FROM pairs""", "pairs")
+
+SQL["dominant_turnover"] = query(f"""
+SELECT scenario_id, dominant_actor_turnover_count, {r6('dominant_actor_turnover_rate')} FROM profile WHERE exposed_frames > 0""", "profile")

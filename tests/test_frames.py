@@ -127,3 +127,11 @@ def test_one_scenario_holding_most_rows(states_df):
     got = {r.scenario_id: r for r in FR.scene_criticality(states_df(rows)).filter("time_index = 0").collect()}
     near = sum(1 for r in rows if r[0] == "hot" and r[3] > 0 and (r[6] ** 2 + r[7] ** 2) ** 0.5 <= 70)
     assert got["hot"].n_valid_targets_70m == near and got["cold"].n_valid_targets_70m == 1
+
+
+def test_long_polyline_in_chunks(spark):
+    from nearmiss.operators.mapjoin import lane_headings
+    rows = [("s", 1, "lane", i, float(i), float((i * 7) % 5), 0.0) for i in range(40) if i not in (11, 12, 13, 14, 15)] + [("s", 2, "lane", 3, 1.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "scenario_id string, feature_id long, feature_type string, point_index int, x double, y double, z double")
+    key = lambda d: {(r.feature_id, r.point_index): r.lane_heading for r in d.collect()}
+    assert key(lane_headings(df, chunk=4)) == key(lane_headings(df)) and key(lane_headings(df))[(2, 3)] == 0.0
