@@ -3,11 +3,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nearmiss.constants import E_DYNAMIC, E_HIST, E_STATIC, HISTORY_FRAMES, N_FRAMES, P_CLEAN, RADIUS_M
 from nearmiss.functions import geometry as G
-from nearmiss.functions.columns import flag, salt_of, all_salts
+from nearmiss.functions.columns import flag
 from nearmiss.operators.kinematics import kinematics
 from nearmiss.operators.frames import frame_labels, scene_criticality
 from nearmiss.operators.mapjoin import dispersion, lane_context, nearest_distance, signal_context
-from nearmiss.operators.pairs import FRAME, SALT, ego_states, ego_track, frame_presence, full_state
+from nearmiss.operators.pairs import FRAME, ego_states, ego_track, frame_join, frame_presence, full_state, not_null
 from nearmiss.operators.profile import ordered
 from nearmiss.session import durable
 
@@ -24,19 +24,17 @@ def ego_positions(presence: DataFrame) -> DataFrame:
 
 
 def past_actor_pairs(states: DataFrame, presence: DataFrame, focal: DataFrame, *, steps: int = HISTORY_FRAMES,
-                     radius_m: float = RADIUS_M, salt: int = SALT) -> DataFrame:
+                     radius_m: float = RADIUS_M) -> DataFrame:
     """Usable actors of any class at frames u in [t - steps, t] against the ego state and focal actor of t.
 
     The range is turned into an equi join by repeating the one-row-per-frame
     ego side for each u; the actor rows are shuffled once.
     """
     ego = (ego_states(presence).drop("ego_track_id").join(focal, FRAME, "left")
-           .withColumn("u", F.explode(F.sequence(F.greatest(F.col("time_index") - steps, F.lit(0)), F.col("time_index"))))
-           .withColumn("salt", all_salts(salt)))
+           .withColumn("u", F.explode(F.sequence(F.greatest(F.col("time_index") - steps, F.lit(0)), F.col("time_index")))))
     actors = (states.filter(~flag(F.col("is_sdc")) & full_state())
-              .select("scenario_id", F.col("time_index").alias("u"), "track_id", "object_type", *G.prefixed("t_"))
-              .withColumn("salt", salt_of(F.col("track_id"), buckets=salt)))
-    pairs = G.with_relative_state(ego.join(actors, ["scenario_id", "u", "salt"]).drop("salt"))
+              .filter(not_null()).select("scenario_id", F.col("time_index").alias("u"), "track_id", "object_type", *G.prefixed("t_")))
+    pairs = G.with_relative_state(frame_join(ego, actors, presence, "track_id", "u"))
     return (pairs.withColumnRenamed("pair_distance_m", "d").filter(F.col("d") <= radius_m)
             .withColumns({"is_focal": flag(F.col("track_id") == F.col("focal_id")), "closing": G.closing_speed("d")}))
 

@@ -60,15 +60,16 @@ def frame_targets(states: DataFrame, *, n_frames: int = N_FRAMES) -> DataFrame:
 
 def frame_targets_log(states: DataFrame, *, pairs: DataFrame | None = None) -> DataFrame:
     """Circle-based label: nearest-in-time pair and its log TTC, for frames that have rows."""
+    presence = durable(frame_presence(states))
     if pairs is None:
-        pairs = circle_pair_metrics(states)
+        pairs = circle_pair_metrics(states, presence)
     c = F.col
     best = pairs.groupBy(*FRAME).agg(
         F.count("*").alias("n_pairs"),
         F.min_by(F.struct("derived_ttc_2d_s", "derived_hit_future", "target_track_id", "target_object_type"),
                  F.struct("derived_ttc_2d_s", "target_track_id")).alias("b"))
     has_ego = F.max("ego_row").over(W.partitionBy("scenario_id"))
-    frames = frame_presence(states).withColumn("has_ego", has_ego).filter("has_ego").withColumnRenamed("clock_s", "timestamp_seconds")
+    frames = presence.withColumn("has_ego", has_ego).filter("has_ego").withColumnRenamed("clock_s", "timestamp_seconds")
     out = frames.join(best, FRAME, "left")
     exposed = c("any_valid") & c("ego_flagged") & c("n_pairs").isNotNull()
     event = exposed & c("b.derived_hit_future")

@@ -63,7 +63,7 @@ def ttlc_min(ego: DataFrame, *, lane_width_m: float = 3.7) -> DataFrame:
 def all_kpis(states: DataFrame, points: DataFrame) -> DataFrame:
     """The six indicators per scenario; NULL means not measurable."""
     presence = durable(frame_presence(states))
-    ego, pairs = ego_track(presence), durable(circle_pair_metrics(states).select(*FRAME, "pair_distance_m", "derived_closing_speed_mps"))
+    ego, pairs = ego_track(presence), durable(circle_pair_metrics(states, presence).select(*FRAME, "pair_distance_m", "derived_closing_speed_mps"))
     out = presence.select("scenario_id").distinct()
     for part in (max_jerk(ego), drac_max(pairs), rss_margin_min(pairs, ego), cross_track_and_offroad(ego, points), ttlc_min(ego)):
         out = out.join(part, "scenario_id", "left")

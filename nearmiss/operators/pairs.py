@@ -5,10 +5,14 @@ from nearmiss.constants import (CENSORED, ELIGIBLE_TYPES, FUTURE_CONTACT, INVALI
                                 METHOD_BOX, OVERLAP, RADIUS_M, T_MAX_S)
 from nearmiss.functions import geometry as G
 from nearmiss.functions.columns import all_salts, flag, salt_of
+from nearmiss.session import durable
 
 FRAME = ["scenario_id", "time_index"]
-# Ego side copies per frame: a frame with very many actors is joined in this many pieces.
+# Copies of the small side in joins whose hot keys are not known beforehand.
 SALT = 8
+# A frame is cut once it has more rows than this and than one part in HOT_PARTS of the table.
+HOT_ROWS = 200_000
+HOT_PARTS = 10_000
 
 IS_EGO = "coalesce(is_sdc, false)"
 FULL_STATE = " AND ".join(["coalesce(valid, false)", *[f"coalesce(abs({c}) < double('Infinity'), false)" for c in G.STATE],
@@ -41,6 +45,39 @@ def salted_join(small: DataFrame, rows: DataFrame, keys: list, salt_on: list, ho
     return left.join(right, [*keys, "salt"], how).drop("salt")
 
 
+def hot_frames(presence: DataFrame) -> list:
+    """(scenario_id, time_index, cuts) of frames that hold very many rows.
+
+    A hot frame has more than 1 / HOT_PARTS of all rows, so there are fewer than
+    HOT_PARTS of them whatever the size of the table.
+    """
+    size = presence.agg(F.sum("n_rows").alias("total"), F.max("n_rows").alias("top")).first()
+    limit = max(HOT_ROWS, (size["total"] or 0) / HOT_PARTS)
+    if (size["top"] or 0) <= limit:
+        return []
+    rows = presence.filter(F.col("n_rows") > limit).select(*FRAME, F.ceil(F.col("n_rows") / limit).cast("int").alias("cuts"))
+    return [tuple(r) for r in rows.collect()]
+
+
+def frame_join(ego: DataFrame, actors: DataFrame, presence: DataFrame, track: str, frame: str = "time_index") -> DataFrame:
+    """Ego rows with the actor rows of the same scenario and frame.
+
+    Without hot frames it is a plain join whose partitioning later per-frame
+    aggregates reuse. A hot frame is cut by a hash of the track: its ego row is
+    repeated per cut, and the list of hot frames, bounded by construction, is
+    broadcast to both sides.
+    """
+    keys = ["scenario_id", frame]
+    hot = hot_frames(presence)
+    if not hot:
+        return ego.join(actors, keys)
+    table = F.broadcast(presence.sparkSession.createDataFrame(hot, f"scenario_id string, {frame} int, cuts int"))
+    cuts = F.coalesce("cuts", F.lit(1))
+    left = ego.join(table, keys, "left").withColumn("cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("cuts")
+    right = actors.join(table, keys, "left").withColumn("cut", F.pmod(F.xxhash64(track), cuts).cast("int")).drop("cuts")
+    return left.join(right, [*keys, "cut"]).drop("cut")
+
+
 def frame_presence(states: DataFrame) -> DataFrame:
     """One row per frame that has any row: presence flags and the ego's own state.
 
@@ -49,7 +86,7 @@ def frame_presence(states: DataFrame) -> DataFrame:
     """
     ego = lambda c: f"max(CASE WHEN {IS_EGO} AND coalesce(valid, false) THEN {c} END) AS e_{c}"
     return states.groupBy(*FRAME).agg(*[F.expr(x) for x in (
-        "count(*) > 0 AS any_row", "max(coalesce(valid, false)) AS any_valid",
+        "count(*) > 0 AS any_row", "count(*) AS n_rows", "max(coalesce(valid, false)) AS any_valid",
         f"max({IS_EGO}) AS ego_row", f"max({IS_EGO} AND coalesce(valid, false)) AS ego_flagged", f"max({IS_EGO} AND {FULL_STATE}) AS ego_ok",
         f"max(CASE WHEN {IS_EGO} THEN track_id END) AS ego_track_id", "min(timestamp_seconds) AS clock_s", *[ego(c) for c in G.STATE])])
 
@@ -67,13 +104,13 @@ def ego_track(presence: DataFrame) -> DataFrame:
 
 
 def ego_target_pairs(states: DataFrame, presence: DataFrame | None = None, *, radius_m: float = RADIUS_M,
-                     valid_targets_only: bool = True, salt: int = SALT) -> DataFrame:
+                     valid_targets_only: bool = True) -> DataFrame:
     """Every other vehicle, pedestrian or cyclist within `radius_m` of a usable ego state of its frame.
 
     With valid_targets_only=False, actors flagged valid but with unusable
     numerics stay as rows with pair_valid = false.
     """
-    presence = frame_presence(states) if presence is None else presence
+    presence = durable(frame_presence(states)) if presence is None else presence
     placed = "coalesce(valid, false) AND abs(center_x) < double('Infinity') AND abs(center_y) < double('Infinity')"
     keep = f"{FULL_STATE} AND {not_null()}" if valid_targets_only else placed
     targets = states.filter(F.expr(f"NOT {IS_EGO} AND {keep}") & eligible_type())
@@ -81,7 +118,7 @@ def ego_target_pairs(states: DataFrame, presence: DataFrame | None = None, *, ra
     value = (lambda c: F.col(c)) if valid_targets_only else (lambda c: F.coalesce(F.col(c), F.lit(0.0)))
     targets = targets.select(*FRAME, F.col("track_id").alias("target_track_id"), F.col("object_type").alias("target_object_type"),
                              (F.lit(True) if valid_targets_only else full_state()).alias("pair_valid"), *[value(c).alias(f"t_{c}") for c in G.STATE])
-    pairs = G.with_relative_state(salted_join(ego_states(presence), targets, FRAME, ["target_track_id"], buckets=salt))
+    pairs = G.with_relative_state(frame_join(ego_states(presence), targets, presence, "target_track_id"))
     return pairs.filter(F.col("pair_distance_m") <= radius_m)
 
 
@@ -104,16 +141,17 @@ def pair_metrics(states: DataFrame, presence: DataFrame | None = None, *, cleara
     return pairs.withColumns(cols).drop(*G.BOX_TEMP, "ttc_s", "contact_exit_s", "overlap_now", "hit_future", "box_gap_m")
 
 
-def circle_pair_metrics(states: DataFrame, *, radius_m: float = RADIUS_M, t_max: float = T_MAX_S, salt: int = SALT) -> DataFrame:
+def circle_pair_metrics(states: DataFrame, presence: DataFrame | None = None, *, radius_m: float = RADIUS_M, t_max: float = T_MAX_S) -> DataFrame:
     """Circle time-to-contact per pair. Missing velocities count as standing still here."""
     still = {v: F.expr(f"CASE WHEN abs({v}) < double('Infinity') THEN {v} ELSE 0D END") for v in ("velocity_x", "velocity_y")}
+    presence = durable(frame_presence(states)) if presence is None else presence
     base = states.filter("coalesce(valid, false) AND center_x IS NOT NULL AND center_y IS NOT NULL AND abs(center_x) < double('Infinity') "
                          "AND abs(center_y) < double('Infinity') AND length > 0 AND width > 0").withColumns(still)
     ego = base.filter(IS_EGO).select(*FRAME, F.col("track_id").alias("ego_track_id"), *G.prefixed("e_"))
     targets = (base.filter(F.expr(f"NOT {IS_EGO}") & eligible_type())
                .select(*FRAME, F.col("track_id").alias("target_track_id"),
                        F.col("object_type").alias("target_object_type"), *G.prefixed("t_")))
-    pairs = G.with_relative_state(salted_join(ego, targets, FRAME, ["target_track_id"], buckets=salt))
+    pairs = G.with_relative_state(frame_join(ego, targets, presence, "target_track_id"))
     pairs = G.with_circle_contact(pairs.filter(F.col("pair_distance_m") <= radius_m), t_max)
     return pairs.select(
         *FRAME, "ego_track_id", "target_track_id", "target_object_type", "pair_distance_m",
