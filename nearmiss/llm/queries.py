@@ -1,9 +1,11 @@
 """Registered queries of the operators over whole tables, and their DuckDB counterparts where SQL can express them."""
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from nearmiss.llm.bpe import decode, encode
 from nearmiss.llm.chat import format_chat, loss_texts, read_chat
 from nearmiss.llm.decontaminate import find_contamination
 from nearmiss.llm.linededup import dedup_lines
+from nearmiss.llm.tokencount import token_counts
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -89,3 +91,21 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_bpe_automaton(spark, sf_dir):
+    path = tokenizer_path()
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    return (token_counts(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+            .withColumn("over_limit", F.col("n_tokens") > 512))
