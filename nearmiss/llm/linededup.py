@@ -3,7 +3,7 @@
 A line's key is the line stripped of blanks at both ends, A-Z lower-cased. Keys of at least `min_chars` code points that are found in
 at least `min_docs` documents lose their lines in every document but the one with the largest id.
 
-1. Every text is cut once into (two 64-bit hashes, id) rows, distinct within the text; a distinct count per hash gives the repeated
+1. Every text is cut once into (two 64-bit hashes, id) rows; a distinct count per hash gives the repeated
    lines. Counting is partial before the shuffle, so a line that every document holds costs one row per map task.
 2. The repeated lines are dealt to shards of about `shard_lines`; each shard builds a minimal perfect hash (levels of bits in which a
    key is alone) and arrays of fingerprints, counts and owners: one row of about 21 bytes a line.
@@ -39,12 +39,12 @@ def _long_lines(column, min_chars):
 
 
 def _line_rows(batch, min_chars):
-    """Distinct (h1, h2, id) of a batch whose columns are id and text."""
+    """(h1, h2, id) of the long lines of a batch whose columns are id and text, in runs."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     for row, _, _, _, _, rows, long, h1, h2 in _long_lines(batch.column(1), min_chars):
         found = np.empty(len(long), PROBE)
         found["h1"], found["h2"], found["id"] = h1, h2, ids[row + rows[long]]
-        yield np.unique(found)
+        yield found
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -195,35 +195,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = durable(line_decisions(own, line_index(lines, shards), shards, min_chars, min_docs))
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     joined = (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("__llm_id"), text_col, *rest)
-              .join(drops.select(F.col("id").alias("__llm_id"), F.col("drop").alias("__llm_drop")), "__llm_id", "left")
+              .join(drops.select(F.col("id").alias("__llm_id"), F.col("drop").alias("__llm_drop")).hint("merge"), "__llm_id", "left")
               .select("__llm_drop", text_col, *rest))
     schema = T.StructType([docs.schema[text_col], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *[docs.schema[c] for c in rest]])
     names = schema.fieldNames()
 
     def cut(batches):
         for batch in batches:
-            drop, texts = batch.column(0), batch.column(1)
-            marked = np.flatnonzero(drop.is_valid().to_numpy(zero_copy_only=False))
-            replaced, n_lines, n_dropped = {}, [], np.zeros(batch.num_rows, np.int64)
-            for row, count, data, starts, ends, rows, long, h1, h2 in _long_lines(texts, min_chars):
+            for row, count, data, starts, ends, rows, long, h1, h2 in _long_lines(batch.column(1), min_chars):
+                part = batch.slice(row, count)
                 bounds = np.searchsorted(rows, np.arange(count + 1))
-                n_lines += np.diff(bounds).tolist()
-                raw = None
-                for i in marked[np.searchsorted(marked, row):np.searchsorted(marked, row + count)]:
-                    gone = np.array(drop[int(i)].as_py(), np.int64).view(np.uint64).reshape(-1, 2)
-                    a, b = np.searchsorted(long, bounds[i - row:i - row + 2])
-                    names_of = set(map(tuple, gone.tolist()))
-                    out = {int(x) for x, p, q in zip(long[a:b], h1[a:b].tolist(), h2[a:b].tolist()) if (p, q) in names_of}
+                n_dropped, texts, replaced = np.zeros(count, np.int64), part.column(1), {}
+                raw = data.tobytes()
+                for i in np.flatnonzero(part.column(0).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    gone = np.array(part.column(0)[i].as_py(), np.int64).view(np.uint64).reshape(-1, 2)
+                    a, b = np.searchsorted(long, bounds[i:i + 2])
+                    gone = set(map(tuple, gone.tolist()))
+                    out = {int(x) for x, p, q in zip(long[a:b], h1[a:b].tolist(), h2[a:b].tolist()) if (p, q) in gone}
                     if out:
-                        if raw is None:
-                            raw = data.tobytes()
-                        kept = [raw[starts[x]:ends[x]] for x in range(bounds[i - row], bounds[i - row + 1]) if x not in out]
-                        replaced[int(i)], n_dropped[i] = b"\n".join(kept).decode(), len(out)
-            if replaced:
-                values = texts.to_pylist()
-                for i, value in replaced.items():
-                    values[i] = value
-                texts = pa.array(values, texts.type)
-            yield pa.RecordBatch.from_arrays([texts, pa.array(n_lines, pa.int64()), pa.array(n_dropped), *batch.columns[2:]], names=names)
+                        replaced[i] = b"\n".join([raw[starts[x]:ends[x]] for x in range(bounds[i], bounds[i + 1]) if x not in out]).decode()
+                        n_dropped[i] = len(out)
+                if replaced:
+                    texts = pa.array([replaced.get(i, old) for i, old in enumerate(texts.to_pylist())], texts.type)
+                yield pa.RecordBatch.from_arrays([texts, pa.array(np.diff(bounds)), pa.array(n_dropped), *part.columns[2:]], names=names)
 
     return joined.mapInArrow(cut, schema)

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 19
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
