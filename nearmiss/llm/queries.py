@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from nearmiss.llm.bpe import decode, encode
 from nearmiss.llm.chat import format_chat, loss_texts, read_chat
 from nearmiss.llm.decontaminate import find_contamination
+from nearmiss.llm.jaccard import jaccard_groups
 from nearmiss.llm.linededup import dedup_lines
 from nearmiss.llm.tokencount import token_counts
 
@@ -109,3 +110,8 @@ def op4_bpe_automaton(spark, sf_dir):
 def op9_token_counts(spark, sf_dir):
     return (token_counts(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
             .withColumn("over_limit", F.col("n_tokens") > 512))
+
+
+@query
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85).withColumnRenamed("id", "doc_id")

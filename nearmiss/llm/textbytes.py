@@ -3,6 +3,7 @@
 All work is on UTF-8 bytes. Bytes from 0x80 on belong to characters beyond ASCII, so classes and lower-casing that only name
 ASCII characters can be decided byte by byte.
 """
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -158,6 +159,17 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers by byte plane, compressed."""
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    """Inverse of pack."""
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def batch_rows(batch, *names):
     """Columns of a record batch by name."""
     return [batch.column(batch.schema.get_field_index(n)) for n in names]

@@ -22,20 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from nearmiss.llm.pretokens import Splitter, Vocabulary
-from nearmiss.llm.textbytes import text_array
+from nearmiss.llm.textbytes import pack, text_array, unpack
 from nearmiss.session import durable
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers by byte plane, compressed."""
-    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-
-
 class _Index(dict):
     def __missing__(self, word):
         out = self[word] = len(self)
@@ -75,8 +65,8 @@ class _Block:
         heads = heads[n > 0]
         step[heads] = at[heads]
         return [pa.array([number], pa.int64()), pa.array([self.ids], pa.list_(id_type)), pa.array([self.sizes], pa.list_(pa.int64())),
-                pa.array([[words[i] for i in order]], pa.list_(pa.string())), pa.array([_pack(hashes[order])], pa.binary()), pa.array([len(words)], pa.int64()),
-                pa.array([_pack(n)], pa.binary()), pa.array([_pack(step)], pa.binary()), pa.array([_pack(freq)], pa.binary())]
+                pa.array([[words[i] for i in order]], pa.list_(pa.string())), pa.array([pack(hashes[order])], pa.binary()), pa.array([len(words)], pa.int64()),
+                pa.array([pack(n)], pa.binary()), pa.array([pack(step)], pa.binary()), pa.array([pack(freq)], pa.binary())]
 
 
 _BLOCK = ["block", "ids", "sizes", "words", "hashes", "n_words", "per_doc", "steps", "freqs"]
@@ -116,7 +106,7 @@ def piece_counts(blocks: DataFrame, tokenizer: str, shards: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 words = batch.column(1)[i].values
-                shard = (_unpack(batch.column(2)[i].as_py()).astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                shard = (unpack(batch.column(2)[i].as_py()).astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
                 names, heads = np.unique(shard, return_index=True)
                 for name, a, b in zip(names.tolist(), heads.tolist(), [*heads[1:].tolist(), len(shard)]):
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()], pa.int64()), pa.array([name], pa.int32()),
@@ -138,7 +128,7 @@ def piece_counts(blocks: DataFrame, tokenizer: str, shards: int) -> DataFrame:
                 new = [w for w in words if w not in known]
                 known.update(zip(new, map(len, tok.encode_batch_fast(new, add_special_tokens=False))))
                 counts = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([_pack(counts)], pa.binary())], names=["block", "shard", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([pack(counts)], pa.binary())], names=["block", "shard", "counts"])
 
     dealt = blocks.select("block", "words", "hashes").mapInArrow(deal, "block long, shard int, words array<string>")
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(count, "block long, shard int, counts binary")
@@ -156,9 +146,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in batches:
             ids, sizes, per_doc, steps, freqs, counts = [batch.column(i) for i in range(6)]
             for i in range(batch.num_rows):
-                n = _unpack(per_doc[i].as_py()).astype(np.int64)
-                step, freq = _unpack(steps[i].as_py()).astype(np.int64), _unpack(freqs[i].as_py()).astype(np.int64)
-                pieces = np.concatenate([np.zeros(0, np.uint32), *map(_unpack, counts[i].as_py() or [])]).astype(np.int64)
+                n = unpack(per_doc[i].as_py()).astype(np.int64)
+                step, freq = unpack(steps[i].as_py()).astype(np.int64), unpack(freqs[i].as_py()).astype(np.int64)
+                pieces = np.concatenate([np.zeros(0, np.uint32), *map(unpack, counts[i].as_py() or [])]).astype(np.int64)
                 ends = np.cumsum(n)
                 run = np.concatenate([[0], np.cumsum(step)])
                 at = run[1:] - np.repeat(run[ends - n], n)
