@@ -5,8 +5,10 @@ from nearmiss.llm.bpe import decode, encode
 from nearmiss.llm.chat import format_chat, loss_texts, read_chat
 from nearmiss.llm.decontaminate import find_contamination
 from nearmiss.llm.jaccard import jaccard_groups
+from nearmiss.llm.langid import held_out, identify, learn_profiles
 from nearmiss.llm.linededup import dedup_lines
 from nearmiss.llm.tokencount import token_counts
+from nearmiss.llm.toxicity import fit, score
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -115,3 +117,18 @@ def op9_token_counts(spark, sf_dir):
 @query
 def op3_jaccard_join(spark, sf_dir):
     return jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_rank_order_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    profiles = learn_profiles(docs.filter(~held_out(F.col("doc_id"))).select("lang", "text"))
+    out = identify(docs.select("text", "doc_id"), profiles)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs.select("text", "doc_id"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
