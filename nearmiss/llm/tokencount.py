@@ -50,8 +50,9 @@ class _Block:
         self.n.append(len(counts))
 
     def row(self, number: int, id_type):
-        words = list(self.index)
-        hashes = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words))
+        coded = [w.encode() for w in self.index]
+        words, lengths = coded, np.array([len(w) for w in coded], np.int64)
+        hashes = np.fromiter(map(zlib.crc32, coded), np.uint32, len(coded))
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
@@ -65,11 +66,11 @@ class _Block:
         heads = heads[n > 0]
         step[heads] = at[heads]
         return [pa.array([number], pa.int64()), pa.array([self.ids], pa.list_(id_type)), pa.array([self.sizes], pa.list_(pa.int64())),
-                pa.array([[words[i] for i in order]], pa.list_(pa.string())), pa.array([pack(hashes[order])], pa.binary()), pa.array([len(words)], pa.int64()),
+                pa.array([zlib.compress(b"".join([coded[i] for i in order]), 1)], pa.binary()), pa.array([pack(lengths[order])], pa.binary()), pa.array([pack(hashes[order])], pa.binary()), pa.array([len(words)], pa.int64()),
                 pa.array([pack(n)], pa.binary()), pa.array([pack(step)], pa.binary()), pa.array([pack(freq)], pa.binary())]
 
 
-_BLOCK = ["block", "ids", "sizes", "words", "hashes", "n_words", "per_doc", "steps", "freqs"]
+_BLOCK = ["block", "ids", "sizes", "words", "lengths", "hashes", "n_words", "per_doc", "steps", "freqs"]
 
 
 def pretoken_blocks(docs: DataFrame, special: list, block_bytes: int) -> DataFrame:
@@ -92,7 +93,7 @@ def pretoken_blocks(docs: DataFrame, special: list, block_bytes: int) -> DataFra
             yield pa.RecordBatch.from_arrays(block.row(first + made, id_type), names=_BLOCK)
 
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_field)), T.StructField("sizes", T.ArrayType(T.LongType())),
-                           T.StructField("words", T.ArrayType(T.StringType())), T.StructField("hashes", T.BinaryType()), T.StructField("n_words", T.LongType()),
+                           T.StructField("words", T.BinaryType()), T.StructField("lengths", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("n_words", T.LongType()),
                            T.StructField("per_doc", T.BinaryType()), T.StructField("steps", T.BinaryType()), T.StructField("freqs", T.BinaryType())])
     return docs.mapInArrow(cut, schema)
 
@@ -105,12 +106,14 @@ def piece_counts(blocks: DataFrame, tokenizer: str, shards: int) -> DataFrame:
     def deal(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                words = batch.column(1)[i].values
-                shard = (unpack(batch.column(2)[i].as_py()).astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                words, lengths = zlib.decompress(batch.column(1)[i].as_py()), unpack(batch.column(2)[i].as_py())
+                ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+                shard = (unpack(batch.column(3)[i].as_py()).astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
                 names, heads = np.unique(shard, return_index=True)
                 for name, a, b in zip(names.tolist(), heads.tolist(), [*heads[1:].tolist(), len(shard)]):
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()], pa.int64()), pa.array([name], pa.int32()),
-                                                      pa.array([words.slice(a, b - a).to_pylist()], pa.list_(pa.string()))], names=["block", "shard", "words"])
+                                                      pa.array([zlib.compress(words[ends[a]:ends[b]], 1)], pa.binary()), pa.array([pack(lengths[a:b])], pa.binary())],
+                                                     names=["block", "shard", "words", "lengths"])
 
     def count(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,13 +127,14 @@ def piece_counts(blocks: DataFrame, tokenizer: str, shards: int) -> DataFrame:
             for i in range(batch.num_rows):
                 if batch.column(1)[i].as_py() != shard:
                     known, shard = {}, batch.column(1)[i].as_py()
-                words = batch.column(2)[i].as_py()
+                data, ends = zlib.decompress(batch.column(2)[i].as_py()), np.cumsum(unpack(batch.column(3)[i].as_py()), dtype=np.int64).tolist()
+                words = [data[a:b].decode() for a, b in zip([0, *ends], ends)]
                 new = [w for w in words if w not in known]
                 known.update(zip(new, map(len, tok.encode_batch_fast(new, add_special_tokens=False))))
                 counts = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([pack(counts)], pa.binary())], names=["block", "shard", "counts"])
 
-    dealt = blocks.select("block", "words", "hashes").mapInArrow(deal, "block long, shard int, words array<string>")
+    dealt = blocks.select("block", "words", "lengths", "hashes").mapInArrow(deal, "block long, shard int, words binary, lengths binary")
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(count, "block long, shard int, counts binary")
 
 
