@@ -6,13 +6,18 @@ arc v (a copy loses it if others share the state), and every state with an arc u
 are shared until a merge tells them apart, so the bit table stays far below tokens times tokens; its size is
 bounded by the tokenizer file, which is broadcast.
 
-A word is encoded from left to right: for each end position the token is looked up that ends there and that the state before it has
-an arc for. There is exactly one, because each string has one proper tokenization. Each distinct word is encoded once per task.
+A word is encoded from left to right along arcs, the longest label first. Where no arc leads on, the step before takes the next
+label; each prefix has one proper tokenization, so a place that failed once is never tried again and the work is linear in the
+word's length. Distinct words are encoded once per Python worker, up to CACHED_WORDS kept at a time.
 Decoding joins the labels of the arcs.
 
 Defined results: null text has no ids and decodes to empty text; ids outside the vocabulary raise KeyError-like errors; any other
 column passes through, clashing result columns are replaced. Bytes that are not UTF-8 decode to replacement characters.
 """
+import sys
+import uuid
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -70,51 +75,73 @@ class Encoder:
         self.columns = column.tolist()
         special = set(self.special.values())
         self.ids = {label: i for i, label in enumerate(vocabulary.labels) if state[i] >= 0 and i not in special}
-        self.longest = max(map(len, self.ids))
-        self.words = None
+        self.reach = {}  # longest token by its first three bytes
+        for label in self.ids:
+            if len(label) > 2:
+                self.reach[label[:3]] = max(self.reach.get(label[:3], 2), len(label))
 
     def tokens(self, word: bytes) -> list:
         """The proper tokenization of one word."""
-        ids, rows, columns, arcs, longest = self.ids.get, self.rows, self.columns, self.arcs, self.longest
-        whole = ids(word)
-        if whole is not None and arcs[columns[whole] >> 3] >> (columns[whole] & 7) & 1:
-            return [whole]
-        n = len(word)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                t = ids(word[start:end])
+        ids, reach, rows, columns, arcs = self.ids.get, self.reach.get, self.rows, self.columns, self.arcs
+        n, at, row, path, dead = len(word), 0, 0, [], None
+        length = min(n, reach(word[:3], 2))
+        while at < n:
+            while length:
+                t = ids(word[at:at + length])
                 if t is not None:
                     c = columns[t]
-                    if arcs[(rows[last[start]] if start else 0) + (c >> 3)] >> (c & 7) & 1:
-                        last[end], back[end] = t, start
+                    if arcs[row + (c >> 3)] >> (c & 7) & 1 and not (dead and at + length in dead):
                         break
-        out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
-        return out[::-1]
+                length -= 1
+            if length:
+                path.append((t, at, row, length))
+                at, row = at + length, rows[t]
+                length = min(n - at, reach(word[at:at + 3], 2))
+            else:  # no arc leads on from here, and the path to this place is the only one
+                dead = dead or set()
+                dead.add(at)
+                _, at, row, length = path.pop()
+                length -= 1
+        return [step[0] for step in path]
 
     def packed(self, word: str) -> bytes:
         if word in self.special:
-            return np.array([self.special[word]], "<u4").tobytes()
-        return np.array(self.tokens(word.encode()), "<u4").tobytes()
+            return _packed([self.special[word]])
+        return _packed(self.tokens(word.encode()))
+
+
+def _packed(ids: list) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class _Words(dict):
-    """Packed ids of the words met so far; emptied when full, which costs time but changes nothing."""
+    """Packed ids of the words met so far; when full, words that are met for the first time are not kept any more."""
 
     def __init__(self, encoder):
         super().__init__()
         self.encoder = encoder
 
     def __missing__(self, word):
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        out = self[word] = self.encoder.packed(word)
+        out = self.encoder.packed(word)
+        if len(self) < CACHED_WORDS:
+            self[word] = out
         return out
 
 
+_KEPT: dict = {}
+
+
+def _splitter_and_words(key: str, special: list, shared):
+    """The worker's splitter and words for one call of encode; they outlive the task."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Splitter(special), _Words(shared.value)
+    return _KEPT[key]
+
+
 def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, make):
     """df with column name made from source by make(arrow array) for runs of rows."""
     rest = [c for c in df.columns if c not in (source, name)]
@@ -135,12 +162,11 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str =
     vocabulary = Vocabulary(tokenizer)
     shared = df.sparkSession.sparkContext.broadcast(Encoder(vocabulary))
     special = list(vocabulary.special)
-    kept = {}
+    key = uuid.uuid4().hex
 
     def make(texts):
-        if not kept:
-            kept.update(split=Splitter(special), words=_Words(shared.value))
-        split, word = kept["split"], kept["words"].__getitem__
+        split, words = _splitter_and_words(key, special, shared)
+        word = words.__getitem__
         return pa.array([b"".join(map(word, split(t))) for t in text_array(texts).to_pylist()], pa.binary())
 
     return _with_column(df, text_col, ids_col, T.BinaryType(), make)
