@@ -9,6 +9,7 @@ from nearmiss.llm.langid import held_out, identify, learn_profiles
 from nearmiss.llm.linededup import dedup_lines
 from nearmiss.llm.tokencount import token_counts
 from nearmiss.llm.toxicity import fit, score
+from nearmiss.llm.vamana import nearest
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -132,3 +133,9 @@ def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs.select("text", "doc_id"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_robust_pruned_graph(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
