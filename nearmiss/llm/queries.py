@@ -7,6 +7,7 @@ from nearmiss.llm.decontaminate import find_contamination
 from nearmiss.llm.jaccard import jaccard_groups
 from nearmiss.llm.langid import held_out, identify, learn_profiles
 from nearmiss.llm.linededup import dedup_lines
+from nearmiss.llm.surrogates import pseudonymise
 from nearmiss.llm.tokencount import token_counts
 from nearmiss.llm.toxicity import fit, score
 from nearmiss.llm.vamana import nearest
@@ -139,3 +140,8 @@ def op10_toxicity(spark, sf_dir):
 def op2_robust_pruned_graph(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op1_pii_surrogates(spark, sf_dir):
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="nearmiss corpus key")
