@@ -9,7 +9,8 @@ stand-in of attempt a is drawn from HMAC-SHA256(key, kind, normal form, a) withi
 letters, valid octets, Luhn and IBAN check digits, name endings by gender, syllables by script; it is written in the spelling at hand.
 
 Collision check: all distinct entities of the corpus are drawn once (attempt 0). A stand-in that is another entity's normal form, or
-that an entity of smaller attempt or name holds already, is drawn again, until none is left: distinctness over the whole corpus.
+that an entity of smaller attempt or name holds already, is drawn again, until none is left: distinctness over the whole corpus. Every fourth attempt
+lets an address, secret or name grow, so a format with too few members does not block; other formats raise after MOST_ATTEMPTS.
 Only entities beyond attempt 0, which are few, are sent to the documents that hold them; Spark broadcasts that table while its size
 is under the session's threshold and joins by id beyond it. Everything else is derived where the text is.
 
@@ -38,6 +39,8 @@ SYLLABLES = {"latin": "ba be da de fa ga ka la le li ma me mi na ne ni no ra re
 ENDINGS = {"latin": {"given_m": ["ron", "mar", "den", "kel"], "given_f": ["lina", "retta", "mira", "dora"], "given_u": ["lis", "wyn"], "surname": ["son", "berg", "ster", "mann", "nez"]},
            "cyrillic": {"given_m": ["рон", "слав", "мир"], "given_f": ["лина", "мира", "дора"], "given_u": ["лис"], "surname": ["енко", "ских", "чук"]}}
 
+MOST_ATTEMPTS = 100
+
 _LOCAL = re.compile(r"[\w.%+-]+$")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])")
@@ -48,8 +51,9 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 _KEY = re.compile(r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)")
 _SECRET = re.compile(r"(?i)(?:password|passwd|pwd|api_?key|secret|token)[\"']?\s{0,4}=\s{0,4}[\"']?([^\s\"',;]{6,200})")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-_NAMED = re.compile(r"\b(" + "|".join(TITLES) + r")\b\.? ([A-ZÀ-ÞА-Я][\w'’-]{1,40})(?: ([A-ZÀ-ÞА-Я][\w'’-]{1,40}))?")
-_PAIR = re.compile(r"\b(" + "|".join(_GENDER) + r") ([A-ZÀ-ÞА-Я][\w'’-]{1,40})")
+_CAPITALISED = r"([A-ZÀ-ÞА-ЯЁ](?:[^\W\d_]|['’-]){1,40})(?!\w)"
+_NAMED = re.compile(r"\b(" + "|".join(TITLES) + r")\b\.? " + _CAPITALISED + "(?: " + _CAPITALISED + ")?")
+_PAIR = re.compile(r"\b(" + "|".join(_GENDER) + r") " + _CAPITALISED)
 
 
 def luhn(digits: str) -> int:
@@ -162,8 +166,10 @@ def _like(text: str, draw: _Stream, letters: int = 26) -> str:
 def draw(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     """The stand-in's normal form."""
     d = _Stream(key, kind, norm, attempt)
+    more = "".join("0123456789"[d.below(10)] for _ in range(attempt // 4))
     if kind == "email":
         local, domain = norm.split("@", 1)
+        local += more
         head, dot, last = domain.rpartition(".")
         return _like(local, d) + "@" + _like(head, d) + dot + last
     if kind == "ip":
@@ -179,10 +185,10 @@ def draw(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         body = _like(norm[4:], d)
         return norm[:2] + f"{98 - iban_rest(norm[:2] + '00' + body):02d}" + body
     if kind == "secret":
-        return ("AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in norm[4:])) if _KEY.fullmatch(norm) else _like(norm, d, 6 if _HEX.fullmatch(norm) else 26)
+        return ("AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in norm[4:])) if _KEY.fullmatch(norm) else _like(norm + more, d, 6 if _HEX.fullmatch(norm) else 26)
     script = _script(norm)
     syllables, endings = SYLLABLES[script], ENDINGS[script][kind]
-    return "".join(syllables[d.below(len(syllables))] for _ in range(2 + d.below(3))) + endings[d.below(len(endings))]
+    return "".join(syllables[d.below(len(syllables))] for _ in range(2 + d.below(3) + attempt // 4)) + endings[d.below(len(endings))]
 
 
 def render(kind: str, core: str, spelling: str) -> str:
@@ -231,8 +237,11 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         checked = state.join(first, ["kind", "core"]).join(real, ["kind", "core"], "left")
         lost = F.coalesce("real", F.lit(False)) | (F.struct("attempt", "norm") != F.col("first"))
         again = durable(checked.filter(lost).select("kind", "norm", (F.col("attempt") + 1).alias("attempt")))
-        if again.isEmpty():
+        worst = again.agg(F.max("attempt")).first()[0]
+        if worst is None:
             return state
+        if worst > MOST_ATTEMPTS:
+            raise RuntimeError("a kind of entity has more members in the corpus than its format has stand-ins")
         state = durable(state.join(again.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", "attempt", "core").union(_drawn(again, key)))
 
 
