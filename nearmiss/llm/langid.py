@@ -36,7 +36,7 @@ def gram_counts(text: str):
     found, last = [np.zeros(0, np.int64)], [0, 0]  # the two characters before the piece, blanks at the start
     for at in range(0, max(len(text), 1), _PIECE):
         points = np.frombuffer(text[at:at + _PIECE].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        x = np.concatenate([last, np.where(_letters()[points], points, 0), [0] * (at + _PIECE >= len(text))])
+        x = np.concatenate([last, np.where(_letters()[points], points, 0), np.zeros(int(at + _PIECE >= len(text)), np.int64)])
         a, b, c = x[:-2], x[1:-1], x[2:]
         found += [c[c > 0], (b << 20 | c)[(b > 0) | (c > 0)] | _TWO, (a << 40 | b << 20 | c)[b > 0] | _THREE]
         last = x[-2:].tolist()
