@@ -34,7 +34,7 @@ def past_actor_pairs(states: DataFrame, presence: DataFrame, focal: DataFrame, *
            .withColumn("u", F.explode(F.sequence(F.greatest(F.col("time_index") - steps, F.lit(0)), F.col("time_index")))))
     actors = (states.filter(~flag(F.col("is_sdc")) & full_state())
               .filter(not_null()).select("scenario_id", F.col("time_index").alias("u"), "track_id", "object_type", *G.prefixed("t_")))
-    pairs = G.with_relative_state(frame_join(ego, actors, presence, "track_id", "u"))
+    pairs = G.with_relative_state(frame_join(ego, actors, "u"))
     return (pairs.withColumnRenamed("pair_distance_m", "d").filter(F.col("d") <= radius_m)
             .withColumns({"is_focal": flag(F.col("track_id") == F.col("focal_id")), "closing": G.closing_speed("d")}))
 

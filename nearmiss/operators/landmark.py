@@ -117,7 +117,7 @@ def _around(states: DataFrame, presence: DataFrame, index: int) -> DataFrame:
     ego = ego_states(presence).filter(F.col("time_index") == index)
     actors = states.filter((F.col("time_index") == index) & ~flag(F.col("is_sdc")) & full_state()).select(
         *FRAME, "track_id", "object_type", *G.prefixed("t_"))
-    rows = G.with_relative_state(frame_join(ego, actors, presence, "track_id")).withColumnRenamed("pair_distance_m", "d")
+    rows = G.with_relative_state(frame_join(ego, actors)).withColumnRenamed("pair_distance_m", "d")
     return rows.filter(F.col("d") <= RADIUS_M).withColumns({
         "spd": G.speed("t_"), "hc": F.cos("t_heading"), "hs": F.sin("t_heading"), "closing": G.closing_speed("d"),
         "moving": F.col("d") > 1e-6}).withColumn("pos", F.when(F.col("moving"), F.greatest("closing", F.lit(0.0))))

@@ -10,9 +10,6 @@ from nearmiss.session import durable
 FRAME = ["scenario_id", "time_index"]
 # Copies of the small side in joins whose hot keys are not known beforehand.
 SALT = 8
-# A frame is cut once it has more rows than this and than one part in HOT_PARTS of the table.
-HOT_ROWS = 200_000
-HOT_PARTS = 10_000
 
 IS_EGO = "coalesce(is_sdc, false)"
 FULL_STATE = " AND ".join(["coalesce(valid, false)", *[f"coalesce(abs({c}) < double('Infinity'), false)" for c in G.STATE],
@@ -45,37 +42,13 @@ def salted_join(small: DataFrame, rows: DataFrame, keys: list, salt_on: list, ho
     return left.join(right, [*keys, "salt"], how).drop("salt")
 
 
-def hot_frames(presence: DataFrame) -> list:
-    """(scenario_id, time_index, cuts) of frames that hold very many rows.
-
-    A hot frame has more than 1 / HOT_PARTS of all rows, so there are fewer than
-    HOT_PARTS of them whatever the size of the table.
-    """
-    size = presence.agg(F.sum("n_rows").alias("total"), F.max("n_rows").alias("top")).first()
-    limit = max(HOT_ROWS, (size["total"] or 0) / HOT_PARTS)
-    if (size["top"] or 0) <= limit:
-        return []
-    rows = presence.filter(F.col("n_rows") > limit).select(*FRAME, F.ceil(F.col("n_rows") / limit).cast("int").alias("cuts"))
-    return [tuple(r) for r in rows.collect()]
-
-
-def frame_join(ego: DataFrame, actors: DataFrame, presence: DataFrame, track: str, frame: str = "time_index") -> DataFrame:
+def frame_join(ego: DataFrame, actors: DataFrame, frame: str = "time_index") -> DataFrame:
     """Ego rows with the actor rows of the same scenario and frame.
 
-    Without hot frames it is a plain join whose partitioning later per-frame
-    aggregates reuse. A hot frame is cut by a hash of the track: its ego row is
-    repeated per cut, and the list of hot frames, bounded by construction, is
-    broadcast to both sides.
+    A plain join whose partitioning later per-frame aggregates reuse; frames that are much larger than others are left to
+    Spark's skew join.
     """
-    keys = ["scenario_id", frame]
-    hot = hot_frames(presence)
-    if not hot:
-        return ego.join(actors, keys)
-    table = F.broadcast(presence.sparkSession.createDataFrame(hot, f"scenario_id string, {frame} int, cuts int"))
-    cuts = F.coalesce("cuts", F.lit(1))
-    left = ego.join(table, keys, "left").withColumn("cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("cuts")
-    right = actors.join(table, keys, "left").withColumn("cut", F.pmod(F.xxhash64(track), cuts).cast("int")).drop("cuts")
-    return left.join(right, [*keys, "cut"]).drop("cut")
+    return ego.join(actors, ["scenario_id", frame])
 
 
 def frame_presence(states: DataFrame) -> DataFrame:
@@ -118,7 +91,7 @@ def ego_target_pairs(states: DataFrame, presence: DataFrame | None = None, *, ra
     value = (lambda c: F.col(c)) if valid_targets_only else (lambda c: F.coalesce(F.col(c), F.lit(0.0)))
     targets = targets.select(*FRAME, F.col("track_id").alias("target_track_id"), F.col("object_type").alias("target_object_type"),
                              (F.lit(True) if valid_targets_only else full_state()).alias("pair_valid"), *[value(c).alias(f"t_{c}") for c in G.STATE])
-    pairs = G.with_relative_state(frame_join(ego_states(presence), targets, presence, "target_track_id"))
+    pairs = G.with_relative_state(frame_join(ego_states(presence), targets))
     return pairs.filter(F.col("pair_distance_m") <= radius_m)
 
 
@@ -151,7 +124,7 @@ def circle_pair_metrics(states: DataFrame, presence: DataFrame | None = None, *,
     targets = (base.filter(F.expr(f"NOT {IS_EGO}") & eligible_type())
                .select(*FRAME, F.col("track_id").alias("target_track_id"),
                        F.col("object_type").alias("target_object_type"), *G.prefixed("t_")))
-    pairs = G.with_relative_state(frame_join(ego, targets, presence, "target_track_id"))
+    pairs = G.with_relative_state(frame_join(ego, targets))
     pairs = G.with_circle_contact(pairs.filter(F.col("pair_distance_m") <= radius_m), t_max)
     return pairs.select(
         *FRAME, "ego_track_id", "target_track_id", "target_object_type", "pair_distance_m",

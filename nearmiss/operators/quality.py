@@ -96,9 +96,11 @@ def timestamp_stats(frames: DataFrame) -> DataFrame:
             .unionByName(steps.select(F.lit("step").alias("measure"), "v")))
     counts = durable(both.groupBy("measure", "v").agg(F.count("*").alias("n")))
     n, v = F.col("n"), F.col("v")
-    stats = counts.groupBy("measure").agg(
-        F.sum(n).alias("count"), F.count("*").alias("unique_values"), F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * n) / F.sum(n)).alias("mean"),
-        F.sqrt((F.sum(v * v * n) - F.sum(v * n) * F.sum(v * n) / F.sum(n)) / F.greatest(F.sum(n) - 1, F.lit(1))).alias("stdev"))
+    means = counts.groupBy("measure").agg((F.sum(v * n) / F.sum(n)).alias("mean"))
+    off = v - F.col("mean")
+    stats = counts.join(means, "measure").groupBy("measure").agg(
+        F.sum(n).alias("count"), F.count("*").alias("unique_values"), F.min(v).alias("min"), F.max(v).alias("max"), F.first("mean").alias("mean"),
+        F.sqrt(F.sum(off * off * n) / F.greatest(F.sum(n) - 1, F.lit(1))).alias("stdev"))
     median = exact_quantiles(counts, ["measure"], "v", [0.5], count=n).select("measure", F.col("quantile").alias("median"))
     return stats.join(median, "measure")
 

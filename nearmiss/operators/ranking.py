@@ -1,11 +1,10 @@
 """Order statistics without a global window.
 
 Everything that needs "how much lies before this value" goes through
-prefix_sums: rows are reduced to one per distinct value and stored. A table of
-checked small size is summed in one ordered window per group; a larger one is
-cut into ranges at approximate quantiles, each range is summed on its own and
-the range totals (a bounded table) supply the offsets. The quantiles only
-balance the work; the sums are exact either way.
+prefix_sums: rows are reduced to one per distinct value and stored, cut into
+ranges at approximate quantiles, each range is summed on its own and the range
+totals (a bounded table) supply the offsets. The quantiles only balance the
+work; the sums are exact wherever the cuts fall.
 """
 import math
 
@@ -14,10 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from nearmiss.operators.pairs import salted_join
 from nearmiss.session import durable
 
-# Distinct values up to which one ordered window per group is used.
-SMALL = 200_000
-
-
 def range_root(df: DataFrame) -> int:
     """Root of the number of ranges, following the session's shuffle width."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -33,6 +28,7 @@ def range_of(df: DataFrame, value: str) -> Column:
     root = range_root(df)
     n = root * root
     cuts = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], max(1000, 10 * n))).first()[0]
+    cuts = cuts or [0.0] * (n - 1)
     bounds = F.array(*[F.lit(float(b)) for b in cuts])
     every = F.array(*[F.lit(float(b)) for b in cuts[root - 1::root]])
     coarse = F.size(F.filter(every, lambda b: b < F.col(value)))
@@ -50,10 +46,6 @@ def prefix_sums(df: DataFrame, keys: list, value: str, sums: dict) -> DataFrame:
                      .agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     upto = (W.unboundedPreceding, -1)
-    if points.count() <= SMALL:
-        before = group.orderBy(value).rowsBetween(*upto)
-        return points.select(*keys, value, *names, *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"{n}_before") for n in names],
-                             *[F.sum(n).over(group).alias(f"{n}_total") for n in names])
     ranged = points.withColumn("range", range_of(points, value))
     inside = W.partitionBy(*keys, "range").orderBy(value).rowsBetween(*upto)
     per_range = ranged.groupBy(*keys, "range").agg(*[F.sum(n).alias(f"{n}_range") for n in names])
@@ -109,26 +101,14 @@ def spearman(df: DataFrame, keys: list, x: str, y: str, *, weight: Column | None
     weight = F.lit(1.0) if weight is None else weight
     df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     pairs = durable(df.groupBy(*keys, x, y).agg(F.sum(count).alias("f"), F.sum(weight * count).alias("w")))
-    if pairs.count() <= SMALL:
-        rows = pairs.withColumns({"rx": tied_rank(keys, x, "f"), "ry": tied_rank(keys, y, "f"),
-                                  "n_total": F.sum("f").over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))})
-    else:
-        rx = average_ranks(pairs, keys, x, F.col("f")).withColumnRenamed("rank", "rx")
-        ry = average_ranks(pairs, keys, y, F.col("f")).select(*keys, y, F.col("rank").alias("ry"))
-        rows = salted_join(ry, salted_join(rx, pairs, [*keys, x], [y], buckets=2), [*keys, y], [x], buckets=2)
+    rx = average_ranks(pairs, keys, x, F.col("f")).withColumnRenamed("rank", "rx")
+    ry = average_ranks(pairs, keys, y, F.col("f")).select(*keys, y, F.col("rank").alias("ry"))
+    rows = salted_join(ry, salted_join(rx, pairs, [*keys, x], [y], buckets=2), [*keys, y], [x], buckets=2)
     n = F.col("n_total")
     agg = [correlation(F.col("w"), F.col("rx") / n, F.col("ry") / n).alias("rho"), F.max(n).cast("long").alias("n")]
     return rows.groupBy(*keys).agg(*agg) if keys else rows.agg(*agg)
 
 
-def tied_rank(keys: list, value: str, count: str) -> Column:
-    """Average rank by one ordered window per group, for tables of checked size."""
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    upto = F.sum(count).over(group.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))
-    at = F.sum(count).over(W.partitionBy(*keys, value))
-    return upto - at + (at + 1) / 2
-
-
 def kendall_tau_b(df: DataFrame, keys: list, x: str, y: str) -> DataFrame:
     """Tau-b from discordance counts, without forming pairs.
 
@@ -173,12 +153,22 @@ def top_k(df: DataFrame, score: str, k: int) -> DataFrame:
     return df.select("scenario_id", score).orderBy(F.desc(score), "scenario_id").limit(k)
 
 
+def positions(df: DataFrame, score: str, most: int) -> DataFrame:
+    """Place of each scenario among all by falling score, ties by id, for places up to `most`.
+
+    Rows above a value come from prefix_sums; only rows of one value are numbered in a window.
+    """
+    rows = df.select("scenario_id", F.col(score).alias("s")).filter(F.col("s").isNotNull())
+    above = prefix_sums(rows, [], "s", {"n": F.lit(1.0)}).select("s", (F.col("n_total") - F.col("n_before") - F.col("n")).alias("above"))
+    ties = W.partitionBy("s").orderBy("scenario_id")
+    placed = rows.join(above.filter(F.col("above") < most), "s").withColumn("place", F.row_number().over(ties))
+    return placed.select("scenario_id", (F.col("above") + F.col("place")).cast("long").alias("pos")).filter(F.col("pos") <= most)
+
+
 def top_k_overlap(ref: DataFrame, other: DataFrame, score_a: str, score_b: str, ks: list) -> DataFrame:
     """Share of common scenarios among the k highest of two rankings; NULL if either has fewer."""
     most = max(ks)
-    numbered = lambda d, s: (top_k(d, s, most).withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(s), "scenario_id")))
-                             .select("scenario_id", "pos"))
-    a, b = numbered(ref, score_a), numbered(other, score_b)
+    a, b = positions(ref, score_a, most), positions(other, score_b, most)
     worst = a.join(b.withColumnRenamed("pos", "pos_b"), "scenario_id").select(F.greatest("pos", "pos_b").alias("worst"))
     size = lambda d: d.agg(F.count("*")).scalar()
     row = worst.agg(*[F.count_if(F.col("worst") <= k).alias(f"k{k}") for k in ks]).withColumns({"na": size(a), "nb": size(b)})

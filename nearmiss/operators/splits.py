@@ -59,8 +59,11 @@ def split_overlap(membership: DataFrame) -> DataFrame:
 
 
 def attach_split(df: DataFrame, membership: DataFrame) -> DataFrame:
-    """Left join of a stored membership; the audit below must report no unassigned row."""
-    return df.join(membership, "scenario_id", "left")
+    """Each row with the split of its scenario; a row without one, or a scenario listed under two, stops the job."""
+    one = membership.groupBy("scenario_id").agg(F.min("split").alias("split"), F.max("split").alias("other"))
+    stop = lambda what: F.raise_error(F.concat(F.lit(what), F.coalesce("scenario_id", F.lit("NULL")))).cast("string")
+    checked = F.when(F.col("split").isNull(), stop("no split for scenario ")).when(F.col("split") != F.col("other"), stop("two splits for scenario ")).otherwise(F.col("split"))
+    return df.join(one, "scenario_id", "left").withColumn("split", checked).drop("other")
 
 
 def membership_audit(scenarios: DataFrame, membership: DataFrame) -> DataFrame:

@@ -6,13 +6,6 @@ from pyspark.sql import functions as F
 from nearmiss.operators import linear as L, metrics as M, permute as PM, ranking as RK, resample as RS
 
 
-@pytest.fixture(params=["window", "ranges"])
-def path(request, monkeypatch):
-    if request.param == "ranges":
-        monkeypatch.setattr(RK, "SMALL", 0)
-    return request.param
-
-
 @pytest.fixture(scope="module")
 def table(spark):
     rng = np.random.default_rng(5)
@@ -30,20 +23,20 @@ def ranks(v):
     return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
 
 
-def test_prefix_sums(table, path):
+def test_prefix_sums(table):
     rows, df = table
     for r in RK.prefix_sums(df, ["g"], "x", {"w": F.col("w")}).collect():
         mine = [(a[2], a[5]) for a in rows if a[0] == r.g]
         assert r.w_before == pytest.approx(sum(w for v, w in mine if v < r.x)) and r.w_total == pytest.approx(sum(w for _, w in mine))
 
 
-def test_quantiles(table, path):
+def test_quantiles(table):
     rows, df = table
     for r in RK.exact_quantiles(df, ["g"], "y", [0.0, 0.025, 0.5, 0.9, 1.0]).collect():
         assert r.quantile == pytest.approx(np.quantile([a[3] for a in rows if a[0] == r.g], r.q))
 
 
-def test_spearman_weighted_and_plain(table, path):
+def test_spearman_weighted_and_plain(table):
     rows, df = table
     plain = {r.g: r.rho for r in RK.spearman(df, ["g"], "x", "y").collect()}
     weighted = {r.g: r.rho for r in RK.spearman(df, ["g"], "x", "y", weight=F.col("w")).collect()}
@@ -55,7 +48,7 @@ def test_spearman_weighted_and_plain(table, path):
         assert weighted[g] == pytest.approx(cov[0, 1] / np.sqrt(cov[0, 0] * cov[1, 1]))
 
 
-def test_kendall(table, path):
+def test_kendall(table):
     rows, df = table
     for r in RK.kendall_tau_b(df, ["g"], "x", "y").collect():
         mine = [a for a in rows if a[0] == r.g]
@@ -80,7 +73,7 @@ def brute_metrics(y, p, w):
     return ap, auc, best, min(s for s, f in zip(order, f1) if abs(f - best) < 1e-12)
 
 
-def test_curve_metrics(table, path):
+def test_curve_metrics(table):
     rows, df = table
     for r in M.curve_metrics(df, ["g"], "label", "x", F.col("w")).collect():
         mine = [a for a in rows if a[0] == r.g]
@@ -100,7 +93,7 @@ def test_empty_bin_keeps_weights_aligned(spark):
     assert M.expected_calibration_error(df, [], "y", "p").first().ece == pytest.approx(0.75 * 0.05 + 0.25 * 0.05)
 
 
-def test_bootstrap_draws_are_complete_and_vary(spark, path):
+def test_bootstrap_draws_are_complete_and_vary(spark):
     ids = spark.createDataFrame([(f"s{i}",) for i in range(40)], "scenario_id string")
     d = RS.bootstrap_draws(ids, n_boot=50).collect()
     per = {}
@@ -159,7 +152,7 @@ def test_ridge(spark):
     assert df.agg(F.sum(F.col("w") * f.residual())).first()[0] == pytest.approx(0.0, abs=1e-8)
 
 
-def test_permutation_is_one_to_one_within_strata(spark, path):
+def test_permutation_is_one_to_one_within_strata(spark):
     df = spark.createDataFrame([(f"s{i}", i % 3, float(i), float(-i)) for i in range(120)], "scenario_id string, stratum int, keep double, ctx double")
     out = PM.permute_within(df, ["ctx"], ["scenario_id"], ["stratum"], seed=41).collect()
     assert len(out) == 120 and all(r.keep == float(r.scenario_id[1:]) for r in out)
@@ -175,3 +168,14 @@ def test_student_p_values(spark):
     df = spark.createDataFrame([(0.5, 20), (0.1, 100), (0.0, 10), (-0.5, 20)], "r double, n int").select(spearman_p(F.col("r"), F.col("n")).alias("p"))
     got = [r.p for r in df.collect()]
     assert got == pytest.approx([0.024769, 0.322213, 1.0, 0.024769], abs=2e-5)
+
+
+def test_positions_and_overlap_with_ties(spark):
+    rows = [(f"s{i:03d}", float(i // 7 % 5), float(i % 11)) for i in range(120)] + [("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "scenario_id string, a double, b double")
+    order = lambda c: [r[0] for r in sorted((r for r in rows if r[c] is not None), key=lambda r: (-r[c], r[0]))]
+    for name, c in (("a", 1), ("b", 2)):
+        got = {r.scenario_id: r.pos for r in RK.positions(df, name, 40).collect()}
+        assert got == {s: i for i, s in enumerate(order(c)[:40], 1)}
+    got = {r.k: r.overlap for r in RK.top_k_overlap(df, df, "a", "b", [10, 40, 500]).collect()}
+    assert got[10] == len(set(order(1)[:10]) & set(order(2)[:10])) / 10 and got[40] == len(set(order(1)[:40]) & set(order(2)[:40])) / 40 and got[500] is None

@@ -193,3 +193,21 @@ def test_query_matches_sql(spark, name):
 def test_every_sql_belongs_to_a_query():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(QUERIES) > 100
+
+
+def test_constant_steps_have_no_deviation(spark):
+    from nearmiss.operators.quality import timestamp_stats
+    for n in (3, 6, 7, 12, 14, 91):
+        frames = spark.createDataFrame([("s", t, 1000.1 + t / 10) for t in range(n)], "scenario_id string, time_index int, timestamp_seconds double")
+        step = timestamp_stats(frames).filter("measure = 'step'").first()
+        assert 0 <= step.stdev < 1e-12 and step["median"] == 0.1 and step["count"] == n - 1
+
+
+def test_attach_split_stops_on_unassigned_and_doubly_assigned(spark):
+    from nearmiss.operators.splits import attach_split
+    df = spark.createDataFrame([("a",), ("b",)], "scenario_id string")
+    known = lambda rows: spark.createDataFrame(rows, "scenario_id string, split string")
+    assert {tuple(r) for r in attach_split(df, known([("a", "train"), ("b", "val"), ("a", "train")])).collect()} == {("a", "train"), ("b", "val")}
+    for rows in ([("a", "train")], [("a", "train"), ("b", "val"), ("b", "train")]):
+        with pytest.raises(Exception, match="split"):
+            attach_split(df, known(rows)).collect()
