@@ -1,13 +1,16 @@
-"""Re-timing of single tracks along their own path, as an augmentation job.
+"""Re-timing of single tracks along their own path, as an augmentation job of one join and windows over short tracks.
 
-A track has at most one row per frame, so a group is small; Spark shuffles the
-tracks, numpy re-times each.
+A track has at most one row per frame. All windows share one partitioning and order, so the tracks are shuffled once.
 """
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import math
 
+from pyspark.sql import Column, DataFrame, functions as F
+
+from nearmiss.operators.kinematics import track
 from nearmiss.operators.splits import WARP_SEED, hash_sample
+from nearmiss.session import durable
+
+FRAME_S = 0.1
 
 # Physical limits.
 MAX_POS_JUMP_M = 2.0
@@ -16,75 +19,85 @@ MAX_JERK_MPS3 = 15.0
 MAX_HEADING_JUMP_RAD = 0.5
 MAX_CROSS_TRACK_M = 1.0
 
-OUT = T.StructType([
-    T.StructField("scenario_id", T.StringType()), T.StructField("track_id", T.LongType()), T.StructField("time_index", T.IntegerType()),
-    T.StructField("passed", T.BooleanType()), T.StructField("reason", T.StringType()),
-    *[T.StructField(n, T.DoubleType()) for n in ("center_x", "center_y", "velocity_x", "velocity_y", "heading", "length", "width")]])
+KINEMATIC = ["center_x", "center_y", "velocity_x", "velocity_y", "heading", "length", "width"]
 
 
 def select_scenarios(df: DataFrame, ratio: float = 0.20, seed: str = WARP_SEED) -> DataFrame:
     return df.filter(hash_sample(F.col("scenario_id"), ratio, seed))
 
 
-def physical_gates(x, y, x0, y0, vx, vy, heading) -> list:
-    """Names of the limits a re-timed track breaks."""
-    bad = []
-    if not np.isfinite(np.concatenate([x, y, vx, vy, heading])).all():
-        return ["NAN"]
-    step = np.hypot(np.diff(x), np.diff(y))
-    if step.max(initial=0.0) >= MAX_POS_JUMP_M:
-        bad.append("POSITION")
-    speed = np.hypot(vx, vy)
-    along = np.gradient(np.concatenate([[0.0], np.cumsum(step)]), 0.1)
-    if (np.abs(along - speed) / np.maximum(speed, 1.0)).max() > 0.10:
-        bad.append("VELOCITY")
-    accel = np.gradient(speed, 0.1)
-    if np.abs(accel).max() > MAX_ACCEL_MPS2:
-        bad.append("ACCELERATION")
-    if np.abs(np.gradient(accel, 0.1)).max() > MAX_JERK_MPS3:
-        bad.append("JERK")
-    turn = (np.diff(heading) + np.pi) % (2 * np.pi) - np.pi
-    if np.abs(turn).max(initial=0.0) >= MAX_HEADING_JUMP_RAD:
-        bad.append("HEADING")
-    if len(x) and np.sqrt(((x[:, None] - x0) ** 2 + (y[:, None] - y0) ** 2).min(axis=1)).max() >= MAX_CROSS_TRACK_M:
-        bad.append("CROSS_TRACK")
-    return bad
-
-
-def retime(pdf: pd.DataFrame, alpha: float) -> pd.DataFrame:
-    """One track with its clock advanced by alpha / 2 * sin^2 over its length; unchanged if a gate fails."""
-    pdf = pdf.sort_values("time_index").reset_index(drop=True)
-    out = pdf[[f.name for f in OUT.fields if f.name not in ("passed", "reason")]].copy()
-
-    def done(passed, reason):
-        return out.assign(passed=passed, reason=reason)[[f.name for f in OUT.fields]]
-
-    t = pdf["time_index"].to_numpy(int)
-    if len(t) < 10:
-        return done(False, "TRACK_TOO_SHORT")
-    if (np.diff(t) != 1).any():
-        return done(False, "NON_CONTIGUOUS_TIMESTEPS")
-    x0, y0 = pdf["center_x"].to_numpy(float), pdf["center_y"].to_numpy(float)
-    if not np.isfinite(x0 + y0).all() or np.hypot(np.diff(x0), np.diff(y0)).sum() < 2.0:
-        return done(False, "STATIONARY_OR_TOO_SHORT")
-    clock = (t - t[0]) * 0.1
-    moved = np.clip(clock + alpha * 0.5 * np.sin(np.pi * clock / max(0.1, clock[-1])) ** 2, 0.0, clock[-1])
-    x, y = np.interp(moved, clock, x0), np.interp(moved, clock, y0)
-    vx, vy = np.gradient(x, 0.1), np.gradient(y, 0.1)
-    heading = np.arctan2(np.diff(y), np.diff(x))
-    heading = np.append(heading, heading[-1])
-    broken = physical_gates(x, y, x0, y0, vx, vy, heading)
-    if broken:
-        return done(False, "PHYSICAL_GATES_FAILED:" + ",".join(broken))
-    out = out.assign(center_x=x, center_y=y, velocity_x=vx, velocity_y=vy, heading=heading)
-    return done(True, "OK")
+TRACK = ["scenario_id", "track_id"]
+
+
+def _slope(value: str) -> Column:
+    """Change per second, from both neighbours where there are two."""
+    here, ahead, back = F.col(value), F.lead(value).over(track()), F.lag(value).over(track())
+    return F.when(back.isNull(), (ahead - here) / FRAME_S).when(ahead.isNull(), (here - back) / FRAME_S).otherwise((ahead - back) / (2 * FRAME_S))
+
+
+def _track_verdicts(rows: DataFrame) -> DataFrame:
+    """Per track: number of rows, its points, and the reason to refuse it without trying (NULL if none)."""
+    finite = F.coalesce((F.abs("center_x") < float("inf")) & (F.abs("center_y") < float("inf")), F.lit(False))
+    before = lambda c: F.lag(c).over(track())
+    steps = rows.select(*TRACK, "time_index", "center_x", "center_y", finite.alias("finite"), (F.col("time_index") - before("time_index")).alias("dt"),
+                        F.hypot(F.col("center_x") - before("center_x"), F.col("center_y") - before("center_y")).alias("hop"))
+    per = steps.groupBy(*TRACK).agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("dt") != 1, F.lit(False))).alias("gaps"), F.min("finite").alias("finite"),
+                                    F.coalesce(F.sum("hop"), F.lit(0.0)).alias("length"), F.collect_list(F.struct("center_x", "center_y")).alias("points"))
+    refused = (F.when(F.col("n") < 10, "TRACK_TOO_SHORT").when(F.col("gaps"), "NON_CONTIGUOUS_TIMESTEPS")
+               .when(~F.col("finite") | (F.col("length") < 2.0), "STATIONARY_OR_TOO_SHORT"))
+    return per.select(*TRACK, "n", "points", refused.alias("refused"))
+
+
+def retimed(rows: DataFrame, tracks: DataFrame, alpha: float) -> DataFrame:
+    """Rows of the accepted tracks on the moved clock: mx, my, vx, vy, turned (heading).
+
+    Row i of n shows the place of i + alpha / 2 * sin^2(pi * i / (n - 1)) seconds, clipped to the track, on the line between the two
+    rows around it.
+    """
+    index = (F.row_number().over(track()) - 1).alias("i")
+    ahead = lambda c: F.coalesce(F.lead(c).over(track()), F.col(c))
+    points = rows.select(*TRACK, index, "center_x", "center_y", (ahead("center_x") - F.col("center_x")).alias("to_x"), (ahead("center_y") - F.col("center_y")).alias("to_y"))
+    last = F.col("n") - 1
+    bump = F.sin(F.lit(math.pi) * F.col("i") / last)
+    clock = rows.select(*TRACK, "time_index", "length", "width", index).join(tracks.filter("refused IS NULL").drop("refused"), TRACK)
+    clock = clock.withColumn("at", F.least(F.greatest(F.col("i") + bump * bump * (alpha / 2 / FRAME_S), F.lit(0.0)), last.cast("double"))).drop("i").withColumn("i", F.floor("at").cast("int"))
+    part = F.col("at") - F.col("i")
+    moved = clock.join(points, [*TRACK, "i"]).select(*TRACK, "time_index", "length", "width", "points", (F.col("center_x") + part * F.col("to_x")).alias("mx"),
+                                                     (F.col("center_y") + part * F.col("to_y")).alias("my"))
+    ahead = F.atan2(F.lead("my").over(track()) - F.col("my"), F.lead("mx").over(track()) - F.col("mx"))
+    moved = moved.withColumns({"vx": _slope("mx"), "vy": _slope("my"), "ahead": ahead})
+    return moved.withColumn("turned", F.coalesce("ahead", F.lag("ahead").over(track()))).drop("ahead")
+
+
+def broken_limits(moved: DataFrame) -> DataFrame:
+    """One row per track: names of the limits that it exceeds once re-timed, in a fixed order; empty if none."""
+    before = lambda c: F.lag(c).over(track())
+    df = moved.withColumns({"step": F.hypot(F.col("mx") - before("mx"), F.col("my") - before("my")), "speed": F.hypot("vx", "vy"),
+                            "turn": F.abs(F.pmod(F.col("turned") - before("turned") + math.pi, F.lit(2 * math.pi)) - math.pi)})
+    next_step = F.lead("step").over(track())
+    df = df.withColumns({"path_speed": F.coalesce((F.col("step") + next_step) / 2, "step", next_step) / FRAME_S, "accel": _slope("speed")})
+    df = df.withColumn("jerk", _slope("accel"))
+    off = F.array_min(F.transform("points", lambda p: F.hypot(F.col("mx") - p["center_x"], F.col("my") - p["center_y"])))
+    finite = F.min(F.abs(F.col("mx") + F.col("my") + F.col("vx") + F.col("vy") + F.col("turned")) < float("inf"))
+    limits = [("POSITION", F.max("step") >= MAX_POS_JUMP_M), ("VELOCITY", F.max(F.abs(F.col("path_speed") - F.col("speed")) / F.greatest("speed", F.lit(1.0))) > 0.10),
+              ("ACCELERATION", F.max(F.abs("accel")) > MAX_ACCEL_MPS2), ("JERK", F.max(F.abs("jerk")) > MAX_JERK_MPS3),
+              ("HEADING", F.max("turn") >= MAX_HEADING_JUMP_RAD), ("CROSS_TRACK", F.max(off) >= MAX_CROSS_TRACK_M)]
+    return df.groupBy(*TRACK).agg(F.when(finite, F.concat_ws(",", *[F.when(hit, F.lit(name)) for name, hit in limits])).otherwise(F.lit("NAN")).alias("broken"))
 
 
 def warp_tracks(states: DataFrame, *, alpha: float = 0.15) -> DataFrame:
-    """Re-timed rows of the given tracks, with the verdict of each track."""
-    cols = [f.name for f in OUT.fields if f.name not in ("passed", "reason")]
-    data = states.select([F.col(c).cast(OUT[c].dataType).alias(c) for c in cols])
-    return data.groupBy("scenario_id", "track_id").applyInPandas(lambda pdf: retime(pdf, alpha), OUT)
+    """Re-timed rows of the given tracks with the verdict of each: passed, reason. Refused tracks keep their rows."""
+    rows = states.select("scenario_id", F.col("track_id").cast("long").alias("track_id"), F.col("time_index").cast("int").alias("time_index"), *[F.col(c).cast("double").alias(c) for c in KINEMATIC])
+    tracks = _track_verdicts(rows)
+    moved = durable(retimed(rows, tracks, alpha))
+    verdict = durable(tracks.select(*TRACK, "refused").join(broken_limits(moved), TRACK, "left").select(*TRACK, F.coalesce(
+        "refused", F.when(F.col("broken") == "", F.lit("OK")).otherwise(F.concat(F.lit("PHYSICAL_GATES_FAILED:"), "broken"))).alias("reason")))
+    new = moved.select(*TRACK, "time_index", F.struct(F.col("mx").alias("center_x"), F.col("my").alias("center_y"), F.col("vx").alias("velocity_x"),
+                                                      F.col("vy").alias("velocity_y"), F.col("turned").alias("heading")).alias("w"))
+    passed = F.col("reason") == "OK"
+    out = rows.join(verdict, TRACK).join(new, [*TRACK, "time_index"], "left")
+    return out.select(*TRACK, "time_index", passed.alias("passed"), "reason",
+                      *[F.when(passed, F.col(f"w.{c}")).otherwise(F.col(c)).alias(c) for c in KINEMATIC[:5]], "length", "width")
 
 
 def apply_warp(states: DataFrame, warped: DataFrame) -> DataFrame:

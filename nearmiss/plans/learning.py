@@ -12,7 +12,7 @@ from nearmiss.plans.context import feature_table
 from nearmiss.plans.core import frames_of
 from nearmiss.plans.statistics import BOOT
 from nearmiss.session import durable
-from nearmiss.sources.fixture import map_points, scores, signals, states
+from nearmiss.sources.fixture import map_points, scores, signals, smooth_states, states
 
 
 @query
@@ -186,17 +186,17 @@ def feature_importance(spark, sf_dir):
 
 @query
 def warp_tracks(spark, sf_dir):
-    """Verdicts of re-timing every non-ego track of the sampled scenarios."""
-    s = states(spark, sf_dir).filter("valid AND NOT is_sdc")
-    verdict = WP.warp_tracks(WP.select_scenarios(s)).groupBy("scenario_id", "track_id").agg(F.max("reason").alias("reason"), F.count("*").alias("n_rows"))
-    return rounded(verdict.groupBy("reason").agg(F.count("*").alias("n_tracks"), F.sum("n_rows").alias("n_rows")))
+    """Verdicts of re-timing every non-ego track of the sampled scenarios, and where the rows come to lie."""
+    rows = WP.warp_tracks(WP.select_scenarios(smooth_states(spark, sf_dir).filter("NOT is_sdc")))
+    return rounded(rows.groupBy("reason").agg(F.count_distinct("scenario_id", "track_id").alias("n_tracks"), F.count("*").alias("n_rows"),
+                                              *[F.avg(c).alias(f"mean_{c}") for c in ("center_x", "center_y", "velocity_x", "velocity_y", "heading")]), 5)
 
 
 @query
 def warp_response_accounting(spark, sf_dir):
-    """Peak severity with and without the smallest actors, accounted by sign of change."""
+    """Peak severity before and after re-timing the sampled scenarios, accounted by sign of change."""
     from nearmiss.operators.profile import scenario_profile
-    s = states(spark, sf_dir)
-    before = durable(scenario_profile(scene_criticality(s)))
-    after = durable(scenario_profile(scene_criticality(s.filter("is_sdc OR object_type = 'TYPE_VEHICLE'"))))
+    s = durable(smooth_states(spark, sf_dir))
+    moved = durable(WP.apply_warp(s, WP.warp_tracks(WP.select_scenarios(s.filter("NOT is_sdc")))))
+    before, after = (durable(scenario_profile(scene_criticality(x))) for x in (s, moved))
     return rounded(WP.warp_response_accounting(before, after))

@@ -4,7 +4,7 @@ Every query of the catalog runs on these views, so its work grows with
 `lineitem`. The grouping collapses a table of any size to at most 91 x 7
 states per scenario; partial aggregation happens before the shuffle.
 """
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 STATES_SQL = """
 SELECT scenario_id, time_index, track_id, timestamp_seconds, is_sdc, is_object_of_interest, object_type, valid,
@@ -90,7 +90,15 @@ SELECT CAST(l_suppkey AS STRING) AS scenario_id, CAST(l_orderkey % 91 AS INT) AS
 FROM {lineitem} GROUP BY l_suppkey, l_orderkey % 91
 """
 
-VIEWS = {"agent_state": STATES_SQL, "map_feature": MAP_SQL, "dynamic_signal": SIGNAL_SQL,
+# One steady track per (supplier, line number): speed 0 to 22.9 m/s, some bent, some short, some with a missing frame.
+SMOOTH_SQL = """
+SELECT CAST(l_suppkey AS STRING) AS scenario_id, l_linenumber AS track_id, CAST(MIN(l_orderkey) % 230 AS DOUBLE) / CAST(10 AS DOUBLE) AS v,
+       CAST(MIN(l_partkey) % 3 AS DOUBLE) * CAST(0.4 AS DOUBLE) AS bend, CASE WHEN MIN(l_partkey) % 11 = 0 THEN 8 ELSE 91 END AS n_frames,
+       CASE WHEN MIN(l_partkey) % 11 = 1 THEN 40 ELSE -1 END AS missing
+FROM {lineitem} GROUP BY l_suppkey, l_linenumber
+"""
+
+VIEWS = {"smooth_track": SMOOTH_SQL, "agent_state": STATES_SQL, "map_feature": MAP_SQL, "dynamic_signal": SIGNAL_SQL,
          "scores": SCORES_SQL, "predictions": PREDICTIONS_SQL}
 
 
@@ -102,6 +110,18 @@ def states(spark, sf_dir):
     return view(spark, sf_dir, "agent_state")
 
 
+def smooth_states(spark, sf_dir):
+    """Actor table of steady tracks side by side, on the grid of 91 frames."""
+    t = F.col("time_index")
+    rows = view(spark, sf_dir, "smooth_track").withColumn("time_index", F.explode(F.sequence(F.lit(0), F.lit(90)))).filter((t < F.col("n_frames")) & (t != F.col("missing")))
+    track, vehicle = F.col("track_id"), F.col("track_id") <= 4
+    return rows.select(
+        "scenario_id", "time_index", "track_id", (t / 10.0).alias("timestamp_seconds"), (track == 1).alias("is_sdc"),
+        F.when(vehicle, "TYPE_VEHICLE").when(track == 5, "TYPE_PEDESTRIAN").when(track == 6, "TYPE_CYCLIST").otherwise("TYPE_OTHER").alias("object_type"), F.lit(True).alias("valid"),
+        (F.col("v") * t / 10.0 + (track - 1) * 2.0).alias("center_x"), ((track - 1) * 2.5 + F.col("bend") * F.sin(t / 15.0)).alias("center_y"),
+        F.col("v").alias("velocity_x"), F.lit(0.0).alias("velocity_y"), F.lit(0.0).alias("heading"), F.when(vehicle, 4.5).otherwise(1.8).alias("length"), F.when(vehicle, 2.0).otherwise(0.8).alias("width"))
+
+
 def map_points(spark, sf_dir):
     return view(spark, sf_dir, "map_feature")
 

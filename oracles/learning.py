@@ -140,12 +140,49 @@ SELECT *, row_number() OVER (PARTITION BY split, band ORDER BY {_h('a')}, CAST(s
 SQL["permute_within_strata"] = query(f"""
 SELECT x.scenario_id, CAST(x.time_index AS BIGINT) AS time_index, x.split, x.band, {r6('x.p_base', 'p_base')}, {r6('y.p_full', 'p_full')}, y.n_lines FROM placed x JOIN placed y ON x.split = y.split AND x.band = y.band AND x.a = y.b""", "placed")
 
+_W = "OVER (PARTITION BY scenario_id, track_id ORDER BY time_index)"
+_rate = lambda c, out: f"""CASE WHEN lag({c}) {_W} IS NULL THEN (lead({c}) {_W} - {c}) / 0.1 WHEN lead({c}) {_W} IS NULL THEN ({c} - lag({c}) {_W}) / 0.1
+  ELSE (lead({c}) {_W} - lag({c}) {_W}) / 0.2 END AS {out}"""
+add_cte("smooth", ["smooth_track"], """
+SELECT scenario_id, time_index, track_id, time_index / 10.0 AS timestamp_seconds, track_id = 1 AS is_sdc, CASE WHEN track_id <= 4 THEN 'TYPE_VEHICLE' WHEN track_id = 5 THEN 'TYPE_PEDESTRIAN'
+  WHEN track_id = 6 THEN 'TYPE_CYCLIST' ELSE 'TYPE_OTHER' END AS object_type, TRUE AS valid, v * time_index / 10.0 + (track_id - 1) * 2.0 AS center_x,
+  (track_id - 1) * 2.5 + bend * sin(time_index / 15.0) AS center_y, v AS velocity_x, CAST(0 AS DOUBLE) AS velocity_y, CAST(0 AS DOUBLE) AS heading,
+  CASE WHEN track_id <= 4 THEN CAST(4.5 AS DOUBLE) ELSE CAST(1.8 AS DOUBLE) END AS length, CASE WHEN track_id <= 4 THEN CAST(2.0 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS width
+FROM (SELECT *, CAST(u AS INT) AS time_index FROM smooth_track, range(91) r(u)) WHERE time_index < n_frames AND time_index <> missing""")
+add_cte("to_warp", ["smooth", "splits"], f"""
+SELECT a.*, row_number() {_W} - 1 AS i FROM smooth a SEMI JOIN (SELECT * FROM splits WHERE warp) s ON a.scenario_id = s.scenario_id WHERE NOT is_sdc""")
+add_cte("warp_kind", ["to_warp"], f"""
+SELECT scenario_id, track_id, count(*) AS n, CASE WHEN count(*) < 10 THEN 'TRACK_TOO_SHORT' WHEN max(time_index) - min(time_index) + 1 > count(*) THEN 'NON_CONTIGUOUS_TIMESTEPS'
+  WHEN sum(hop) < 2.0 THEN 'STATIONARY_OR_TOO_SHORT' END AS refused
+FROM (SELECT *, sqrt(pow(center_x - lag(center_x) {_W}, 2) + pow(center_y - lag(center_y) {_W}, 2)) AS hop FROM to_warp) GROUP BY ALL""")
+add_cte("warp_moved", ["to_warp", "warp_kind"], f"""
+SELECT c.scenario_id, c.track_id, c.time_index, p.center_x + (spot - floor(spot)) * (q.center_x - p.center_x) AS mx, p.center_y + (spot - floor(spot)) * (q.center_y - p.center_y) AS my
+FROM (SELECT a.*, n, least(greatest(i + 0.75 * pow(sin(pi() * i / (n - 1)), 2), 0), n - 1) AS spot FROM to_warp a JOIN warp_kind k ON a.scenario_id = k.scenario_id AND a.track_id = k.track_id AND refused IS NULL) c
+JOIN to_warp p ON p.scenario_id = c.scenario_id AND p.track_id = c.track_id AND p.i = floor(spot) JOIN to_warp q ON q.scenario_id = c.scenario_id AND q.track_id = c.track_id AND q.i = least(floor(spot) + 1, n - 1)""")
+add_cte("warp_motion", ["warp_moved"], f"""
+SELECT *, coalesce(ahead, lag(ahead) {_W}) AS turned, sqrt(vx * vx + vy * vy) AS speed FROM (
+SELECT *, {_rate('mx', 'vx')}, {_rate('my', 'vy')}, atan2(lead(my) {_W} - my, lead(mx) {_W} - mx) AS ahead, sqrt(pow(mx - lag(mx) {_W}, 2) + pow(my - lag(my) {_W}, 2)) AS step FROM warp_moved)""")
+add_cte("warp_verdict", ["warp_motion", "warp_kind", "to_warp"], f"""
+SELECT k.scenario_id, k.track_id, coalesce(refused, CASE WHEN broken = '' THEN 'OK' ELSE 'PHYSICAL_GATES_FAILED:' || broken END) AS reason FROM warp_kind k LEFT JOIN (
+SELECT scenario_id, track_id, concat_ws(',', CASE WHEN max(step) >= 2.0 THEN 'POSITION' END, CASE WHEN max(abs(path - speed) / greatest(speed, 1.0)) > 0.10 THEN 'VELOCITY' END,
+  CASE WHEN max(abs(acc)) > 8.0 THEN 'ACCELERATION' END, CASE WHEN max(abs(jerk)) > 15.0 THEN 'JERK' END, CASE WHEN max(abs(turn - 2 * pi() * round(turn / (2 * pi())))) >= 0.5 THEN 'HEADING' END,
+  CASE WHEN max(off) >= 1.0 THEN 'CROSS_TRACK' END) AS broken
+FROM (SELECT *, {_rate('acc', 'jerk')} FROM (SELECT *, {_rate('speed', 'acc')}, turned - lag(turned) {_W} AS turn, coalesce((step + lead(step) {_W}) / 2, step, lead(step) {_W}) / 0.1 AS path,
+  (SELECT min(sqrt(pow(o.center_x - m.mx, 2) + pow(o.center_y - m.my, 2))) FROM to_warp o WHERE o.scenario_id = m.scenario_id AND o.track_id = m.track_id) AS off FROM warp_motion m)) GROUP BY ALL
+) b ON k.scenario_id = b.scenario_id AND k.track_id = b.track_id""")
+add_cte("warped", ["smooth", "warp_motion", "warp_verdict"], """
+SELECT s.* REPLACE (coalesce(m.mx, center_x) AS center_x, coalesce(m.my, center_y) AS center_y, coalesce(m.vx, velocity_x) AS velocity_x, coalesce(m.vy, velocity_y) AS velocity_y, coalesce(m.turned, heading) AS heading), reason
+FROM smooth s LEFT JOIN warp_verdict w ON s.scenario_id = w.scenario_id AND s.track_id = w.track_id
+LEFT JOIN warp_motion m ON w.reason = 'OK' AND s.scenario_id = m.scenario_id AND s.track_id = m.track_id AND s.time_index = m.time_index""")
 SQL["warp_tracks"] = query(f"""
-SELECT CASE WHEN n < 10 THEN 'TRACK_TOO_SHORT' WHEN gaps > 0 THEN 'NON_CONTIGUOUS_TIMESTEPS' ELSE 'OK' END AS reason, count(*) AS n_tracks, CAST(sum(n) AS BIGINT) AS n_rows FROM (
-SELECT a.scenario_id, track_id, count(*) AS n, max(time_index) - min(time_index) + 1 - count(*) AS gaps FROM agent_state a JOIN splits s ON a.scenario_id = s.scenario_id WHERE warp AND valid AND NOT is_sdc GROUP BY ALL) GROUP BY 1""", "agent_state", "splits")
-_peak = lambda cond: f"""(SELECT s.scenario_id, coalesce(max(sv), 0.0) AS pk FROM (SELECT DISTINCT scenario_id FROM agent_state) s LEFT JOIN (
-  SELECT scenario_id, time_index, CASE WHEN bool_or(overlap_now) THEN 1.0 ELSE 1 - min(ttc) / 10 END AS sv FROM pairs WHERE {cond} GROUP BY ALL) p ON s.scenario_id = p.scenario_id GROUP BY 1)"""
+SELECT reason, count(DISTINCT (scenario_id, track_id)) AS n_tracks, count(*) AS n_rows, {', '.join(r6(f'avg({c})', f'mean_{c}', 5) for c in ('center_x', 'center_y', 'velocity_x', 'velocity_y', 'heading'))}
+FROM warped WHERE reason IS NOT NULL GROUP BY 1""", "warped")
+for _name in ("smooth", "warped"):
+    add_cte(f"full_{_name}", [_name], f"SELECT * FROM {_name}")
+    add_cte(f"pairs_{_name}", [f"full_{_name}"], _pairs(True, _TYPES).replace("full_state", f"full_{_name}"))
+_peak = lambda pairs: f"""(SELECT s.scenario_id, coalesce(max(sv), 0.0) AS pk FROM (SELECT DISTINCT scenario_id FROM smooth) s LEFT JOIN (
+  SELECT scenario_id, time_index, CASE WHEN bool_or(overlap_now) THEN 1.0 ELSE 1 - min(ttc) / 10 END AS sv FROM {pairs} GROUP BY ALL) p ON s.scenario_id = p.scenario_id GROUP BY 1)"""
 SQL["warp_response_accounting"] = query(f"""
 SELECT count(*) FILTER (WHERE d > 1e-12) AS delta_peak_c_positive_count, count(*) FILTER (WHERE abs(d) <= 1e-12) AS delta_peak_c_zero_count, count(*) FILTER (WHERE d < -1e-12) AS delta_peak_c_negative_count,
   {r6('count(*) FILTER (WHERE d > 1e-12) / count(*)', 'true_increase_rate')}, {r6('count(*) FILTER (WHERE abs(d) <= 1e-12) / count(*)', 'unchanged_rate')}
-FROM (SELECT b.pk - a.pk AS d FROM {_peak('TRUE')} a JOIN {_peak("target_type = 'TYPE_VEHICLE'")} b ON a.scenario_id = b.scenario_id)""", "agent_state", "pairs")
+FROM (SELECT b.pk - a.pk AS d FROM {_peak('pairs_smooth')} a JOIN {_peak('pairs_warped')} b ON a.scenario_id = b.scenario_id)""", "smooth", "pairs_smooth", "pairs_warped")
