@@ -23,12 +23,13 @@ def frame_spine(presence: DataFrame, n_frames: int = N_FRAMES) -> DataFrame:
                        *[F.coalesce(F.try_element_at("seen", F.col("time_index"))[f], F.lit(False)).alias(f) for f in flags])
 
 
-def frame_targets(states: DataFrame, *, n_frames: int = N_FRAMES) -> DataFrame:
+def frame_targets(states: DataFrame, presence: DataFrame | None = None, *, n_frames: int = N_FRAMES, reductions: bool = False) -> DataFrame:
     """Frame label by precedence: overlap beats future contact beats censored.
 
-    Near actors whose numerics are unusable keep a frame out of no_exposure.
+    Near actors whose numerics are unusable keep a frame out of no_exposure. With reductions, also the least distance and the
+    greatest closing speed of the frame's usable pairs, from the same pass.
     """
-    presence = durable(frame_presence(states))
+    presence = durable(frame_presence(states)) if presence is None else presence
     pairs = pair_metrics(states, presence, clearance=False, valid_targets_only=False)
     c = F.col
     future = c("obb_hit_future") & ~c("obb_overlap_now") & (c("obb_ttc_s") > CONTACT_TOL)
@@ -37,7 +38,9 @@ def frame_targets(states: DataFrame, *, n_frames: int = N_FRAMES) -> DataFrame:
         F.count_if("pair_valid").alias("n_eligible_pairs"),
         F.count_if("obb_overlap_now").alias("n_obb_overlap"),
         F.count_if(future).alias("n_obb_future_contact"),
-        F.min(F.when(future, c("obb_ttc_s"))).alias("min_future"))
+        F.min(F.when(future, c("obb_ttc_s"))).alias("min_future"),
+        F.min(F.when(c("pair_valid"), c("pair_distance_m"))).alias("min_pair_distance_m"),
+        F.max(F.when(c("pair_valid"), c("closing_speed_mps"))).alias("max_closing_speed_mps"))
     out = frame_spine(presence, n_frames).join(reduced, FRAME, "left")
     status = (F.when(~c("any_valid"), INVALID_FRAME).when(~c("ego_ok"), INVALID_EGO)
               .when(c("n_near").isNull(), NO_EXPOSURE).when(c("n_obb_overlap") > 0, OVERLAP)
@@ -55,12 +58,13 @@ def frame_targets(states: DataFrame, *, n_frames: int = N_FRAMES) -> DataFrame:
         F.when(c("target_status") == OVERLAP, c("n_obb_overlap")).alias("n_obb_overlap"),
         F.when(c("target_status") == FUTURE_CONTACT, c("n_obb_future_contact")).alias("n_obb_future_contact"),
         F.lit(METHOD_BOX).alias("ttc_method"),
-        F.when(c("target_status").isin(FUTURE_CONTACT, CENSORED), horizon).alias("censor_time_s"))
+        F.when(c("target_status").isin(FUTURE_CONTACT, CENSORED), horizon).alias("censor_time_s"),
+        *(["min_pair_distance_m", "max_closing_speed_mps"] if reductions else []))
 
 
-def frame_targets_log(states: DataFrame, *, pairs: DataFrame | None = None) -> DataFrame:
+def frame_targets_log(states: DataFrame, presence: DataFrame | None = None, *, pairs: DataFrame | None = None) -> DataFrame:
     """Circle-based label: nearest-in-time pair and its log TTC, for frames that have rows."""
-    presence = durable(frame_presence(states))
+    presence = durable(frame_presence(states)) if presence is None else presence
     if pairs is None:
         pairs = circle_pair_metrics(states, presence)
     c = F.col

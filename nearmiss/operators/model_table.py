@@ -2,11 +2,10 @@
 from pyspark.sql import DataFrame, functions as F
 
 from nearmiss.constants import (C_ODD, DEFAULT_SPEED_LIMIT_MPS, GO_STATES, MODEL_FEATURES, R2_CONTEXT, R2_STATE, STOP_STATES, Z_STATE)
-from nearmiss.functions.columns import flag
 from nearmiss.functions.geometry import speed
 from nearmiss.operators.frames import frame_targets, frame_targets_log
 from nearmiss.operators.kinematics import kinematics
-from nearmiss.operators.pairs import FRAME, ego_track, frame_presence, pair_metrics
+from nearmiss.operators.pairs import FRAME, ego_track, frame_presence
 from nearmiss.operators.quality import leakage_audit
 from nearmiss.operators.splits import legacy_split_of
 from nearmiss.session import durable
@@ -15,12 +14,10 @@ _MAP_COUNTS = {"odd_n_lanes": "lane", "odd_n_road_lines": "road_line", "odd_n_ro
                "odd_n_stop_signs": "stop_sign", "odd_n_speed_bumps": "speed_bump", "odd_n_driveways": "driveway"}
 
 
-def frame_context(states: DataFrame) -> DataFrame:
+def frame_context(states: DataFrame, presence: DataFrame | None = None) -> DataFrame:
     """Valid actors per class and frame."""
-    ok = flag(F.col("valid"))
-    of = lambda t: F.count_if(ok & (F.col("object_type") == t))
-    return states.groupBy(*FRAME).agg(F.count_if(ok).alias("n_valid_agents"), of("TYPE_VEHICLE").alias("n_vehicles"),
-                                      of("TYPE_PEDESTRIAN").alias("n_pedestrians"), of("TYPE_CYCLIST").alias("n_cyclists"))
+    presence = frame_presence(states) if presence is None else presence
+    return presence.select(*FRAME, "n_valid_agents", "n_vehicles", "n_pedestrians", "n_cyclists")
 
 
 def map_feature_counts(points: DataFrame) -> DataFrame:
@@ -79,7 +76,7 @@ def model_table(states: DataFrame, points: DataFrame, signals: DataFrame) -> Dat
     if audit["status"] != "PASS":
         raise ValueError(f"model features leak the target: {audit}")
     presence = durable(frame_presence(states))
-    table = attach_context(frame_targets_log(states), frame_context(states), map_feature_counts(points), signals, ego_track(presence))
+    table = attach_context(frame_targets_log(states, presence), frame_context(states, presence), map_feature_counts(points), signals, ego_track(presence))
     table = durable(table.withColumn("split", legacy_split_of(F.col("scenario_id"))))
     stats = scaler_stats(table.filter("split = 'train'"), MODEL_FEATURES)
     keep = ["scenario_id", "time_index", "timestamp_seconds", "split", *C_ODD, *Z_STATE]
@@ -90,11 +87,9 @@ def model_table(states: DataFrame, points: DataFrame, signals: DataFrame) -> Dat
 def r2_features(states: DataFrame) -> DataFrame:
     """Frame targets with six ego / nearest-pair features and the actor count."""
     presence = durable(frame_presence(states))
-    pairs = pair_metrics(states, presence, clearance=False).groupBy(*FRAME).agg(
-        F.min("pair_distance_m").alias("min_pair_distance_m"), F.max("closing_speed_mps").alias("max_closing_speed_mps"))
     ego = kinematics(ego_track(presence)).select(
         *FRAME, F.col("derived_speed_mps").alias("ego_speed_mps"), F.col("derived_accel_mps2").alias("ego_accel_mps2"),
         F.col("derived_yaw_rate_rps").alias("ego_yaw_rate_rps"))
-    context = frame_context(states).select(*FRAME, F.col("n_valid_agents").alias("traffic_n_valid_agents"))
-    out = frame_targets(states).join(ego, FRAME, "left").join(pairs, FRAME, "left").join(context, FRAME, "left")
+    context = frame_context(states, presence).select(*FRAME, F.col("n_valid_agents").alias("traffic_n_valid_agents"))
+    out = frame_targets(states, presence, reductions=True).join(ego, FRAME, "left").join(context, FRAME, "left")
     return out.select(*FRAME, "target_status", "ttc_obb_swept_s", "right_censored", "overlap_now_flag", "ttc_method", "censor_time_s", *R2_STATE, *R2_CONTEXT)

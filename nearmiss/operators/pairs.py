@@ -52,16 +52,18 @@ def frame_join(ego: DataFrame, actors: DataFrame, frame: str = "time_index") ->
 
 
 def frame_presence(states: DataFrame) -> DataFrame:
-    """One row per frame that has any row: presence flags and the ego's own state.
+    """One row per frame that has any row: presence flags, valid actors by class and the ego's own state.
 
     The only full pass over the actor table besides the pair join; reduced
     before the shuffle. Ego values (e_*) are those of a flagged-valid ego row.
     """
     ego = lambda c: f"max(CASE WHEN {IS_EGO} AND coalesce(valid, false) THEN {c} END) AS e_{c}"
+    of = lambda kind, name: f"count_if(coalesce(valid, false) AND object_type = 'TYPE_{kind}') AS {name}"
     return states.groupBy(*FRAME).agg(*[F.expr(x) for x in (
         "count(*) > 0 AS any_row", "count(*) AS n_rows", "max(coalesce(valid, false)) AS any_valid",
         f"max({IS_EGO}) AS ego_row", f"max({IS_EGO} AND coalesce(valid, false)) AS ego_flagged", f"max({IS_EGO} AND {FULL_STATE}) AS ego_ok",
-        f"max(CASE WHEN {IS_EGO} THEN track_id END) AS ego_track_id", "min(timestamp_seconds) AS clock_s", *[ego(c) for c in G.STATE])])
+        f"max(CASE WHEN {IS_EGO} THEN track_id END) AS ego_track_id", "min(timestamp_seconds) AS clock_s",
+        "count_if(coalesce(valid, false)) AS n_valid_agents", of("VEHICLE", "n_vehicles"), of("PEDESTRIAN", "n_pedestrians"), of("CYCLIST", "n_cyclists"), *[ego(c) for c in G.STATE])])
 
 
 def ego_states(presence: DataFrame) -> DataFrame:

@@ -70,10 +70,10 @@ def exact_quantiles(df: DataFrame, keys: list, value: str, levels: list, *, coun
     `count` is the multiplicity of a row, 1 if not given.
     """
     p = prefix_sums(df, keys, value, {"n": F.lit(1.0) if count is None else count.cast("double")})
-    level = F.explode(F.array(*[F.lit(float(q)) for q in levels]))
-    pos = F.col("q") * (F.col("n_total") - 1)
-    rows = p.withColumn("q", level).withColumn("pos", pos)
-    covers = lambda at: (F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n"))
+    n, before = F.col("n_total") - 1, F.col("n_before")
+    meets = lambda q: (before <= F.ceil(q * n)) & (F.floor(q * n) < before + F.col("n"))
+    rows = p.withColumn("q", F.explode(F.filter(F.array(*[F.lit(float(q)) for q in levels]), meets))).withColumn("pos", F.col("q") * n)
+    covers = lambda at: (before <= at) & (at < before + F.col("n"))
     low, high = F.floor("pos"), F.ceil("pos")
     hit = rows.filter(covers(low) | covers(high))
     frac = F.max(F.col("pos") - low)

@@ -133,12 +133,12 @@ def score_vectors(spark, sf_dir):
 
 @query
 def correlation_matrix(spark, sf_dir):
-    return rounded(V.correlation_matrix(scored_kpis(spark, sf_dir), COMPONENTS, RESPONSE[:3]))
+    return rounded(V.correlation_matrix(scored_kpis(spark, sf_dir), COMPONENTS, RESPONSE))
 
 
 @query
 def correlation_intervals(spark, sf_dir):
-    return rounded(V.correlation_intervals(scored_kpis(spark, sf_dir), COMPONENTS[:1], RESPONSE, n_boot=BOOT))
+    return rounded(V.correlation_intervals(scored_kpis(spark, sf_dir), COMPONENTS, RESPONSE, n_boot=BOOT))
 
 
 @query

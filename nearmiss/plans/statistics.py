@@ -52,7 +52,7 @@ def per_split_evaluation(spark, sf_dir):
 @query
 def stratified_metrics(spark, sf_dir):
     df = stacked(spark, sf_dir)
-    median = df.select(F.percentile_approx(F.col("n_lines").cast("double"), 0.5, 100000).alias("m")).scalar()
+    median = RK.exact_quantiles(df, [], "n_lines", [0.5]).select("quantile").scalar()
     traffic = F.when(F.col("n_lines") <= median, "low_traffic").otherwise("high_traffic")
     band = F.when(F.col("gap_m") < 20, "0_20m").when(F.col("gap_m") < 40, "20_40m").otherwise("40_70m")
     strata = F.array(F.struct(F.lit("traffic").alias("dimension"), traffic.alias("stratum")),

@@ -103,7 +103,7 @@ def feature_coverage(spark, sf_dir):
 
 @query
 def holdout_qc(spark, sf_dir):
-    t = FR.frame_labels(frames_of(spark, sf_dir))
+    t = SP.assign_split(FR.frame_labels(frames_of(spark, sf_dir))).filter("split = 'internal_holdout'")
     return rounded(Q.holdout_qc(t, ["focal_clearance_m", "dominant_clearance_m"]))
 
 

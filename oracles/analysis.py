@@ -135,7 +135,7 @@ SELECT 'criticality_peak' AS score, '{k}' AS kpi, {r6(_rho('criticality_peak', k
     for k, cat, d in __import__("nearmiss.operators.validity", fromlist=["KPI_REGISTRY"]).KPI_REGISTRY), "pk")
 SQL["tau_rank_stability"] = query(" UNION ALL ".join(f"SELECT '{a}' AS score, 'tet_3s_s' AS kpi, {r6(_rho(a, 'tet_3s_s'), 'rho')}, (SELECT count(*) FROM pk) AS n" for a in ("tet_1s_s", "tet_2s_s", "tet_5s_s")), "pk")
 _tau = lambda a, b: f"""(SELECT sum(sign(x.{a} - y.{a}) * sign(x.{b} - y.{b})) / sqrt(count(*) FILTER (WHERE x.{a} <> y.{a})::DOUBLE * count(*) FILTER (WHERE x.{b} <> y.{b})) FROM pk x JOIN pk y ON x.scenario_id < y.scenario_id)"""
-SQL["correlation_matrix"] = query(" UNION ALL ".join(f"SELECT '{a}' AS score, '{b}' AS kpi, {r6(_rho(a, b), 'spearman')}, (SELECT count(*) FROM pk) AS n_valid, {r6(_tau(a, b), 'kendall')}" for a in _CMP for b in _RESP[:3]), "pk")
+SQL["correlation_matrix"] = query(" UNION ALL ".join(f"SELECT '{a}' AS score, '{b}' AS kpi, {r6(_rho(a, b), 'spearman')}, (SELECT count(*) FROM pk) AS n_valid, {r6(_tau(a, b), 'kendall')}" for a in _CMP for b in _RESP), "pk")
 _topn = lambda s, f: f"(SELECT scenario_id FROM pk ORDER BY {s} DESC, scenario_id LIMIT (SELECT CAST(greatest(5, floor(count(*) * {f})) AS BIGINT) FROM pk))"
 _ov = lambda a, b, f: r6(f"(SELECT count(*) FROM {_topn(a, f)} q WHERE scenario_id IN {_topn(b, f)}) / greatest(5, floor((SELECT count(*) FROM pk) * {f}))", "x").rsplit(" AS ", 1)[0]
 SQL["top_fraction_overlap"] = query(" UNION ALL ".join(f"""SELECT CAST({f} AS DOUBLE) AS top_k_fraction, CAST(greatest(5, floor((SELECT count(*) FROM pk) * {f})) AS BIGINT) AS k,
@@ -199,8 +199,8 @@ _ci = lambda v: f"""avg({v}) AS mean, quantile_cont({v}, 0.025) AS lo, quantile_
 add_cte("pk_draws", ["pk"], f"SELECT * FROM {draws_of('SELECT DISTINCT scenario_id FROM pk')} q")
 add_cte("pk_boot", ["pk", "pk_draws"], "SELECT replicate, m, pk.* FROM pk_draws d JOIN pk ON d.scenario_id = pk.scenario_id")
 SQL["correlation_intervals"] = query(" UNION ALL ".join(f"""
-SELECT 'criticality_peak' AS score, '{k}' AS kpi, {r6('mean')}, {r6('lo', 'ci_lower')}, {r6('hi', 'ci_upper')}, {r6('p', 'p_value')}, n AS n_replicates
-FROM (SELECT {_ci('rho')} FROM ({spear('replicate', 'criticality_peak', k, 'pk_boot', f='m')}))""" for k in _RESP), "pk_boot")
+SELECT '{c}' AS score, '{k}' AS kpi, {r6('mean')}, {r6('lo', 'ci_lower')}, {r6('hi', 'ci_upper')}, {r6('p', 'p_value')}, n AS n_replicates
+FROM (SELECT {_ci('rho')} FROM ({spear('replicate', c, k, 'pk_boot', f='m')}))""" for c in _CMP for k in _RESP), "pk_boot")
 
 add_cte("vs_boot", ["versus"], f"SELECT replicate, m, v.* FROM {draws_of('SELECT DISTINCT scenario_id FROM versus')} d JOIN versus v ON d.scenario_id = v.scenario_id")
 SQL["robustness_suite"] = query(f"""

@@ -61,7 +61,7 @@ JOIN ({pointwise(keys, source)}) p ON {on('p')} JOIN ({ece(keys, source)}) e ON
 
 SQL["per_split_evaluation"] = query(full_metrics("model, split", "stacked"), "stacked")
 add_cte("strata", ["stacked"], """
-SELECT *, 'traffic' AS dimension, CASE WHEN n_lines <= (SELECT quantile_disc(n_lines, 0.5) FROM stacked) THEN 'low_traffic' ELSE 'high_traffic' END AS stratum FROM stacked
+SELECT *, 'traffic' AS dimension, CASE WHEN n_lines <= (SELECT quantile_cont(n_lines, 0.5) FROM stacked) THEN 'low_traffic' ELSE 'high_traffic' END AS stratum FROM stacked
 UNION ALL SELECT *, 'distance_band', CASE WHEN gap_m < 20 THEN '0_20m' WHEN gap_m < 40 THEN '20_40m' ELSE '40_70m' END FROM stacked""")
 SQL["stratified_metrics"] = query(full_metrics("model, dimension, stratum", "strata"), "strata")
 

@@ -140,7 +140,8 @@ SELECT count(center_x) AS a, count(height) AS b, count(speed) AS c, count(jerk)
 SQL["holdout_qc"] = query(f"""
 SELECT count(*) AS total_frames, count(DISTINCT scenario_id) AS total_scenarios, {r6('count(*) / count(DISTINCT scenario_id)', 'mean_frames_per_scenario')},
   count(*) FILTER (WHERE f_clr IS NULL) + count(*) FILTER (WHERE d_clr IS NULL) AS null_values, {r6('avg(CAST(t_ttc <= 2 AS INT))', 'prevalence_tau_2s')},
-  {r6('avg(CAST(t_ttc <= 3 AS INT))', 'prevalence_tau_3s')}, {r6('avg(CAST(t_ttc <= 5 AS INT))', 'prevalence_tau_5s')} FROM labels_t""", "labels_t")
+  {r6('avg(CAST(t_ttc <= 3 AS INT))', 'prevalence_tau_3s')}, {r6('avg(CAST(t_ttc <= 5 AS INT))', 'prevalence_tau_5s')} FROM labels_t l
+SEMI JOIN (SELECT * FROM splits WHERE split = 'internal_holdout') s ON l.scenario_id = s.scenario_id""", "labels_t", "splits")
 SQL["profile_summary"] = query(f"""
 SELECT count(*) AS n_scenarios, {r6('avg(criticality_peak)', 'mean_criticality_peak')}, {r6('avg(criticality_auc_s)', 'mean_criticality_auc_s')}, {r6('avg(tet_3s_s)', 'mean_tet_3s_s')},
   count(*) FILTER (WHERE episode_count_3s > 0) AS scenarios_with_critical_episode_3s, {r6('avg(CAST(episode_count_3s > 0 AS INT))', 'critical_episode_scenario_rate')},
