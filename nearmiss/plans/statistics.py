@@ -7,7 +7,9 @@ from nearmiss.plans.catalog import query, rounded
 from nearmiss.sources.fixture import scores
 
 MODELS = {"base": "p_base", "full": "p_full"}
+# Replicates where every frame meets the replicates, and where only scenarios do.
 BOOT = 25
+FULL = 1000
 
 
 def weighted(spark, sf_dir):
@@ -95,7 +97,7 @@ def top_k_overlap(spark, sf_dir):
 
 @query
 def bootstrap_draws(spark, sf_dir):
-    return rounded(RS.bootstrap_draws(scores(spark, sf_dir), n_boot=BOOT))
+    return rounded(RS.bootstrap_draws(scores(spark, sf_dir), n_boot=FULL))
 
 
 @query
@@ -108,13 +110,13 @@ def paired_delta_ci(spark, sf_dir):
 def paired_nll_ci(spark, sf_dir):
     nll = lambda p: -F.log(F.greatest(F.when(F.col("y") == 1, F.col(p)).otherwise(F.lit(1.0) - F.col(p)), F.lit(1e-12)))
     df = scores(spark, sf_dir).withColumns({"nll_a": nll("p_base"), "nll_b": nll("p_full")})
-    return rounded(RS.paired_mean_interval(df, "nll_a", "nll_b", n_boot=BOOT))
+    return rounded(RS.paired_mean_interval(df, "nll_a", "nll_b", n_boot=FULL))
 
 
 @query
 def bootstrap_correlation_ci(spark, sf_dir):
     df = per_scenario(spark, sf_dir)
-    draws = RS.bootstrap_draws(df, n_boot=BOOT)
+    draws = RS.bootstrap_draws(df, n_boot=FULL)
     return rounded(RS.percentile_interval(RS.bootstrap_spearman(df, [], "peak_base", "mean_gap", draws), [], "rho"))
 
 

@@ -102,10 +102,12 @@ SELECT CAST({k} AS BIGINT) AS k, {r6(f'CASE WHEN (SELECT count(*) FROM per_scen)
 _u13 = lambda e: f"(CAST({_hex(e, 1, 13)} AS DOUBLE) / 4503599627370496.0)"
 add_cte("indexed", ["score_ids"], f"""
 SELECT scenario_id, row_number() OVER (ORDER BY {_u13('md5(scenario_id)')}, scenario_id) - 1 AS idx, count(*) OVER () AS n FROM score_ids""")
-add_cte("draws", ["indexed"], f"""
+_draws = lambda n: f"""
 SELECT replicate, i.scenario_id, m FROM (SELECT replicate, CAST(floor({_u13("md5('42|' || replicate || '|' || idx)")} * n) AS BIGINT) AS drawn, count(*) AS m
-  FROM indexed, range(25) r(replicate) GROUP BY ALL) d JOIN indexed i ON d.drawn = i.idx""")
-SQL["bootstrap_draws"] = query("SELECT replicate, scenario_id, m FROM draws", "draws")
+  FROM indexed, range({n}) r(replicate) GROUP BY ALL) d JOIN indexed i ON d.drawn = i.idx"""
+add_cte("draws", ["indexed"], _draws(25))
+add_cte("draws_full", ["indexed"], _draws(1000))
+SQL["bootstrap_draws"] = query("SELECT replicate, scenario_id, m FROM draws_full", "draws_full")
 
 add_cte("boot_rows", ["draws", "stacked"], """
 SELECT replicate, model, s.y, s.p, s.w * m AS w FROM draws d JOIN stacked s ON d.scenario_id = s.scenario_id
@@ -128,9 +130,9 @@ add_cte("nll", ["ws"], """
 SELECT scenario_id, avg(-ln(greatest(CASE WHEN y = 1 THEN p_base ELSE 1 - p_base END, 1e-12))) - avg(-ln(greatest(CASE WHEN y = 1 THEN p_full ELSE 1 - p_full END, 1e-12))) AS delta FROM ws GROUP BY 1""")
 SQL["paired_nll_ci"] = query(f"""
 SELECT {r6('avg(delta)', 'delta_mean')}, count(*) AS n_scenarios, {r6('median(delta)', 'delta_median')},
-  {r6('(SELECT quantile_cont(d, 0.025) FROM (SELECT sum(delta * m) / sum(m) AS d FROM draws x JOIN nll y ON x.scenario_id = y.scenario_id GROUP BY replicate))', 'ci_lower')},
-  {r6('(SELECT quantile_cont(d, 0.975) FROM (SELECT sum(delta * m) / sum(m) AS d FROM draws x JOIN nll y ON x.scenario_id = y.scenario_id GROUP BY replicate))', 'ci_upper')} FROM nll""", "nll", "draws")
-add_cte("boot_scen", ["draws", "per_scen"], "SELECT replicate, m, peak_base, mean_gap FROM draws d JOIN per_scen s ON d.scenario_id = s.scenario_id")
+  {r6('(SELECT quantile_cont(d, 0.025) FROM (SELECT sum(delta * m) / sum(m) AS d FROM draws_full x JOIN nll y ON x.scenario_id = y.scenario_id GROUP BY replicate))', 'ci_lower')},
+  {r6('(SELECT quantile_cont(d, 0.975) FROM (SELECT sum(delta * m) / sum(m) AS d FROM draws_full x JOIN nll y ON x.scenario_id = y.scenario_id GROUP BY replicate))', 'ci_upper')} FROM nll""", "nll", "draws_full")
+add_cte("boot_scen", ["draws_full", "per_scen"], "SELECT replicate, m, peak_base, mean_gap FROM draws_full d JOIN per_scen s ON d.scenario_id = s.scenario_id")
 SQL["bootstrap_correlation_ci"] = query(f"""
 SELECT {r6('avg(rho)', 'mean')}, {r6('quantile_cont(rho, 0.025)', 'ci_lower')}, {r6('quantile_cont(rho, 0.975)', 'ci_upper')},
   {r6('least((2 * least(count(*) FILTER (WHERE rho <= 0), count(*) FILTER (WHERE rho >= 0)) + 1) / (count(*) + 1), 1.0)', 'p_value')}, count(*) AS n_replicates
