@@ -8,7 +8,7 @@ from nearmiss.operators.pairs import frame_presence
 from nearmiss.operators.profile import scenario_profile
 from nearmiss.operators.splits import assign_split
 from nearmiss.plans.catalog import query, rounded
-from nearmiss.plans.statistics import BOOT, weighted
+from nearmiss.plans.statistics import BOOT, FULL, weighted
 from nearmiss.session import durable
 from nearmiss.sources.fixture import predictions, states
 
@@ -108,7 +108,7 @@ def icc_2_1(spark, sf_dir):
 
 @query
 def robustness_suite(spark, sf_dir):
-    return rounded(RB.robustness_suite(predictions(spark, sf_dir), n_boot=BOOT), 4)
+    return rounded(RB.robustness_suite(predictions(spark, sf_dir), n_boot=FULL), 4)
 
 
 def scored_kpis(spark, sf_dir):
@@ -138,7 +138,7 @@ def correlation_matrix(spark, sf_dir):
 
 @query
 def correlation_intervals(spark, sf_dir):
-    return rounded(V.correlation_intervals(scored_kpis(spark, sf_dir), COMPONENTS, RESPONSE, n_boot=BOOT))
+    return rounded(V.correlation_intervals(scored_kpis(spark, sf_dir), COMPONENTS, RESPONSE, n_boot=FULL))
 
 
 @query

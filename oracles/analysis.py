@@ -161,11 +161,11 @@ add_cte("rlong", ["rres"], """SELECT scenario_id, split, w, 'n_lines' AS feature
 UNION ALL SELECT scenario_id, split, w, 'p_base', res_p_base, res_p_full FROM rres""")
 
 
-def draws_of(ids: str) -> str:
+def draws_of(ids: str, n: int = 25) -> str:
     """Resampled multiplicities of the scenarios in a select."""
     idx = f"(SELECT scenario_id, row_number() OVER (ORDER BY {_u13('md5(scenario_id)')}, scenario_id) - 1 AS idx, count(*) OVER () AS n FROM ({ids}))"
     return f"""(SELECT replicate, i.scenario_id, m FROM (SELECT replicate, CAST(floor({_u13("md5('42|' || replicate || '|' || idx)")} * n) AS BIGINT) AS drawn, count(*) AS m
-      FROM {idx}, range(25) r(replicate) GROUP BY ALL) d JOIN {idx} i ON d.drawn = i.idx)"""
+      FROM {idx}, range({n}) r(replicate) GROUP BY ALL) d JOIN {idx} i ON d.drawn = i.idx)"""
 
 
 def effect(split: str, rlong: str = "rlong") -> str:
@@ -196,13 +196,13 @@ FROM (SELECT *, {_TIER} AS dev_validity_tier FROM eff_val) v JOIN eff_hold h ON
 
 _ci = lambda v: f"""avg({v}) AS mean, quantile_cont({v}, 0.025) AS lo, quantile_cont({v}, 0.975) AS hi,
   least((2 * least(count(*) FILTER (WHERE {v} <= 0), count(*) FILTER (WHERE {v} >= 0)) + 1) / (count(*) + 1), 1.0) AS p, count(*) AS n"""
-add_cte("pk_draws", ["pk"], f"SELECT * FROM {draws_of('SELECT DISTINCT scenario_id FROM pk')} q")
+add_cte("pk_draws", ["pk"], f"SELECT * FROM {draws_of('SELECT DISTINCT scenario_id FROM pk', 1000)} q")
 add_cte("pk_boot", ["pk", "pk_draws"], "SELECT replicate, m, pk.* FROM pk_draws d JOIN pk ON d.scenario_id = pk.scenario_id")
 SQL["correlation_intervals"] = query(" UNION ALL ".join(f"""
 SELECT '{c}' AS score, '{k}' AS kpi, {r6('mean')}, {r6('lo', 'ci_lower')}, {r6('hi', 'ci_upper')}, {r6('p', 'p_value')}, n AS n_replicates
 FROM (SELECT {_ci('rho')} FROM ({spear('replicate', c, k, 'pk_boot', f='m')}))""" for c in _CMP for k in _RESP), "pk_boot")
 
-add_cte("vs_boot", ["versus"], f"SELECT replicate, m, v.* FROM {draws_of('SELECT DISTINCT scenario_id FROM versus')} d JOIN versus v ON d.scenario_id = v.scenario_id")
+add_cte("vs_boot", ["versus"], f"SELECT replicate, m, v.* FROM {draws_of('SELECT DISTINCT scenario_id FROM versus', 1000)} d JOIN versus v ON d.scenario_id = v.scenario_id")
 SQL["robustness_suite"] = query(f"""
 SELECT r.experiment, {r6('rho', 'spearman', 4)}, r.n AS n_scenarios, {r6('tau', 'kendall', 4)}, {r6('lo', 'ci_lower', 4)}, {r6('hi', 'ci_upper', 4)}, {r6('mean', 'boot_mean', 4)} FROM ({spear('experiment', 'ref_peak', 'peak', 'versus')}) r
 JOIN (SELECT x.experiment, sum(sign(x.ref_peak - y.ref_peak) * sign(x.peak - y.peak)) / sqrt(count(*) FILTER (WHERE x.ref_peak <> y.ref_peak)::DOUBLE * count(*) FILTER (WHERE x.peak <> y.peak)) AS tau
