@@ -179,5 +179,8 @@ def records(spark, sf_dir):
     out = tracks.join(m, "scenario_id", "left").join(sig, "scenario_id", "left").select(
         "scenario_id", F.transform(F.sequence(F.lit(0), F.lit(90)), lambda t: t.cast("double") / 10.0).alias("timestamps_seconds"), "tracks",
         F.lit(0).alias("sdc_track_index"), F.array(F.lit(2).cast("long")).alias("objects_of_interest"), "map_features", "dynamic_map_states",
-        F.array().cast("array<struct<x:double,y:double,z:double>>").alias("sdc_paths"))
+        # Every other scenario also carries its first track's valid positions as a planned path.
+        F.when(F.col("scenario_id").cast("int") % 2 == 0, F.transform(F.filter(F.col("tracks")[0]["states"], lambda p: p["valid"]), lambda p: F.struct(
+            p["center_x"].alias("x"), p["center_y"].alias("y"), p["center_z"].alias("z"))))
+        .otherwise(F.array().cast("array<struct<x:double,y:double,z:double>>")).alias("sdc_paths"))
     return out.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD.fields])

@@ -15,7 +15,7 @@ LEFT JOIN agent_state a ON a.scenario_id = k.scenario_id AND a.track_id = k.trac
 
 SQL["flatten_scenario"] = query("""
 SELECT s.scenario_id, CAST(91 AS BIGINT) AS n_timestamps, n_tracks, CAST(0 AS BIGINT) AS sdc_track_index, coalesce(n_map, 0) AS n_map_features,
-  CAST(CASE WHEN n_sig > 0 THEN 91 ELSE 0 END AS BIGINT) AS n_dynamic_signal_steps, CAST(1 AS BIGINT) AS n_objects_of_interest, FALSE AS has_sdc_paths,
+  CAST(CASE WHEN n_sig > 0 THEN 91 ELSE 0 END AS BIGINT) AS n_dynamic_signal_steps, CAST(1 AS BIGINT) AS n_objects_of_interest, CAST(s.scenario_id AS INT) % 2 = 0 AS has_sdc_paths,
   CAST(0 AS DOUBLE) AS timestamp_start, CAST(9 AS DOUBLE) AS timestamp_end, CAST(9 AS DOUBLE) AS duration_seconds
 FROM (SELECT scenario_id, count(DISTINCT track_id) AS n_tracks FROM agent_state GROUP BY 1) s
 LEFT JOIN (SELECT scenario_id, count(DISTINCT feature_id) AS n_map FROM map_feature GROUP BY 1) m ON s.scenario_id = m.scenario_id
@@ -43,9 +43,9 @@ QUALIFY feature_type <> 'stop_sign' OR row_number() OVER w = 1""", "map_feature"
 
 SQL["flatten_dynamic_signals"] = query(f"""
 SELECT {KEY}, lane_id, signal_state, {r6('stop_point_x')}, {r6('stop_point_y')} FROM dynamic_signal""", "dynamic_signal")
-SQL["flatten_sdc_paths"] = """
-SELECT CAST(l_suppkey AS STRING) AS scenario_id, CAST(0 AS BIGINT) AS point_index, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z
-FROM lineitem WHERE FALSE"""
+SQL["flatten_sdc_paths"] = query(f"""
+SELECT scenario_id, row_number() OVER (PARTITION BY scenario_id ORDER BY time_index) - 1 AS point_index, {r6('center_x', 'x')}, {r6('center_y', 'y')}, {r6('center_z', 'z')} FROM agent_state a
+WHERE valid AND CAST(scenario_id AS INT) % 2 = 0 AND track_id = (SELECT min(track_id) FROM agent_state b WHERE b.scenario_id = a.scenario_id)""", "agent_state")
 SQL["with_aliases"] = query(f"""
 SELECT {KEY}, CAST(track_id AS BIGINT) AS track_id, scenario_id AS segment_id, CAST(time_index AS BIGINT) AS frame_label, CAST(track_id AS BIGINT) AS obj_id FROM agent_state""", "agent_state")
 
