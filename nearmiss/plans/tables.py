@@ -1,4 +1,6 @@
 """Catalog: flattening, audits, splits and indicators."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from nearmiss.operators import frames as FR, kpi as KP, quality as Q, splits as SP
@@ -6,8 +8,8 @@ from nearmiss.operators.kinematics import kinematics
 from nearmiss.operators.pairs import frame_presence
 from nearmiss.plans.catalog import query, rounded
 from nearmiss.plans.core import frames_of, profile_of
-from nearmiss.session import durable
-from nearmiss.sources import records as R
+from nearmiss.session import durable, shared_dir
+from nearmiss.sources import records as R, tables as TB
 from nearmiss.sources.fixture import map_points, records, signals, states
 from nearmiss.sources.tables import file_manifest as file_manifest_of
 
@@ -229,3 +231,51 @@ def file_manifest(spark, sf_dir):
     """Name, extension, size and digest of every table file."""
     m = file_manifest_of(spark, sf_dir, glob="*.parquet")
     return m.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "split", "extension", "size_bytes", "sha256")
+
+
+def stored(spark, sf_dir):
+    """The actor table written by scenario bucket, in two parts with different bucket counts."""
+    path = f"{shared_dir(spark)}/nearmiss/{uuid.uuid4().hex}"
+    s = durable(states(spark, sf_dir))
+    even = F.col("scenario_id").cast("int") % 2 == 0
+    TB.write_table(s.filter(even), path, "agent_state", buckets=8, rows_per_file=5000)
+    TB.write_table(s.filter(~even), path, "agent_state", buckets=3, mode="append")
+    return path
+
+
+@query
+def write_read_table(spark, sf_dir):
+    """Rows of the stored table by class, read with only the columns needed."""
+    back = TB.read_table(spark, stored(spark, sf_dir), "agent_state", columns=["object_type", "scenario_id", "center_x", "valid"])
+    return rounded(back.groupBy("object_type").agg(F.count("*").alias("n_rows"), F.count_distinct("scenario_id").alias("n_scenarios"),
+                                                   F.count_if("valid").alias("n_valid"), F.avg("center_x").alias("mean_x")), 5)
+
+
+@query
+def read_scenario_slice(spark, sf_dir):
+    """The stored rows of two scenarios, one from each part."""
+    path = stored(spark, sf_dir)
+    cols = ["scenario_id", "time_index", "track_id", "center_x", "valid"]
+    one = lambda i: TB.read_scenario_slice(spark, path, "agent_state", i).select(*cols)
+    return rounded(one("2").unionByName(one("7")))
+
+
+@query
+def scenario_ids(spark, sf_dir):
+    return TB.scenario_ids(TB.read_table(spark, stored(spark, sf_dir), "agent_state", columns=["scenario_id"]))
+
+
+@query
+def incremental_pairs(spark, sf_dir):
+    """Frame targets after the records arrive in two batches of files."""
+    from nearmiss.streaming.incremental import run_incremental
+    base = f"{shared_dir(spark)}/nearmiss/{uuid.uuid4().hex}"
+    r = durable(records(spark, sf_dir))
+    even = F.col("scenario_id").cast("int") % 2 == 0
+    for part in (even, ~even):
+        r.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/arrived")
+        run_incremental(spark, f"{base}/arrived", f"{base}/out")
+    out = spark.read.parquet(f"{base}/out/frame_targets")
+    # Records hold velocities in single precision, which can move a contact from "now" to "next"; both count as contact here.
+    kind = F.when(F.col("target_status").isin("current_geometry_overlap", "future_contact_event"), "contact").otherwise(F.col("target_status"))
+    return rounded(out.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_frames"), F.count_distinct("scenario_id").alias("n_scenarios")))

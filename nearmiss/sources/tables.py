@@ -37,15 +37,18 @@ def bucket_of(buckets: int):
     return F.pmod(F.xxhash64("scenario_id"), F.lit(buckets)).cast("int")
 
 
-def write_table(df: DataFrame, path: str, name: str, *, buckets: int = 64, files_per_bucket: int = 1, mode: str = "errorifexists") -> None:
-    """Aligned Parquet, partitioned by a hash bucket of the scenario id.
+def write_table(df: DataFrame, path: str, name: str, *, buckets: int = 64, rows_per_file: int = 2_000_000, mode: str = "errorifexists") -> None:
+    """Aligned Parquet, partitioned by the number of hash buckets of the scenario id and the bucket.
 
-    A directory per scenario would be one tiny file each; buckets keep files
-    large and still prune. A heavy scenario is spread over files_per_bucket files.
+    A directory per scenario would be one tiny file each; buckets keep files large and still prune. The bucket count is part of the
+    path, so readers need not know it and tables written with different counts can share a folder. A bucket is spread over as many
+    tasks and files as its share of the rows needs, whatever scenario they belong to.
     """
-    out = align(df, SCHEMAS[name]).withColumn("bucket", bucket_of(buckets))
-    out = out.withColumn("spread", F.pmod(F.xxhash64(*[c for c in out.columns if c != "bucket"]), F.lit(files_per_bucket)))
-    (out.repartition("bucket", "spread").drop("spread").write.mode(mode).partitionBy("bucket").parquet(f"{path}/{name}"))
+    spread = max(1, -(-df.count() // (buckets * rows_per_file)))
+    out = align(df, SCHEMAS[name]).withColumns({"buckets": F.lit(buckets), "bucket": bucket_of(buckets)})
+    out = out.withColumn("spread", F.pmod(F.xxhash64(*[c for c in out.columns if c not in ("bucket", "buckets")]), F.lit(spread)))
+    (out.repartition("bucket", "spread").drop("spread").write.mode(mode).option("maxRecordsPerFile", 2 * rows_per_file)
+     .partitionBy("buckets", "bucket").parquet(f"{path}/{name}"))
 
 
 def read_table(spark, path: str, name: str, *, columns=None) -> DataFrame:
@@ -54,10 +57,10 @@ def read_table(spark, path: str, name: str, *, columns=None) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def read_scenario_slice(spark, path: str, name: str, scenario_id: str, *, buckets: int = 64) -> DataFrame:
-    """Rows of one scenario; only its bucket's directory is scanned."""
-    want = spark.range(1).select(F.pmod(F.xxhash64(F.lit(scenario_id)), F.lit(buckets)).cast("int")).first()[0]
-    return read_table(spark, path, name).filter((F.col("bucket") == want) & (F.col("scenario_id") == scenario_id))
+def read_scenario_slice(spark, path: str, name: str, scenario_id: str) -> DataFrame:
+    """Rows of one scenario; only its bucket's directory is scanned, for each bucket count found in the table."""
+    own = F.pmod(F.xxhash64(F.lit(scenario_id)), F.col("buckets")).cast("int")
+    return read_table(spark, path, name).filter((F.col("bucket") == own) & (F.col("scenario_id") == scenario_id))
 
 
 def scenario_ids(df: DataFrame) -> DataFrame:

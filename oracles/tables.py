@@ -216,3 +216,15 @@ SELECT scenario_id, n_tracks, n_fragmented, {', '.join(r6(c, c, 3) for c in ('ma
 SQL["continuity_pass_rates"] = query(f"""
 SELECT k AS check_name, v AS n_passed, n, round(v / n, 4) AS pass_rate FROM (SELECT n, unnest({list(_OK)!r}) AS k, unnest([{', '.join('c_' + k for k in _OK)}]) AS v FROM (
 SELECT count(*) AS n, {', '.join(f'count(*) FILTER (WHERE coalesce({c} < {t}, TRUE)) AS c_{k}' for k, (c, t) in _OK.items())} FROM cont))""", "cont")
+
+SQL["write_read_table"] = query(f"""SELECT object_type, count(*) AS n_rows, count(DISTINCT scenario_id) AS n_scenarios, count(*) FILTER (WHERE valid) AS n_valid, {r6('avg(center_x)', 'mean_x', 5)}
+FROM agent_state GROUP BY 1""", "agent_state")
+SQL["read_scenario_slice"] = query(f"""SELECT scenario_id, CAST(time_index AS BIGINT) AS time_index, CAST(track_id AS BIGINT) AS track_id, {r6('center_x')}, valid
+FROM agent_state WHERE scenario_id IN ('2', '7')""", "agent_state")
+SQL["scenario_ids"] = query("SELECT DISTINCT scenario_id FROM agent_state", "agent_state")
+SQL["incremental_pairs"] = query("""SELECT status AS kind, count(*) AS n_frames, count(DISTINCT s.scenario_id) AS n_scenarios FROM (
+SELECT s.scenario_id, CASE WHEN NOT any_valid THEN 'invalid_frame' WHEN NOT ego_ok THEN 'invalid_ego_state' WHEN n_near IS NULL THEN 'no_exposure'
+  WHEN n_over + n_future > 0 THEN 'contact' ELSE 'right_censored' END AS status
+FROM spine s LEFT JOIN (SELECT scenario_id, time_index, count(*) AS n_near, count(*) FILTER (WHERE pair_valid AND overlap_now) AS n_over,
+  count(*) FILTER (WHERE pair_valid AND hit AND NOT overlap_now AND ttc > 1e-9) AS n_future FROM pairs_raw GROUP BY ALL) p
+  ON s.scenario_id = p.scenario_id AND s.time_index = p.time_index) s GROUP BY 1""", "spine", "pairs_raw")
