@@ -7,7 +7,7 @@ skips nor doubles a file.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearmiss.operators.frames import frame_targets
-from nearmiss.operators.pairs import pair_metrics
+from nearmiss.operators.pairs import frame_presence, pair_metrics
 from nearmiss.session import durable
 from nearmiss.sources.records import RECORD, distinct_scenarios, flatten_agent_state
 from nearmiss.sources.tables import BANNED_PATH_TOKENS, check_source_paths
@@ -23,14 +23,27 @@ def allowed_path() -> "Column":
     return ok
 
 
+def _new_scenarios(records: DataFrame, batch_id: int, out: str) -> DataFrame:
+    """Records of scenarios that no earlier batch has processed; the ids of this batch are noted."""
+    spark, path = records.sparkSession, f"{out}/scenarios"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        seen = spark.read.parquet(path).filter(F.col("batch") < batch_id).select("scenario_id")
+        records = records.join(seen, "scenario_id", "left_anti")
+    records = durable(records)
+    records.select("scenario_id").distinct().write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return records
+
+
 def process_batch(records: DataFrame, batch_id: int, out: str) -> None:
-    """Pairs, frame targets and one completion event per source file of the batch."""
+    """Pairs, frame targets and one completion event per source file of the batch; a scenario of an earlier batch is left out."""
     records = durable(records)
-    states = durable(flatten_agent_state(distinct_scenarios(records)))
-    pairs = pair_metrics(states, clearance=False, valid_targets_only=False)
+    states = durable(flatten_agent_state(distinct_scenarios(_new_scenarios(records, batch_id, out))))
+    presence = durable(frame_presence(states))
+    pairs = pair_metrics(states, presence, clearance=False, valid_targets_only=False)
     keep = [c for c in pairs.columns if not c.startswith(("e_", "t_")) and c not in ("dx", "dy", "dvx", "dvy")]
     pairs.select(*keep).write.mode("overwrite").parquet(f"{out}/pair_metrics/batch={batch_id}")
-    frame_targets(states).write.mode("overwrite").parquet(f"{out}/frame_targets/batch={batch_id}")
+    frame_targets(states, presence).write.mode("overwrite").parquet(f"{out}/frame_targets/batch={batch_id}")
     events = records.groupBy("source_file").agg(F.countDistinct("scenario_id").alias("n_scenarios"))
     events.withColumn("status", F.lit("completed")).write.mode("overwrite").parquet(f"{out}/progress/batch={batch_id}")
 
