@@ -5,7 +5,7 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nearmiss.constants import C_ODD, R2_MODELS, T_MAX_S, Z_STATE
@@ -41,14 +41,15 @@ def score(model: PipelineModel, df: DataFrame, features: list, name: str) -> Dat
 
 
 def score_nested(train: DataFrame, evaluation: DataFrame, models: dict, label: str, *, weight: str | None = None, **kw) -> DataFrame:
-    """Fit every nested model on `train` and add prob_<model> columns to `evaluation`."""
-    train, out = durable(train), durable(evaluation)
+    """Fit every nested model on `train` and add prob_<model> columns to `evaluation` in one pass."""
+    train, out = durable(train), evaluation
     for name, features in models.items():
-        fitted = nested_gbt(train, features, label, weight=weight, **kw)
-        scored = fitted.transform(filled(out, features)).withColumn(f"prob_{name}", vector_to_array("probability")[1])
-        # Feature columns keep their stored values; only the probability is taken over.
-        out = durable(out.join(scored.select("scenario_id", "time_index", f"prob_{name}"), ["scenario_id", "time_index"]))
-    return out
+        trees = nested_gbt(train, features, label, weight=weight, **kw).stages[-1]
+        # The vector is made beside the feature columns, which keep their stored values.
+        vector = array_to_vector(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]))
+        scored = trees.transform(out.withColumn("features_", vector)).withColumn(f"prob_{name}", vector_to_array("probability")[1])
+        out = scored.drop("features_", "rawPrediction", "probability", "prediction")
+    return durable(out)
 
 
 def feature_importance(model: PipelineModel, features: list) -> DataFrame:
