@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from nearmiss.llm.pretokens import Splitter, Vocabulary
-from nearmiss.llm.textbytes import text_array
+from nearmiss.llm.textbytes import text_array, text_batches
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 RUN_ROWS = 512
 
 
@@ -154,7 +154,7 @@ def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, make):
                 part = batch.slice(i, RUN_ROWS)
                 yield pa.RecordBatch.from_arrays([part.column(0), make(part.column(0)), *part.columns[1:]], names=names)
 
-    return df.select(source, *rest).mapInArrow(run, schema)
+    return text_batches(df).select(source, *rest).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

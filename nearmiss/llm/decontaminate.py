@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from nearmiss.llm.textbytes import batch_rows, byte_class, runs, span_hashes, window_hashes, word_spans
+from nearmiss.llm.textbytes import batch_rows, byte_class, runs, span_hashes, text_batches, window_hashes, word_spans
 from nearmiss.session import durable
 
 SEPARATORS = byte_class((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -121,7 +121,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_
     extra = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
     made = [f.name for f in extra]
     rest = [c for c in docs.columns if c not in (text_col, *made)]
-    scanned = docs.select(text_col, *rest)
+    scanned = text_batches(docs).select(text_col, *rest)
     for s in range(slices):
         if s:
             scanned = durable(scanned)

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from nearmiss.llm.textbytes import code_points, line_spans, mix, runs, span_hashes, strip_spans
+from nearmiss.llm.textbytes import code_points, line_spans, mix, runs, span_hashes, strip_spans, text_batches
 from nearmiss.session import durable
 
 _NO_ID = -(1 << 63)
@@ -189,7 +189,7 @@ def line_decisions(docs: DataFrame, index: DataFrame, shards: int, min_chars: in
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, shard_lines: int = 50_000) -> DataFrame:
     """docs with repeated lines dropped from text, and n_lines (before) and n_dropped, both long."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    own = text_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
     lines = durable(repeated_lines(own, min_chars, min_docs))
     shards = max(1, -(-lines.count() // shard_lines))
     drops = durable(line_decisions(own, line_index(lines, shards), shards, min_chars, min_docs))

@@ -24,6 +24,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from nearmiss.llm.textbytes import text_batches
 from nearmiss.session import durable
 
 #: Titles that announce a name, with the gender they tell (f, m or u).
@@ -248,7 +249,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with stand-ins in text, n_entities long (occurrences replaced) and kinds array<string> (of the entities, sorted)."""
     secret = key.encode()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_field = T.StructField("id", own.schema["id"].dataType)
     found = durable(own.mapInArrow(_find_rows, T.StructType([id_field, T.StructField("kind", T.StringType()), T.StructField("norm", T.StringType())])))
     names = assign(found.select("kind", "norm").distinct(), secret)

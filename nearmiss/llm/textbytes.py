@@ -10,11 +10,20 @@ import numpy as np
 import pyarrow as pa
 
 RUN_BYTES = 1 << 19
+BATCH_ROWS = 1000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
 
+def text_batches(df):
+    """df, in a session that hands at most BATCH_ROWS rows at once to Python: texts are large rows, and both sides hold whole batches."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def byte_class(*ranges) -> np.ndarray:
     """Boolean table of 256 entries, true inside the inclusive ranges."""
     table = np.zeros(256, bool)

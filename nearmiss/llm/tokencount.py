@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from nearmiss.llm.pretokens import Splitter, Vocabulary
-from nearmiss.llm.textbytes import pack, text_array, unpack
+from nearmiss.llm.textbytes import pack, text_array, text_batches, unpack
 from nearmiss.session import durable
 
 
@@ -140,7 +140,7 @@ def piece_counts(blocks: DataFrame, tokenizer: str, shards: int) -> DataFrame:
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, shard_words: int = 400_000) -> DataFrame:
     """One row per document: id, n_bytes long (UTF-8), n_tokens long."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = durable(pretoken_blocks(own, list(Vocabulary(tokenizer).special), block_bytes))
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     answers = (piece_counts(blocks, tokenizer, max(1, -(-total // shard_words))).groupBy("block")
