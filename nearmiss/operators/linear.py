@@ -105,7 +105,7 @@ def conditional_effects(train: DataFrame, evaluation: DataFrame, controls: list,
         "feature_name", is_primary.alias("primary_eligible"), c("effect").alias("train_conditional_effect"), c("point").alias("val_conditional_effect"),
         c("mean").alias("bootstrap_mean"), c("ci_lower").alias("ci_lower_95"), c("ci_upper").alias("ci_upper_95"), c("p_value").alias("p_value_empirical_bootstrap"),
         (c("ci_lower") * c("ci_upper") > 0).alias("ci_excludes_zero"), (F.signum("effect") == F.signum("point")).alias("train_val_sign_concordant"),
-        c("point").between(c("ci_lower"), c("ci_upper")).alias("point_inside_ci"),
+        c("point").between(c("ci_lower") - 1e-12, c("ci_upper") + 1e-12).alias("point_inside_ci"),  # sums differ in order
         tier(is_primary, c("effect"), c("point"), c("ci_lower"), c("ci_upper")).alias("frame_validity_tier"))
 
 

@@ -186,7 +186,7 @@ _TIER = """CASE WHEN feature_name <> 'n_lines' THEN 'EXCLUDED_MEASUREMENT_LIMITA
   WHEN abs(point) >= 0.03 THEN 'CORE_CANDIDATE' ELSE 'CONTEXT_CANDIDATE' END"""
 SQL["conditional_effect"] = query(f"""
 SELECT feature_name, feature_name = 'n_lines' AS primary_eligible, {r6('train', 'train_conditional_effect')}, {r6('point', 'val_conditional_effect')}, {r6('mean', 'bootstrap_mean')}, {r6('lo', 'ci_lower_95')}, {r6('hi', 'ci_upper_95')},
-  {r6('p', 'p_value_empirical_bootstrap')}, lo * hi > 0 AS ci_excludes_zero, sign(train) = sign(point) AS train_val_sign_concordant, point BETWEEN lo AND hi AS point_inside_ci, {_TIER} AS frame_validity_tier FROM eff_val""", "eff_val")
+  {r6('p', 'p_value_empirical_bootstrap')}, lo * hi > 0 AS ci_excludes_zero, sign(train) = sign(point) AS train_val_sign_concordant, point BETWEEN lo - 1e-12 AND hi + 1e-12 AS point_inside_ci, {_TIER} AS frame_validity_tier FROM eff_val""", "eff_val")
 SQL["feature_confirmation"] = query(f"""
 SELECT v.feature_name, {r6('v.point', 'dev_conditional_effect')}, dev_validity_tier, {r6('h.point', 'holdout_conditional_effect')}, {r6('h.lo', 'ci_lower_95')}, {r6('h.hi', 'ci_upper_95')}, h.lo * h.hi > 0 AS ci_excludes_zero,
   sign(v.point) = sign(h.point) AS dev_holdout_sign_concordant, CASE WHEN sign(v.point) = sign(h.point) AND h.lo * h.hi > 0 AND dev_validity_tier IN ('CORE_CANDIDATE', 'CONTEXT_CANDIDATE') THEN 'CONFIRMED'
@@ -222,7 +222,7 @@ UNION ALL SELECT scenario_id, split, w, 'p_base', res_p_base, res_{_t} FROM sres
 _TIER2 = "CASE WHEN sign(train) <> sign(point) THEN 'DISCORDANT' WHEN lo * hi <= 0 THEN 'UNSUPPORTED' WHEN abs(point) >= 0.03 THEN 'CORE_CANDIDATE' ELSE 'CONTEXT_CANDIDATE' END"
 SQL["scenario_association"] = query(" UNION ALL ".join(f"""
 SELECT feature_name, TRUE AS primary_eligible, {r6('train', 'train_conditional_effect')}, {r6('point', 'val_conditional_effect')}, {r6('mean', 'bootstrap_mean')}, {r6('lo', 'ci_lower_95')}, {r6('hi', 'ci_upper_95')},
-  {r6('p', 'p_value_empirical_bootstrap')}, lo * hi > 0 AS ci_excludes_zero, sign(train) = sign(point) AS train_val_sign_concordant, point BETWEEN lo AND hi AS point_inside_ci, {_TIER2} AS frame_validity_tier, '{t}' AS profile_target FROM seff_{t}"""
+  {r6('p', 'p_value_empirical_bootstrap')}, lo * hi > 0 AS ci_excludes_zero, sign(train) = sign(point) AS train_val_sign_concordant, point BETWEEN lo - 1e-12 AND hi + 1e-12 AS point_inside_ci, {_TIER2} AS frame_validity_tier, '{t}' AS profile_target FROM seff_{t}"""
     for t in ("top", "level")), "seff_top", "seff_level")
 SQL["cross_level_class"] = query(f"""
 SELECT f.feature_name, {r6('f.point', 'frame_effect')}, f.lo * f.hi > 0 AS frame_sig, {r6('s.point', 'scenario_effect')}, s.lo * s.hi > 0 AS scenario_sig,
