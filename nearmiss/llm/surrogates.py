@@ -42,6 +42,9 @@ ENDINGS = {"latin": {"given_m": ["ron", "mar", "den", "kel"], "given_f": ["lina"
 
 MOST_ATTEMPTS = 100
 
+#: Secrets above LONG characters are drawn in pieces of PIECE, so that the time grows with the length and not with its square.
+LONG, PIECE = 200, 120
+
 _LOCAL = re.compile(r"[\w.%+-]+$")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])")
@@ -50,7 +53,7 @@ _CARD = re.compile(r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d){9,15}(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _KEY = re.compile(r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)")
-_SECRET = re.compile(r"(?i)(?:password|passwd|pwd|api_?key|secret|token)[\"']?\s{0,4}=\s{0,4}[\"']?([^\s\"',;]{6,200})")
+_SECRET = re.compile(r"(?i)(?:password|passwd|pwd|api_?key|secret|token)[\"']?\s{0,4}=\s{0,4}[\"']?([^\s\"',;]{6,})")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _CAPITALISED = r"([A-ZÀ-ÞА-ЯЁ](?:[^\W\d_]|['’-]){1,40})(?!\w)"
 _NAMED = re.compile(r"\b(" + "|".join(TITLES) + r")\b\.? " + _CAPITALISED + "(?: " + _CAPITALISED + ")?")
@@ -166,7 +169,7 @@ def _like(text: str, draw: _Stream, letters: int = 26) -> str:
 
 def draw(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     """The stand-in's normal form."""
-    d = _Stream(key, kind, norm, attempt)
+    d = _Stream(key, kind, norm if len(norm) <= 2 * LONG else hashlib.sha256(norm.encode()).hexdigest(), attempt)
     more = "".join("0123456789"[d.below(10)] for _ in range(attempt // 4))
     if kind == "email":
         local, domain = norm.split("@", 1)
@@ -186,7 +189,11 @@ def draw(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         body = _like(norm[4:], d)
         return norm[:2] + f"{98 - iban_rest(norm[:2] + '00' + body):02d}" + body
     if kind == "secret":
-        return ("AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in norm[4:])) if _KEY.fullmatch(norm) else _like(norm + more, d, 6 if _HEX.fullmatch(norm) else 26)
+        letters = 6 if _HEX.fullmatch(norm) else 26
+        if len(norm) > LONG:
+            name, whole = hashlib.sha256(norm.encode()).hexdigest(), norm + more
+            return "".join(_like(whole[i:i + PIECE], _Stream(key, kind, f"{name}\0{i}", attempt), letters) for i in range(0, len(whole), PIECE))
+        return ("AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in norm[4:])) if _KEY.fullmatch(norm) else _like(norm + more, d, letters)
     script = _script(norm)
     syllables, endings = SYLLABLES[script], ENDINGS[script][kind]
     return "".join(syllables[d.below(len(syllables))] for _ in range(2 + d.below(3) + attempt // 4)) + endings[d.below(len(endings))]

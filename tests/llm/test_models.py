@@ -70,6 +70,18 @@ def test_detection_and_formats():
     assert re.fullmatch("[А-Я][а-я]+", next(iter(new["surname", "петрова"])))
 
 
+def test_long_secrets_are_replaced_whole(spark):
+    head = "eyJ" + "aB3-" * 50
+    values = [head + "x" * 797, head + "y" * 797, "q7" * 200000]
+    assert [[(s[2], s[3]) for s in surrogates.detect(f"token={v}, end")] for v in values] == [[("secret", v)] for v in values]
+    df = spark.createDataFrame([(i, f"token={v}, end") for i, v in enumerate(values)], "doc_id long, text string")
+    new = {r.doc_id: r.text for r in surrogates.pseudonymise(df, "key").collect()}
+    assert len(set(new.values())) == 3
+    for i, v in enumerate(values):
+        got = new[i].removeprefix("token=").removesuffix(", end")
+        assert len(got) == len(v) and v[-100:] not in got and not any(got[j:j + 40] == v[j:j + 40] for j in range(0, len(v), 40))
+
+
 def test_collisions_are_drawn_again(spark):
     """All 26 one-letter addresses of a domain with a fixed shape: stand-ins come from the same 26 * 26."""
     df = spark.createDataFrame([(i, f"write to {chr(97 + i)}@b.example") for i in range(26)] + [(99, "A@b.example"), (None, "q@b.example"), (100, None), (101, "")], "doc_id long, text string")
