@@ -1,8 +1,13 @@
 """PII surrogates: detected entities are replaced by keyed stand-ins of their own type, gender, script and format.
 
 Kinds: email, phone, ip, card, ssn, iban, secret (access keys and values after password=, token= and the like), and the words of personal
-names (given names by gender, surnames), which a title or a listed given name announces; a surname that was announced once in a text
-is replaced wherever that text repeats it.
+names (given names by gender, surnames), which a title or a listed given name announces; a name that was announced once in a text
+is replaced wherever that text repeats it; given names also in capitals, and names in capitals also in small letters.
+
+A phone number is written with + or 00 and a country code, with a trunk zero, or in three groups of 2-4, 3-4 and 3-4 digits. Of the first
+two any grouping is found, by the number of digits; their normal form is the national number, and the country code stays in the text.
+Not found: national numbers in other groups without a trunk zero (612 34 56 78), names that nothing announces, surnames in
+capitals where the text announces them in small letters (a test asks for that).
 
 Each entity has a normal form (case, separators and country code aside), so all its spellings get one stand-in: coreference. The
 stand-in of attempt a is drawn from HMAC-SHA256(key, kind, normal form, a) within the kind's format: digits for digits, letters for
@@ -48,6 +53,14 @@ LONG, PIECE = 200, 120
 _LOCAL = re.compile(r"[\w.%+-]+$")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])")
+#: International (+ or 00) and trunk-zero numbers in any grouping, and the Russian long-distance form with 8; _whole() cuts them by their digits.
+_JOIN = r"(?:[ .\u00a0\u202f/-]?\(?\d\)?)"
+_DIALLED = re.compile(r"(?<![\w.+-])(?<!\d[,/])(?:\+(?=[1-9])" + _JOIN + r"{8,16}|00(?=[ .\u00a0\u202f/-]?[1-9])" + _JOIN + r"{8,16}|\(?0(?=[1-9])" + _JOIN + r"{8,13}|8(?=[ (-]{1,2}[3489]\d\d[ )-]{1,2}\d{3}[ -]?\d\d[ -]?\d\d(?![\w-]))"
+                      + _JOIN + r"{10})")
+_COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+#: Digits after the country code where their number is fixed.
+NATIONAL = {"1": 10, "7": 10, "31": 9, "32": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9}
+_DATED = re.compile(r"\d\d([./-])\d\d\1(?:19|20)\d\d(?!\d)")
 _IP = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")
 _CARD = re.compile(r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d){9,15}(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
@@ -78,6 +91,49 @@ def _script(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
 
 
+def _whole(text: str, start: int, end: int):
+    """(end, national digits) of the number in text[start:end], which may run into what follows it; None if it is none.
+
+    A number ends where a group of digits does: at its country's length, else at the longest that numbers of its form have.
+    """
+    spelling = text[start:end]
+    if _DATED.match(spelling) or _SSN.match(spelling):
+        return None
+    at = next((n for prefix, n in (("+", 1), ("00", 2), ("(0", 2), ("0", 1), ("8", 1)) if spelling.startswith(prefix)), 0)
+    country, fixed = "", None
+    if spelling[0] == "+" or spelling.startswith("00"):
+        country = _COUNTRY.match(_digits(spelling[at:])).group()
+        fixed, left = NATIONAL.get(country), len(country)
+        while left:
+            left -= spelling[at].isdecimal()
+            at += 1
+        if zero := re.match(r"[ .\u00a0\u202f/-]?\(0\)", spelling[at:]):
+            at += zero.end()
+        low, high = max(6, 8 - len(country)), 13 - len(country)
+    elif spelling[0] == "8":
+        low = high = fixed = 10
+    else:
+        low, high = 8, 11
+        if re.match(r"0[1-9](?:[ .\u00a0\u202f/-]\d\d(?!\d)){4}", spelling):
+            fixed = 9
+    ends, digits, run = [], 0, 0
+    for i in range(at, len(spelling) + 1):
+        if i < len(spelling) and spelling[i].isdecimal():
+            digits, run = digits + 1, run + 1
+            continue
+        if run and digits >= low and not (start + i < len(text) and (text[start + i].isalnum() or text[start + i] == "_")):
+            ends.append((i, digits))
+            if run >= 7:
+                break
+        run = 0
+    # one unbroken group may be longer than numbers that are written in groups
+    good = [x for x in ends if x[1] == fixed] or [x for x in ends if x[1] <= high] or [x for x in ends[:1] if country and x[1] + len(country) <= 15]
+    if not good:
+        return None
+    last, n = good[-1]
+    return start + last, _digits(spelling[at:last])
+
+
 def _numbers(text: str):
     for m in _IP.finditer(text):
         if all(int(x) < 256 for x in m.group().split(".")):
@@ -87,7 +143,16 @@ def _numbers(text: str):
             yield m.start(), m.end(), "card", _digits(m.group())
     for m in _SSN.finditer(text):
         yield m.start(), m.end(), "ssn", _digits(m.group())
+    starts, at = set(), 0
+    while m := _DIALLED.search(text, at):
+        at = m.start() + 1
+        if found := _whole(text, *m.span()):
+            starts.add(m.start())
+            at, norm = found
+            yield m.start(), at, "phone", norm
     for m in _PHONE.finditer(text):
+        if m.start() in starts:
+            continue
         digits = _digits(m.group())
         if 9 <= len(digits) <= 15:
             yield m.start(), m.end(), "phone", digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
@@ -98,20 +163,27 @@ def _numbers(text: str):
 
 
 def _names(text: str):
-    surnames = set()
+    surnames, given = set(), {}
     for m in _NAMED.finditer(text):
         if m.group(3):
-            yield m.start(2), m.end(2), "given_" + (_GENDER.get(m.group(2)) or TITLES[m.group(1)]), m.group(2).casefold()
+            kind = "given_" + (_GENDER.get(m.group(2)) or TITLES[m.group(1)])
+            given.setdefault(m.group(2), kind)
+            yield m.start(2), m.end(2), kind, m.group(2).casefold()
         last = 3 if m.group(3) else 2
         surnames.add(m.group(last))
         yield m.start(last), m.end(last), "surname", m.group(last).casefold()
     for m in _PAIR.finditer(text):
         surnames.add(m.group(2))
+        given.setdefault(m.group(1), "given_" + _GENDER[m.group(1)])
         yield m.start(1), m.end(1), "given_" + _GENDER[m.group(1)], m.group(1).casefold()
         yield m.start(2), m.end(2), "surname", m.group(2).casefold()
-    if surnames:
-        for m in re.finditer(r"\b(?:" + "|".join(sorted(map(re.escape, surnames), key=lambda s: (-len(s), s))) + r")\b", text):
-            yield m.start(), m.end(), "surname", m.group().casefold()
+    known = {}
+    for word, kind in [*given.items(), *[(s, "surname") for s in sorted(surnames)]]:
+        for spelling in {word, word.title() if word.isupper() else word, word if kind == "surname" else word.upper()}:
+            known[spelling] = (kind, word.casefold())
+    if known:
+        for m in re.finditer(r"\b(?:" + "|".join(sorted(map(re.escape, known), key=lambda s: (-len(s), s))) + r")\b", text):
+            yield m.start(), m.end(), *known[m.group()]
 
 
 def detect(text: str) -> list:

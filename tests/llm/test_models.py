@@ -82,6 +82,26 @@ def test_long_secrets_are_replaced_whole(spark):
         assert len(got) == len(v) and v[-100:] not in got and not any(got[j:j + 40] == v[j:j + 40] for j in range(0, len(v), 40))
 
 
+@pytest.mark.parametrize("text, norms", [
+    ("+14155552671 12 times", ["4155552671"]), ("+49 30 123456, 0049 30 123456, 030/123456, +49 (0)30 12 34 56", ["30123456"] * 4), ("+49 151 23456789", ["15123456789"]),
+    ("01 23 45 67 89 12 fois, +33 1 23.45.67.89.", ["123456789"] * 2), ("+34 612 34 56 78", ["612345678"]), ("+7 495 123-45-67 8 (495) 123-45-67", ["4951234567"] * 2),
+    ("+14155552671 0301234567", ["4155552671", "301234567"]), ("01-02-2024 10 | 01.02.2024 1234 | 0.123456789 | 00000123456 | 01234 567890abc | +1 2 3 | 5+12345678", [])])
+def test_phones_by_number_of_digits(text, norms):
+    found = surrogates.detect(text)
+    assert [s[2:] for s in found] == [("phone", n) for n in norms]
+    for start, end, kind, norm in found:
+        new = surrogates.render(kind, surrogates.draw(b"k", kind, norm), text[start:end])
+        assert new != text[start:end] and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text[start:end])
+
+
+def test_names_are_repeated_in_all_spellings(spark):
+    df = spark.createDataFrame([(1, "Mr. John Smith came. John, Smith and JOHN: Smith. Frau MÜLLER, Müller; Johnson")], "doc_id long, text string")
+    words = re.findall(r"\w+", surrogates.pseudonymise(df, "key").first().text)
+    first, last, other = words[1], words[2], words[10]
+    assert words == ["Mr", first, last, "came", first, last, "and", first.upper(), last, "Frau", other, other.capitalize(), "Johnson"]
+    assert first != "John" and last != "Smith" and other != "MÜLLER"
+
+
 def test_collisions_are_drawn_again(spark):
     """All 26 one-letter addresses of a domain with a fixed shape: stand-ins come from the same 26 * 26."""
     df = spark.createDataFrame([(i, f"write to {chr(97 + i)}@b.example") for i in range(26)] + [(99, "A@b.example"), (None, "q@b.example"), (100, None), (101, "")], "doc_id long, text string")
