@@ -1,7 +1,7 @@
 """Catalog: model tables, landmark protocols, fits and controls."""
 from pyspark.sql import functions as F
 
-from nearmiss.constants import MODEL_FEATURES, NESTED_MODELS, P_CLEAN
+from nearmiss.constants import E_ALL, MODEL_FEATURES, NESTED_MODELS, P_CLEAN
 from nearmiss.operators import censored as CN, diagnostics as D, landmark as LM, metrics as M, model_table as MT, models as ML, permute as PM, quality as Q, resample as RS, warp as WP
 from nearmiss.operators.frames import scene_criticality
 from nearmiss.operators.model_table import frame_context as _frame_context
@@ -92,11 +92,10 @@ def development(spark, sf_dir):
 
 @query
 def nested_gbt(spark, sf_dir):
-    """Physics and full-context trees on every development frame; metrics on the validation split."""
+    """Trees over each feature set on every development frame; metrics on the validation split."""
     train, val = development(spark, sf_dir)
-    models = {m: NESTED_MODELS[m] for m in ("M_P", "M_P_Eall")}
-    df = ML.score_nested(train, val, models, "target_y_tau_3s", weight="weight_scenario_equal", max_iter=5, max_depth=4)
-    long = M.long_scores(df.withColumn("y", F.col("target_y_tau_3s")), ["y", "weight_scenario_equal"], {m: f"prob_{m}" for m in models})
+    df = ML.score_nested(train, val, NESTED_MODELS, "target_y_tau_3s", weight="weight_scenario_equal")
+    long = M.long_scores(df.withColumn("y", F.col("target_y_tau_3s")), ["y", "weight_scenario_equal"], {m: f"prob_{m}" for m in NESTED_MODELS})
     return rounded(M.classification_metrics(long, ["model"], "y", "p", F.col("weight_scenario_equal")))
 
 
@@ -167,21 +166,25 @@ def permute_within_strata(spark, sf_dir):
 
 @query
 def negative_control(spark, sf_dir):
-    df, train, val = split_scores(spark, sf_dir)
-    return rounded(ML.negative_control(train, val, ["gap_m"], ["p_base", "n_lines"], "y", weight="weight", strata=["split"], keys=["scenario_id", "time_index"],
-                                       seeds=(41, 42), max_iter=5, max_depth=4), 4)
+    """Context permuted within type of the focal actor and quartile of its distance, five seeds."""
+    kind = ["p_clean__focal_is_vehicle", "p_clean__focal_is_vulnerable"]
+    train, val = (d.withColumns({"band": F.coalesce(PM.quartile_of(d, "p_clean__focal_center_distance_m"), F.lit(-1)),
+                                 "kind": F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in kind])}) for d in development(spark, sf_dir))
+    return rounded(ML.negative_control(train, val, P_CLEAN, E_ALL, "target_y_tau_3s", weight="weight_scenario_equal", strata=["kind", "band"],
+                                       keys=["scenario_id", "time_index"]), 4)
 
 
 @query
 def threshold_sensitivity(spark, sf_dir):
     train, val = development(spark, sf_dir)
-    return rounded(ML.threshold_sensitivity(train, val, P_CLEAN, NESTED_MODELS["M_P_Einteract"], weight="weight_scenario_equal", max_iter=3, max_depth=4), 4)
+    return rounded(ML.threshold_sensitivity(train, val, P_CLEAN, NESTED_MODELS["M_P_Eall"], weight="weight_scenario_equal"), 4)
 
 
 @query
 def feature_importance(spark, sf_dir):
     train, _ = development(spark, sf_dir)
-    return rounded(ML.feature_importance(ML.nested_gbt(train, P_CLEAN, "target_y_tau_3s", weight="weight_scenario_equal", max_iter=5, max_depth=4), P_CLEAN), 4)
+    features = NESTED_MODELS["M_P_Eall"]
+    return rounded(ML.feature_importance(ML.nested_gbt(train, features, "target_y_tau_3s", weight="weight_scenario_equal"), features), 4)
 
 
 @query
