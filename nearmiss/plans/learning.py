@@ -130,7 +130,7 @@ def hurdle_unconditional(spark, sf_dir):
 @query
 def hurdle_models(spark, sf_dir):
     table = MT.model_table(states(spark, sf_dir), map_points(spark, sf_dir), signals(spark, sf_dir))
-    return rounded(ML.model_comparison(ML.train_hurdles(table, ("M0", "M1", "M3"))), 4)
+    return rounded(ML.model_comparison(ML.train_hurdles(table)), 4)
 
 
 @query
@@ -143,7 +143,7 @@ def censored_lognormal(spark, sf_dir):
 @query
 def censored_coefficients(spark, sf_dir):
     rows, _ = ML.prepare_r2(MT.r2_features(states(spark, sf_dir)), split_of(F.col("scenario_id")))
-    suite = ML.fit_r2_suite(rows, {"M0": [], "M2": ["traffic_n_valid_agents"]})
+    suite = ML.fit_r2_suite(rows)
     out = [(n, i, float(b), float(m.sigma), m.info["n_events"], m.info["n_censored"]) for n, m in suite.items() for i, b in enumerate(m.beta)]
     return rounded(spark.createDataFrame(out, "model string, pos int, beta double, sigma double, n_events long, n_censored long"), 5)
 

@@ -41,3 +41,13 @@ def test_trees_have_the_full_settings(call, query, operator):
         assert sorted(r.band for r in args[0].collect()) == [0, 0, 1, 1, 2, 2, 3, 3]
     else:
         assert NESTED_MODELS["M_P_Eall"] in args
+
+
+def test_hurdle_and_censored_queries_fit_every_model(call, monkeypatch):
+    for name in ("states", "map_points", "signals"):
+        monkeypatch.setattr(L, name, lambda *_: None)
+    monkeypatch.setattr(L.MT, "model_table", lambda *_: None)
+    monkeypatch.setattr(L.MT, "r2_features", lambda *_: None)
+    monkeypatch.setattr(L.ML, "prepare_r2", lambda *_: (None, None))
+    assert call("hurdle_models", "train_hurdles") == ((None,), {})
+    assert call("censored_coefficients", "fit_r2_suite") == ((None,), {})
