@@ -97,6 +97,16 @@ def test_drop_near_duplicates(odd, spark):
     assert jaccard.drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(0, b), (1, a), (1, b), (1, b), (1, c), (1, c + " more"), (2, a), (None, a), (None, "x y"), (None, "x z"), (3, ""), (3, "p q"), (None, "x y"), (2**62, "x w")]
+    kept = [tuple(r) for r in jaccard.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()]
+    near = [r for r in kept if r[1] in (c, c + " more")]
+    assert len(near) == 1 and near[0][0] == 1
+    want = [(0, b), (1, a), (3, ""), (3, "p q"), (None, "x y"), (None, "x z"), (2**62, "x w")]
+    assert sorted(map(str, kept)) == sorted(map(str, [*want, *near]))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (3, 1), *[(100 + i, 101 + i) for i in range(40)], (None, 4)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
