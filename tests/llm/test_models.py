@@ -310,3 +310,16 @@ def test_stages_take_odd_tables(spark, odd):
             frame = stage(spark, frame, brute.SF)
             assert frame.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, frame, brute.SF).count() >= 0
+
+
+def test_toxicity_learns_one_row_of_an_id(spark, monkeypatch):
+    seen = []
+    train = toxicity.train_network
+    monkeypatch.setattr(toxicity, "train_network", lambda docs, y, *a, **b: (seen.append((len(docs), int(y.sum()))), train(docs, y, *a, **b))[1])
+    ids = [r.id for r in spark.range(200).filter(~held_out(F.col("id"))).limit(20).collect()]
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, f"word{n % 2} text {n} {j}", "en") for n, i in enumerate(ids) for j in range(300 if n == 1 else 1)], "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, labels)
+    assert seen[0] == (20, 10) and model is not None
+    again = toxicity.fit(docs.repartition(3).orderBy(F.rand(1)), labels)
+    assert model.common == again.common
