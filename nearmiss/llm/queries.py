@@ -7,6 +7,7 @@ from nearmiss.llm.decontaminate import find_contamination
 from nearmiss.llm.jaccard import jaccard_groups
 from nearmiss.llm.langid import held_out, identify, learn_profiles
 from nearmiss.llm.linededup import dedup_lines
+from nearmiss.llm.pieces import encode as encode_pieces
 from nearmiss.llm.surrogates import pseudonymise
 from nearmiss.llm.tokencount import token_counts
 from nearmiss.llm.toxicity import fit, score
@@ -103,6 +104,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op4_bpe_automaton(spark, sf_dir):
     path = tokenizer_path()
@@ -145,3 +151,10 @@ def op2_robust_pruned_graph(spark, sf_dir):
 @query
 def op1_pii_surrogates(spark, sf_dir):
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="nearmiss corpus key")
+
+
+@query
+def op13_sentencepiece(spark, sf_dir):
+    out = encode_pieces(table(spark, sf_dir, "documents"), piece_model_path())
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
