@@ -11,7 +11,9 @@ from nearmiss.llm.pieces import encode as encode_pieces
 from nearmiss.llm.surrogates import pseudonymise
 from nearmiss.llm.tokencount import token_counts
 from nearmiss.llm.toxicity import fit, score
+from nearmiss.llm.trie import number_turns, prefix_trie, regraft
 from nearmiss.llm.vamana import nearest
+from nearmiss.session import durable
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -158,3 +160,35 @@ def op13_sentencepiece(spark, sf_dir):
     out = encode_pieces(table(spark, sf_dir, "documents"), piece_model_path())
     return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    convs, turns = regraft(durable(number_turns(table(spark, sf_dir, "conversations"))))
+    return prefix_trie(convs, turns).drop("a", "b")
+
+
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda p, q: list_reduce(list_concat([xor(p, q)], list_transform(range(8), lambda z: CAST(0 AS BIGINT))),
+                             lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+SQL["op12_prefix_trie"] = f"""
+WITH own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+             FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format('conv_id')} % 9 AS h, n FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id)),
+taken AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+turns AS (SELECT t.conv_id, o.pos, o.role, o.text FROM taken t JOIN own o ON o.conv_id = t.base AND o.pos <= t.h
+          UNION ALL SELECT t.conv_id, o.pos - t.h + t.taken, o.role, o.text FROM taken t JOIN own o ON o.conv_id = t.conv_id AND o.pos > t.h),
+paths AS (SELECT conv_id, pos AS depth, strlen(text) AS bytes, count(*) OVER (PARTITION BY conv_id) AS n,
+                 sha256(string_agg(concat(length(role), ' ', length(text), ' ', role, text), '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos)) AS k FROM turns
+          UNION ALL SELECT c.conv_id, 0, 0, (SELECT count(*) FROM turns t WHERE t.conv_id = c.conv_id), '' FROM convs c),
+nodes AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS value FROM paths GROUP BY depth, k),
+up AS (SELECT n.*, p.k AS up FROM nodes n LEFT JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+kids AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY 1, 2),
+known AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (depth, k)),
+below AS (SELECT DISTINCT t.depth AS depth, t.k AS k, l.depth AS low_depth, l.k AS low FROM paths t JOIN paths l ON l.conv_id = t.conv_id AND l.depth >= t.depth),
+sums AS (SELECT b.depth, b.k, sum(n.value) AS saved, count(*) FILTER (n.n_children = 0) AS leaves FROM below b JOIN known n ON n.depth = b.low_depth AND n.k = b.low GROUP BY 1, 2),
+ends AS (SELECT depth, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM paths WHERE depth = n GROUP BY 1, 2)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM known x JOIN sums USING (depth, k) LEFT JOIN ends USING (depth, k) LEFT JOIN nodes p ON p.depth = x.depth - 1 AND p.k = x.up
+"""
