@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearmiss.llm.bpe import decode, encode
 from nearmiss.llm.chat import format_chat, loss_texts, read_chat
+from nearmiss.llm.crosstok import align
 from nearmiss.llm.decontaminate import find_contamination
 from nearmiss.llm.jaccard import jaccard_groups
 from nearmiss.llm.langid import held_out, identify, learn_profiles
@@ -192,3 +193,9 @@ ends AS (SELECT depth, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv
 SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM known x JOIN sums USING (depth, k) LEFT JOIN ends USING (depth, k) LEFT JOIN nodes p ON p.depth = x.depth - 1 AND p.k = x.up
 """
+
+
+@query
+def op11_cross_tokenizer(spark, sf_dir):
+    out = align(table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path())
+    return out.select(F.col("id").alias("doc_id"), *out.columns[1:-1], F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
