@@ -3,43 +3,43 @@
 Both tokenizers cut the same bytes (a blank and the text). Where both end a token, a group ends; tokens whose byte ranges overlap are linked. A pair's
 count is the number of documents that hold it linked.
 
-1. First pass: documents are aligned; a block of about `block_bytes` keeps its texts and its distinct pairs with their document counts. Blocks are
-   written in buckets by number.
+1. First pass: documents are cut into units that neither tokenizer joins, and each distinct unit of a block of about `block_bytes` is encoded
+   and aligned. The block keeps its texts, the ids of its units, and its distinct pairs with their document counts. Blocks are written in buckets by number.
 2. Pairs belong to shards by their first id, so all pairs of an id share a shard. Each shard's distinct pairs are united by a tree and get a
    minimal perfect hash with their keys in hash order. Block counts are added up in dense vectors indexed by that hash, one per slice of blocks, and the
    vectors are summed by a tree. A key that the hash does not hold stops the job.
 3. Each block sends its pairs to the shards once more and gets counts and marks (highest of its first id) back.
-4. Second pass: blocks meet their answers, re-align their documents and look their links up.
+4. Second pass: blocks meet their answers, re-align their documents from the ids of their units, and look their links up.
 
 Nothing is broadcast but the tokenizer files. A shard has about `shard_pairs` distinct pairs, and a task reads the pairs of about `task_blocks` blocks of
-one shard, so a pair that every document holds costs one entry per block. Texts are aligned in runs that end between two words, so arrays
-stay small for very long texts; a stretch without two words apart is held whole, and so is one block of texts.
+one shard, so a pair that every document holds costs one entry per block. A block is held whole, so a very long text is a block of its own.
 
 Defined results: null and empty texts, and texts that either tokenizer does not give back byte for byte (such as those that hold U+2581),
 have no tokens: zeros and an empty string. Every input row gives one row and counts as one document, so repeated and null ids stay; an empty
 table gives an empty table; ties for the highest count are all highest; other columns are ignored.
 """
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from nearmiss.llm.blocks import gather, stored_by_block
 from nearmiss.llm.linededup import build_index
-from nearmiss.llm.pieces import Decoder, MARK, chunks, split_model
-from nearmiss.llm.pretokens import Splitter, Vocabulary
+from nearmiss.llm.pieces import Decoder, MARK, split_model
+from nearmiss.llm.pretokens import Vocabulary
 from nearmiss.llm.textbytes import mix, pack, text_array, text_batches, unpack
 from nearmiss.session import durable
 
-CACHED_WORDS = 250_000
-RUN_CHARS = 1 << 18
+_UNITS = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*").findall
+_WIDE = re.compile(r"\s ").search
+_AT_ONCE = 10_000
 _FAN = 16
-_APART = regex.compile(r"(?<=\p{L}) (?=\p{L})").search
-_NO_PAIRS = np.zeros(0, np.int64)
+_SLICE = 1 << 20
 
 
 def pack64(values: np.ndarray) -> bytes:
@@ -58,24 +58,8 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(unpack64(packed))
 
 
-class _Words(dict):
-    """Packed ids of words met so far by one tokenizer; a word that the tokenizer does not give back has no ids."""
-
-    def __init__(self, ids_of, labels):
-        super().__init__()
-        self.ids_of, self.labels = ids_of, labels
-
-    def learn(self, words):
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        new = [w for w in set(words) if w not in self]
-        for word, ids in zip(new, self.ids_of(new)):
-            same = b"".join([self.labels[i] for i in ids]) == word.encode()
-            self[word] = np.array(ids, "<u4").tobytes() if same else None
-
-
 class Aligner:
-    """Texts to token ids of both tokenizers, and their groups and links. Ids of A times `width` plus ids of B name pairs."""
+    """Units of text to token ids of both tokenizers. Ids of A times `width` plus ids of B name pairs."""
 
     def __init__(self, bpe_json: str, vocabulary, model_proto: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,99 +71,93 @@ class Aligner:
         tok.no_truncation()
         tok.no_padding()
         decoder = Decoder(model)
-        b_labels = [decoder.flat[s:s + n].tobytes() for s, n in zip(decoder.starts, decoder.sizes)]
-        blank = [model.piece_to_id(MARK)]
-        self.split = Splitter([])
-        self.a = _Words(lambda new: [x.ids for x in tok.encode_batch_fast(new, add_special_tokens=False)], vocabulary)
-        self.b = _Words(lambda new: [x if w != " " else blank for w, x in zip(new, model.encode([w[1:] for w in new], num_threads=1))], b_labels)
+        self.tok, self.model, self.blank = tok, model, [model.piece_to_id(MARK)]
         self.a_size, self.b_size = np.array([len(x) for x in vocabulary], np.int64), decoder.sizes
-        self.width = len(b_labels)
+        self.a_start, self.a_flat = np.cumsum(self.a_size) - self.a_size, np.frombuffer(b"".join(vocabulary), np.uint8)
+        self.b_start, self.b_flat = decoder.starts, decoder.flat
+        self.width = len(self.b_size)
         numbers = [b"%d," % i for i in range(max(len(vocabulary), self.width))]
         self.number_size = np.array([len(x) for x in numbers], np.int64)
         self.number_start, self.numbers = np.cumsum(self.number_size) - self.number_size, np.frombuffer(b"".join(numbers), np.uint8)
 
-    def parts(self, text: str):
-        """A blank and the text, cut between words into parts that both tokenizers treat alone as they do within the text."""
-        text, at = " " + text, 0
-        while at < len(text):
-            apart = _APART(text, at + RUN_CHARS) if at + RUN_CHARS < len(text) else None
-            end = apart.start() if apart else len(text)
-            yield text[at:end]
-            at = end
-
-    def encode(self, texts: list):
-        """For each text its parts as (ids of A, ids of B), packed; none for texts without tokens."""
-        out = [[] for _ in texts]
-        waiting, held = [], 0
-
-        def flush():
-            self.a.learn([w for _, a, _ in waiting for w in a])
-            self.b.learn([w for _, _, b in waiting for w in b])
-            for i, a, b in waiting:
-                if out[i] is not None:
-                    a, b = [self.a[w] for w in a], [self.b[w] for w in b]
-                    if None in a or None in b:
-                        out[i] = None  # one of the tokenizers does not give the text back
-                    else:
-                        out[i].append((b"".join(a), b"".join(b)))
-            waiting.clear()
-
-        for i, text in enumerate(texts):
-            if text and MARK not in text:
-                for part in self.parts(text):
-                    waiting.append((i, self.split(part), [c for cs in chunks(part[1:]) for c in cs]))
-                    held += len(part)
-                    if held >= RUN_CHARS:
-                        flush()
-                        held = 0
-        flush()
-        return [x or [] for x in out]
-
-    def runs(self, texts: list):
-        """Aligned runs of parts: (number of the text of each part, Run)."""
-        owners, a, b, held = [], [], [], 0
-        for i, parts in enumerate(self.encode(texts)):
-            for x, y in parts:
-                owners.append(i)
-                a.append(x)
-                b.append(y)
-                held += len(x) + len(y)
-                if held >= 4 * RUN_CHARS:
-                    yield np.array(owners), Run(self, a, b)
-                    owners, a, b, held = [], [], [], 0
-        if owners:
-            yield np.array(owners), Run(self, a, b)
-
-    def pairs(self, texts: list):
-        """(sorted distinct pairs, number of texts that hold each)."""
-        found, counts = [_NO_PAIRS], [_NO_PAIRS]
-        open_text, open_pairs = -1, []
-        for owners, run in self.runs(texts):
-            of_link = owners[run.part_of_link]
-            heads = np.flatnonzero(np.diff(of_link, prepend=-2))
-            for low, high in ((heads[0], heads[-1]), (heads[-1], len(of_link))):  # texts that end in this run, and its last, which may go on
-                if high <= low:
-                    continue
-                if of_link[low] == open_text and low == 0:
-                    stop = heads[1] if len(heads) > 1 else high
-                    open_pairs.append(np.unique(run.pairs[:stop]))
-                    low = stop
-                if high > low and high < len(of_link):
-                    own = np.unique(of_link[low:high].astype(np.int64) - of_link[low] << 40 | run.pairs[low:high]) & ((1 << 40) - 1)
-                    own, n = np.unique(own, return_counts=True)
-                    found.append(own)
-                    counts.append(n)
-                elif high > low:
-                    if open_pairs:
-                        own = np.unique(np.concatenate(open_pairs))
-                        found.append(own)
-                        counts.append(np.ones(len(own), np.int64))
-                    open_text, open_pairs = int(of_link[low]), [np.unique(run.pairs[low:high])]
-        if open_pairs:
-            own = np.unique(np.concatenate(open_pairs))
-            found.append(own)
-            counts.append(np.ones(len(own), np.int64))
-        return add_up(np.concatenate(found), np.concatenate(counts))
+    def encode(self, units: list):
+        """(ids, number for each unit) of A and of B; a unit that one of them does not give back has none of either."""
+        a, b = [], []
+        for low in range(0, len(units), _AT_ONCE):
+            part = units[low:low + _AT_ONCE]
+            a += [array("I", x.ids) for x in self.tok.encode_batch_fast([" " + u for u in part], add_special_tokens=False)]
+            b += [array("I", x if u else self.blank) for u, x in zip(part, self.model.encode(part, num_threads=1))]
+        if not self._same(units, a, b):
+            for i, unit in enumerate(units):
+                if not self._same([unit], [a[i]], [b[i]]):
+                    a[i] = b[i] = array("I")
+        return _joined(a), _joined(b)
+
+    def _same(self, units, a, b):
+        raw = "".join([" " + u for u in units]).encode()
+        a, b = _joined(a)[0], _joined(b)[0]
+        return raw == gather(self.a_flat, self.a_start[a], self.a_size[a]).tobytes() == gather(self.b_flat, self.b_start[b], self.b_size[b]).tobytes()
+
+
+def _joined(ids: list):
+    return np.frombuffer(b"".join([x.tobytes() for x in ids]), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+class _Index(dict):
+    def __missing__(self, unit):
+        out = self[unit] = len(self)
+        return out
+
+
+class Units:
+    """The distinct units of some texts, without their first blank, in order of first occurrence, and where they stand.
+
+    A unit begins with a blank after something that is no white space (or the added blank). Neither tokenizer joins anything over that
+    place, so a text's tokens, groups and links are those of its units.
+    """
+
+    def __init__(self, texts: list):
+        index, at, n = _Index(), [np.zeros(0, np.int64)], []
+        for text in texts:  # units without their first blank
+            if not text or MARK in text:
+                own = []
+            elif text[0].isspace() or _WIDE(text):
+                own = [u[1:] for u in _UNITS(" " + text)]
+            else:
+                own = text.split(" ")
+            at.append(np.fromiter(map(index.__getitem__, own), np.int64, len(own)))
+            n.append(len(own))
+        self.units, self.at, self.n = list(index), np.concatenate(at), np.array(n, np.int64)
+
+    def drop_texts_with(self, bad: np.ndarray):
+        """Texts that hold a unit marked as bad lose all their units."""
+        if bad.any():
+            text = np.repeat(np.arange(len(self.n)), self.n)
+            gone = np.bincount(text, bad[self.at], minlength=len(self.n)) > 0
+            self.at = self.at[~gone[text]]
+            self.n = np.where(gone, 0, self.n)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each text the sum of a value of its units."""
+        total, ends = np.concatenate([[0], np.cumsum(values[self.at])]), np.cumsum(self.n)
+        return total[ends] - total[ends - self.n]
+
+
+def count_pairs(units: Units, run):
+    """(sorted distinct pairs, number of texts that hold each)."""
+    pairs, which = np.unique(run.pairs, return_inverse=True)
+    counts, ends = np.zeros(len(pairs), np.int64), np.cumsum(units.n)
+    starts, sizes = run.link_bounds[:-1], np.diff(run.link_bounds)
+    step = max(1, (1 << 24) // max(1, len(pairs)))
+    for low in range(0, len(units.n), step):  # a table of texts x pairs at a time
+        high = min(low + step, len(units.n))
+        text = np.repeat(np.arange(high - low), units.n[low:high])
+        seen = np.unique(text << 32 | units.at[ends[low] - units.n[low]:ends[high - 1]])
+        text, unit = seen >> 32, seen & 0xFFFFFFFF
+        held = np.zeros((high - low, len(pairs)), bool)
+        held[np.repeat(text, sizes[unit]), gather(which, starts[unit], sizes[unit])] = True
+        counts += held.sum(0)
+    return pairs, counts
 
 
 def add_up(keys: np.ndarray, counts: np.ndarray):
@@ -191,40 +169,33 @@ def add_up(keys: np.ndarray, counts: np.ndarray):
 
 
 class Run:
-    """Tokens of parts laid end to end: their groups and links."""
+    """Tokens of units laid end to end: their groups and links."""
 
-    def __init__(self, aligner: Aligner, a: list, b: list):
-        self.aligner = aligner
-        self.a, self.b = np.frombuffer(b"".join(a), np.uint32), np.frombuffer(b"".join(b), np.uint32)
-        self.a_bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in a])])
-        self.b_bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in b])])
+    def __init__(self, aligner: Aligner, a, b):
+        self.aligner, (self.a, a_n), (self.b, b_n) = aligner, a, b
+        self.a_bounds, self.b_bounds = np.concatenate([[0], np.cumsum(a_n)]), np.concatenate([[0], np.cumsum(b_n)])
         self.a_ends, self.b_ends = np.cumsum(aligner.a_size[self.a]), np.cumsum(aligner.b_size[self.b])
-        a_marks = np.zeros(int(self.a_ends[-1]) + 1, bool)
-        b_marks = np.zeros_like(a_marks)
+        length = int(self.a_ends[-1]) if len(self.a_ends) else 0
+        a_marks, b_marks = np.zeros(length + 1, bool), np.zeros(length + 1, bool)
         a_marks[self.a_ends], b_marks[self.b_ends] = True, True
         self.groups = np.flatnonzero(a_marks & b_marks)
         links = np.flatnonzero(a_marks | b_marks)  # tokens overlap in one stretch each, which ends where the first of the two ends
-        self.link_a, self.link_b = np.searchsorted(self.a_ends, links), np.searchsorted(self.b_ends, links)
-        self.pairs = self.a[self.link_a].astype(np.int64) * aligner.width + self.b[self.link_b]
-        self.part_ends = self.a_ends[self.a_bounds[1:] - 1]
-        self.part_of_link = np.searchsorted(self.part_ends, links)
-        self.link_bounds = np.concatenate([[0], np.searchsorted(links, self.part_ends, "right")])
-        self.group_bounds = np.concatenate([[0], np.searchsorted(self.groups, self.part_ends, "right")])
+        self.pairs = self.a[np.searchsorted(self.a_ends, links)].astype(np.int64) * aligner.width + self.b[np.searchsorted(self.b_ends, links)]
+        unit_ends = np.concatenate([[0], self.a_ends])[self.a_bounds]
+        self.link_bounds = np.searchsorted(links, unit_ends, "right")
+        self.group_bounds = np.searchsorted(self.groups, unit_ends, "right")
 
     def written(self) -> list:
-        """The groups of each part as `a1,a2|b1;a3|b2` in UTF-8."""
+        """The groups of each unit as `a1,a2|b1;a3|b2`."""
         al = self.aligner
-        ga, gb = np.searchsorted(self.groups, self.a_ends), np.searchsorted(self.groups, self.b_ends)
-        order = np.argsort(np.concatenate([2 * ga, 2 * gb + 1]), kind="stable")
-        side = np.concatenate([2 * ga, 2 * gb + 1])[order]
-        ids = np.concatenate([self.a, self.b])[order]
-        text = gather(al.numbers, al.number_start[ids], al.number_size[ids]).copy()
-        ends = np.cumsum(al.number_size[ids])
-        last = np.append(side[1:] != side[:-1], True)
+        side = np.concatenate([2 * np.searchsorted(self.groups, self.a_ends), 2 * np.searchsorted(self.groups, self.b_ends) + 1])
+        order = np.argsort(side, kind="stable")
+        side, ids = side[order], np.concatenate([self.a, self.b])[order]
+        text, ends = gather(al.numbers, al.number_start[ids], al.number_size[ids]).copy(), np.cumsum(al.number_size[ids])
+        last = np.append(side[1:] != side[:-1], True) if len(side) else np.zeros(0, bool)
         text[ends[last] - 1] = np.where(side[last] % 2, ord(";"), ord("|"))
-        stops = np.concatenate([[0], ends[self.a_bounds[1:] + self.b_bounds[1:] - 1]])
-        raw = text.tobytes()
-        return [raw[x:y - 1] for x, y in zip(stops[:-1].tolist(), stops[1:].tolist())]
+        stops, raw = np.concatenate([[0], ends])[self.a_bounds + self.b_bounds].tolist(), text.tobytes().decode()
+        return [raw[x:y - 1] for x, y in zip(stops[:-1], stops[1:])]
 
 
 class PairIndex:
@@ -287,19 +258,21 @@ _I, _L, _B = pa.int32(), pa.int64(), pa.binary()
 
 
 def pair_blocks(docs: DataFrame, make, block_bytes: int) -> DataFrame:
-    """docs: id, text. One row per block: block, ids, texts and sizes (packed), pairs and counts (packed), n_pairs."""
-    names = ["block", "ids", "texts", "sizes", "pairs", "counts", "n_pairs"]
+    """docs: id, text. One row per block: block, ids; packed: texts, sizes, the ids of its distinct units (a, a_n, b, b_n), pairs, counts."""
+    names = ["block", "ids", "texts", "sizes", "a", "a_n", "b", "b_n", "pairs", "counts"]
 
     def cut(batches):
         first, made, aligner = TaskContext.get().partitionId() << 32, 0, None
         ids, texts, held, kind = [], [], 0, None
 
         def row():
-            raw = [t.encode() for t in texts]
-            pairs, counts = aligner.pairs(texts)
-            return pa.RecordBatch.from_arrays([pa.array([first + made], _L), pa.array([ids], pa.list_(kind)), pa.array([zlib.compress(b"".join(raw), 1)], _B),
-                                               pa.array([pack(np.array([len(x) for x in raw], np.int64))], _B), pa.array([pack_sorted(pairs)], _B), pa.array([pack64(counts)], _B),
-                                               pa.array([len(pairs)], _L)], names=names)
+            raw, units = [t.encode() for t in texts], Units(texts)
+            a, b = aligner.encode(units.units)
+            units.drop_texts_with(a[1] == 0)
+            pairs, counts = count_pairs(units, Run(aligner, a, b))
+            pairs, counts = pairs[counts > 0], counts[counts > 0]
+            packed = [zlib.compress(b"".join(raw), 1), pack(np.array([len(x) for x in raw], np.int64)), *map(pack, (*a, *b)), pack_sorted(pairs), pack64(counts)]
+            return pa.RecordBatch.from_arrays([pa.array([first + made], _L), pa.array([ids], pa.list_(kind)), *[pa.array([x], _B) for x in packed]], names=names)
 
         for batch in batches:
             aligner, kind, column = aligner or make(), batch.column(0).type, text_array(batch.column(1))
@@ -313,8 +286,8 @@ def pair_blocks(docs: DataFrame, make, block_bytes: int) -> DataFrame:
         if ids:
             yield row()
 
-    binary = [T.StructField(n, T.BinaryType()) for n in ("texts", "sizes", "pairs", "counts")]
-    return docs.mapInArrow(cut, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["id"].dataType)), *binary, T.StructField("n_pairs", T.LongType())]))
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["id"].dataType)), *[T.StructField(n, T.BinaryType()) for n in names[2:]]])
+    return docs.mapInArrow(cut, schema)
 
 
 def _shard_of(pairs, width, shards):
@@ -418,7 +391,7 @@ def pair_table(dealt: DataFrame, width: int, tasks: int, slices: int) -> DataFra
     return durable(counted.mapInArrow(best, "shard int, x binary, y binary"))
 
 
-def align(docs: DataFrame, bpe_path: str, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, shard_pairs: int = 300_000,
+def align(docs: DataFrame, bpe_path: str, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, shard_pairs: int = 300_000,
           task_blocks: int = 1024) -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum (long), groups string (`a1,a2|b1;a3|b2`: ids of A and B)."""
     sc, vocabulary, (proto, model) = docs.sparkSession.sparkContext, Vocabulary(bpe_path), split_model(model_path)
@@ -463,33 +436,26 @@ def align(docs: DataFrame, bpe_path: str, model_path: str, id_col: str = "doc_id
         for batch in batches:
             aligner = aligner or make()
             for i in range(batch.num_rows):
-                ids, texts, sizes, pairs, values = [batch.column(c)[i] for c in range(5)]
-                raw, ends = zlib.decompress(texts.as_py()), np.cumsum(unpack(sizes.as_py()), dtype=np.int64).tolist()
-                texts = [raw[p:q].decode() for p, q in zip([0, *ends], ends)]
-                pairs = unpack_sorted(pairs.as_py())
-                known = np.empty(len(pairs), np.int64)
+                ids, (texts, sizes, a, a_n, b, b_n, pairs), values = batch.column(0)[i], [batch.column(c)[i].as_py() for c in range(1, 8)], batch.column(8)[i].as_py()
+                raw, ends = zlib.decompress(texts), np.cumsum(unpack(sizes), dtype=np.int64).tolist()
+                units = Units([raw[p:q].decode() for p, q in zip([0, *ends], ends)])
+                a, b = (unpack(a), unpack(a_n).astype(np.int64)), (unpack(b), unpack(b_n).astype(np.int64))
+                units.drop_texts_with(a[1] == 0)
+                run, pairs = Run(aligner, a, b), unpack_sorted(pairs)
+                known = np.zeros(len(pairs) + 1, np.int64)
                 if len(pairs):
-                    known[np.argsort(_shard_of(pairs, width, shards), kind="stable")] = np.concatenate([unpack64(x) for x in values.as_py()])
-                low = 0
-                while low < len(texts):  # a slice of documents at once, so that output batches stay small
-                    high, size = low + 1, len(texts[low])
-                    while high < len(texts) and size + len(texts[high]) <= 4 * RUN_CHARS:
-                        size += len(texts[high])
-                        high += 1
-                    sums, written = np.zeros((6, high - low), np.int64), [[] for _ in range(low, high)]
-                    for owners, run in aligner.runs(texts[low:high]):
-                        at = np.searchsorted(pairs, run.pairs)
-                        if not np.array_equal(pairs[np.minimum(at, len(pairs) - 1)], run.pairs):
-                            raise KeyError("the second pass aligned a document otherwise")
-                        value = known[at]
-                        totals = [np.concatenate([[0], np.cumsum(v)]) for v in (value & 1, value >> 1)]
-                        for row, n in zip(sums, (run.a_bounds, run.b_bounds, run.group_bounds, run.link_bounds, totals[0][run.link_bounds], totals[1][run.link_bounds])):
-                            np.add.at(row, owners, np.diff(n))
-                        for owner, part in zip(owners.tolist(), run.written()):
-                            written[owner].append(part)
-                    yield pa.RecordBatch.from_arrays([ids.values.slice(low, high - low), *map(pa.array, sums), pa.array([b";".join(x).decode() for x in written])], names=names)
+                    known[np.argsort(_shard_of(pairs, width, shards), kind="stable")] = np.concatenate([unpack64(x) for x in values])
+                at = np.searchsorted(pairs, run.pairs)
+                value, written = known[at], run.written()  # pairs that only dropped texts hold are asked for by nobody
+                totals = [np.concatenate([[0], np.cumsum(v)])[run.link_bounds] for v in (value & 1, value >> 1)]
+                sums = [units.sums(np.diff(x)) for x in (run.a_bounds, run.b_bounds, run.group_bounds, run.link_bounds, *totals)]
+                low, stops = 0, np.concatenate([[0], np.cumsum(units.n)])
+                while low < len(ends):  # output in slices
+                    high = max(low + 1, int(np.searchsorted(stops, stops[low] + _SLICE // 8, "right")) - 1)
+                    groups = [";".join([written[u] for u in units.at[p:q].tolist()]) for p, q in zip(stops[low:high].tolist(), stops[low + 1:high + 1].tolist())]
+                    yield pa.RecordBatch.from_arrays([ids.values.slice(low, high - low), *[pa.array(x[low:high]) for x in sums], pa.array(groups, pa.string())], names=names)
                     low = high
 
     schema = T.StructType([T.StructField("id", own.schema["id"].dataType), *[T.StructField(n, T.LongType()) for n in names[1:-1]], T.StructField("groups", T.StringType())])
-    return (blocks.select("block", "ids", "texts", "sizes", "pairs").join(answers.hint("merge"), "block", "left")
-            .select("ids", "texts", "sizes", "pairs", "values").mapInArrow(look_up, schema))
+    kept = ["ids", "texts", "sizes", "a", "a_n", "b", "b_n", "pairs"]
+    return blocks.select("block", *kept).join(answers.hint("merge"), "block", "left").select(*kept, "values").mapInArrow(look_up, schema)

@@ -15,7 +15,7 @@ from . import brute
 A, B = Tokenizer.from_file(tokenizer_path()), sentencepiece.SentencePieceProcessor(model_file=piece_model_path())
 A.encode_special_tokens = True
 LABELS = Vocabulary(tokenizer_path()).labels
-ODD = [None, "", " ", "a", "a  b", "x▁y", "é 😀 漢字。", "<|endoftext|> </s>", "tab\tand\n  lines ", "don't we'll 12345", "twice told", "twice told", "\x00", " " * 50]
+ODD = [None, "", " ", "a", "a  b", "x▁y", "é 😀 漢字。", "<|endoftext|> </s>", "tab\tand\n  lines ", "don't we'll 12345", "twice told", "twice told", "\x00", " " * 50, "a\n  b \n c\t\td \u3000 e\x1c f\u00a0g  ", "x\x1d y\x85 z", "'s  's\n's"]
 
 
 def b_bytes(i):
@@ -73,15 +73,12 @@ def test_odd_texts(spark, settings):
     same(frame(spark, odd()).repartition(2), odd(), **settings)
 
 
-def test_runs_inside_a_text(spark, monkeypatch):
-    al = crosstok.Aligner(open(tokenizer_path(), encoding="utf-8").read(), LABELS, open(piece_model_path(), "rb").read())
-    texts = [t or "" for _, t in odd()]
-    whole = al.pairs(texts)
-    written = [x.decode() for _, r in al.runs([texts[-4]]) for x in r.written()]
-    monkeypatch.setattr(crosstok, "RUN_CHARS", 40)
-    cut = al.pairs(texts)
-    assert [x.tolist() for x in whole] == [x.tolist() for x in cut]
-    assert len(list(al.runs([texts[-4]]))) > 5 and ";".join(x.decode() for _, r in al.runs([texts[-4]]) for x in r.written()) == ";".join(written)
+def test_units_join_to_the_text():
+    text = "a  b\n c\t\td \u3000 e\x1c f\u00a0g  "
+    units = crosstok.Units([text, "", text])
+    again = "".join(" " + units.units[i] for i in units.at)
+    assert again == 2 * (" " + text) and units.n.tolist() == [len(units.at) // 2, 0, len(units.at) // 2]
+    assert "".join(crosstok._UNITS(" " + " \n ")) == "  \n "
 
 
 def test_documents(spark):
