@@ -11,7 +11,7 @@ label; each prefix has one proper tokenization, so a place that failed once is n
 word's length. Distinct words are encoded once per Python worker, up to CACHED_WORDS kept at a time.
 Decoding joins the labels of the arcs.
 
-Defined results: null text has no ids and decodes to empty text; ids outside the vocabulary raise KeyError-like errors; any other
+Defined results: null text has no ids and decodes to empty text; ids outside the vocabulary raise IndexError; any other
 column passes through, clashing result columns are replaced. Bytes that are not UTF-8 decode to replacement characters.
 """
 import sys
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from nearmiss.llm.pretokens import Splitter, Vocabulary
-from nearmiss.llm.textbytes import text_array, text_batches
+from nearmiss.llm.textbytes import freeing, text_array, text_batches
 
 CACHED_WORDS = 150_000
 RUN_ROWS = 512
@@ -134,27 +134,27 @@ class _Words(dict):
 _KEPT: dict = {}
 
 
-def _splitter_and_words(key: str, special: list, shared):
+def _splitter_and_words(key: str, special: list, encoder):
     """The worker's splitter and words for one call of encode; they outlive the task."""
     if key not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = Splitter(special), _Words(shared.value)
+        _KEPT[key] = Splitter(special), _Words(encoder())
     return _KEPT[key]
 
 
-def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, make):
-    """df with column name made from source by make(arrow array) for runs of rows."""
-    rest = [c for c in df.columns if c not in (source, name)]
-    schema = T.StructType([df.schema[source], T.StructField(name, kind), *[df.schema[c] for c in rest]])
+def _with_column(df: DataFrame, source: str, made: list, make):
+    """df with the columns made, (name, type), from source by make(arrow array) for runs of rows."""
+    rest = [c for c in df.columns if c != source and c not in dict(made)]
+    schema = T.StructType([df.schema[source], *[T.StructField(*m) for m in made], *[df.schema[c] for c in rest]])
     names = schema.fieldNames()
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, RUN_ROWS):
                 part = batch.slice(i, RUN_ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), make(part.column(0)), *part.columns[1:]], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *make(part.column(0)), *part.columns[1:]], names=names)
 
-    return text_batches(df).select(source, *rest).mapInArrow(run, schema)
+    return text_batches(df).select(source, *rest).mapInArrow(freeing(run), schema)
 
 
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -165,26 +165,44 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str =
     key = uuid.uuid4().hex
 
     def make(texts):
-        split, words = _splitter_and_words(key, special, shared)
+        split, words = _splitter_and_words(key, special, lambda: shared.value)
         word = words.__getitem__
-        return pa.array([b"".join(map(word, split(t))) for t in text_array(texts).to_pylist()], pa.binary())
+        return [pa.array([b"".join(map(word, split(t))) for t in text_array(texts).to_pylist()], pa.binary())]
 
-    return _with_column(df, text_col, ids_col, T.BinaryType(), make)
+    return _with_column(df, text_col, [(ids_col, T.BinaryType())], make)
 
 
-def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """df with the text that the packed ids stand for."""
-    labels = Vocabulary(tokenizer).labels
-    lengths = np.array([len(x) for x in labels], np.int64)
-    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(labels), np.uint8), lengths, np.cumsum(lengths) - lengths))
+class Labels:
+    """Packed ids to text by arc labels."""
+
+    def __init__(self, labels: list):
+        self.sizes = np.array([len(x) for x in labels], np.int64)
+        self.flat, self.starts = np.frombuffer(b"".join(labels), np.uint8), np.cumsum(self.sizes) - self.sizes
 
-    def text(packed):
-        data, lengths, at = shared.value
+    def text(self, packed: bytes) -> str:
         ids = np.frombuffer(packed, "<u4")
-        n = lengths[ids]
+        n = self.sizes[ids]
         ends = np.cumsum(n)
         if not len(ends) or not ends[-1]:
             return ""
-        return data[np.repeat(at[ids] - ends + n, n) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace")
+        return self.flat[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace")
+
+
+def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """df with the text that the packed ids stand for."""
+    shared = df.sparkSession.sparkContext.broadcast(Labels(Vocabulary(tokenizer).labels))
+    return _with_column(df, ids_col, [(text_col, T.StringType())], lambda packed: [pa.array([shared.value.text(x or b"") for x in packed.to_pylist()], pa.string())])
+
+
+def encode_decode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """df with ids binary, as encode, and the text that decode makes of them, in one pass of one worker a core."""
+    vocabulary = Vocabulary(tokenizer)
+    shared = df.sparkSession.sparkContext.broadcast((Encoder(vocabulary), Labels(vocabulary.labels)))
+    special, key = list(vocabulary.special), uuid.uuid4().hex
+
+    def make(texts):
+        split, words = _splitter_and_words(key, special, lambda: shared.value[0])
+        packed = [b"".join(map(words.__getitem__, split(t))) for t in text_array(texts).to_pylist()]
+        return [pa.array(packed, pa.binary()), pa.array(map(shared.value[1].text, packed), pa.string())]
 
-    return _with_column(df, ids_col, text_col, T.StringType(), lambda packed: pa.array([text(x or b"") for x in packed.to_pylist()], pa.string()))
+    return _with_column(df, text_col, [(ids_col, T.BinaryType()), (decoded_col, T.StringType())], make)

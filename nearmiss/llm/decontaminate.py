@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from nearmiss.llm.textbytes import batch_rows, byte_class, runs, span_hashes, text_batches, window_hashes, word_spans
+from nearmiss.llm.textbytes import batch_rows, byte_class, freeing, runs, span_hashes, text_batches, window_hashes, word_spans
 from nearmiss.session import durable
 
 SEPARATORS = byte_class((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -43,7 +43,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id"
                                               pa.array(out[3], pa.string())], names=["h", "k", "gram", "item"])
 
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(cut, "h long, k int, gram binary, item string").distinct()
+    return rows.mapInArrow(freeing(cut), "h long, k int, gram binary, item string").distinct()
 
 
 class WindowSet:
@@ -130,7 +130,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_
         base = scanned.schema if s == 0 else None
         if s == 0:
             schema = T.StructType([base[text_col], *extra, *[base[c] for c in rest]])
-        scanned = scanned.mapInArrow(_scan(schema.fieldNames(), known, s == 0), schema)
+        scanned = scanned.mapInArrow(freeing(_scan(schema.fieldNames(), known, s == 0)), schema)
     return scanned
 
 
@@ -164,4 +164,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     rest = [c for c in docs.columns if c != text_col]
     schema = T.StructType([docs.schema[text_col], *[docs.schema[c] for c in rest]])
-    return found.select("hit_words", text_col, *rest).mapInArrow(cut, schema).select(docs.columns)
+    return found.select("hit_words", text_col, *rest).mapInArrow(freeing(cut), schema).select(docs.columns)

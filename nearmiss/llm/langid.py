@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from nearmiss.llm.textbytes import text_array, text_batches
+from nearmiss.llm.textbytes import freeing, text_array, text_batches
 
 UNKNOWN = "und"
 TOP = 400
@@ -102,7 +102,7 @@ def learn_profiles(rows: DataFrame, lang_col: str = "lang", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
     known = text_batches(rows).filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = known.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(freeing(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("rank") <= top)
     out: dict = {}
     for r in ranked.orderBy("lang", "rank").collect():
@@ -124,4 +124,4 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text") -> DataF
                 found = [shared.value.classify(t.as_py()) for t in part.column(0)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), *part.columns[1:]], names=names)
 
-    return text_batches(df).select(text_col, *rest).mapInArrow(run, schema)
+    return text_batches(df).select(text_col, *rest).mapInArrow(freeing(run), schema)

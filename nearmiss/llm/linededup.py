@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from nearmiss.llm.textbytes import code_points, line_spans, mix, runs, span_hashes, strip_spans, text_batches
+from nearmiss.llm.textbytes import code_points, freeing, line_spans, mix, runs, span_hashes, strip_spans, text_batches
 from nearmiss.session import durable
 
 _NO_ID = -(1 << 63)
@@ -54,7 +54,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
             for found in _line_rows(batch, min_chars):
                 yield pa.RecordBatch.from_arrays([pa.array(found[c].astype("<u8").view("<i8") if c != "id" else found[c]) for c in ("h1", "h2", "id")], names=["h1", "h2", "id"])
 
-    return (docs.mapInArrow(cut, "h1 long, h2 long, id long").groupBy("h1", "h2")
+    return (docs.mapInArrow(freeing(cut), "h1 long, h2 long, id long").groupBy("h1", "h2")
             .agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("owner")).filter(F.col("n_docs") >= min_docs))
 
 
@@ -181,9 +181,9 @@ def line_decisions(docs: DataFrame, index: DataFrame, shards: int, min_chars: in
                 drop = rows[known & (counts >= min_docs) & (owners != rows["id"])]
                 yield pa.RecordBatch.from_arrays([pa.array(drop["id"].copy()), pa.array(drop["h1"].copy().view("<i8")), pa.array(drop["h2"].copy().view("<i8"))], names=["id", "h1", "h2"])
 
-    probes = docs.mapInArrow(send, "shard int, probes binary")
+    probes = docs.mapInArrow(freeing(send), "shard int, probes binary")
     asked = probes.join(index, "shard").select("probes", *_ARRAYS)
-    return (asked.mapInArrow(answer, "id long, h1 long, h2 long").groupBy("id")
+    return (asked.mapInArrow(freeing(answer), "id long, h1 long, h2 long").groupBy("id")
             .agg(F.flatten(F.collect_set(F.array("h1", "h2"))).alias("drop")))
 
 
@@ -219,4 +219,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     texts = pa.array([replaced.get(i, old) for i, old in enumerate(texts.to_pylist())], texts.type)
                 yield pa.RecordBatch.from_arrays([texts, pa.array(np.diff(bounds)), pa.array(n_dropped), *part.columns[2:]], names=names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(freeing(cut), schema)

@@ -1,7 +1,7 @@
 """Registered queries of the operators over whole tables, and their DuckDB counterparts where SQL can express them."""
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearmiss.llm.bpe import decode, encode
+from nearmiss.llm.bpe import encode_decode
 from nearmiss.llm.chat import format_chat, loss_texts, read_chat
 from nearmiss.llm.crosstok import align
 from nearmiss.llm.decontaminate import find_contamination
@@ -60,7 +60,8 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 def op7_chat_formatting(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"))
+    turn = lambda i, role: F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(tricky).alias("text"))
+    rows = rows.unionByName(spark.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, "assistant")))))
     chats = format_chat(rows).select("conv_id", "formatted", read_chat(F.col("formatted")).alias("turns"), F.array_join(loss_texts(F.col("formatted"), F.col("loss")), "").alias("loss"))
     return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
                         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
@@ -114,8 +115,7 @@ def piece_model_path() -> str:
 
 @query
 def op4_bpe_automaton(spark, sf_dir):
-    path = tokenizer_path()
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    out = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

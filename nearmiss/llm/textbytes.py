@@ -3,6 +3,7 @@
 All work is on UTF-8 bytes. Bytes from 0x80 on belong to characters beyond ASCII, so classes and lower-casing that only name
 ASCII characters can be decided byte by byte.
 """
+import ctypes
 import zlib
 from functools import lru_cache
 
@@ -24,6 +25,18 @@ def text_batches(df):
     return df
 
 
+def freeing(work):
+    """work for mapInArrow; after a task the worker, which Spark keeps, hands unused memory back to the machine."""
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def byte_class(*ranges) -> np.ndarray:
     """Boolean table of 256 entries, true inside the inclusive ranges."""
     table = np.zeros(256, bool)
