@@ -5,7 +5,7 @@ the next. n_chars follows the text where a stage changes it.
 """
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearmiss.llm.bpe import decode, encode
+from nearmiss.llm.bpe import encode_decode
 from nearmiss.llm.decontaminate import decontaminate
 from nearmiss.llm.jaccard import drop_near_duplicates
 from nearmiss.llm.linededup import dedup_lines
@@ -40,9 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, 32 bits each), their number, and the text that they decode to."""
-    path = tokenizer_path()
-    coded = encode(docs.select("doc_id", "lang", "source", "text"), path).select("doc_id", "lang", "source", "ids")
-    return decode(coded, path).select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+    coded = encode_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("bpe", bpe)]
