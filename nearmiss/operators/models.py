@@ -5,14 +5,15 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nearmiss.constants import C_ODD, R2_MODELS, T_MAX_S, Z_STATE
 from nearmiss.functions import normal as N
 from nearmiss.operators import censored as CN, metrics as M, quality as Q
+from nearmiss.operators.boosting import fit_together
 from nearmiss.operators.model_table import apply_scaler, scaler_stats
-from nearmiss.operators.permute import permute_within
+from nearmiss.operators.permute import permuted_copies
 from nearmiss.session import durable
 
 
@@ -41,15 +42,9 @@ def score(model: PipelineModel, df: DataFrame, features: list, name: str) -> Dat
 
 
 def score_nested(train: DataFrame, evaluation: DataFrame, models: dict, label: str, *, weight: str | None = None, **kw) -> DataFrame:
-    """Fit every nested model on `train` and add prob_<model> columns to `evaluation` in one pass."""
-    train, out = durable(train), evaluation
-    for name, features in models.items():
-        trees = nested_gbt(train, features, label, weight=weight, **kw).stages[-1]
-        # The vector is made beside the feature columns, which keep their stored values.
-        vector = array_to_vector(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]))
-        scored = trees.transform(out.withColumn("features_", vector)).withColumn(f"prob_{name}", vector_to_array("probability")[1])
-        out = scored.drop("features_", "rawPrediction", "probability", "prediction")
-    return durable(out)
+    """Fit every nested model on `train` and add prob_<model> columns to `evaluation`; all models grow in the same passes."""
+    boosted = fit_together(train, {n: (fs, label) for n, fs in models.items()}, weight=weight, **kw)
+    return durable(boosted.score(evaluation, {n: f"prob_{n}" for n in models}))
 
 
 def feature_importance(model: PipelineModel, features: list) -> DataFrame:
@@ -228,10 +223,13 @@ def evaluate_r2_suite(rows: DataFrame, suite: dict) -> DataFrame:
 def threshold_sensitivity(train: DataFrame, evaluation: DataFrame, base: list, full: list, *, weight: str, taus=(2, 3, 5), **kw) -> DataFrame:
     """Refit and evaluate for each label threshold."""
     train, evaluation = durable(train), durable(evaluation)
+    kinds = {"base": base, "full": full}
+    boosted = fit_together(train, {f"{n}_{t}": (fs, f"target_y_tau_{t}s") for t in taus for n, fs in kinds.items()}, weight=weight, **kw)
+    scored = durable(boosted.score(evaluation, {f"{n}_{t}": f"prob_{n}_{t}" for t in taus for n in kinds}))
     out = None
     for t in taus:
         label = f"target_y_tau_{t}s"
-        df = score_nested(train, evaluation, {"base": base, "full": full}, label, weight=weight, **kw)
+        df = scored.withColumns({f"prob_{n}": F.col(f"prob_{n}_{t}") for n in kinds})
         long = M.long_scores(df.withColumn("y_", F.col(label)), ["y_", weight], {"base": "prob_base", "full": "prob_full"})
         m = M.curve_metrics(long, ["model"], "y_", "p", F.col(weight)).join(M.pointwise_metrics(long, ["model"], "y_", "p", F.col(weight)), "model")
         pick = lambda name, col: F.max(F.when(F.col("model") == name, F.col(col)))
@@ -244,20 +242,18 @@ def threshold_sensitivity(train: DataFrame, evaluation: DataFrame, base: list, f
 
 def negative_control(train: DataFrame, evaluation: DataFrame, physics: list, context: list, label: str, *, weight: str, strata: list, keys: list,
                      seeds=(41, 42, 43, 44, 45), **kw) -> DataFrame:
-    """AP with real context against context permuted within strata, per seed."""
-    train, evaluation = durable(train), durable(evaluation)
-    features = [*physics, *context]
-
-    def ap(tr, ev, cols):
-        df = score(nested_gbt(tr, cols, label, weight=weight, **kw), ev, cols, "p_")
-        return M.curve_metrics(df.withColumn("y_", F.col(label)), [], "y_", "p_", F.col(weight)).first()["pr_auc"]
-
-    base, real = ap(train, evaluation, physics), ap(train, evaluation, features)
-    rows = []
-    for s in seeds:
-        mixed = [durable(permute_within(d, context, keys, strata, seed=s)) for d in (train, evaluation)]
-        p = ap(mixed[0], mixed[1], features)
-        rows.append((int(s), base, p, real, _minus(real, p), _minus(p, base)))
+    """AP with real context against context permuted within strata, per seed; all fits grow in the same passes."""
+    sets = durable(train.withColumn("in_train", F.lit(True)).unionByName(evaluation.withColumn("in_train", F.lit(False))))
+    mixed = permuted_copies(sets, context, ["in_train", *keys], ["in_train", *strata], seeds=seeds)
+    both = durable(sets.join(mixed, ["in_train", *keys]))
+    fits = {"physics": (physics, label), "real": ([*physics, *context], label),
+            **{f"seed_{s}": ([*physics, *[f"{c}__{s}" for c in context]], label) for s in seeds}}
+    boosted = fit_together(both.filter("in_train"), fits, weight=weight, **kw)
+    scored = boosted.score(both.filter("NOT in_train").withColumn("y_", F.col(label)), {n: f"prob_{n}" for n in fits})
+    long = M.long_scores(durable(scored), ["y_", weight], {n: f"prob_{n}" for n in fits})
+    ap = {r["model"]: r["pr_auc"] for r in M.curve_metrics(long, ["model"], "y_", "p", F.col(weight)).collect()}
+    base, real = ap.get("physics"), ap.get("real")
+    rows = [(int(s), base, ap.get(f"seed_{s}"), real, _minus(real, ap.get(f"seed_{s}")), _minus(ap.get(f"seed_{s}"), base)) for s in seeds]
     return train.sparkSession.createDataFrame(rows, "seed int, physics_only_pr_auc double, permuted_context_pr_auc double, true_context_pr_auc double, "
                                                     "delta_true_minus_permuted double, delta_permuted_minus_physics double")
 

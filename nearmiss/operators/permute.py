@@ -20,9 +20,12 @@ def permute_within(df: DataFrame, columns: list, keys: list, strata: list, *, se
     order comes from range-wise prefix counts, so a stratum holding a large
     share of the rows is not sorted in one task.
     """
-    rows = durable(df)
+    return _permuted(durable(df), columns, keys, strata, F.lit(str(seed)))
+
+
+def _permuted(rows: DataFrame, columns: list, keys: list, strata: list, seed) -> DataFrame:
     text = [F.col(k).cast("string") for k in keys]
-    draw = lambda tag: hex_uniform(F.md5(F.concat_ws("|", F.lit(f"{seed}{tag}"), *text)), 13)
+    draw = lambda tag: hex_uniform(F.md5(F.concat_ws("|", F.concat(seed, F.lit(tag)), *text)), 13)
     rows = rows.withColumns({"h_to": draw("a"), "h_from": draw("b")})
 
     def place(d: DataFrame, h: str) -> DataFrame:
@@ -33,3 +36,11 @@ def permute_within(df: DataFrame, columns: list, keys: list, strata: list, *, se
     to = place(rows, "h_to").drop("h_to", "h_from", *columns)
     source = place(rows, "h_from").select(*strata, "pos", *columns)
     return to.join(source, [*strata, "pos"]).drop("pos")
+
+
+def permuted_copies(df: DataFrame, columns: list, keys: list, strata: list, *, seeds) -> DataFrame:
+    """keys and, for every seed, <column>__<seed>: the columns as permute_within deals them; all seeds in one pass. Keys name rows."""
+    own = list(dict.fromkeys([*keys, *strata]))
+    rows = durable(df.select(*own, *columns, F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed_")))
+    mixed = _permuted(rows, columns, keys, [*strata, "seed_"], F.col("seed_").cast("string"))
+    return mixed.groupBy(*keys).agg(*[F.max(F.when(F.col("seed_") == s, F.col(c))).alias(f"{c}__{s}") for s in seeds for c in columns])

