@@ -62,7 +62,7 @@ def signal_coverage(signals: DataFrame, frames: DataFrame) -> DataFrame:
     """Entries, frames with signals, distinct lanes and the covered share of frames."""
     per_frame = signals.groupBy("scenario_id", "time_index").agg(F.count("*").alias("n")).agg(
         F.sum("n").alias("total_entries"), F.count("*").alias("timesteps_with_signals"))
-    lanes = signals.select("lane_id").distinct().agg(F.count("*").alias("unique_lanes"))
+    lanes = signals.select("scenario_id", "lane_id").distinct().agg(F.count("*").alias("unique_lanes"))
     total = frames.select("scenario_id", "time_index").distinct().agg(F.count("*").alias("n_frames"))
     return (per_frame.withColumns({"unique_lanes": lanes.scalar(), "n_frames": total.scalar()})
             .withColumn("signal_coverage_pct", ratio(F.col("timesteps_with_signals"), F.col("n_frames"), 100.0, 2)))

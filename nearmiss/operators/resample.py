@@ -1,9 +1,14 @@
 """Scenario-block bootstrap as a table of multiplicities.
 
 Draws come from a hash of (seed, replicate, position), so any task can
-recompute them; rows are never copied, their weights are multiplied.
+recompute them. Metrics of paired models meet them packed, one array per
+scenario; rank correlations still take one row per replicate that drew it.
 """
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from nearmiss.functions.columns import hex_uniform
 from nearmiss.operators.metrics import curve_metrics, long_scores
@@ -31,20 +36,139 @@ def bootstrap_draws(ids: DataFrame, *, n_boot: int, seed: int = 42) -> DataFrame
     return durable(drawn.join(index, "idx").select("replicate", "scenario_id", "m"))
 
 
+def packed_draws(draws: DataFrame, n_boot: int) -> DataFrame:
+    """scenario_id and m: its multiplicity in each of the n_boot replicates, compressed (about 2 bits each)."""
+    def pack(batches):
+        for batch in batches:
+            packed = []
+            for drawn in batch.column(1).to_pylist():
+                m = np.zeros(n_boot, "<u2")
+                m[[d["replicate"] for d in drawn]] = [d["m"] for d in drawn]
+                packed.append(zlib.compress(m.view(np.uint8).reshape(-1, 2).T.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["scenario_id", "m"])
+
+    lists = draws.groupBy("scenario_id").agg(F.collect_list(F.struct("replicate", "m")).alias("drawn"))
+    return lists.mapInArrow(pack, T.StructType([draws.schema["scenario_id"], T.StructField("m", T.BinaryType())]))
+
+
+def _multiplicities(packed: bytes) -> np.ndarray:
+    low, high = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, -1).astype(float)
+    return low + 256 * high
+
+
+_RANGE_ROWS = 20_000
+_CHUNK = 512
+
+
 def paired_metric_replicates(scores: DataFrame, draws: DataFrame, y: str, w: Column, models: dict) -> DataFrame:
     """AP and AUROC of every model on every replicate, all on the same draws.
 
-    Rows are merged to distinct (scenario, model, score) before they meet the
-    replicates.
+    Rows are merged to distinct (scenario, model, score) and meet one packed array of multiplicities per scenario; no row is copied per
+    replicate. Scores are cut into ranges from the highest down: one pass adds up each range's mass as vectors over replicates, a second streams
+    each range in order behind the mass above it, and the ranges' parts are added up.
     """
     rows = long_scores(scores.withColumns({"w_": w, "y_": F.col(y).cast("double")}), ["scenario_id", "w_", "y_"], models)
-    merged = rows.groupBy("scenario_id", "model", "p").agg(F.sum(F.col("w_") * F.col("y_")).alias("pos"), F.sum("w_").alias("all"))
-    drawn = salted_join(draws, merged, ["scenario_id"], ["model", "p"], buckets=2)
-    drawn = drawn.select("replicate", "model", "p", (F.col("pos") * F.col("m")).alias("pos"), (F.col("all") * F.col("m")).alias("all"))
-    # Two weighted rows per score carry the positive and the negative mass.
-    mass = drawn.select("replicate", "model", "p", F.inline(F.array(
-        F.struct(F.lit(1).alias("y"), F.col("pos").alias("w")), F.struct(F.lit(0).alias("y"), (F.col("all") - F.col("pos")).alias("w")))))
-    return curve_metrics(mass, ["replicate", "model"], "y", "p", F.col("w")).select("replicate", "model", "pr_auc", "auroc")
+    merged = durable(rows.groupBy("scenario_id", "model", "p").agg(F.sum(F.col("w_") * F.col("y_")).alias("pos"), F.sum("w_").alias("all")))
+    size = draws.agg(F.max("replicate").alias("last")).first()["last"]
+    n_boot, ranges = (-1 if size is None else int(size)) + 1, min(1000, 1 + merged.count() // _RANGE_ROWS)
+    cuts = sorted(set(merged.stat.approxQuantile("p", [i / ranges for i in range(1, ranges)], 1e-3))) if ranges > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c > F.col("p"))) if cuts else F.lit(0)
+    placed = durable(merged.withColumn("part", part.cast("int")).join(packed_draws(draws, n_boot), "scenario_id").select("model", "part", "p", "pos", "all", "m"))
+
+    def mass(batches):
+        total = {}
+        for batch in batches:
+            for model, at, _, pos, every, m in zip(*[c.to_pylist() for c in batch.columns]):
+                own = total.setdefault((model, at), np.zeros((2, n_boot)))
+                m = _multiplicities(m)
+                own[0] += pos * m
+                own[1] += every * m
+        for (model, at), v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([model]), pa.array([at], pa.int32()), pa.array([v.tobytes()])], names=["model", "part", "m"])
+
+    def before(key, table):
+        """Mass above each range; behind it the model's whole mass."""
+        total = {}
+        for at, v in zip(table.column("part").to_pylist(), table.column("m").to_pylist()):
+            total[at] = total.get(at, 0) + np.frombuffer(v, float)
+        whole, above, out = sum(total.values()), np.zeros(2 * n_boot), []
+        for at in sorted(total):
+            out.append((key[0].as_py(), at, np.concatenate([above, whole]).tobytes()))
+            above = above + total[at]
+        return pa.table({"model": pa.array([r[0] for r in out]), "part": pa.array([r[1] for r in out], pa.int32()), "m": pa.array([r[2] for r in out], pa.binary())})
+
+    def curve(batches):
+        """Each range in order of falling score: its share of the sums behind AP and AUROC."""
+        key, state = None, None
+        names = ["model", "part", "v"]
+
+        def close():
+            add(final=True)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                pos, neg = state["whole"][0], state["whole"][1] - state["whole"][0]
+                out = np.stack([state["ap"] / pos, state["auc"] / (pos * neg)])
+            out[:, ~((pos > 0) & (neg > 1e-12 * state["whole"][1]))] = np.nan
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([out.tobytes()])], names=names)
+
+        def add(final=False):
+            """Take the waiting rows; those of the last score wait on, since it may go on, until the range ends."""
+            waiting = state["waiting"]
+            if not waiting:
+                if state["tie"] is not None:
+                    take(state["tie"][1][None], state["tie"][2][None])
+                return
+            p = np.array([r[0] for r in waiting])
+            m = np.stack([_multiplicities(r[3]) for r in waiting])
+            heads = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            pos = np.add.reduceat(m * np.array([r[1] for r in waiting])[:, None], heads)
+            every = np.add.reduceat(m * np.array([r[2] for r in waiting])[:, None], heads)
+            if state["tie"] is not None and state["tie"][0] == p[0]:
+                pos[0] += state["tie"][1]
+                every[0] += state["tie"][2]
+            elif state["tie"] is not None:
+                pos, every = np.concatenate([state["tie"][1][None], pos]), np.concatenate([state["tie"][2][None], every])
+            state["tie"] = None
+            if not final:
+                state["tie"] = (p[-1], pos[-1], every[-1])
+                pos, every = pos[:-1], every[:-1]
+            state["waiting"] = []
+            take(pos, every)
+
+        def take(pos, every):
+            if not len(pos):
+                return
+            tp, al = state["above"][0] + np.cumsum(pos, 0), state["above"][1] + np.cumsum(every, 0)
+            neg = every - pos
+            neg_before = al - every - (tp - pos)
+            neg_total = state["whole"][1] - state["whole"][0]
+            state["ap"] += (pos * tp / np.maximum(al, 1e-300)).sum(0)
+            state["auc"] += (pos * (neg_total - neg_before - neg * 0.5)).sum(0)
+            state["above"] = np.stack([tp[-1], al[-1]])
+
+        for batch in batches:
+            for model, at, p, pos, every, m in zip(*[c.to_pylist() for c in batch.columns]):
+                if p is None:
+                    if key is not None:
+                        yield close()
+                    key, v = (model, at), np.frombuffer(m, float).reshape(2, 2, n_boot)
+                    state = {"above": v[0], "whole": v[1], "ap": np.zeros(n_boot), "auc": np.zeros(n_boot), "waiting": [], "tie": None}
+                else:
+                    state["waiting"].append((p, pos, every, m))
+                    if len(state["waiting"]) >= _CHUNK:
+                        add()
+        if key is not None:
+            yield close()
+
+    heads = placed.mapInArrow(mass, "model string, part int, m binary").groupBy("model").applyInArrow(before, "model string, part int, m binary")
+    none = F.lit(None).cast("double")
+    stream = heads.select("model", "part", none.alias("p"), none.alias("pos"), none.alias("all"), "m").unionByName(placed)
+    shares = stream.repartition("model", "part").sortWithinPartitions("model", "part", F.col("p").desc_nulls_first()).mapInArrow(curve, "model string, part int, v binary")
+
+    def finish(key, table):
+        total = np.sum([np.frombuffer(v, float).reshape(2, n_boot) for v in table.column("v").to_pylist()], axis=0)
+        return pa.table({"replicate": pa.array(np.arange(n_boot), pa.int32()), "model": pa.array([key[0].as_py()] * n_boot), "pr_auc": pa.array(total[0], from_pandas=True), "auroc": pa.array(total[1], from_pandas=True)})
+
+    return shares.groupBy("model").applyInArrow(finish, "replicate int, model string, pr_auc double, auroc double")
 
 
 def percentile_interval(df: DataFrame, keys: list, value: str, prefix: str = "", alpha: float = 0.05) -> DataFrame:

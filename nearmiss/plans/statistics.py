@@ -1,6 +1,8 @@
 """Catalog: metrics, ranks and resampling over the frame score table."""
 from pyspark.sql import functions as F
 
+from nearmiss.constants import CONTRASTS
+
 from nearmiss.operators import metrics as M, ranking as RK, resample as RS
 from nearmiss.operators.splits import assign_split
 from nearmiss.plans.catalog import query, rounded
@@ -100,10 +102,16 @@ def bootstrap_draws(spark, sf_dir):
     return rounded(RS.bootstrap_draws(scores(spark, sf_dir), n_boot=FULL))
 
 
+#: Scores of the nested models on the derived score table, as SQL that both engines read alike.
+NESTED_SCORES = {"M_P": "p_base", "M_P_Eall": "p_full", "M_P_Estatic": "(p_base * 3 + p_full) / 4", "M_P_Ecomp": "(p_base + p_full) / 2", "M_P_Einteract": "(p_base + p_full * 3) / 4",
+                 "M_P_Eall_Ehist": "(p_full * 7 + CAST(n_lines % 5 AS DOUBLE) / 5) / 8"}
+
+
 @query
 def paired_delta_ci(spark, sf_dir):
-    return rounded(RS.paired_delta_interval(weighted(spark, sf_dir), "y", F.col("weight"),
-                                            {"full_minus_base": ("full", "base")}, MODELS, n_boot=BOOT))
+    """Five contrasts of nested models on 1,000 scenario resamples."""
+    df = weighted(spark, sf_dir).withColumns({f"prob_{m}": F.expr(e) for m, e in NESTED_SCORES.items()})
+    return rounded(RS.paired_delta_interval(df, "y", F.col("weight"), CONTRASTS, {m: f"prob_{m}" for m in NESTED_SCORES}, n_boot=FULL))
 
 
 @query

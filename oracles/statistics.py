@@ -109,22 +109,32 @@ add_cte("draws", ["indexed"], _draws(25))
 add_cte("draws_full", ["indexed"], _draws(1000))
 SQL["bootstrap_draws"] = query("SELECT replicate, scenario_id, m FROM draws_full", "draws_full")
 
-add_cte("boot_rows", ["draws", "stacked"], """
-SELECT replicate, model, s.y, s.p, s.w * m AS w FROM draws d JOIN stacked s ON d.scenario_id = s.scenario_id
-UNION ALL SELECT -1, model, y, p, w FROM stacked""")
-add_cte("boot_delta", ["boot_rows"], f"""
-SELECT replicate, max(CASE WHEN model = 'full' THEN pr_auc END) - max(CASE WHEN model = 'base' THEN pr_auc END) AS d,
-  max(CASE WHEN model = 'full' THEN auroc END) - max(CASE WHEN model = 'base' THEN auroc END) AS a
-FROM ({curve('replicate, model', 'boot_rows')}) GROUP BY 1""")
+NESTED = {"M_P": "p_base", "M_P_Eall": "p_full", "M_P_Estatic": "(p_base * 3 + p_full) / 4", "M_P_Ecomp": "(p_base + p_full) / 2", "M_P_Einteract": "(p_base + p_full * 3) / 4",
+          "M_P_Eall_Ehist": "(p_full * 7 + CAST(n_lines % 5 AS DOUBLE) / 5) / 8"}
+PAIRS = [("M_P_Eall", "M_P"), ("M_P_Einteract", "M_P"), ("M_P_Estatic", "M_P"), ("M_P_Ecomp", "M_P"), ("M_P_Eall_Ehist", "M_P_Eall")]
+add_cte("nested_mass", ["ws"], "SELECT scenario_id, model, p, sum(w * y) AS pos, sum(w) AS al FROM (" + " UNION ALL ".join(
+    f"SELECT scenario_id, '{m}' AS model, {e} AS p, y, w FROM ws" for m, e in NESTED.items()) + ") GROUP BY ALL")
+add_cte("boot_steps", ["draws_full", "nested_mass"], """
+SELECT replicate, model, p, sum(pos * m) AS pos, sum(al * m) AS al FROM (
+  SELECT replicate, model, p, pos, al, m FROM draws_full d JOIN nested_mass s ON d.scenario_id = s.scenario_id
+  UNION ALL SELECT -1, model, p, pos, al, 1 FROM nested_mass) GROUP BY ALL""")
+add_cte("boot_curves", ["boot_steps"], """
+SELECT replicate, model, CASE WHEN sum(pos) > 0 AND sum(al - pos) > 1e-9 THEN sum(pos * tp / ta) / sum(pos) END AS pr_auc,
+  CASE WHEN sum(pos) > 0 AND sum(al - pos) > 1e-9 THEN sum(pos * (below + 0.5 * (al - pos))) / (sum(pos) * sum(al - pos)) END AS auroc
+FROM (SELECT *, sum(pos) OVER d AS tp, sum(al) OVER d AS ta, coalesce(sum(al - pos) OVER (PARTITION BY replicate, model ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM boot_steps WINDOW d AS (PARTITION BY replicate, model ORDER BY p DESC)) GROUP BY 1, 2""")
+add_cte("boot_delta", ["boot_curves"], " UNION ALL ".join(
+    f"SELECT '{b}_minus_{a}' AS contrast, '{b}' AS model_2, '{a}' AS model_1, x.replicate, round(x.pr_auc - z.pr_auc, 12) AS d, round(x.auroc - z.auroc, 12) AS a "
+    f"FROM boot_curves x JOIN boot_curves z ON x.replicate = z.replicate AND x.model = '{b}' AND z.model = '{a}'" for b, a in PAIRS))
 SQL["paired_delta_ci"] = query(f"""
-SELECT 'full_minus_base' AS contrast, 'full' AS model_2, 'base' AS model_1, {_rs(['point_delta_pr_auc', 'bootstrap_mean_delta', 'ci_lower_95', 'ci_upper_95', 'p_value_empirical_bootstrap', 'point_delta_auroc', 'auroc_ci_lower_95', 'auroc_ci_upper_95'])},
+SELECT contrast, model_2, model_1, {_rs(['point_delta_pr_auc', 'bootstrap_mean_delta', 'ci_lower_95', 'ci_upper_95', 'p_value_empirical_bootstrap', 'point_delta_auroc', 'auroc_ci_lower_95', 'auroc_ci_upper_95'])},
   ci_lower_95 > 0 AS statistically_significant_positive,
   CASE WHEN point_delta_pr_auc > 0 AND ci_lower_95 > 0 THEN 'SUPPORTED' WHEN point_delta_pr_auc > 0 THEN 'MIXED_POSITIVE' ELSE 'NOT_CONFIRMED' END AS verdict_status
-FROM (SELECT max(CASE WHEN replicate < 0 THEN d END) AS point_delta_pr_auc, avg(CASE WHEN replicate >= 0 THEN d END) AS bootstrap_mean_delta,
+FROM (SELECT contrast, model_2, model_1, max(CASE WHEN replicate < 0 THEN d END) AS point_delta_pr_auc, avg(CASE WHEN replicate >= 0 THEN d END) AS bootstrap_mean_delta,
   quantile_cont(CASE WHEN replicate >= 0 THEN d END, 0.025) AS ci_lower_95, quantile_cont(CASE WHEN replicate >= 0 THEN d END, 0.975) AS ci_upper_95,
-  least((2 * least(count(*) FILTER (WHERE replicate >= 0 AND d <= 0), count(*) FILTER (WHERE replicate >= 0 AND d >= 0)) + 1) / (count(*) FILTER (WHERE replicate >= 0) + 1), 1.0) AS p_value_empirical_bootstrap,
+  least((2 * least(count(*) FILTER (WHERE replicate >= 0 AND d <= 0), count(*) FILTER (WHERE replicate >= 0 AND d >= 0)) + 1) / (count(d) FILTER (WHERE replicate >= 0) + 1), 1.0) AS p_value_empirical_bootstrap,
   max(CASE WHEN replicate < 0 THEN a END) AS point_delta_auroc, quantile_cont(CASE WHEN replicate >= 0 THEN a END, 0.025) AS auroc_ci_lower_95,
-  quantile_cont(CASE WHEN replicate >= 0 THEN a END, 0.975) AS auroc_ci_upper_95 FROM boot_delta)""", "boot_delta")
+  quantile_cont(CASE WHEN replicate >= 0 THEN a END, 0.975) AS auroc_ci_upper_95 FROM boot_delta GROUP BY 1, 2, 3)""", "boot_delta")
 
 add_cte("nll", ["ws"], """
 SELECT scenario_id, avg(-ln(greatest(CASE WHEN y = 1 THEN p_base ELSE 1 - p_base END, 1e-12))) - avg(-ln(greatest(CASE WHEN y = 1 THEN p_full ELSE 1 - p_full END, 1e-12))) AS delta FROM ws GROUP BY 1""")

@@ -79,7 +79,7 @@ SELECT coalesce(feature_type, 'ALL') AS feature_type, count(*) AS points, count(
 FROM map_feature GROUP BY GROUPING SETS ((feature_type), ())""", "map_feature")
 SQL["signal_coverage"] = query("""
 SELECT *, round(100.0 * timesteps_with_signals / n_frames, 2) AS signal_coverage_pct FROM (
-SELECT count(*) AS total_entries, count(DISTINCT (scenario_id, time_index)) AS timesteps_with_signals, count(DISTINCT lane_id) AS unique_lanes,
+SELECT count(*) AS total_entries, count(DISTINCT (scenario_id, time_index)) AS timesteps_with_signals, count(DISTINCT (scenario_id, lane_id)) AS unique_lanes,
   (SELECT count(DISTINCT (scenario_id, time_index)) FROM agent_state) AS n_frames FROM dynamic_signal)""", "dynamic_signal", "agent_state")
 
 from oracles.core import SQL as CORE  # noqa: E402

@@ -179,3 +179,25 @@ def test_positions_and_overlap_with_ties(spark):
         assert got == {s: i for i, s in enumerate(order(c)[:40], 1)}
     got = {r.k: r.overlap for r in RK.top_k_overlap(df, df, "a", "b", [10, 40, 500]).collect()}
     assert got[10] == len(set(order(1)[:10]) & set(order(2)[:10])) / 10 and got[40] == len(set(order(1)[:40]) & set(order(2)[:40])) / 40 and got[500] is None
+
+
+def test_replicates_over_ranges_and_ties(spark, monkeypatch):
+    import random
+    rng = random.Random(2)
+    data = [(f"s{i % 9}", int(rng.random() < 0.4), rng.choice([0.1, 0.25, 0.5, rng.random()]), rng.choice([0.5, rng.random()]), 0.5 + i % 3) for i in range(300)]
+    sc = spark.createDataFrame(data, "scenario_id string, y int, p double, q double, w double")
+    draws = RS.bootstrap_draws(sc, n_boot=6)
+    rows = sc.join(draws, "scenario_id").withColumn("wm", F.col("w") * F.col("m"))
+    want = {(r.replicate, n): r for n in ("p", "q") for r in M.curve_metrics(rows, ["replicate"], "y", n, F.col("wm")).collect()}
+    monkeypatch.setattr(RS, "_RANGE_ROWS", 40)
+    monkeypatch.setattr(RS, "_CHUNK", 5)
+    got = RS.paired_metric_replicates(sc, draws, "y", F.col("w"), {"p": "p", "q": "q"}).collect()
+    assert len(got) == 12
+    for r in got:
+        assert r.pr_auc == pytest.approx(want[r.replicate, r.model].pr_auc) and r.auroc == pytest.approx(want[r.replicate, r.model].auroc)
+
+
+def test_packed_draws(spark):
+    draws = spark.createDataFrame([(0, "a", 300), (2, "a", 1), (1, "b", 2)], "replicate int, scenario_id string, m long")
+    got = {r.scenario_id: RS._multiplicities(bytes(r.m)).tolist() for r in RS.packed_draws(draws, 3).collect()}
+    assert got == {"a": [300, 0, 1], "b": [0, 2, 0]}
