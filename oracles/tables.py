@@ -152,13 +152,21 @@ add_cte("sig_rows", ["agent_state"], """
 SELECT *, coalesce(sqrt(pow(center_x - lag(center_x) OVER w, 2) + pow(center_y - lag(center_y) OVER w, 2)), 0.0) AS step,
   first_value(center_x) OVER w AS x0, first_value(center_y) OVER w AS y0 FROM agent_state WHERE is_sdc AND valid
 WINDOW w AS (PARTITION BY scenario_id ORDER BY time_index)""")
+# Copies of every fourth scenario, moved sideways: the audit must find them, and nothing else but what the data repeat.
+add_cte("planted", ["agent_state"], """
+SELECT * FROM agent_state UNION ALL SELECT * REPLACE (scenario_id || 'c' AS scenario_id, center_x + 1024 AS center_x) FROM agent_state WHERE CAST(scenario_id AS INT) % 4 = 0""")
+add_cte("planted_rows", ["planted"], """
+SELECT *, coalesce(sqrt(pow(center_x - lag(center_x) OVER w, 2) + pow(center_y - lag(center_y) OVER w, 2)), 0.0) AS step,
+  first_value(center_x) OVER w AS x0, first_value(center_y) OVER w AS y0 FROM planted WHERE is_sdc AND valid
+WINDOW w AS (PARTITION BY scenario_id ORDER BY time_index)""")
 _sig = lambda q: f"""
 SELECT scenario_id, count(*) AS n_frames,
   sha256(string_agg(CAST(CAST(round_even((center_x - x0) / {q}, 0) AS BIGINT) AS STRING) || ',' || CAST(CAST(round_even((center_y - y0) / {q}, 0) AS BIGINT) AS STRING), ';' ORDER BY time_index)) AS signature_hash,
   sum(step) AS dist, avg(sqrt(velocity_x * velocity_x + velocity_y * velocity_y)) AS spd, arg_min(heading, time_index) AS h0, arg_max(heading, time_index) AS h1
 FROM sig_rows GROUP BY 1 HAVING count(*) >= 10"""
 add_cte("sigs", ["sig_rows"], _sig("0.5"))
-add_cte("sigs_coarse", ["sig_rows"], _sig("500.0"))
+add_cte("sigs_planted", ["planted_rows"], _sig("0.5").replace("FROM sig_rows", "FROM planted_rows"))
+add_cte("splits_planted", ["planted"], f"SELECT scenario_id, {SPLIT.format(u='u')} AS split FROM (SELECT scenario_id, {_u} AS u FROM (SELECT DISTINCT scenario_id FROM planted))")
 SQL["trajectory_signature"] = query(f"""
 SELECT g.scenario_id, n_frames, signature_hash, {r6('dist', 'total_distance_m', 5)}, {r6('spd', 'avg_speed_mps', 5)}, {r6('h0', 'start_heading', 5)}, {r6('h1', 'end_heading', 5)}, split
 FROM sigs g JOIN splits s ON g.scenario_id = s.scenario_id""", "sigs", "splits")
@@ -166,7 +174,7 @@ SQL["near_duplicate_audit"] = query("""
 SELECT CAST(sum(n) AS BIGINT) AS total_scenarios_audited, count(*) AS unique_trajectory_signatures, count(*) FILTER (WHERE n > 1) AS duplicate_cluster_count,
   count(*) FILTER (WHERE n > 1 AND k > 1) AS cross_split_leakage_cluster_count, CAST(coalesce(sum(CASE WHEN n > 1 AND k > 1 THEN n END), 0) AS BIGINT) AS cross_split_scenarios_count,
   CASE WHEN count(*) FILTER (WHERE n > 1 AND k > 1) = 0 THEN 'PASS' ELSE 'RESOLVED_BY_GROUPING' END AS verdict
-FROM (SELECT signature_hash, count(*) AS n, count(DISTINCT split) AS k FROM sigs_coarse g JOIN splits s ON g.scenario_id = s.scenario_id GROUP BY 1)""", "sigs_coarse", "splits")
+FROM (SELECT signature_hash, count(*) AS n, count(DISTINCT split) AS k FROM sigs_planted g JOIN splits_planted s ON g.scenario_id = s.scenario_id GROUP BY 1)""", "sigs_planted", "splits_planted")
 
 add_cte("kpi", ["ids", "kin", "circles", "agent_state", "map_feature"], """
 SELECT i.scenario_id, max_jerk, drac_max, rss_margin_min, round(cte, 4) AS cross_track_error_max, round(ttlc, 4) AS ttlc_min, round(off, 4) AS offroad_ratio FROM ids i
