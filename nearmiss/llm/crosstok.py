@@ -32,12 +32,13 @@ from nearmiss.llm.blocks import gather, stored_by_block
 from nearmiss.llm.linededup import build_index
 from nearmiss.llm.pieces import Decoder, MARK, split_model
 from nearmiss.llm.pretokens import Vocabulary
-from nearmiss.llm.textbytes import mix, pack, text_array, text_batches, unpack
+from nearmiss.llm.textbytes import freeing, mix, pack, text_array, text_batches, unpack
 from nearmiss.session import durable
 
 _UNITS = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*").findall
 _WIDE = re.compile(r"\s ").search
 _AT_ONCE = 10_000
+_WRITTEN_AT_ONCE = 20_000
 _FAN = 16
 _SLICE = 1 << 20
 
@@ -87,15 +88,16 @@ class Aligner:
             part = units[low:low + _AT_ONCE]
             a += [array("I", x.ids) for x in self.tok.encode_batch_fast([" " + u for u in part], add_special_tokens=False)]
             b += [array("I", x if u else self.blank) for u, x in zip(part, self.model.encode(part, num_threads=1))]
-        if not self._same(units, a, b):
+        flat_a, flat_b = _joined(a), _joined(b)
+        if not self._same(units, flat_a[0], flat_b[0]):
             for i, unit in enumerate(units):
-                if not self._same([unit], [a[i]], [b[i]]):
+                if not self._same([unit], _joined([a[i]])[0], _joined([b[i]])[0]):
                     a[i] = b[i] = array("I")
-        return _joined(a), _joined(b)
+            flat_a, flat_b = _joined(a), _joined(b)
+        return flat_a, flat_b
 
     def _same(self, units, a, b):
         raw = "".join([" " + u for u in units]).encode()
-        a, b = _joined(a)[0], _joined(b)[0]
         return raw == gather(self.a_flat, self.a_start[a], self.a_size[a]).tobytes() == gather(self.b_flat, self.b_start[b], self.b_size[b]).tobytes()
 
 
@@ -186,15 +188,22 @@ class Run:
         self.group_bounds = np.searchsorted(self.groups, unit_ends, "right")
 
     def written(self) -> list:
-        """The groups of each unit as `a1,a2|b1;a3|b2`."""
-        al = self.aligner
-        side = np.concatenate([2 * np.searchsorted(self.groups, self.a_ends), 2 * np.searchsorted(self.groups, self.b_ends) + 1])
+        """The groups of each unit as `a1,a2|b1;a3|b2`, made for some units at a time."""
+        out, n = [], len(self.a_bounds) - 1
+        for low in range(0, n, _WRITTEN_AT_ONCE):
+            out += self._written(low, min(n, low + _WRITTEN_AT_ONCE))
+        return out
+
+    def _written(self, low, high):
+        al, a, b = self.aligner, slice(*self.a_bounds[[low, high]]), slice(*self.b_bounds[[low, high]])
+        side = np.concatenate([2 * np.searchsorted(self.groups, self.a_ends[a]), 2 * np.searchsorted(self.groups, self.b_ends[b]) + 1])
         order = np.argsort(side, kind="stable")
-        side, ids = side[order], np.concatenate([self.a, self.b])[order]
+        side, ids = side[order], np.concatenate([self.a[a], self.b[b]])[order]
         text, ends = gather(al.numbers, al.number_start[ids], al.number_size[ids]).copy(), np.cumsum(al.number_size[ids])
         last = np.append(side[1:] != side[:-1], True) if len(side) else np.zeros(0, bool)
         text[ends[last] - 1] = np.where(side[last] % 2, ord(";"), ord("|"))
-        stops, raw = np.concatenate([[0], ends])[self.a_bounds + self.b_bounds].tolist(), text.tobytes().decode()
+        bounds = (self.a_bounds + self.b_bounds)[low:high + 1]
+        stops, raw = np.concatenate([[0], ends])[bounds - bounds[0]].tolist(), text.tobytes().decode()
         return [raw[x:y - 1] for x, y in zip(stops[:-1], stops[1:])]
 
 
@@ -287,7 +296,7 @@ def pair_blocks(docs: DataFrame, make, block_bytes: int) -> DataFrame:
             yield row()
 
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["id"].dataType)), *[T.StructField(n, T.BinaryType()) for n in names[2:]]])
-    return docs.mapInArrow(cut, schema)
+    return docs.mapInArrow(freeing(cut), schema)
 
 
 def _shard_of(pairs, width, shards):
@@ -458,4 +467,4 @@ def align(docs: DataFrame, bpe_path: str, model_path: str, id_col: str = "doc_id
 
     schema = T.StructType([T.StructField("id", own.schema["id"].dataType), *[T.StructField(n, T.LongType()) for n in names[1:-1]], T.StructField("groups", T.StringType())])
     kept = ["ids", "texts", "sizes", "a", "a_n", "b", "b_n", "pairs"]
-    return blocks.select("block", *kept).join(answers.hint("merge"), "block", "left").select(*kept, "values").mapInArrow(look_up, schema)
+    return blocks.select("block", *kept).join(answers.hint("merge"), "block", "left").select(*kept, "values").mapInArrow(freeing(look_up), schema)

@@ -81,7 +81,8 @@ def test_units_join_to_the_text():
     assert "".join(crosstok._UNITS(" " + " \n ")) == "  \n "
 
 
-def test_documents(spark):
+def test_documents(spark, monkeypatch):
+    monkeypatch.setattr(crosstok, "_WRITTEN_AT_ONCE", 777)
     docs = spark.read.parquet(f"{brute.SF}/documents.parquet")
     same(docs, [tuple(r) for r in docs.select("doc_id", "text").collect()], block_bytes=50_000, shard_pairs=3000)
 
