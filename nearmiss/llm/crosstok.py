@@ -83,21 +83,21 @@ class Aligner:
 
     def encode(self, units: list):
         """(ids, number for each unit) of A and of B; a unit that one of them does not give back has none of either."""
-        a, b = [], []
+        found = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))], [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
         for low in range(0, len(units), _AT_ONCE):
             part = units[low:low + _AT_ONCE]
-            a += [array("I", x.ids) for x in self.tok.encode_batch_fast([" " + u for u in part], add_special_tokens=False)]
-            b += [array("I", x if u else self.blank) for u, x in zip(part, self.model.encode(part, num_threads=1))]
-        flat_a, flat_b = _joined(a), _joined(b)
-        if not self._same(units, flat_a[0], flat_b[0]):
-            for i, unit in enumerate(units):
-                if not self._same([unit], _joined([a[i]])[0], _joined([b[i]])[0]):
-                    a[i] = b[i] = array("I")
-            flat_a, flat_b = _joined(a), _joined(b)
-        return flat_a, flat_b
+            a = [array("I", x.ids) for x in self.tok.encode_batch_fast([" " + u for u in part], add_special_tokens=False)]
+            b = [array("I", x if u else self.blank) for u, x in zip(part, self.model.encode(part, num_threads=1))]
+            if not self._same(part, a, b):
+                for i, unit in enumerate(part):
+                    if not self._same([unit], [a[i]], [b[i]]):
+                        a[i] = b[i] = array("I")
+            found[0].append(_joined(a))
+            found[1].append(_joined(b))
+        return tuple(tuple(map(np.concatenate, zip(*x))) for x in found)
 
     def _same(self, units, a, b):
-        raw = "".join([" " + u for u in units]).encode()
+        raw, a, b = "".join([" " + u for u in units]).encode(), _joined(a)[0], _joined(b)[0]
         return raw == gather(self.a_flat, self.a_start[a], self.a_size[a]).tobytes() == gather(self.b_flat, self.b_start[b], self.b_size[b]).tobytes()
 
 
@@ -150,7 +150,7 @@ def count_pairs(units: Units, run):
     pairs, which = np.unique(run.pairs, return_inverse=True)
     counts, ends = np.zeros(len(pairs), np.int64), np.cumsum(units.n)
     starts, sizes = run.link_bounds[:-1], np.diff(run.link_bounds)
-    step = max(1, (1 << 24) // max(1, len(pairs)))
+    step = max(1, (1 << 22) // max(1, len(pairs)))
     for low in range(0, len(units.n), step):  # a table of texts x pairs at a time
         high = min(low + step, len(units.n))
         text = np.repeat(np.arange(high - low), units.n[low:high])
