@@ -1,14 +1,18 @@
 """Distances from moving positions to static points of the same scenario.
 
 Points are first summarised per grid cell (tight bounding box, count, heading
-sums). Positions meet cells, not points; only cells that can hold the answer
-are opened. Results are exact: the cell bounds are true bounds.
+sums). Positions look up the cells around them by key, never all cells of their
+scenario; only cells that can hold the answer are opened. Results are exact: the cell bounds are true bounds.
 """
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nearmiss.operators.pairs import FRAME, salted_join
+from nearmiss.session import durable
 
-CELL_M = 25.0
+# Cells are 25 m, 200 m and 1,600 m wide; beyond these a scenario is one cell.
+CELL_M, FACTOR, LEVELS = 25.0, 8, 3
+# Added to the reach of a look-up, so that rounding never loses a cell.
+SLACK_M = 1e-6
 
 
 def _cell(c: str) -> Column:
@@ -39,16 +43,54 @@ def _d2() -> Column:
     return dx * dx + dy * dy
 
 
+def _side() -> Column:
+    """Width of the row's cells."""
+    return F.get(F.array(*[F.lit(CELL_M * FACTOR ** k) for k in range(LEVELS + 1)]), F.col("level"))
+
+
+def _level_cell(c: str) -> Column:
+    """Coordinate at `level` of a cell given at level 0; the last level is one cell."""
+    level = F.col("level")
+    return F.when(level == LEVELS, F.lit(0)).otherwise(F.floor(F.col(c) / F.pow(F.lit(float(FACTOR)), level))).cast("long")
+
+
+def _window(low: Column, high: Column) -> Column:
+    """Cells of the row's level that meet the interval; the last level has only cell 0."""
+    at = lambda v: F.when(F.col("level") == LEVELS, F.lit(0)).otherwise(F.floor(v / _side())).cast("long")
+    return F.explode(F.sequence(at(low), at(high)))
+
+
+def _gap2() -> Column:
+    """Squared distance from (x0, y0) to the square of cell (cx, cy)."""
+    gap = lambda p, c: F.greatest(F.col(c) * _side() - F.col(p), F.col(p) - (F.col(c) + 1) * _side(), F.lit(0.0))
+    gx, gy = gap("x0", "cx"), gap("y0", "cy")
+    return gx * gx + gy * gy
+
+
 def nearest_distance(positions: DataFrame, points: DataFrame) -> DataFrame:
-    """Exact distance from each position (scenario, frame, x0, y0) to the nearest point of each feature type."""
+    """Exact distance from each position (scenario, frame, x0, y0) to the nearest point of each feature type.
+
+    Cells form levels of growing size, the last one cell per scenario. A position looks up the four cells nearest to it on each level by key; the
+    tightest far corner found bounds the distance. On the first level with a cell the bound spans at most three cells either way, so the
+    cells within it are again looked up by key, and those that can beat the nearest far corner are opened.
+    """
     points = with_cells(points)
-    cells = cell_summary(points)
     at_cell = ["scenario_id", "feature_type", "gx", "gy"]
-    met = _bounds(salted_join(positions, cells, ["scenario_id"], ["gx", "gy"]))
-    reach = met.groupBy(*FRAME, "feature_type").agg(
-        F.min("high2").alias("reach2"), F.first("x0").alias("x0"), F.first("y0").alias("y0"))
-    near_cells = (_bounds(salted_join(reach, cells, ["scenario_id", "feature_type"], ["gx", "gy"]))
-                  .filter(F.col("low2") <= F.col("reach2")).select(*at_cell, "time_index", "x0", "y0"))
+    of_level = ["scenario_id", "level", "cx", "cy"]
+    base = cell_summary(points).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    members = durable(base.withColumns({"cx": _level_cell("gx"), "cy": _level_cell("gy")}))
+    cells = members.groupBy(*of_level, "feature_type").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))
+    half = _side() / 2
+    around = (positions.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+              .withColumn("cx", _window(F.col("x0") - half, F.col("x0") + half)).withColumn("cy", _window(F.col("y0") - half, F.col("y0") + half)))
+    reach = _bounds(around.join(cells, of_level)).groupBy(*FRAME, "feature_type").agg(
+        F.min("high2").alias("reach2"), F.min("level").alias("level"), F.first("x0").alias("x0"), F.first("y0").alias("y0"))
+    r = F.sqrt("reach2") + SLACK_M
+    within = (reach.withColumn("cx", _window(F.col("x0") - r, F.col("x0") + r)).withColumn("cy", _window(F.col("y0") - r, F.col("y0") + r))
+              .filter((F.col("level") == LEVELS) | (_gap2() <= r * r)))
+    met = _bounds(within.join(members, [*of_level, "feature_type"])).filter(F.col("low2") <= F.col("reach2"))
+    best = F.min("high2").over(W.partitionBy(*FRAME, "feature_type"))
+    near_cells = met.withColumn("best2", best).filter(F.col("low2") <= F.col("best2")).select(*at_cell, "time_index", "x0", "y0")
     opened = salted_join(near_cells, points.select(*at_cell, "x", "y"), at_cell, ["x", "y"], buckets=2)
     return (opened.groupBy(*FRAME, "feature_type").agg(F.min(_d2()).alias("d2"))
             .select(*FRAME, "feature_type", F.sqrt("d2").alias("distance_m")))
@@ -78,14 +120,17 @@ def lane_headings(points: DataFrame, *, chunk: int = 4096) -> DataFrame:
 def lane_context(positions: DataFrame, points: DataFrame, *, radius_m: float = 50.0) -> DataFrame:
     """Lane points within the radius and their heading dispersion.
 
-    Cells wholly inside contribute their sums; only cells on the rim are opened.
+    Cells within reach are looked up by key. Those wholly inside contribute their sums; only cells on the rim are opened.
     """
     lanes = with_cells(lane_headings(points))
     sums = lambda: [F.count("*").alias("n"), F.sum(F.cos("lane_heading")).alias("sc"), F.sum(F.sin("lane_heading")).alias("ss")]
     cells = cell_summary(lanes, sums())
     r2 = radius_m * radius_m
     at_cell = ["scenario_id", "feature_type", "gx", "gy"]
-    met = _bounds(salted_join(positions, cells, ["scenario_id"], ["gx", "gy"])).filter(F.col("low2") <= r2)
+    reach = radius_m + SLACK_M
+    around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / CELL_M), F.floor((F.col(c) + reach) / CELL_M)))
+    looked = positions.withColumn("gx", around("x0")).withColumn("gy", around("y0"))
+    met = _bounds(looked.join(cells, ["scenario_id", "gx", "gy"])).filter(F.col("low2") <= r2)
     inside = met.filter(F.col("high2") <= r2).select(*FRAME, "n", "sc", "ss")
     rim = met.filter(F.col("high2") > r2).select(*at_cell, "time_index", "x0", "y0")
     opened = salted_join(rim, lanes.select(*at_cell, "x", "y", "lane_heading"), at_cell, ["x", "y"], buckets=2).filter(_d2() <= r2)
