@@ -282,3 +282,39 @@ def incremental_pairs(spark, sf_dir):
     # Records hold velocities in single precision, which can move a contact from "now" to "next"; both count as contact here.
     kind = F.when(F.col("target_status").isin("current_geometry_overlap", "future_contact_event"), "contact").otherwise(F.col("target_status"))
     return rounded(out.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_frames"), F.count_distinct("scenario_id").alias("n_scenarios")))
+
+
+@query
+def recomputed_outputs(spark, sf_dir):
+    """Frame kinds and pairs per frame after one batch lost its frames, the other its pairs, and a further run made them again."""
+    from nearmiss.streaming.incremental import run_incremental
+    base = f"{shared_dir(spark)}/nearmiss/{uuid.uuid4().hex}"
+    r = durable(records(spark, sf_dir))
+    third = F.col("scenario_id").cast("int") % 3 == 0
+    for part in (third, ~third | (F.col("scenario_id").cast("int") % 6 == 0)):
+        r.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/arrived")
+        run_incremental(spark, f"{base}/arrived", f"{base}/out")
+    for batch, name in enumerate(("frame_targets", "pair_metrics")):
+        place = f"{base}/out/{name}/batch={batch}"
+        spark.createDataFrame([], spark.read.parquet(place).schema).write.mode("overwrite").parquet(place)
+    run_incremental(spark, f"{base}/arrived", f"{base}/out")
+    frames, pairs = (spark.read.parquet(f"{base}/out/{name}") for name in ("frame_targets", "pair_metrics"))
+    kind = F.when(F.col("target_status").isin("current_geometry_overlap", "future_contact_event"), "contact").otherwise(F.col("target_status"))
+    met = pairs.groupBy("scenario_id", "time_index").agg(F.count("*").alias("n"))
+    return rounded(frames.join(met, ["scenario_id", "time_index"], "left").select(
+        "scenario_id", "time_index", kind.alias("kind"), "n_eligible_pairs", F.coalesce("n", F.lit(0)).alias("n_pairs")))
+
+
+@query
+def read_scenarios(spark, sf_dir):
+    """Records read from two splits of files that repeat some scenarios, within a file and, changed, across files; a third split is not asked for."""
+    path = f"{shared_dir(spark)}/nearmiss/{uuid.uuid4().hex}"
+    r = durable(records(spark, sf_dir))
+    of = lambda n: r.filter(F.col("scenario_id").cast("int") % n == 0)
+    changed = F.lit(99)
+    r.unionByName(of(5)).coalesce(1).write.parquet(f"{path}/split=a")
+    of(3).withColumn("sdc_track_index", changed).write.parquet(f"{path}/split=b")
+    of(2).withColumns({"sdc_track_index": changed, "scenario_id": F.concat("scenario_id", F.lit("x"))}).write.parquet(f"{path}/split=c")
+    back = R.read_scenarios(spark, path, splits=["a", "b"])
+    names = back.select("scenario_id", F.regexp_extract("source_file", r"split=([^/]+)", 1).alias("split"))
+    return rounded(R.flatten_scenario(back).join(names, "scenario_id"))

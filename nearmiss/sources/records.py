@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from nearmiss.constants import ALIASES, OBJECT_TYPES, SIGNAL_STATES
 from nearmiss.functions.columns import decode_enum, flag
+from nearmiss.session import durable
 
 _POINT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "z")])
 _LINE = T.StructType([T.StructField("polyline", T.ArrayType(_POINT))])
@@ -37,18 +38,41 @@ _SHAPES = {"lane": "polyline", "road_line": "polyline", "road_edge": "polyline",
 
 
 def read_scenarios(spark, paths, *, fmt: str = "parquet", splits=None, max_scenarios: int | None = None) -> DataFrame:
-    """Nested records of the chosen splits (a `split=` path part), one per scenario id."""
+    """Nested records of the chosen splits (a `split=` path part), one per scenario id.
+
+    The first by file name and row stays; a null id counts as one id. Parquet numbers its rows, so the others are found from ids and
+    positions alone. Formats that do not are reduced by content.
+    """
     df = spark.read.schema(RECORD).format(fmt).load(paths)
     df = df.withColumn("source_file", F.col("_metadata.file_path"))
+    if fmt == "parquet":
+        df = df.withColumn("position", F.col("_metadata.row_index"))
     if splits:
         part = F.regexp_extract("source_file", r"split=([^/]+)", 1)
         df = df.filter(part.isin(*splits))
-    df = distinct_scenarios(df)
+    df = without_repeats(df).drop("position") if fmt == "parquet" else distinct_scenarios(df)
     if max_scenarios is not None:
         df = df.join(df.select("scenario_id").orderBy("scenario_id").limit(max_scenarios), "scenario_id", "left_semi")
     return df
 
 
+def without_repeats(records: DataFrame, *, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One record per id: the first by (source_file, position).
+
+    Only ids and positions are shuffled. The places of the repeats are
+    broadcast while they are at most `broadcast_rows`, so that records stay in
+    their tasks; more of them are joined by place, which moves the records.
+    """
+    place = F.struct("source_file", "position")
+    keys = records.select("scenario_id", place.alias("place"))
+    repeated = keys.groupBy("scenario_id").agg(F.min("place").alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    same = keys["scenario_id"].eqNullSafe(repeated["scenario_id"])
+    losers = durable(keys.join(repeated, same).filter(F.col("place") != F.col("kept")).select("place.*"))
+    if losers.count() <= broadcast_rows:
+        losers = F.broadcast(losers)
+    return records.join(losers, ["source_file", "position"], "left_anti").select(*records.columns)
+
+
 def distinct_scenarios(records: DataFrame) -> DataFrame:
     """One record per id: the first by file name, whichever task reads it first."""
     order = F.struct(F.col("source_file"), F.xxhash64(*[c for c in records.columns]))

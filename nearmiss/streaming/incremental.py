@@ -2,7 +2,9 @@
 
 The file source's checkpoint is the ledger of finished files and the sink's
 folder per batch makes a repeated batch overwrite itself, so a restart neither
-skips nor doubles a file.
+skips nor doubles a file. Each batch also notes how many rows every output
+holds of every scenario; outputs that hold fewer or none are computed again
+from the files of their batch.
 """
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,8 +28,7 @@ def allowed_path() -> "Column":
 def _new_scenarios(records: DataFrame, batch_id: int, out: str) -> DataFrame:
     """Records of scenarios that no earlier batch has processed; the ids of this batch are noted."""
     spark, path = records.sparkSession, f"{out}/scenarios"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if _exists(spark, path):
         seen = spark.read.parquet(path).filter(F.col("batch") < batch_id).select("scenario_id")
         records = records.join(seen, "scenario_id", "left_anti")
     records = durable(records)
@@ -35,21 +36,77 @@ def _new_scenarios(records: DataFrame, batch_id: int, out: str) -> DataFrame:
     return records
 
 
-def process_batch(records: DataFrame, batch_id: int, out: str) -> None:
-    """Pairs, frame targets and one completion event per source file of the batch; a scenario of an earlier batch is left out."""
-    records = durable(records)
-    states = durable(flatten_agent_state(distinct_scenarios(_new_scenarios(records, batch_id, out))))
+OUTPUTS = ("pair_metrics", "frame_targets")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def write_outputs(records: DataFrame, batch_id: int, out: str, names=OUTPUTS) -> None:
+    """The named outputs of a batch's records, in the folder of the batch; what is there is replaced."""
+    states = durable(flatten_agent_state(distinct_scenarios(records)))
     presence = durable(frame_presence(states))
-    pairs = pair_metrics(states, presence, clearance=False, valid_targets_only=False)
-    keep = [c for c in pairs.columns if not c.startswith(("e_", "t_")) and c not in ("dx", "dy", "dvx", "dvy")]
-    pairs.select(*keep).write.mode("overwrite").parquet(f"{out}/pair_metrics/batch={batch_id}")
-    frame_targets(states, presence).write.mode("overwrite").parquet(f"{out}/frame_targets/batch={batch_id}")
+    if "pair_metrics" in names:
+        pairs = pair_metrics(states, presence, clearance=False, valid_targets_only=False)
+        keep = [c for c in pairs.columns if not c.startswith(("e_", "t_")) and c not in ("dx", "dy", "dvx", "dvy")]
+        pairs.select(*keep).write.mode("overwrite").parquet(f"{out}/pair_metrics/batch={batch_id}")
+    if "frame_targets" in names:
+        frame_targets(states, presence).write.mode("overwrite").parquet(f"{out}/frame_targets/batch={batch_id}")
+
+
+def held_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Rows that each output now holds of each scenario, by batch. Unreadable files count as lost."""
+    found = spark.createDataFrame([], "batch int, scenario_id string, output string, n_rows long")
+    for name in OUTPUTS:
+        if _exists(spark, f"{out}/{name}"):
+            rows = spark.read.schema("scenario_id string, batch int").option("ignoreCorruptFiles", "true").parquet(f"{out}/{name}")
+            found = found.unionByName(rows.groupBy("batch", "scenario_id").agg(F.count("*").alias("n_rows")).withColumn("output", F.lit(name)))
+    return found
+
+
+def process_batch(records: DataFrame, batch_id: int, out: str) -> None:
+    """Pairs, frame targets, the rows written and one completion event per source file; a scenario of an earlier batch is left out."""
+    spark, records = records.sparkSession, durable(records)
+    new = _new_scenarios(records, batch_id, out)
+    write_outputs(new, batch_id, out)
+    every = new.select("scenario_id").distinct().select("scenario_id", F.explode(F.array(*[F.lit(n) for n in OUTPUTS])).alias("output"))
+    own = held_rows(spark, out).filter(F.col("batch") == batch_id).drop("batch")
+    written = every.join(own, ["scenario_id", "output"], "left").select("scenario_id", "output", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    written.write.mode("overwrite").parquet(f"{out}/written/batch={batch_id}")
     events = records.groupBy("source_file").agg(F.countDistinct("scenario_id").alias("n_scenarios"))
     events.withColumn("status", F.lit("completed")).write.mode("overwrite").parquet(f"{out}/progress/batch={batch_id}")
 
 
+def lost_outputs(spark: SparkSession, out: str) -> DataFrame:
+    """(batch, output, n_lost): finished batches whose output lacks rows, with the number of scenarios concerned."""
+    written = spark.read.schema("scenario_id string, output string, n_rows long, batch int").parquet(f"{out}/written")
+    finished = spark.read.schema("source_file string, batch int").parquet(f"{out}/progress").select("batch").distinct()
+    held = held_rows(spark, out).withColumnRenamed("n_rows", "n_held")
+    short = written.join(held, ["batch", "scenario_id", "output"], "left").filter(F.col("n_rows") != F.coalesce("n_held", F.lit(0)))
+    return short.join(finished, "batch", "left_semi").groupBy("batch", "output").agg(F.count("*").alias("n_lost"))
+
+
+def recompute_lost(spark: SparkSession, out: str, *, fmt: str = "parquet") -> int:
+    """Compute lost outputs again, batch by batch, from the batch's own files and scenarios; returns the number of batches.
+
+    A batch has at most `files_per_batch` files, which bounds what the driver
+    names; batches with losses are two numbers each.
+    """
+    if not _exists(spark, f"{out}/written"):
+        return 0
+    lost = lost_outputs(spark, out).groupBy("batch").agg(F.collect_set("output").alias("outputs")).orderBy("batch").collect()
+    for row in lost:
+        files = [r.source_file for r in spark.read.parquet(f"{out}/progress/batch={row.batch}").select("source_file").collect()]
+        records = spark.read.schema(RECORD).format(fmt).load(files).withColumn("source_file", F.col("_metadata.file_path"))
+        taken = spark.read.schema("scenario_id string").parquet(f"{out}/scenarios/batch={row.batch}")
+        write_outputs(records.join(taken, "scenario_id", "left_semi"), row.batch, out, row.outputs)
+    return len(lost)
+
+
 def run_incremental(spark: SparkSession, source: str, out: str, *, fmt: str = "parquet", files_per_batch: int = 1000) -> int:
-    """Process every file not finished yet, then stop; returns the number of batches run.
+    """Repeat batches that lost outputs, process every file not finished yet, then stop; returns the number of batches run or repeated.
 
     A folder that is itself marked as validation or testing data is refused
     before anything is listed; single files marked so are left out.
@@ -58,7 +115,7 @@ def run_incremental(spark: SparkSession, source: str, out: str, *, fmt: str = "p
     stream = (spark.readStream.schema(RECORD).format(fmt).option("maxFilesPerTrigger", files_per_batch)
               .option("recursiveFileLookup", "true").load(source)
               .withColumn("source_file", F.col("_metadata.file_path")).filter(allowed_path()))
-    done = []
+    repeated, done = recompute_lost(spark, out, fmt=fmt), []
 
     def sink(df, batch_id):
         process_batch(df, batch_id, out)
@@ -66,7 +123,7 @@ def run_incremental(spark: SparkSession, source: str, out: str, *, fmt: str = "p
 
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/ledger").trigger(availableNow=True).start()
     query.awaitTermination()
-    return len(done)
+    return repeated + len(done)
 
 
 def missing_outputs(spark: SparkSession, progress: DataFrame, source_files: DataFrame) -> DataFrame:

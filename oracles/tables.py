@@ -237,3 +237,11 @@ SELECT s.scenario_id, CASE WHEN NOT any_valid THEN 'invalid_frame' WHEN NOT ego_
 FROM spine s LEFT JOIN (SELECT scenario_id, time_index, count(*) AS n_near, count(*) FILTER (WHERE pair_valid AND overlap_now) AS n_over,
   count(*) FILTER (WHERE pair_valid AND hit AND NOT overlap_now AND ttc > 1e-9) AS n_future FROM pairs_raw GROUP BY ALL) p
   ON s.scenario_id = p.scenario_id AND s.time_index = p.time_index) s GROUP BY 1""", "spine", "pairs_raw")
+SQL["recomputed_outputs"] = query("""SELECT s.scenario_id, CAST(s.time_index AS BIGINT) AS time_index, status AS kind,
+  CASE WHEN status IN ('contact', 'right_censored') THEN n_valid ELSE 0 END AS n_eligible_pairs, coalesce(n_near, 0) AS n_pairs FROM (
+SELECT s.scenario_id, s.time_index, n_near, n_valid, CASE WHEN NOT any_valid THEN 'invalid_frame' WHEN NOT ego_ok THEN 'invalid_ego_state' WHEN n_near IS NULL THEN 'no_exposure'
+  WHEN n_over + n_future > 0 THEN 'contact' ELSE 'right_censored' END AS status
+FROM spine s LEFT JOIN (SELECT scenario_id, time_index, count(*) AS n_near, count(*) FILTER (WHERE pair_valid) AS n_valid, count(*) FILTER (WHERE pair_valid AND overlap_now) AS n_over,
+  count(*) FILTER (WHERE pair_valid AND hit AND NOT overlap_now AND ttc > 1e-9) AS n_future FROM pairs_raw GROUP BY ALL) p
+  ON s.scenario_id = p.scenario_id AND s.time_index = p.time_index) s""", "spine", "pairs_raw")
+SQL["read_scenarios"] = SQL["flatten_scenario"].replace(" AS duration_seconds", " AS duration_seconds, 'a' AS split")

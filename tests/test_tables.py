@@ -155,6 +155,42 @@ def test_incremental_run_processes_files_once(spark, tmp_path):
         INC.run_incremental(spark, src + "/validation", out)
 
 
+def test_lost_outputs_are_computed_again(spark, tmp_path):
+    import glob
+    import shutil
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rec = FX.records(spark, SF)
+    ids = [r.scenario_id for r in rec.select("scenario_id").orderBy("scenario_id").limit(4).collect()]
+    for i, (a, b) in enumerate([(0, 3), (2, 4)]):  # the third scenario arrives twice
+        rec.filter(F.col("scenario_id").isin(ids[a:b])).coalesce(1).write.parquet(f"{src}/{i}")
+        assert INC.run_incremental(spark, src, out) >= 1
+    rows = lambda name: sorted(str(tuple(r)) for r in spark.read.parquet(f"{out}/{name}").collect())
+    want = {n: rows(n) for n in INC.OUTPUTS}
+    lost = lambda: {(r.batch, r.output, r.n_lost) for r in INC.lost_outputs(spark, out).collect()}
+    assert lost() == set() and INC.run_incremental(spark, src, out) == 0
+    shutil.rmtree(f"{out}/frame_targets/batch=0")
+    assert lost() == {(0, "frame_targets", 3)} and INC.run_incremental(spark, src, out) == 1
+    for f in glob.glob(f"{out}/pair_metrics/batch=1/part-*"):  # cut in the middle: neither magic nor footer
+        data = open(f, "rb").read()
+        open(f, "wb").write(data[: len(data) // 2])
+    shutil.rmtree(f"{out}/frame_targets")
+    assert {(b, o) for b, o, _ in lost()} == {(0, "frame_targets"), (1, "frame_targets"), (1, "pair_metrics")}
+    assert INC.run_incremental(spark, src, out) == 2 and lost() == set()
+    assert {n: rows(n) for n in INC.OUTPUTS} == want
+    assert INC.run_incremental(spark, src, out) == 0
+
+
+def test_repeats_are_found_without_moving_records(spark):
+    rows = [("a", "f1", 5, 1), ("a", "f1", 2, 2), ("a", "f0", 9, 3), (None, "f1", 0, 4), (None, "f2", 0, 5), ("b", "f2", 1, 6), ("", "f2", 3, 7)]
+    df = spark.createDataFrame(rows, "scenario_id string, source_file string, position long, body int")
+    keep = {3, 4, 6, 7}
+    assert {r.body for r in R.without_repeats(df).collect()} == keep
+    assert {r.body for r in R.without_repeats(df, broadcast_rows=0).collect()} == keep
+    assert R.without_repeats(df.limit(0)).count() == 0
+    plan = R.without_repeats(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_freeze_and_load(spark, tmp_path):
     df = spark.createDataFrame([(float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(60)], "a double, b double, y int")
     m = ML.logistic(df, ["a", "b"], "y", reg=0.01)
