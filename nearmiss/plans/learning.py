@@ -12,7 +12,7 @@ from nearmiss.plans.context import feature_table
 from nearmiss.plans.core import frames_of
 from nearmiss.plans.statistics import BOOT
 from nearmiss.session import durable
-from nearmiss.sources.fixture import map_points, scores, signals, smooth_states, states
+from nearmiss.sources.fixture import map_points, mixed_states, scores, signals, smooth_states, states
 
 
 @query
@@ -56,7 +56,7 @@ def prospective_outcome(spark, sf_dir):
 
 
 def followed(spark, sf_dir):
-    return durable(LM.followup_labels(states(spark, sf_dir)))
+    return durable(LM.followup_labels(mixed_states(spark, sf_dir)))
 
 
 @query
@@ -72,12 +72,12 @@ def eligible_landmarks(spark, sf_dir):
 
 @query
 def anchor_vs_open_set(spark, sf_dir):
-    return rounded(LM.anchor_vs_open_set(followed(spark, sf_dir), frames_of(spark, sf_dir)))
+    return rounded(LM.anchor_vs_open_set(followed(spark, sf_dir), scene_criticality(mixed_states(spark, sf_dir))))
 
 
 @query
 def landmark_pair_features(spark, sf_dir):
-    return rounded(LM.landmark_pair_features(states(spark, sf_dir), followed(spark, sf_dir)), 5)
+    return rounded(LM.landmark_pair_features(mixed_states(spark, sf_dir), followed(spark, sf_dir)), 5)
 
 
 @query

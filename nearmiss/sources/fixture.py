@@ -122,6 +122,13 @@ def smooth_states(spark, sf_dir):
         F.col("v").alias("velocity_x"), F.lit(0.0).alias("velocity_y"), F.lit(0.0).alias("heading"), F.when(vehicle, 4.5).otherwise(1.8).alias("length"), F.when(vehicle, 2.0).otherwise(0.8).alias("width"))
 
 
+def mixed_states(spark, sf_dir):
+    """The scattered scenarios next to the steady ones, whose ids start with s: tracks that get lost and tracks that last."""
+    steady = smooth_states(spark, sf_dir).withColumns({
+        "scenario_id": F.concat(F.lit("s"), "scenario_id"), "is_object_of_interest": F.lit(False), "center_z": F.lit(0.0), "height": F.lit(1.5)})
+    return states(spark, sf_dir).unionByName(steady)
+
+
 def map_points(spark, sf_dir):
     return view(spark, sf_dir, "map_feature")
 

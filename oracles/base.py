@@ -159,20 +159,21 @@ def add_cte(name: str, needs: list, sql: str) -> None:
     _CTES[name] = (needs, sql)
 
 
-def query(select: str, *needs: str) -> str:
-    """Prefix a select with the CTEs it needs, dependencies first."""
+def query(select: str, *needs: str, swap: dict | None = None) -> str:
+    """Prefix a select with the CTEs it needs, dependencies first; `swap` gives some of them as other {name: (needs, SQL)}."""
     order: list = []
+    ctes = {**_CTES, **(swap or {})}
 
     def visit(n):
         if n not in order:
-            for d in _CTES[n][0]:
+            for d in ctes[n][0]:
                 visit(d)
             if n not in order:
                 order.append(n)
 
     for n in needs:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_CTES[n][1]})" for n in order) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({ctes[n][1]})" for n in order) + "\n" + select
 
 
 def r6(expr: str, name: str | None = None, digits: int = 6) -> str:

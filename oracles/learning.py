@@ -2,7 +2,7 @@
 from nearmiss.constants import C_ODD, MODEL_FEATURES, Z_STATE
 from nearmiss.operators.landmark import CONTEXT_13, ENV_HIST_7, ENV_INST_13, PHYSICS_16, PHYSICS_21
 from oracles import analysis as AN, statistics as ST  # noqa: F401  (define the CTEs used here)
-from oracles.base import _TYPES, _pairs, add_cte, query, r6
+from oracles.base import RAW, _TYPES, _pairs, add_cte, query, r6
 from oracles.context import KEY
 from oracles.core import SQL as CORE
 from oracles.tables import SPLIT, _hex, _m
@@ -67,6 +67,15 @@ SELECT *, coalesce(ttc, 10.0) > 3 AS calm FROM (SELECT *, min(ttc) OVER (PARTITI
 _PRO = f"""CAST(calm AND coalesce(t2 <= 3, FALSE) AS BIGINT) AS y_onset_3s_h2s, CAST(calm AND coalesce(t1 <= 3, FALSE) AS BIGINT) AS y_onset_3s_h1s"""
 SQL["prospective_outcome"] = query(f"SELECT {KEY}, status AS current_status, {_PRO}, {r6('pk', 'future_peak_c_h2s')}, {r6('pk - coalesce(sev, 0.0)', 'delta_future_peak_c_h2s')} FROM prosp", "prosp")
 
+add_cte("smooth", ["smooth_track"], """
+SELECT scenario_id, time_index, track_id, time_index / 10.0 AS timestamp_seconds, track_id = 1 AS is_sdc, CASE WHEN track_id <= 4 THEN 'TYPE_VEHICLE' WHEN track_id = 5 THEN 'TYPE_PEDESTRIAN'
+  WHEN track_id = 6 THEN 'TYPE_CYCLIST' ELSE 'TYPE_OTHER' END AS object_type, TRUE AS valid, v * time_index / 10.0 + (track_id - 1) * 2.0 AS center_x,
+  (track_id - 1) * 2.5 + bend * sin(time_index / 15.0) AS center_y, v AS velocity_x, CAST(0 AS DOUBLE) AS velocity_y, CAST(0 AS DOUBLE) AS heading,
+  CASE WHEN track_id <= 4 THEN CAST(4.5 AS DOUBLE) ELSE CAST(1.8 AS DOUBLE) END AS length, CASE WHEN track_id <= 4 THEN CAST(2.0 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS width
+FROM (SELECT *, CAST(u AS INT) AS time_index FROM smooth_track, range(91) r(u)) WHERE time_index < n_frames AND time_index <> missing""")
+# Scattered and steady scenarios together.
+_MIXED = {"agent_state": (["smooth"], f"""
+SELECT * FROM ({RAW['agent_state']}) UNION ALL BY NAME SELECT * REPLACE ('s' || scenario_id AS scenario_id), FALSE AS is_object_of_interest, CAST(0 AS DOUBLE) AS center_z, CAST(1.5 AS DOUBLE) AS height FROM smooth""")}
 add_cte("far_pairs", ["full_state"], _pairs(True, _TYPES).replace("WHERE dist <= 70.0", "WHERE e_idx BETWEEN 10 AND 30").replace("SELECT e.scenario_id, e.time_index, e.track_id AS ego_id", "SELECT e.scenario_id, e.time_index, e.time_index AS e_idx, e.track_id AS ego_id"))
 add_cte("follow", ["far_pairs", "full_state"], """
 SELECT l.*, ev.f AS ev_f, ev.ttc AS ev_ttc, ev.o AS ev_o, lost, CASE WHEN l.dist > 70 THEN 'OUT_OF_RADIUS' WHEN l.overlap_now THEN 'INDEX_OVERLAP' WHEN l.ttc <= 3 THEN 'INDEX_ALREADY_CRITICAL' END AS reason
@@ -82,13 +91,13 @@ SQL["followup_labels"] = query(f"""
 SELECT f.scenario_id, CAST(target_id AS BIGINT) AS target_track_id, target_type, {r6('dist', 'index_distance_m')}, {r6('clearance', 'index_clearance_m')}, {r6('ttc', 'index_ttc_s')}, {r6('closing', 'index_closing_speed_mps')}, reason IS NULL AS is_eligible,
   reason AS exclusion_reason, label, CAST(CASE WHEN label = 'positive' THEN ev_f END AS BIGINT) AS event_time_index, {r6("CASE WHEN label = 'positive' THEN ev_ttc END", 'event_ttc_s')},
   CASE WHEN label = 'positive' THEN CASE WHEN ev_o THEN 'OVERLAP' ELSE 'TTC_LE_3S' END END AS event_type, CASE WHEN label = 'incomplete' THEN lost END AS incomplete_time_index,
-  CASE WHEN label = 'incomplete' THEN CASE WHEN EXISTS (SELECT 1 FROM full_state s WHERE s.is_sdc AND s.scenario_id = f.scenario_id AND s.time_index = lost) THEN 'TARGET_LOST' ELSE 'EGO_LOST' END END AS incomplete_reason FROM followed f""", "followed", "full_state")
-SQL["eligible_landmarks"] = query("""SELECT target_type, label, count(*) AS n, CAST(sum(CASE WHEN label = 'positive' THEN 1 ELSE 0 END) AS BIGINT) AS positives FROM followed WHERE label IN ('positive', 'negative') GROUP BY ALL""", "followed")
+  CASE WHEN label = 'incomplete' THEN CASE WHEN EXISTS (SELECT 1 FROM full_state s WHERE s.is_sdc AND s.scenario_id = f.scenario_id AND s.time_index = lost) THEN 'TARGET_LOST' ELSE 'EGO_LOST' END END AS incomplete_reason FROM followed f""", "followed", "full_state", swap=_MIXED)
+SQL["eligible_landmarks"] = query("""SELECT target_type, label, count(*) AS n, CAST(sum(CASE WHEN label = 'positive' THEN 1 ELSE 0 END) AS BIGINT) AS positives FROM followed WHERE label IN ('positive', 'negative') GROUP BY ALL""", "followed", swap=_MIXED)
 SQL["anchor_vs_open_set"] = query("""
 SELECT a.scenario_id, CAST(target_id AS BIGINT) AS anchor_track_id, label AS anchor_label, CASE WHEN d_id IS NULL THEN 'negative' ELSE 'positive' END AS open_set_frame_min_label,
   label <> CASE WHEN d_id IS NULL THEN 'negative' ELSE 'positive' END AS anchor_vs_open_disagreement, CAST(d_id AS BIGINT) AS open_set_first_critical_track_id, coalesce(d_id <> target_id, FALSE) AS open_target_switch_or_new_entrant
 FROM (SELECT * FROM followed WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY ttc, clearance, dist, target_id) = 1) a
-LEFT JOIN (SELECT scenario_id, d_id FROM frames WHERE time_index BETWEEN 11 AND 30 AND ttc <= 3 QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY time_index) = 1) o ON a.scenario_id = o.scenario_id""", "followed", "frames")
+LEFT JOIN (SELECT scenario_id, d_id FROM frames WHERE time_index BETWEEN 11 AND 30 AND ttc <= 3 QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY time_index) = 1) o ON a.scenario_id = o.scenario_id""", "followed", "frames", swap=_MIXED)
 
 # Third parties by direct pairing of every landmark with every other actor.
 add_cte("around", ["actors", "full_state"], "SELECT p.*, sqrt(t_vx * t_vx + t_vy * t_vy) AS spd FROM actors p WHERE time_index = 10")
@@ -112,7 +121,7 @@ _C13 = ["n30", "n50", "n70", "veh", "ped", "cyc", "nearest", "ms", "sd", "disp",
 SQL["landmark_pair_features"] = query(f"""
 SELECT l.scenario_id, CAST(l.target_id AS BIGINT) AS target_track_id, {', '.join(r6(e, n, 5) for e, n in zip(_P21, PHYSICS_21))}, {', '.join(r6('x.' + e, n, 5) for e, n in zip(_C13, CONTEXT_13))}
 FROM followed l JOIN lm3 x ON l.scenario_id = x.scenario_id AND l.target_id = x.k LEFT JOIN kin ke ON ke.scenario_id = l.scenario_id AND ke.time_index = 10 AND ke.track_id = l.ego_id
-LEFT JOIN kin kt ON kt.scenario_id = l.scenario_id AND kt.time_index = 10 AND kt.track_id = l.target_id""", "followed", "lm3", "kin")
+LEFT JOIN kin kt ON kt.scenario_id = l.scenario_id AND kt.time_index = 10 AND kt.track_id = l.target_id""", "followed", "lm3", "kin", swap=_MIXED)
 
 add_cte("dom3", ["frames", "around"], third("(SELECT scenario_id, d_id AS k FROM frames WHERE time_index = 10)", "b.k"))
 add_cte("hist36", ["frames", "agent_state"], """
@@ -143,12 +152,6 @@ SELECT x.scenario_id, CAST(x.time_index AS BIGINT) AS time_index, x.split, x.ban
 _W = "OVER (PARTITION BY scenario_id, track_id ORDER BY time_index)"
 _rate = lambda c, out: f"""CASE WHEN lag({c}) {_W} IS NULL THEN (lead({c}) {_W} - {c}) / 0.1 WHEN lead({c}) {_W} IS NULL THEN ({c} - lag({c}) {_W}) / 0.1
   ELSE (lead({c}) {_W} - lag({c}) {_W}) / 0.2 END AS {out}"""
-add_cte("smooth", ["smooth_track"], """
-SELECT scenario_id, time_index, track_id, time_index / 10.0 AS timestamp_seconds, track_id = 1 AS is_sdc, CASE WHEN track_id <= 4 THEN 'TYPE_VEHICLE' WHEN track_id = 5 THEN 'TYPE_PEDESTRIAN'
-  WHEN track_id = 6 THEN 'TYPE_CYCLIST' ELSE 'TYPE_OTHER' END AS object_type, TRUE AS valid, v * time_index / 10.0 + (track_id - 1) * 2.0 AS center_x,
-  (track_id - 1) * 2.5 + bend * sin(time_index / 15.0) AS center_y, v AS velocity_x, CAST(0 AS DOUBLE) AS velocity_y, CAST(0 AS DOUBLE) AS heading,
-  CASE WHEN track_id <= 4 THEN CAST(4.5 AS DOUBLE) ELSE CAST(1.8 AS DOUBLE) END AS length, CASE WHEN track_id <= 4 THEN CAST(2.0 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS width
-FROM (SELECT *, CAST(u AS INT) AS time_index FROM smooth_track, range(91) r(u)) WHERE time_index < n_frames AND time_index <> missing""")
 add_cte("to_warp", ["smooth", "splits"], f"""
 SELECT a.*, row_number() {_W} - 1 AS i FROM smooth a SEMI JOIN (SELECT * FROM splits WHERE warp) s ON a.scenario_id = s.scenario_id WHERE NOT is_sdc""")
 add_cte("warp_kind", ["to_warp"], f"""
