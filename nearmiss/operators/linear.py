@@ -98,7 +98,9 @@ def conditional_effects(train: DataFrame, evaluation: DataFrame, controls: list,
         reference = RK.spearman(on_train, ["feature_name"], "res_e", "res_c", weight=w).select("feature_name", c("rho").alias("effect"))
     point = RK.spearman(on_eval, ["feature_name"], "res_e", "res_c", weight=w).select("feature_name", c("rho").alias("point"))
     draws = RS.bootstrap_draws(evaluation, n_boot=n_boot, seed=seed)
-    boot = RS.percentile_interval(RS.bootstrap_spearman(on_eval, ["feature_name"], "res_e", "res_c", draws, weight=w), ["feature_name"], "rho")
+    # Rounded, so that a correlation of 0 is 0 whatever the order of summation.
+    reps = RS.bootstrap_spearman(on_eval, ["feature_name"], "res_e", "res_c", draws, weight=w).withColumn("rho", F.round("rho", 12))
+    boot = RS.percentile_interval(reps, ["feature_name"], "rho")
     is_primary = c("feature_name").isin(*(features if primary is None else primary))
     out = reference.join(point, "feature_name").join(boot, "feature_name")
     return out.select(

@@ -8,7 +8,7 @@ from nearmiss.operators.pairs import frame_presence
 from nearmiss.operators.profile import scenario_profile
 from nearmiss.operators.splits import assign_split
 from nearmiss.plans.catalog import query, rounded
-from nearmiss.plans.statistics import BOOT, FULL, weighted
+from nearmiss.plans.statistics import FULL, weighted
 from nearmiss.session import durable
 from nearmiss.sources.fixture import predictions, states
 
@@ -188,7 +188,7 @@ def ridge_residual(spark, sf_dir):
 def effects(spark, sf_dir, split):
     df = ridge_input(spark, sf_dir)
     return L.conditional_effects(df.filter("split = 'train'"), df.filter(F.col("split") == split), ["gap_m"], FEATURES, "p_full",
-                                 weight="weight", primary=FEATURES[:1], n_boot=BOOT)
+                                 weight="weight", primary=FEATURES[:1], n_boot=FULL)
 
 
 @query
@@ -205,13 +205,13 @@ def feature_confirmation(spark, sf_dir):
 def scenario_association(spark, sf_dir):
     df = ridge_input(spark, sf_dir)
     prof = assign_split(df.groupBy("scenario_id").agg(F.max("p_full").alias("top"), F.avg("p_full").alias("level")))
-    return rounded(L.scenario_association(df, prof, ["gap_m"], FEATURES, ("top", "level"), n_boot=BOOT))
+    return rounded(L.scenario_association(df, prof, ["gap_m"], FEATURES, ("top", "level"), n_boot=FULL))
 
 
 @query
 def cross_level_class(spark, sf_dir):
     df = ridge_input(spark, sf_dir)
     prof = assign_split(df.groupBy("scenario_id").agg(F.max("p_full").alias("top")))
-    scen = L.scenario_association(df, prof, ["gap_m"], FEATURES, ("top",), n_boot=BOOT)
+    scen = L.scenario_association(df, prof, ["gap_m"], FEATURES, ("top",), n_boot=FULL)
     pick = lambda d: d.select("feature_name", F.col("val_conditional_effect").alias("effect"), "ci_excludes_zero")
     return rounded(L.cross_level_class(pick(effects(spark, sf_dir, "internal_val")), pick(scen)))

@@ -10,7 +10,6 @@ from nearmiss.operators.splits import assign_split, split_of
 from nearmiss.plans.catalog import query, rounded
 from nearmiss.plans.context import feature_table
 from nearmiss.plans.core import frames_of
-from nearmiss.plans.statistics import BOOT
 from nearmiss.session import durable
 from nearmiss.sources.fixture import map_points, mixed_states, scores, signals, smooth_states, states
 

@@ -9,8 +9,6 @@ from nearmiss.plans.catalog import query, rounded
 from nearmiss.sources.fixture import scores
 
 MODELS = {"base": "p_base", "full": "p_full"}
-# Replicates where every frame meets the replicates, and where only scenarios do.
-BOOT = 25
 FULL = 1000
 
 

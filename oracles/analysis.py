@@ -161,7 +161,7 @@ add_cte("rlong", ["rres"], """SELECT scenario_id, split, w, 'n_lines' AS feature
 UNION ALL SELECT scenario_id, split, w, 'p_base', res_p_base, res_p_full FROM rres""")
 
 
-def draws_of(ids: str, n: int = 25) -> str:
+def draws_of(ids: str, n: int = 1000) -> str:
     """Resampled multiplicities of the scenarios in a select."""
     idx = f"(SELECT scenario_id, row_number() OVER (ORDER BY {_u13('md5(scenario_id)')}, scenario_id) - 1 AS idx, count(*) OVER () AS n FROM ({ids}))"
     return f"""(SELECT replicate, i.scenario_id, m FROM (SELECT replicate, CAST(floor({_u13("md5('42|' || replicate || '|' || idx)")} * n) AS BIGINT) AS drawn, count(*) AS m
@@ -177,7 +177,7 @@ SELECT t.feature_name, t.rho AS train, e.rho AS point, mean, lo, hi, p FROM ({sp
 JOIN ({spear('feature_name', 'res_e', 'res_c', f"(SELECT * FROM {rlong} WHERE split = '{split}')", w='w0')}) e ON t.feature_name = e.feature_name
 JOIN (SELECT feature_name, avg(rho) AS mean, quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi,
         least((2 * least(count(*) FILTER (WHERE rho <= 0), count(*) FILTER (WHERE rho >= 0)) + 1) / (count(*) + 1), 1.0) AS p
-      FROM ({spear('replicate, feature_name', 'res_e', 'res_c', boot, w='w0', f='m')}) GROUP BY 1) b ON t.feature_name = b.feature_name"""
+      FROM (SELECT * REPLACE (round(rho, 12) AS rho) FROM ({spear('replicate, feature_name', 'res_e', 'res_c', boot, w='w0', f='m')})) GROUP BY 1) b ON t.feature_name = b.feature_name"""
 
 
 add_cte("eff_val", ["rlong"], effect("internal_val"))
