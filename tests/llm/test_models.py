@@ -160,6 +160,54 @@ def test_nearest_defined_cases(spark):
     assert vamana.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def by_query(df, queries, **options):
+    out = {}
+    for r in vamana.nearest(df, queries, **options).orderBy("query_id", "query_hash", "rank").collect():
+        out.setdefault((r.query_id, r.query_hash), []).append((r.vec_id, r.score))
+    return out
+
+
+@pytest.mark.parametrize("factor, offset", [(1e25, 0.0), (1e-25, 0.0), (1e180, 0.0), (1e-180, 0.0), (1.0, 1e6)])
+def test_nearest_at_any_scale(spark, factor, offset):
+    base = np.random.default_rng(7).normal(size=(150, 8))
+    x = base * factor + offset
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(df, df.filter("vec_id % 10 = 0"), k=5, shard_nodes=60)
+    assert len(got) == 15
+    for (q, _), found in got.items():
+        unit = np.sqrt((((x - x[q]) / factor) ** 2).sum(1))
+        best = [int(i) for i in np.argsort(unit, kind="stable") if i != q][:5]
+        assert [i for i, _ in found] == best
+        np.testing.assert_allclose([s / factor for _, s in found], unit[best], rtol=1e-12)
+
+
+def test_nearest_of_mixed_scales(spark):
+    base = np.random.default_rng(8).normal(size=(120, 6))
+    x = np.concatenate([base[:40] * 1e200, base[40:80], base[80:] * 1e-200])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    for (q, _), found in by_query(df, df.filter("vec_id % 10 = 0"), k=5, shard_nodes=200).items():
+        unit = [1e200, 1.0, 1e-200][q // 40]
+        with np.errstate(over="ignore"):
+            far = np.sqrt((((x - x[q]) / unit) ** 2).sum(1))
+        best = [int(i) for i in np.argsort(far, kind="stable") if i != q][:5]
+        assert [i for i, _ in found] == best
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(0, [0.0, 1.0]), (0, [9.0, 1.0]), (1, [0.5, 1.0]), (1, [8.0, 1.0]), (2, [0.0, 1.0]), (3, [4.0, 1.0]), (0, [9.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(by_query(df, df.filter("vec_id = 0"), k=3).values())
+    assert got == [[(1, 1.0), (3, 5.0), (1, 8.5)], [(2, 0.0), (1, 0.5), (3, 4.0)]]
+
+
+def test_recall_at_registered_shards(spark):
+    x = np.random.default_rng(9).normal(size=(6000, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(df, df.filter("vec_id % 100 = 0"))
+    hits = sum(len({i for i, _ in found} & set([i for i in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable") if i != q][:10])) for (q, _), found in got.items())
+    assert len(got) == 60 and hits / 600 >= 0.95
+
+
 def test_recall_against_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.select("vec_id", "embedding").collect()
