@@ -1,8 +1,8 @@
 """Scenario-block bootstrap as a table of multiplicities.
 
 Draws come from a hash of (seed, replicate, position), so any task can
-recompute them. Metrics of paired models meet them packed, one array per
-scenario; rank correlations still take one row per replicate that drew it.
+recompute them. Metrics of paired models and rank correlations meet them
+packed, one array per scenario; rows are not copied per replicate.
 """
 import zlib
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from nearmiss.functions.columns import hex_uniform
 from nearmiss.operators.metrics import curve_metrics, long_scores
 from nearmiss.operators.pairs import salted_join
-from nearmiss.operators.ranking import exact_quantiles, prefix_sums, spearman
+from nearmiss.operators.ranking import exact_quantiles, prefix_sums
 from nearmiss.session import durable
 
 
@@ -217,10 +217,163 @@ def paired_delta_interval(scores: DataFrame, y: str, w: Column, contrasts: dict,
                             "verdict_status": verdict(F.col("point_delta_pr_auc"), F.col("ci_lower_95"))})
 
 
+def _pack(v: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, so that equal high bytes cost nothing."""
+    return zlib.compress(np.rint(v).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view("<i8")[:, 0].astype(float)
+
+
+def _tie_runs(batches, vectors):
+    """Ordered rows (k, part, value, ...) as finished runs of equal values.
+
+    Yields (k, part, m) for a row without value, which opens a range, and (values, sums) for runs behind it; `vectors` turns waiting rows into
+    arrays [rows, replicates] to be added up. A run that may go on waits as sums, however long it is.
+    """
+    waiting, tie = [], None
+
+    def flush(final):
+        nonlocal waiting, tie
+        if waiting:
+            values, sums = np.array([r[2] for r in waiting]), vectors(waiting)
+            same = (values[1:] == values[:-1]) | (np.isnan(values[1:]) & np.isnan(values[:-1]))
+            heads = np.flatnonzero(np.append(True, ~same))
+            values, sums, waiting = values[heads], [np.add.reduceat(v, heads) for v in sums], []
+            if tie is not None and (tie[0] == values[0] or (np.isnan(tie[0]) and np.isnan(values[0]))):
+                for v, t in zip(sums, tie[1]):
+                    v[0] += t
+            elif tie is not None:
+                values, sums = np.append(tie[0], values), [np.concatenate([t[None], v]) for v, t in zip(sums, tie[1])]
+            tie = values[-1], [v[-1] for v in sums]
+            if len(values) > 1:
+                yield values[:-1], [v[:-1] for v in sums]
+        if final and tie is not None:
+            yield np.array([tie[0]]), [t[None] for t in tie[1]]
+            tie = None
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[2] is None:
+                yield from flush(True)
+                yield row[0], row[1], row[3]
+            else:
+                waiting.append(row)
+                if len(waiting) >= _CHUNK:
+                    yield from flush(False)
+    yield from flush(True)
+
+
+def _ordered(rows: DataFrame, part: str, value: str, others: list, n_boot: int) -> DataFrame:
+    """Rows (k, part, value, m, f, others) in order within each range, behind a row that holds the count below the range and the whole count."""
+    def mass(batches):
+        total = {}
+        for batch in batches:
+            for k, at, f, m in zip(*[c.to_pylist() for c in batch.columns]):
+                total[k, at] = total.get((k, at), 0) + f * _multiplicities(m)
+        for (k, at), v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at], pa.int32()), pa.array([v.tobytes()])], names=["k", "part", "m"])
+
+    def below(key, table):
+        total = {}
+        for at, v in zip(table.column("part").to_pylist(), table.column("m").to_pylist()):
+            total[at] = total.get(at, 0) + np.frombuffer(v, float)
+        seen, out = np.zeros(n_boot), []
+        whole = sum(total.values())
+        for at in sorted(total):
+            out.append(np.concatenate([seen, whole]).tobytes())
+            seen = seen + total[at]
+        return pa.table({"k": pa.array([key[0].as_py()] * len(out)), "part": pa.array(sorted(total), pa.int32()), "m": pa.array(out, pa.binary())})
+
+    schema = "k string, part int, m binary"
+    heads = rows.select("k", F.col(part).alias("part"), "f", "m").mapInArrow(mass, schema).groupBy("k").applyInArrow(below, schema)
+    data = rows.select("k", F.col(part).alias("part"), F.col(value).alias("value"), "m", "f", *others)
+    heads = heads.select(*[F.col(c) if c in ("k", "part", "m") else F.lit(None).cast(data.schema[c].dataType).alias(c) for c in data.columns])
+    return heads.unionByName(data).repartition("k", "part").sortWithinPartitions("k", "part", F.col("value").asc_nulls_first())
+
+
 def bootstrap_spearman(df: DataFrame, keys: list, x: str, y: str, draws: DataFrame, *, weight: Column | None = None) -> DataFrame:
-    """Rank correlation per (replicate, keys) over resampled scenarios."""
-    drawn = salted_join(draws, df, ["scenario_id"], [*keys, x, y], buckets=2)
-    return spearman(drawn, ["replicate", *keys], x, y, weight=weight, count=F.col("m"))
+    """Rank correlation per (replicate, keys) over resampled scenarios.
+
+    Rows are merged to distinct (scenario, x, y) and never copied per replicate: each meets its scenario's packed multiplicities. A stream in
+    the order of y gives each value its ranks in all replicates as one packed array, rows take it along, and a stream in the order of x adds up the
+    moments; x's ranks stay in the stream. Both are cut into ranges of values, whose sums are added up. Values are read as doubles.
+    """
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    k = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
+    rows = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select("scenario_id", k.alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), w.alias("w"))
+            .groupBy("scenario_id", "k", "x", "y").agg(F.sum("w").alias("w"), F.count("*").cast("double").alias("f")))
+    rows = durable(rows)
+    last = draws.agg(F.max("replicate").alias("last")).first()["last"]
+    n_boot, ranges = (-1 if last is None else int(last)) + 1, min(1000, 1 + rows.count() // _RANGE_ROWS)
+    at = lambda v: F.lit(0)
+    if ranges > 1:
+        shares = [i / ranges for i in range(1, ranges)]
+        cuts = rows.groupBy("k").agg(F.percentile_approx("x", shares, 10 * ranges).alias("cut_x"), F.percentile_approx("y", shares, 10 * ranges).alias("cut_y"))
+        rows, at = rows.join(cuts, "k"), lambda v: F.size(F.filter(f"cut_{v}", lambda c: c < F.col(v)))
+    rows = rows.withColumns({f"part_{v}": at(v).cast("int") for v in "xy"}).drop("cut_x", "cut_y")
+    placed = durable(rows.join(packed_draws(draws, n_boot), "scenario_id").drop("scenario_id"))
+
+    def ranks(batches):
+        """Twice the rank of each value in every replicate."""
+        counts = lambda waiting: [np.stack([_multiplicities(r[3]) * r[4] for r in waiting])]
+        for item in _tie_runs(batches, counts):
+            if len(item) == 3:
+                key, below = item[0], np.frombuffer(item[2], float).reshape(2, -1)[0]
+                continue
+            values, (count,) = item
+            upto = below + np.cumsum(count, 0)
+            twice, below = 2 * upto - count + 1, upto[-1]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(values)), pa.array(values), pa.array([_pack(v) for v in twice], pa.binary())], names=["k", "y", "r"])
+
+    by_y = durable(_ordered(placed, "part_y", "y", [], n_boot).mapInArrow(ranks, "k string, y double, r binary"))
+    ranked = salted_join(by_y, placed, ["k", "y"], ["x"], buckets=2)
+
+    def moments(batches):
+        """Per range: sums of w times 1, u, v, u u, u v, v v, with u and v the centred ranks of x and y as shares of the count."""
+        state = {}
+
+        def sums(waiting):
+            m = np.stack([_multiplicities(r[3]) for r in waiting])
+            v = (np.stack([_unpack(r[6]) for r in waiting]) - state["n"] - 1) / (2 * np.maximum(state["n"], 1))
+            mass = m * np.array([r[5] for r in waiting])[:, None]
+            return [m * np.array([r[4] for r in waiting])[:, None], mass, mass * v, mass * v * v]
+
+        def close():
+            return pa.RecordBatch.from_arrays([pa.array([state["k"]]), pa.array([np.concatenate([state["n"][None], state["sums"]]).tobytes()], pa.binary())], names=["k", "v"])
+
+        for item in _tie_runs(batches, sums):
+            if len(item) == 3:
+                if state:
+                    yield close()
+                below, n = np.frombuffer(item[2], float).reshape(2, -1)
+                state = {"k": item[0], "below": below, "n": n, "sums": np.zeros((6, n_boot))}
+                continue
+            _, (count, mass, v, vv) = item
+            upto = state["below"] + np.cumsum(count, 0)
+            u = (2 * upto - count - state["n"]) / (2 * np.maximum(state["n"], 1))
+            state["below"] = upto[-1]
+            state["sums"] += np.stack([mass.sum(0), (mass * u).sum(0), v.sum(0), (mass * u * u).sum(0), (v * u).sum(0), vv.sum(0)])
+        if state:
+            yield close()
+
+    def finish(key, table):
+        parts = [np.frombuffer(v, float).reshape(7, n_boot) for v in table.column("v").to_pylist()]
+        n, (total, u, v, uu, uv, vv) = parts[0][0], np.sum([p[1:] for p in parts], axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u, v = u / total, v / total
+            var_u, var_v, cov = uu / total - u * u, vv / total - v * v, uv / total - u * v
+            rho = np.where((var_u > 1e-14) & (var_v > 1e-14), cov / np.sqrt(np.maximum(var_u, 1e-300) * np.maximum(var_v, 1e-300)), np.nan)
+        some = np.flatnonzero(n > 0)
+        return pa.table({"k": pa.array([key[0].as_py()] * len(some), pa.string()), "replicate": pa.array(some, pa.int32()), "rho": pa.array(rho[some], from_pandas=True), "n": pa.array(np.rint(n[some]).astype(np.int64))})
+
+    shares = _ordered(ranked, "part_x", "x", ["w", "r"], n_boot).mapInArrow(moments, "k string, v binary")
+    out = shares.groupBy("k").applyInArrow(finish, "k string, replicate int, rho double, n long")
+    if not keys:
+        return out.select("replicate", "rho", "n")
+    schema = T.StructType([df.schema[c] for c in keys])
+    return out.withColumn("k", F.from_json("k", schema)).select("replicate", *[F.col("k")[c].alias(c) for c in keys], "rho", "n")
 
 
 def paired_mean_interval(df: DataFrame, a: str, b: str, *, n_boot: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:

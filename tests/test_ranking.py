@@ -201,3 +201,33 @@ def test_packed_draws(spark):
     draws = spark.createDataFrame([(0, "a", 300), (2, "a", 1), (1, "b", 2)], "replicate int, scenario_id string, m long")
     got = {r.scenario_id: RS._multiplicities(bytes(r.m)).tolist() for r in RS.packed_draws(draws, 3).collect()}
     assert got == {"a": [300, 0, 1], "b": [0, 2, 0]}
+
+
+@pytest.mark.parametrize("range_rows", [20_000, 150])
+def test_bootstrap_spearman_against_resampled_rows(spark, monkeypatch, range_rows):
+    """Packed multiplicities give what ranking the drawn rows gives: ties beyond a chunk, weights, several ranges, a constant group."""
+    from nearmiss.operators import resample
+    monkeypatch.setattr(resample, "_RANGE_ROWS", range_rows)
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i % 12}", g, float(rng.integers(0, 9)) if i % 3 else 4.0, float(np.round(rng.normal() + (g == "a|{b}") * i / 900, 2)), float(rng.uniform(0.1, 2)))
+            for g in ("a|{b}", "c") for i in range(900)] + [(f"s{i}", "flat", 1.0, float(i), 1.0) for i in range(12)] + [("s0", "c", None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "scenario_id string, g string, x double, y double, w double")
+    draws = resample.bootstrap_draws(df.filter("scenario_id <> 's11'"), n_boot=7)
+    counts = {(r.replicate, r.scenario_id): r.m for r in draws.collect()}
+    got = {(r.replicate, r.g): (r.rho, r.n) for r in resample.bootstrap_spearman(df, ["g"], "x", "y", draws, weight=F.col("w")).collect()}
+    assert set(got) == {(b, g) for b in range(7) for g in ("a|{b}", "c", "flat")}
+
+    def ranks(v, m):
+        return np.array([m[v < t].sum() + (m[v == t].sum() + 1) / 2 for t in v])
+
+    for (b, g), (rho, n) in got.items():
+        own = [r for r in rows if r[1] == g and r[2] is not None and counts.get((b, r[0]), 0)]
+        m = np.array([counts[b, r[0]] for r in own], float)
+        x, y, w = (np.array([r[i] for r in own]) for i in (2, 3, 4))
+        assert n == m.sum()
+        if g == "flat":
+            assert rho is None
+            continue
+        cov = np.cov(ranks(x, m), ranks(y, m), aweights=w * m)
+        assert rho == pytest.approx(cov[0, 1] / np.sqrt(cov[0, 0] * cov[1, 1]), abs=1e-10)
+    assert resample.bootstrap_spearman(df.limit(0), ["g"], "x", "y", draws).count() == 0
