@@ -153,16 +153,16 @@ def top_k(df: DataFrame, score: str, k: int) -> DataFrame:
     return df.select("scenario_id", score).orderBy(F.desc(score), "scenario_id").limit(k)
 
 
-def positions(df: DataFrame, score: str, most: int) -> DataFrame:
-    """Place of each scenario among all by falling score, ties by id, for places up to `most`.
+def positions(df: DataFrame, score: str, most: int, keys: list = ()) -> DataFrame:
+    """Place of each scenario (of each group) by falling score, ties by id, for places up to `most`.
 
     Rows above a value come from prefix_sums; only rows of one value are numbered in a window.
     """
-    rows = df.select("scenario_id", F.col(score).alias("s")).filter(F.col("s").isNotNull())
-    above = prefix_sums(rows, [], "s", {"n": F.lit(1.0)}).select("s", (F.col("n_total") - F.col("n_before") - F.col("n")).alias("above"))
-    ties = W.partitionBy("s").orderBy("scenario_id")
-    placed = rows.join(above.filter(F.col("above") < most), "s").withColumn("place", F.row_number().over(ties))
-    return placed.select("scenario_id", (F.col("above") + F.col("place")).cast("long").alias("pos")).filter(F.col("pos") <= most)
+    rows = df.select(*keys, "scenario_id", F.col(score).alias("s")).filter(F.col("s").isNotNull())
+    above = prefix_sums(rows, [*keys], "s", {"n": F.lit(1.0)}).select(*keys, "s", (F.col("n_total") - F.col("n_before") - F.col("n")).alias("above"))
+    ties = W.partitionBy(*keys, "s").orderBy("scenario_id")
+    placed = rows.join(above.filter(F.col("above") < most), [*keys, "s"]).withColumn("place", F.row_number().over(ties))
+    return placed.select(*keys, "scenario_id", (F.col("above") + F.col("place")).cast("long").alias("pos")).filter(F.col("pos") <= most)
 
 
 def top_k_overlap(ref: DataFrame, other: DataFrame, score_a: str, score_b: str, ks: list) -> DataFrame:

@@ -6,6 +6,9 @@ from nearmiss.operators import ranking as RK, resample as RS
 from nearmiss.operators.diagnostics import COMPONENTS, DEFAULTS, diagnostic_vector, risk_curve
 from nearmiss.session import durable
 
+TOP_K = (10, 20, 50)
+
+
 def subsample_hz(df: DataFrame, target_hz: float, original_hz: float = 10.0) -> DataFrame:
     """Every k-th frame of a scenario by position."""
     step = max(1, round(original_hz / target_hz))
@@ -83,12 +86,22 @@ def icc_2_1(scores: DataFrame, score: str = "peak") -> DataFrame:
     return s.select("n", "k", F.when(F.abs(den) >= 1e-12, (c("ms_rows") - c("ms_error")) / den).alias("icc"))
 
 
+def top_k_by_experiment(both: DataFrame, ks=TOP_K) -> DataFrame:
+    """Share of common scenarios among the k highest peaks of the original and of each experiment; NULL if there are fewer than k."""
+    most, keys = max(ks), ["experiment"]
+    ref, other = (RK.positions(both, c, most, keys) for c in ("ref_peak", "peak"))
+    common = (ref.join(other.withColumnRenamed("pos", "pos_b"), [*keys, "scenario_id"]).withColumn("worst", F.greatest("pos", "pos_b"))
+              .groupBy("experiment").agg(*[F.count_if(F.col("worst") <= k).alias(f"k{k}") for k in ks]))
+    size = both.groupBy("experiment").agg(F.count("*").alias("size"))
+    return size.join(common, keys, "left").select("experiment", *[F.when(F.col("size") >= k, F.coalesce(f"k{k}", F.lit(0)) / F.lit(float(k))).alias(f"top_{k}_overlap") for k in ks])
+
+
 def robustness_suite(pred: DataFrame, *, n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """Rank agreement of the peak with the original, per experiment: Spearman with interval, Kendall."""
+    """Rank agreement of the peak with the original, per experiment: Spearman with interval, Kendall, overlap of the highest."""
     both = durable(ref_vs_perturbed(durable(experiment_vectors(pred))))
     keys = ["experiment"]
     rho = RK.spearman(both, keys, "ref_peak", "peak").select("experiment", F.col("rho").alias("spearman"), F.col("n").alias("n_scenarios"))
     tau = RK.kendall_tau_b(both, keys, "ref_peak", "peak").select("experiment", F.col("tau").alias("kendall"))
     draws = RS.bootstrap_draws(both, n_boot=n_boot, seed=seed)
     boot = RS.percentile_interval(RS.bootstrap_spearman(both, keys, "ref_peak", "peak", draws), keys, "rho")
-    return rho.join(tau, keys).join(boot.select("experiment", "ci_lower", "ci_upper", F.col("mean").alias("boot_mean")), keys)
+    return rho.join(tau, keys).join(boot.select("experiment", "ci_lower", "ci_upper", F.col("mean").alias("boot_mean")), keys).join(top_k_by_experiment(both), keys)

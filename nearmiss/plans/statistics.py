@@ -3,10 +3,11 @@ from pyspark.sql import functions as F
 
 from nearmiss.constants import CONTRASTS
 
-from nearmiss.operators import metrics as M, ranking as RK, resample as RS
+from nearmiss.operators import frames as FR, metrics as M, model_table as MT, ranking as RK, resample as RS
+from nearmiss.operators.pairs import FRAME
 from nearmiss.operators.splits import assign_split
 from nearmiss.plans.catalog import query, rounded
-from nearmiss.sources.fixture import scores
+from nearmiss.sources.fixture import scores, signals, states
 
 MODELS = {"base": "p_base", "full": "p_full"}
 FULL = 1000
@@ -53,14 +54,18 @@ def per_split_evaluation(spark, sf_dir):
 
 @query
 def stratified_metrics(spark, sf_dir):
-    df = stacked(spark, sf_dir)
+    """Metrics within traffic halves, distance bands, frames with and without a named signal, and types of the frame's soonest target."""
+    named = MT.signal_ratios(signals(spark, sf_dir).filter(~F.contains("signal_state", F.lit("UNKNOWN")))).select(*FRAME, "odd_has_signal")
+    targets = FR.frame_targets_log(states(spark, sf_dir)).select(*FRAME, "target_object_type")
+    frames = scores(spark, sf_dir).join(named, FRAME, "left").join(targets, FRAME, "left")
+    df = M.long_scores(M.scenario_weight(frames), ["n_lines", "gap_m", "odd_has_signal", "target_object_type", "weight", "y"], MODELS)
     median = RK.exact_quantiles(df, [], "n_lines", [0.5]).select("quantile").scalar()
-    traffic = F.when(F.col("n_lines") <= median, "low_traffic").otherwise("high_traffic")
-    band = F.when(F.col("gap_m") < 20, "0_20m").when(F.col("gap_m") < 40, "20_40m").otherwise("40_70m")
-    strata = F.array(F.struct(F.lit("traffic").alias("dimension"), traffic.alias("stratum")),
-                     F.struct(F.lit("distance_band").alias("dimension"), band.alias("stratum")))
-    df = df.withColumn("s", F.explode(strata)).select("*", "s.dimension", "s.stratum").drop("s")
-    return rounded(M.classification_metrics(df, ["model", "dimension", "stratum"], "y", "p", F.col("weight")))
+    strata = {"traffic": F.when(F.col("n_lines") <= median, "low_traffic").otherwise("high_traffic"),
+              "distance_band": F.when(F.col("gap_m") < 20, "0_20m").when(F.col("gap_m") < 40, "20_40m").otherwise("40_70m"),
+              "signal": F.when(F.col("odd_has_signal") == 1, "has_signal").otherwise("no_signal"),
+              "object_type": F.coalesce("target_object_type", F.lit("NO_TARGET"))}
+    long = df.select("model", "y", "p", "weight", F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), s.alias("stratum")) for d, s in strata.items()])))
+    return rounded(M.classification_metrics(long, ["model", "dimension", "stratum"], "y", "p", F.col("weight")))
 
 
 @query

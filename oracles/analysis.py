@@ -203,11 +203,14 @@ SELECT '{c}' AS score, '{k}' AS kpi, {r6('mean')}, {r6('lo', 'ci_lower')}, {r6('
 FROM (SELECT {_ci('rho')} FROM ({spear('replicate', c, k, 'pk_boot', f='m')}))""" for c in _CMP for k in _RESP), "pk_boot")
 
 add_cte("vs_boot", ["versus"], f"SELECT replicate, m, v.* FROM {draws_of('SELECT DISTINCT scenario_id FROM versus', 1000)} d JOIN versus v ON d.scenario_id = v.scenario_id")
+_tops = ", ".join(f"CASE WHEN count(*) >= {k} THEN count(*) FILTER (WHERE a <= {k} AND b <= {k}) / {k}.0 END AS top_{k}_overlap" for k in (10, 20, 50))
 SQL["robustness_suite"] = query(f"""
-SELECT r.experiment, {r6('rho', 'spearman', 4)}, r.n AS n_scenarios, {r6('tau', 'kendall', 4)}, {r6('lo', 'ci_lower', 4)}, {r6('hi', 'ci_upper', 4)}, {r6('mean', 'boot_mean', 4)} FROM ({spear('experiment', 'ref_peak', 'peak', 'versus')}) r
+SELECT r.experiment, {r6('rho', 'spearman', 4)}, r.n AS n_scenarios, {r6('tau', 'kendall', 4)}, {r6('lo', 'ci_lower', 4)}, {r6('hi', 'ci_upper', 4)}, {r6('mean', 'boot_mean', 4)}, {', '.join(r6(f'top_{k}_overlap', f'top_{k}_overlap', 4) for k in (10, 20, 50))} FROM ({spear('experiment', 'ref_peak', 'peak', 'versus')}) r
 JOIN (SELECT x.experiment, sum(sign(x.ref_peak - y.ref_peak) * sign(x.peak - y.peak)) / sqrt(count(*) FILTER (WHERE x.ref_peak <> y.ref_peak)::DOUBLE * count(*) FILTER (WHERE x.peak <> y.peak)) AS tau
       FROM versus x JOIN versus y ON x.experiment = y.experiment AND x.scenario_id < y.scenario_id GROUP BY 1) k ON r.experiment = k.experiment
-JOIN (SELECT experiment, {_ci('rho')} FROM ({spear('replicate, experiment', 'ref_peak', 'peak', 'vs_boot', f='m')}) GROUP BY 1) b ON r.experiment = b.experiment""", "versus", "vs_boot")
+JOIN (SELECT experiment, {_ci('rho')} FROM ({spear('replicate, experiment', 'ref_peak', 'peak', 'vs_boot', f='m')}) GROUP BY 1) b ON r.experiment = b.experiment
+JOIN (SELECT experiment, {_tops} FROM (SELECT experiment, row_number() OVER (PARTITION BY experiment ORDER BY ref_peak DESC, scenario_id) AS a,
+        row_number() OVER (PARTITION BY experiment ORDER BY peak DESC, scenario_id) AS b FROM versus) GROUP BY 1) t ON r.experiment = t.experiment""", "versus", "vs_boot")
 
 # Scenario grain: means of control and features against two profile targets.
 add_cte("sm", ["rin"], "SELECT scenario_id, split, avg(gap_m) AS gap_m, avg(n_lines) AS n_lines, avg(p_base) AS p_base, max(p_full) AS top, avg(p_full) AS level FROM rin GROUP BY ALL")

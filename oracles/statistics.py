@@ -1,5 +1,5 @@
 """SQL twins of nearmiss.plans.statistics, with plain global windows and pair joins."""
-from oracles import tables  # noqa: F401  (defines the CTEs used here)
+from oracles import core, tables  # noqa: F401  (define the CTEs used here)
 from oracles.base import add_cte, query, r6
 from oracles.tables import _hex, _u, SPLIT
 
@@ -60,9 +60,15 @@ JOIN ({pointwise(keys, source)}) p ON {on('p')} JOIN ({ece(keys, source)}) e ON
 
 
 SQL["per_split_evaluation"] = query(full_metrics("model, split", "stacked"), "stacked")
-add_cte("strata", ["stacked"], """
-SELECT *, 'traffic' AS dimension, CASE WHEN n_lines <= (SELECT quantile_cont(n_lines, 0.5) FROM stacked) THEN 'low_traffic' ELSE 'high_traffic' END AS stratum FROM stacked
-UNION ALL SELECT *, 'distance_band', CASE WHEN gap_m < 20 THEN '0_20m' WHEN gap_m < 40 THEN '20_40m' ELSE '40_70m' END FROM stacked""")
+add_cte("named_signal", ["dynamic_signal"], "SELECT DISTINCT scenario_id, time_index FROM dynamic_signal WHERE signal_state NOT LIKE '%UNKNOWN%'")
+add_cte("strata", ["stacked", "named_signal", "targets_log"], """
+SELECT s.*, unnest(['traffic', 'distance_band', 'signal', 'object_type']) AS dimension, unnest([
+  CASE WHEN n_lines <= (SELECT quantile_cont(n_lines, 0.5) FROM stacked) THEN 'low_traffic' ELSE 'high_traffic' END,
+  CASE WHEN gap_m < 20 THEN '0_20m' WHEN gap_m < 40 THEN '20_40m' ELSE '40_70m' END,
+  CASE WHEN g.time_index IS NULL THEN 'no_signal' ELSE 'has_signal' END,
+  coalesce(target_object_type, 'NO_TARGET')]) AS stratum
+FROM stacked s LEFT JOIN named_signal g ON s.scenario_id = g.scenario_id AND s.time_index = g.time_index
+LEFT JOIN targets_log t ON s.scenario_id = t.scenario_id AND s.time_index = t.time_index""")
 SQL["stratified_metrics"] = query(full_metrics("model, dimension, stratum", "strata"), "strata")
 
 SQL["exact_quantiles"] = query(f"""
