@@ -10,7 +10,7 @@ from nearmiss.plans.catalog import query, rounded
 from nearmiss.plans.core import frames_of, profile_of
 from nearmiss.session import durable, shared_dir
 from nearmiss.sources import records as R, tables as TB
-from nearmiss.sources.fixture import map_points, records, signals, states
+from nearmiss.sources.fixture import map_points, mixed_map_points, mixed_states, records, signals, states
 from nearmiss.sources.tables import file_manifest as file_manifest_of
 
 
@@ -221,12 +221,12 @@ def response_kpis(spark, sf_dir):
 
 @query
 def motion_continuity(spark, sf_dir):
-    return rounded(KP.motion_continuity(states(spark, sf_dir), map_points(spark, sf_dir)), 3)
+    return rounded(KP.motion_continuity(mixed_states(spark, sf_dir), mixed_map_points(spark, sf_dir)), 3)
 
 
 @query
 def continuity_pass_rates(spark, sf_dir):
-    return rounded(KP.continuity_pass_rates(KP.motion_continuity(states(spark, sf_dir), map_points(spark, sf_dir))))
+    return rounded(KP.continuity_pass_rates(KP.motion_continuity(mixed_states(spark, sf_dir), mixed_map_points(spark, sf_dir))))
 
 
 @query

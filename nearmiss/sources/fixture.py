@@ -133,6 +133,12 @@ def map_points(spark, sf_dir):
     return view(spark, sf_dir, "map_feature")
 
 
+def mixed_map_points(spark, sf_dir):
+    """The map of each scenario, also for the steady one of the same number."""
+    points = map_points(spark, sf_dir)
+    return points.unionByName(points.withColumn("scenario_id", F.concat(F.lit("s"), "scenario_id")))
+
+
 def signals(spark, sf_dir):
     return view(spark, sf_dir, "dynamic_signal")
 

@@ -5,7 +5,7 @@ from oracles import analysis as AN, statistics as ST  # noqa: F401  (define the
 from oracles.base import RAW, _TYPES, _pairs, add_cte, query, r6
 from oracles.context import KEY
 from oracles.core import SQL as CORE
-from oracles.tables import SPLIT, _hex, _m
+from oracles.tables import CONTINUITY, SPLIT, _hex, _m
 
 SQL = {}
 add_cte("fctx", ["agent_state"], """
@@ -87,6 +87,8 @@ LEFT JOIN (SELECT a.scenario_id, a.target_id, min(u) AS lost FROM (SELECT scenar
   ON l.scenario_id = g.scenario_id AND l.target_id = g.target_id""")
 add_cte("followed", ["follow"], """
 SELECT *, CASE WHEN reason IS NOT NULL THEN 'excluded' WHEN ev_f IS NOT NULL AND (lost IS NULL OR ev_f < lost) THEN 'positive' WHEN lost IS NOT NULL THEN 'incomplete' ELSE 'negative' END AS label FROM follow""")
+_MIXED_MAP = {"map_feature": ([], f"SELECT * FROM ({RAW['map_feature']}) UNION ALL SELECT * REPLACE ('s' || scenario_id AS scenario_id) FROM ({RAW['map_feature']})")}
+SQL |= {n: query(q, "cont", swap={**_MIXED, **_MIXED_MAP}) for n, q in CONTINUITY.items()}
 SQL["followup_labels"] = query(f"""
 SELECT f.scenario_id, CAST(target_id AS BIGINT) AS target_track_id, target_type, {r6('dist', 'index_distance_m')}, {r6('clearance', 'index_clearance_m')}, {r6('ttc', 'index_ttc_s')}, {r6('closing', 'index_closing_speed_mps')}, reason IS NULL AS is_eligible,
   reason AS exclusion_reason, label, CAST(CASE WHEN label = 'positive' THEN ev_f END AS BIGINT) AS event_time_index, {r6("CASE WHEN label = 'positive' THEN ev_ttc END", 'event_ttc_s')},

@@ -208,23 +208,24 @@ SELECT scenario_id, round(coalesce(max(jump), 0.0), 4) AS max_jump_m, round(coal
   round(coalesce(max(abs(turn)), 0.0), 4) AS max_heading_jump_rad, round(greatest(coalesce(max(length) - min(length), 0.0), coalesce(max(width) - min(width), 0.0)), 4) AS box_range_m,
   round(coalesce(max(dcte), 0.0), 4) AS max_cte_change_m FROM (
   SELECT scenario_id, length, width, sqrt(sx * sx + sy * sy) AS jump, (dh2 + pi()) - 2 * pi() * floor((dh2 + pi()) / (2 * pi())) - pi() AS turn, dcte,
-    CASE WHEN sp > 0.5 THEN abs(sqrt(pow(sx / dt2, 2) + pow(sy / dt2, 2)) - sp) / greatest(sp, 1.0) END AS v_err,
-    abs(dspd / dt2 - accel) / greatest(abs(accel), 0.5) AS a_err FROM (
-    SELECT k.scenario_id, length, width, accel, sqrt(velocity_x * velocity_x + velocity_y * velocity_y) AS sp, center_x - lag(center_x) OVER w AS sx, center_y - lag(center_y) OVER w AS sy,
-      greatest(timestamp_seconds - lag(timestamp_seconds) OVER w, 1e-12) AS dt2, speed - lag(speed) OVER w AS dspd, heading - lag(heading) OVER w AS dh2, abs(cte - lag(cte) OVER w) AS dcte
+    CASE WHEN sp > 0.5 THEN abs(fd - sp) / greatest(sp, 1.0) END AS v_err,
+    abs((fd - lag(fd) OVER (PARTITION BY scenario_id ORDER BY time_index)) / dt2 - accel) / greatest(abs(accel), 0.5) AS a_err
+    FROM (SELECT *, sqrt(pow(sx / dt2, 2) + pow(sy / dt2, 2)) AS fd FROM (
+    SELECT k.scenario_id, k.time_index, length, width, accel, sqrt(velocity_x * velocity_x + velocity_y * velocity_y) AS sp, center_x - lag(center_x) OVER w AS sx, center_y - lag(center_y) OVER w AS sy,
+      greatest(timestamp_seconds - lag(timestamp_seconds) OVER w, 1e-12) AS dt2, heading - lag(heading) OVER w AS dh2, abs(cte - lag(cte) OVER w) AS dcte
     FROM kin k LEFT JOIN (SELECT e.scenario_id, e.time_index, min(sqrt(pow(x - e.center_x, 2) + pow(y - e.center_y, 2))) AS cte FROM agent_state e JOIN map_feature m
       ON e.scenario_id = m.scenario_id AND feature_type = 'lane' WHERE is_sdc AND valid AND x IS NOT NULL GROUP BY ALL) c ON k.scenario_id = c.scenario_id AND k.time_index = c.time_index
-    WHERE k.is_sdc WINDOW w AS (PARTITION BY k.scenario_id ORDER BY k.time_index))) GROUP BY 1) a ON i.scenario_id = a.scenario_id
+    WHERE k.is_sdc WINDOW w AS (PARTITION BY k.scenario_id ORDER BY k.time_index)))) GROUP BY 1) a ON i.scenario_id = a.scenario_id
 LEFT JOIN (SELECT scenario_id, count(*) AS n_tracks, count(*) FILTER (WHERE g > 5) AS n_fragmented FROM (SELECT scenario_id, track_id, max(gap) AS g FROM (
   SELECT scenario_id, track_id, time_index - lag(time_index) OVER (PARTITION BY scenario_id, track_id ORDER BY time_index) AS gap FROM agent_state WHERE valid) GROUP BY ALL) GROUP BY 1) t ON i.scenario_id = t.scenario_id""")
 _OK = {"position_ok": ("max_jump_m", 2.0), "velocity_ok": ("max_velocity_rel_error", 0.10), "acceleration_ok": ("max_accel_rel_error", 0.20), "heading_ok": ("max_heading_jump_rad", 0.5),
        "box_ok": ("box_range_m", 0.01), "map_ok": ("max_cte_change_m", 1.0), "topology_ok": ("fragmentation_ratio", 0.2)}
-SQL["motion_continuity"] = query(f"""
+#: On the scattered and the steady scenarios; oracles.learning adds the tables.
+CONTINUITY = {"motion_continuity": f"""
 SELECT scenario_id, n_tracks, n_fragmented, {', '.join(r6(c, c, 3) for c in ('max_jump_m', 'max_velocity_rel_error', 'max_accel_rel_error', 'max_heading_jump_rad', 'box_range_m', 'max_cte_change_m', 'fragmentation_ratio'))},
-  {', '.join(f'coalesce({c} < {t}, TRUE) AS {n}' for n, (c, t) in _OK.items())} FROM cont""", "cont")
-SQL["continuity_pass_rates"] = query(f"""
+  {', '.join(f'coalesce({c} < {t}, TRUE) AS {n}' for n, (c, t) in _OK.items())} FROM cont""", "continuity_pass_rates": f"""
 SELECT k AS check_name, v AS n_passed, n, round(v / n, 4) AS pass_rate FROM (SELECT n, unnest({list(_OK)!r}) AS k, unnest([{', '.join('c_' + k for k in _OK)}]) AS v FROM (
-SELECT count(*) AS n, {', '.join(f'count(*) FILTER (WHERE coalesce({c} < {t}, TRUE)) AS c_{k}' for k, (c, t) in _OK.items())} FROM cont))""", "cont")
+SELECT count(*) AS n, {', '.join(f'count(*) FILTER (WHERE coalesce({c} < {t}, TRUE)) AS c_{k}' for k, (c, t) in _OK.items())} FROM cont))"""}
 
 SQL["write_read_table"] = query(f"""SELECT object_type, count(*) AS n_rows, count(DISTINCT scenario_id) AS n_scenarios, count(*) FILTER (WHERE valid) AS n_valid, {r6('avg(center_x)', 'mean_x', 5)}
 FROM agent_state GROUP BY 1""", "agent_state")
