@@ -3,14 +3,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from nearmiss.operators import frames as FR, kpi as KP, quality as Q, splits as SP
+from nearmiss.operators import frames as FR, kpi as KP, models as MD, quality as Q, splits as SP
 from nearmiss.operators.kinematics import kinematics
 from nearmiss.operators.pairs import frame_presence
 from nearmiss.plans.catalog import query, rounded
 from nearmiss.plans.core import frames_of, profile_of
 from nearmiss.session import durable, shared_dir
 from nearmiss.sources import records as R, tables as TB
-from nearmiss.sources.fixture import map_points, mixed_map_points, mixed_states, records, signals, states
+from nearmiss.sources.fixture import map_points, mixed_map_points, mixed_states, records, scores, signals, states
 from nearmiss.sources.tables import file_manifest as file_manifest_of
 
 
@@ -318,3 +318,58 @@ def read_scenarios(spark, sf_dir):
     back = R.read_scenarios(spark, path, splits=["a", "b"])
     names = back.select("scenario_id", F.regexp_extract("source_file", r"split=([^/]+)", 1).alias("split"))
     return rounded(R.flatten_scenario(back).join(names, "scenario_id"))
+
+
+def by_split(spark, sf_dir):
+    return SP.assign_split(scores(spark, sf_dir))
+
+
+@query
+def split_guard(spark, sf_dir):
+    """What the guard lets a development job read of each split: rows and positives, or a refusal."""
+    df, out = by_split(spark, sf_dir), None
+    for wanted in ("train", "internal_val", "internal_holdout", "external"):
+        try:
+            part = Q.split_guard(df, wanted).agg(F.lit(wanted).alias("split"), F.lit(False).alias("refused"), F.count("*").alias("n_rows"), F.sum("y").alias("n_positive"))
+        except PermissionError:
+            part = spark.range(1).select(F.lit(wanted).alias("split"), F.lit(True).alias("refused"), F.lit(0).cast("long").alias("n_rows"), F.lit(None).cast("long").alias("n_positive"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def source_role_guard(spark, sf_dir):
+    """The score table stored under a folder per source role: files that an audit of the scan blocks, and the rows behind them."""
+    path = f"{shared_dir(spark)}/nearmiss/{uuid.uuid4().hex}"
+    role = F.element_at(F.array(*[F.lit(r) for r in ("training", "validation", "testing")]), F.col("scenario_id").cast("int") % 3 + 1)
+    rows = scores(spark, sf_dir).withColumn("role", role)
+    for r in ("training", "validation", "testing"):
+        rows.filter(F.col("role") == r).drop("role").write.parquet(f"{path}/{r}")
+    scan = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    flags = TB.blocked_files(scan)
+    found = F.regexp_extract("file_path", r"/(training|validation|testing)/[^/]*$", 1)
+    n = (scan.select(F.lower("_metadata.file_path").alias("file_path")).groupBy("file_path").agg(F.count("*").alias("n"))
+         .join(flags, "file_path", "left"))
+    return n.groupBy(found.alias("role")).agg(F.max(F.coalesce("blocked", F.lit(False))).alias("blocked"), F.sum("n").alias("n_rows"))
+
+
+@query
+def write_reports(spark, sf_dir):
+    """One result table written as CSV, JSON lines and Parquet and read back."""
+    path = f"{shared_dir(spark)}/nearmiss/{uuid.uuid4().hex}"
+    report = durable(rounded(by_split(spark, sf_dir).groupBy("split", "scenario_id").agg(F.count("*").alias("n_rows"), F.avg("p_full").alias("mean_p_full"))))
+    out = None
+    for fmt in ("csv", "json", "parquet"):
+        TB.write_report(report, f"{path}/{fmt}", fmt)
+        reader = spark.read.schema(report.schema).format(fmt)
+        back = (reader.option("header", True) if fmt == "csv" else reader).load(f"{path}/{fmt}").withColumn("format", F.lit(fmt))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query
+def select_feature_set(spark, sf_dir):
+    """A named feature set with its product columns, per frame."""
+    pairs = [("gap_m", "n_lines"), ("gap_m", "p_base")]
+    df = MD.with_interactions(scores(spark, sf_dir).withColumn("n_lines", F.col("n_lines").cast("double")), pairs)
+    return rounded(df.select("scenario_id", "time_index", "gap_m", "n_lines", "p_base", *[f"{a}__x__{b}" for a, b in pairs]))

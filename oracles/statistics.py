@@ -159,3 +159,15 @@ FROM (SELECT split, unnest(['full', 'base']) AS k, unnest([avg(p_full - p_base),
 SQL["bh_fdr"] = query(f"""
 SELECT feature_name, {r6('p')}, {r6('least(1.0, min(raw) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'fdr_q')} FROM (
 SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, feature_name) AS raw, row_number() OVER (ORDER BY p, feature_name) AS rk FROM tests)""", "tests")
+
+# Guards, reports and feature sets over the score table.
+SQL["split_guard"] = query("""
+SELECT k AS split, k NOT IN ('train', 'internal_val') AS refused, count(*) FILTER (WHERE s.split = k AND k IN ('train', 'internal_val')) AS n_rows,
+  CAST(sum(y) FILTER (WHERE s.split = k AND k IN ('train', 'internal_val')) AS BIGINT) AS n_positive
+FROM ws s, (SELECT unnest(['train', 'internal_val', 'internal_holdout', 'external']) AS k) GROUP BY k""", "ws")
+SQL["source_role_guard"] = query("""
+SELECT ['training', 'validation', 'testing'][CAST(scenario_id AS INT) % 3 + 1] AS role, bool_or(CAST(scenario_id AS INT) % 3 > 0) AS blocked, count(*) AS n_rows FROM scores GROUP BY 1""", "scores")
+SQL["write_reports"] = query(f"""
+SELECT split, scenario_id, count(*) AS n_rows, {r6('avg(p_full)', 'mean_p_full')}, format FROM ws, (SELECT unnest(['csv', 'json', 'parquet']) AS format) GROUP BY split, scenario_id, format""", "ws")
+SQL["select_feature_set"] = query(f"""
+SELECT scenario_id, CAST(time_index AS BIGINT) AS time_index, {r6('gap_m')}, {r6('n_lines')}, {r6('p_base')}, {r6('gap_m * n_lines', 'gap_m__x__n_lines')}, {r6('gap_m * p_base', 'gap_m__x__p_base')} FROM scores""", "scores")
