@@ -9,7 +9,7 @@ from nearmiss.operators.frames import frame_labels, scene_criticality
 from nearmiss.operators.mapjoin import dispersion, lane_context, nearest_distance, signal_context
 from nearmiss.operators.pairs import FRAME, ego_states, ego_track, frame_join, frame_presence, full_state, not_null
 from nearmiss.operators.profile import ordered
-from nearmiss.session import durable
+from nearmiss.session import durable_rows
 
 
 def ego_motion(presence: DataFrame) -> DataFrame:
@@ -175,9 +175,9 @@ def frame_feature_table(states: DataFrame, points: DataFrame, signals: DataFrame
     The per-frame tables that several feature groups read (ego presence, frame
     outcomes, actor context) are stored once; the actor table is read four times.
     """
-    presence = durable(frame_presence(states)) if presence is None else presence
-    frames = durable(scene_criticality(states, presence)) if frames is None else frames
-    context = durable(actor_context(past_actor_pairs(states, presence, focal_of(frames))))
+    presence = durable_rows(frame_presence(states)) if presence is None else presence
+    frames = durable_rows(scene_criticality(states, presence)) if frames is None else frames
+    context = durable_rows(actor_context(past_actor_pairs(states, presence, focal_of(frames))))
     return (frame_labels(frames).select(*FRAME, "status", "target_ttc_s", "target_c_t", "target_y_tau_2s", "target_y_tau_3s",
                                         "target_y_tau_5s", "weight_scenario_equal")
             .join(physics_controls(frames, presence, context), FRAME, "left")

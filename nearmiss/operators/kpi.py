@@ -6,7 +6,7 @@ from nearmiss.functions.geometry import speed
 from nearmiss.operators.kinematics import kinematics
 from nearmiss.operators.mapjoin import nearest_distance
 from nearmiss.operators.pairs import FRAME, circle_pair_metrics, ego_track, frame_presence
-from nearmiss.session import durable
+from nearmiss.session import durable_rows
 
 KPIS = ["max_jerk", "drac_max", "rss_margin_min", "cross_track_error_max", "ttlc_min", "offroad_ratio"]
 
@@ -62,8 +62,8 @@ def ttlc_min(ego: DataFrame, *, lane_width_m: float = 3.7) -> DataFrame:
 
 def all_kpis(states: DataFrame, points: DataFrame) -> DataFrame:
     """The six indicators per scenario; NULL means not measurable."""
-    presence = durable(frame_presence(states))
-    ego, pairs = ego_track(presence), durable(circle_pair_metrics(states, presence).select(*FRAME, "pair_distance_m", "derived_closing_speed_mps"))
+    presence = durable_rows(frame_presence(states))
+    ego, pairs = ego_track(presence), durable_rows(circle_pair_metrics(states, presence).select(*FRAME, "pair_distance_m", "derived_closing_speed_mps"))
     out = presence.select("scenario_id").distinct()
     for part in (max_jerk(ego), drac_max(pairs), rss_margin_min(pairs, ego), cross_track_and_offroad(ego, points), ttlc_min(ego)):
         out = out.join(part, "scenario_id", "left")
@@ -102,7 +102,7 @@ def motion_continuity(states: DataFrame, points: DataFrame) -> DataFrame:
     """
     c = F.col
     w = W.partitionBy("scenario_id").orderBy("time_index")
-    presence = durable(frame_presence(states))
+    presence = durable_rows(frame_presence(states))
     ego = ego_track(presence)
     lane = (nearest_distance(_ego_positions(ego), points.filter(c("feature_type") == "lane"))
             .select(*FRAME, c("distance_m").alias("cte")))

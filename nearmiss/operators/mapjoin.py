@@ -7,7 +7,7 @@ scenario; only cells that can hold the answer are opened. Results are exact: the
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nearmiss.operators.pairs import FRAME, salted_join
-from nearmiss.session import durable
+from nearmiss.session import durable_rows
 
 # Cells are 25 m, 200 m and 1,600 m wide; beyond these a scenario is one cell.
 CELL_M, FACTOR, LEVELS = 25.0, 8, 3
@@ -78,7 +78,7 @@ def nearest_distance(positions: DataFrame, points: DataFrame) -> DataFrame:
     at_cell = ["scenario_id", "feature_type", "gx", "gy"]
     of_level = ["scenario_id", "level", "cx", "cy"]
     base = cell_summary(points).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
-    members = durable(base.withColumns({"cx": _level_cell("gx"), "cy": _level_cell("gy")}))
+    members = durable_rows(base.withColumns({"cx": _level_cell("gx"), "cy": _level_cell("gy")}))
     cells = members.groupBy(*of_level, "feature_type").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))
     half = _side() / 2
     around = (positions.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
@@ -112,7 +112,7 @@ def lane_headings(points: DataFrame, *, chunk: int = 4096) -> DataFrame:
     chunks = W.partitionBy("scenario_id", "feature_id").orderBy("chunk")
     links = ends.select(*part, F.lead("first").over(chunks).alias("next_first"), F.lag("last").over(chunks).alias("prev_last"))
     inside = W.partitionBy(*part).orderBy("point_index")
-    rows = lanes.join(links, part).withColumns({"n": F.coalesce(F.lead(at).over(inside), c("next_first")), "p": F.coalesce(F.lag(at).over(inside), c("prev_last"))})
+    rows = lanes.join(links.hint("merge"), part).withColumns({"n": F.coalesce(F.lead(at).over(inside), c("next_first")), "p": F.coalesce(F.lag(at).over(inside), c("prev_last"))})
     ahead, behind = F.atan2(c("n.y") - c("y"), c("n.x") - c("x")), F.atan2(c("y") - c("p.y"), c("x") - c("p.x"))
     return rows.withColumn("lane_heading", F.coalesce(ahead, behind, F.lit(0.0))).drop("n", "p", "next_first", "prev_last", "chunk")
 
@@ -130,7 +130,7 @@ def lane_context(positions: DataFrame, points: DataFrame, *, radius_m: float = 5
     reach = radius_m + SLACK_M
     around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / CELL_M), F.floor((F.col(c) + reach) / CELL_M)))
     looked = positions.withColumn("gx", around("x0")).withColumn("gy", around("y0"))
-    met = _bounds(looked.join(cells, ["scenario_id", "gx", "gy"])).filter(F.col("low2") <= r2)
+    met = _bounds(looked.join(cells.hint("merge"), ["scenario_id", "gx", "gy"])).filter(F.col("low2") <= r2)
     inside = met.filter(F.col("high2") <= r2).select(*FRAME, "n", "sc", "ss")
     rim = met.filter(F.col("high2") > r2).select(*at_cell, "time_index", "x0", "y0")
     opened = salted_join(rim, lanes.select(*at_cell, "x", "y", "lane_heading"), at_cell, ["x", "y"], buckets=2).filter(_d2() <= r2)

@@ -7,7 +7,7 @@ from nearmiss.plans.catalog import query, rounded
 from nearmiss.operators.frames import scene_criticality
 from nearmiss.operators.pairs import frame_presence
 from nearmiss.plans.core import frames_of
-from nearmiss.session import durable
+from nearmiss.session import durable_rows
 from nearmiss.sources.fixture import map_points, signals, states
 
 
@@ -45,9 +45,9 @@ def signals_in_radius(spark, sf_dir):
 
 def _context(spark, sf_dir):
     s = states(spark, sf_dir)
-    presence = durable(frame_presence(s))
-    frames = durable(scene_criticality(s, presence))
-    return s, presence, frames, durable(X.actor_context(X.past_actor_pairs(s, presence, X.focal_of(frames))))
+    presence = durable_rows(frame_presence(s))
+    frames = durable_rows(scene_criticality(s, presence))
+    return s, presence, frames, durable_rows(X.actor_context(X.past_actor_pairs(s, presence, X.focal_of(frames))))
 
 
 @query
@@ -58,7 +58,7 @@ def p_clean_features(spark, sf_dir):
 
 @query
 def e_static_features(spark, sf_dir):
-    presence = durable(frame_presence(states(spark, sf_dir)))
+    presence = durable_rows(frame_presence(states(spark, sf_dir)))
     return rounded(X.static_context(presence, map_points(spark, sf_dir), signals(spark, sf_dir)))
 
 
