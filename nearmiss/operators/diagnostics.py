@@ -8,7 +8,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from nearmiss.constants import QUANTILE_LEVELS, T_MIN_S, TAU_LEVELS
+from nearmiss.constants import CONTACT_TOL, QUANTILE_LEVELS, T_MIN_S, TAU_LEVELS
 from nearmiss.functions import normal as N
 from nearmiss.functions.columns import flag
 
@@ -153,9 +153,12 @@ def stratified_gate(pred: DataFrame, strata: dict) -> DataFrame:
 
 
 def conditional_brier(df: DataFrame, mu: Column, sigma: Column, tau: float) -> DataFrame:
-    """Brier score of P(TTC <= tau) on the primary risk set; NULL if a row is censored before tau."""
+    """Brier score of P(TTC <= tau) on the primary risk set; NULL if a row is censored before tau.
+
+    A contact at tau counts also where the rounding of sines and cosines puts it just behind.
+    """
     c = F.col
-    y = (~c("right_censored") & (c("ttc_obb_swept_s") <= tau)).cast("double")
+    y = (~c("right_censored") & (c("ttc_obb_swept_s") <= tau + CONTACT_TOL)).cast("double")
     out = N.with_normal(df, exceedance_z(mu, sigma, tau), p_="cdf").withColumn("y_", y).agg(
         F.avg((c("p_") - c("y_")) * (c("p_") - c("y_"))).alias("naive"), F.count("*").alias("n_samples"), F.sum("y_").cast("long").alias("n_events_at_tau"),
         F.count_if("right_censored").alias("n_censored"), F.avg("p_").alias("mean_pred"), F.min("censor_time_s").alias("min_censor"))
