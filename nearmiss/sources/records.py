@@ -10,8 +10,8 @@ _LINE = T.StructType([T.StructField("polyline", T.ArrayType(_POINT))])
 _AREA = T.StructType([T.StructField("polygon", T.ArrayType(_POINT))])
 _STATE = T.StructType([
     T.StructField("valid", T.BooleanType()),
-    *[T.StructField(n, T.DoubleType()) for n in ("center_x", "center_y", "center_z")],
-    *[T.StructField(n, T.FloatType()) for n in ("velocity_x", "velocity_y", "heading", "length", "width", "height")]])
+    # Files that hold some of these in single precision are read alike; nothing is narrowed, which could move a touching pair apart.
+    *[T.StructField(n, T.DoubleType()) for n in ("center_x", "center_y", "center_z", "velocity_x", "velocity_y", "heading", "length", "width", "height")]])
 
 RECORD = T.StructType([
     T.StructField("scenario_id", T.StringType()),
