@@ -276,7 +276,7 @@ def incremental_pairs(spark, sf_dir):
     r = durable(records(spark, sf_dir))
     even = F.col("scenario_id").cast("int") % 2 == 0
     for part in (even, ~even | (F.col("scenario_id").cast("int") % 4 == 0)):
-        r.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/arrived")
+        r.filter(part).write.mode("append").parquet(f"{base}/arrived")
         run_incremental(spark, f"{base}/arrived", f"{base}/out")
     out = spark.read.parquet(f"{base}/out/frame_targets")
     # Records hold velocities in single precision, which can move a contact from "now" to "next"; both count as contact here.
@@ -292,7 +292,7 @@ def recomputed_outputs(spark, sf_dir):
     r = durable(records(spark, sf_dir))
     third = F.col("scenario_id").cast("int") % 3 == 0
     for part in (third, ~third | (F.col("scenario_id").cast("int") % 6 == 0)):
-        r.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/arrived")
+        r.filter(part).write.mode("append").parquet(f"{base}/arrived")
         run_incremental(spark, f"{base}/arrived", f"{base}/out")
     for batch, name in enumerate(("frame_targets", "pair_metrics")):
         place = f"{base}/out/{name}/batch={batch}"
@@ -312,7 +312,7 @@ def read_scenarios(spark, sf_dir):
     r = durable(records(spark, sf_dir))
     of = lambda n: r.filter(F.col("scenario_id").cast("int") % n == 0)
     changed = F.lit(99)
-    r.unionByName(of(5)).coalesce(1).write.parquet(f"{path}/split=a")
+    r.unionByName(of(5)).repartition("scenario_id").write.parquet(f"{path}/split=a")
     of(3).withColumn("sdc_track_index", changed).write.parquet(f"{path}/split=b")
     of(2).withColumns({"sdc_track_index": changed, "scenario_id": F.concat("scenario_id", F.lit("x"))}).write.parquet(f"{path}/split=c")
     back = R.read_scenarios(spark, path, splits=["a", "b"])
