@@ -279,7 +279,7 @@ def incremental_pairs(spark, sf_dir):
         r.filter(part).write.mode("append").parquet(f"{base}/arrived")
         run_incremental(spark, f"{base}/arrived", f"{base}/out")
     out = spark.read.parquet(f"{base}/out/frame_targets")
-    # Records hold velocities in single precision, which can move a contact from "now" to "next"; both count as contact here.
+    # Both contact states count as contact here.
     kind = F.when(F.col("target_status").isin("current_geometry_overlap", "future_contact_event"), "contact").otherwise(F.col("target_status"))
     return rounded(out.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_frames"), F.count_distinct("scenario_id").alias("n_scenarios")))
 
