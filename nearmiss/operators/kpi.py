@@ -130,7 +130,7 @@ def motion_continuity(states: DataFrame, points: DataFrame) -> DataFrame:
     tracks = (states.filter(flag(c("valid"))).withColumn("gap", c("time_index") - F.lag("time_index").over(track))
               .groupBy("scenario_id", "track_id").agg(flag(F.max("gap") > 5).alias("fragmented"))
               .groupBy("scenario_id").agg(F.count("*").alias("n_tracks"), F.count_if("fragmented").alias("n_fragmented")))
-    out = presence.select("scenario_id").distinct().join(per, "scenario_id", "left").join(tracks, "scenario_id", "left")
+    out = presence.select("scenario_id").distinct().join(per, "scenario_id", "left").join(tracks.hint("merge"), "scenario_id", "left")
     out = out.withColumn("fragmentation_ratio", F.round(F.coalesce(c("n_fragmented") / F.greatest(c("n_tracks"), F.lit(1)), F.lit(0.0)), 4))
     below = lambda x, t: F.coalesce(c(x) < t, F.lit(True))
     return out.withColumns({
