@@ -118,8 +118,8 @@ class Units:
     place, so a text's tokens, groups and links are those of its units.
     """
 
-    def __init__(self, texts: list):
-        index, at, n = _Index(), [np.zeros(0, np.int64)], []
+    def __init__(self, texts):
+        index, at, n = _Index(), [np.zeros(0, np.int32)], []
         for text in texts:  # units without their first blank
             if not text or MARK in text:
                 own = []
@@ -127,7 +127,7 @@ class Units:
                 own = [u[1:] for u in _UNITS(" " + text)]
             else:
                 own = text.split(" ")
-            at.append(np.fromiter(map(index.__getitem__, own), np.int64, len(own)))
+            at.append(np.fromiter(map(index.__getitem__, own), np.int32, len(own)))
             n.append(len(own))
         self.units, self.at, self.n = list(index), np.concatenate(at), np.array(n, np.int64)
 
@@ -141,8 +141,14 @@ class Units:
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """For each text the sum of a value of its units."""
-        total, ends = np.concatenate([[0], np.cumsum(values[self.at])]), np.cumsum(self.n)
-        return total[ends] - total[ends - self.n]
+        ends, out = np.cumsum(self.n), np.zeros(len(self.n), np.int64)
+        low, start = 0, 0
+        while low < len(ends):  # texts of about _SLICE units at a time
+            high = max(low + 1, int(np.searchsorted(ends, start + _SLICE, "right")))
+            total = np.concatenate([[0], np.cumsum(values[self.at[start:ends[high - 1]]])])
+            out[low:high] = total[ends[low:high] - start] - total[ends[low:high] - self.n[low:high] - start]
+            low, start = high, int(ends[high - 1])
+        return out
 
 
 def count_pairs(units: Units, run):
@@ -315,7 +321,7 @@ def deal_pairs(blocks: DataFrame, width: int, shards: int, slices: int) -> DataF
                 for name, own in zip(names.tolist(), np.split(order, heads[1:])):
                     yield _rows(["shard", "slice", "block", "x", "y"], [_I, _I, _L, _B, _B], name, zlib.crc32(b"%d" % block) % slices, block, pack_sorted(pairs[own]), pack64(counts[own]))
 
-    return blocks.select("block", "pairs", "counts").mapInArrow(cut, _DEALT)
+    return blocks.select("block", "pairs", "counts").mapInArrow(freeing(cut), _DEALT)
 
 
 def by_shard(dealt: DataFrame, work, schema: str, tasks: int, table: DataFrame = None, slices: int = 1) -> DataFrame:
@@ -323,7 +329,7 @@ def by_shard(dealt: DataFrame, work, schema: str, tasks: int, table: DataFrame =
     if table is not None:
         head = table.select("shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(-1).cast("long").alias("block"), "x", "y")
         dealt = dealt.unionByName(head)
-    return dealt.repartition(tasks, "shard", "slice").sortWithinPartitions("shard", "slice", "block").mapInArrow(work, schema)
+    return dealt.repartition(tasks, "shard", "slice").sortWithinPartitions("shard", "slice", "block").mapInArrow(freeing(work), schema)
 
 
 def tree(rows: DataFrame, merge, slices: int) -> DataFrame:
@@ -394,10 +400,10 @@ def pair_table(dealt: DataFrame, width: int, tasks: int, slices: int) -> DataFra
                 yield _rows(["shard", "x", "y"], [_I, _B, _B], shard, x, pack64(2 * counts + (counts == highest[at])))
 
     united = tree(by_shard(dealt, keys, "shard int, slice int, x binary", tasks), _united, slices)
-    indexes = durable(united.mapInArrow(index, "shard int, x binary, y binary"))
+    indexes = durable(united.mapInArrow(freeing(index), "shard int, x binary, y binary"))
     vectors = tree(by_shard(dealt, add, "shard int, slice int, x binary", tasks, indexes, slices), _summed, slices)
     counted = indexes.select("shard", "x").join(vectors.select("shard", F.col("x").alias("y")).hint("merge"), "shard")
-    return durable(counted.mapInArrow(best, "shard int, x binary, y binary"))
+    return durable(counted.mapInArrow(freeing(best), "shard int, x binary, y binary"))
 
 
 def align(docs: DataFrame, bpe_path: str, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, shard_pairs: int = 300_000,
@@ -422,7 +428,7 @@ def align(docs: DataFrame, bpe_path: str, model_path: str, id_col: str = "doc_id
                 pairs = unpack_sorted(x)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[mix(pairs.view(np.uint64)) % np.uint64(64) == 0])], names=["pair"])
 
-    many = 64 * blocks.select("pairs").mapInArrow(probe, "pair long").distinct().count()
+    many = 64 * blocks.select("pairs").mapInArrow(freeing(probe), "pair long").distinct().count()
     shards, slices = max(1, -(-many // shard_pairs)), max(1, -(-blocks.select("block").count() // task_blocks))
     dealt = deal_pairs(blocks, width, shards, slices)
     table = pair_table(dealt, width, shards * slices, slices)
@@ -447,7 +453,8 @@ def align(docs: DataFrame, bpe_path: str, model_path: str, id_col: str = "doc_id
             for i in range(batch.num_rows):
                 ids, (texts, sizes, a, a_n, b, b_n, pairs), values = batch.column(0)[i], [batch.column(c)[i].as_py() for c in range(1, 8)], batch.column(8)[i].as_py()
                 raw, ends = zlib.decompress(texts), np.cumsum(unpack(sizes), dtype=np.int64).tolist()
-                units = Units([raw[p:q].decode() for p, q in zip([0, *ends], ends)])
+                units = Units(raw[p:q].decode() for p, q in zip([0, *ends], ends))
+                units.units = raw = texts = sizes = None  # only their places are needed from here on
                 a, b = (unpack(a), unpack(a_n).astype(np.int64)), (unpack(b), unpack(b_n).astype(np.int64))
                 units.drop_texts_with(a[1] == 0)
                 run, pairs = Run(aligner, a, b), unpack_sorted(pairs)
