@@ -86,7 +86,10 @@ class Network:
         return net
 
     def embed(self, ids):
-        return self.emb[ids].sum(1)
+        x = self.emb.take(ids[:, 0], 0)
+        for k in range(1, FEATURES):  # one feature at a time: the same sum without a table of all of them
+            x += self.emb.take(ids[:, k], 0)
+        return x
 
     def pooled(self, x, bounds):
         """(pooled values [rows, filters of all widths], position of each maximum); filters run inside rows only, short rows pool to 0."""
