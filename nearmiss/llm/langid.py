@@ -80,8 +80,8 @@ class Profiles:
         return best[1], 1.0 - best[0] / (self.top * len(own))
 
 
-def learn_profiles(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP) -> Profiles:
-    """Profiles from all rows whose language is not null."""
+def learn_profiles(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP, unpack=None) -> Profiles:
+    """Profiles from all rows whose language is not null; unpack turns stored batches into (languages, texts) where a row holds many."""
     def count(batches):
         held: dict = {}
 
@@ -91,9 +91,11 @@ def learn_profiles(rows: DataFrame, lang_col: str = "lang", text_col: str = "tex
             held[name] = [(codes, np.bincount(at, np.concatenate(counts), len(codes)).astype(np.int64))]
             return held[name][0]
 
-        for batch in batches:
-            texts = text_array(batch.column(1))
-            for i, name in enumerate(batch.column(0).to_pylist()):
+        for names, texts in unpack(batches) if unpack else (batch.columns for batch in batches):
+            texts = text_array(texts)
+            for i, name in enumerate(names.to_pylist()):
+                if name is None:
+                    continue
                 held.setdefault(name, []).append(gram_counts(texts[i].as_py()))
                 if len(held[name]) > 64:
                     settled(name)
@@ -101,7 +103,8 @@ def learn_profiles(rows: DataFrame, lang_col: str = "lang", text_col: str = "tex
             codes, counts = settled(name)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
-    known = text_batches(rows).filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    lang = F.col(lang_col)
+    known = text_batches(rows).filter(lang.isNotNull()).select((lang if unpack else lang.cast("string")).alias("lang"), F.col(text_col).alias("text"))
     counts = known.mapInArrow(freeing(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("rank") <= top)
     out: dict = {}
