@@ -13,6 +13,8 @@ from nearmiss.session import durable_rows
 CELL_M, FACTOR, LEVELS = 25.0, 8, 3
 # Added to the reach of a look-up, so that rounding never loses a cell.
 SLACK_M = 1e-6
+# A scenario of at most so many points is one packed cell.
+PACKED = 256
 
 
 def _cell(c: str) -> Column:
@@ -72,9 +74,34 @@ def nearest_distance(positions: DataFrame, points: DataFrame) -> DataFrame:
 
     Cells form levels of growing size, the last one cell per scenario. A position looks up the four cells nearest to it on each level by key; the
     tightest far corner found bounds the distance. On the first level with a cell the bound spans at most three cells either way, so the
-    cells within it are again looked up by key, and those that can beat the nearest far corner are opened.
+    cells within it are again looked up by key, and those that can beat the nearest far corner are opened. The points of a small scenario
+    (`PACKED`) travel as one array per type in its one cell of the last level, so a position needs one row for each type.
     """
-    points = with_cells(points)
+    points = durable_rows(with_cells(points).select("scenario_id", "feature_type", "gx", "gy", "x", "y"))
+    crowded = durable_rows(points.groupBy("scenario_id").agg(F.count("*").alias("n")).filter(F.col("n") > PACKED).select("scenario_id"))
+    if crowded.isEmpty():
+        return _nearest_packed(positions, points)
+    only = lambda df, how: df.join(crowded, "scenario_id", how)
+    return (_nearest_packed(only(positions, "left_anti"), only(points, "left_anti"))
+            .unionByName(_nearest_in_cells(only(positions, "left_semi"), durable_rows(only(points, "left_semi")))))
+
+
+def _nearest_packed(positions: DataFrame, points: DataFrame) -> DataFrame:
+    """nearest_distance for scenarios of few points, each one cell."""
+    of_level = ["scenario_id", "level", "cx", "cy"]
+    in_level = points.withColumn("level", F.lit(LEVELS)).withColumns({"cx": _level_cell("gx"), "cy": _level_cell("gy")})
+    packed = durable_rows(in_level.groupBy(*of_level, "feature_type").agg(F.collect_list(F.struct("x", "y")).alias("points")))
+    looked = positions.withColumn("level", F.lit(LEVELS)).withColumn("cx", _window(F.col("x0"), F.col("x0"))).withColumn("cy", _window(F.col("y0"), F.col("y0")))
+
+    def d2(p):
+        dx, dy = p["x"] - F.col("x0"), p["y"] - F.col("y0")
+        return dx * dx + dy * dy
+
+    return looked.join(packed, of_level).select(*FRAME, "feature_type", F.sqrt(F.array_min(F.transform("points", d2))).alias("distance_m"))
+
+
+def _nearest_in_cells(positions: DataFrame, points: DataFrame) -> DataFrame:
+    """nearest_distance by cells of all levels."""
     at_cell = ["scenario_id", "feature_type", "gx", "gy"]
     of_level = ["scenario_id", "level", "cx", "cy"]
     base = cell_summary(points).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
