@@ -59,30 +59,36 @@ def retimed(rows: DataFrame, tracks: DataFrame, alpha: float) -> DataFrame:
     points = rows.select(*TRACK, index, "center_x", "center_y", (ahead("center_x") - F.col("center_x")).alias("to_x"), (ahead("center_y") - F.col("center_y")).alias("to_y"))
     last = F.col("n") - 1
     bump = F.sin(F.lit(math.pi) * F.col("i") / last)
-    clock = rows.select(*TRACK, "time_index", "length", "width", index).join(tracks.filter("refused IS NULL").drop("refused"), TRACK)
+    clock = rows.select(*TRACK, "time_index", "length", "width", index).join(tracks.filter("refused IS NULL").select(*TRACK, "n"), TRACK)
     clock = clock.withColumn("at", F.least(F.greatest(F.col("i") + bump * bump * (alpha / 2 / FRAME_S), F.lit(0.0)), last.cast("double"))).drop("i").withColumn("i", F.floor("at").cast("int"))
     part = F.col("at") - F.col("i")
-    moved = clock.join(points, [*TRACK, "i"]).select(*TRACK, "time_index", "length", "width", "points", (F.col("center_x") + part * F.col("to_x")).alias("mx"),
+    moved = clock.join(points, [*TRACK, "i"]).select(*TRACK, "time_index", "length", "width", (F.col("center_x") + part * F.col("to_x")).alias("mx"),
                                                      (F.col("center_y") + part * F.col("to_y")).alias("my"))
     ahead = F.atan2(F.lead("my").over(track()) - F.col("my"), F.lead("mx").over(track()) - F.col("mx"))
     moved = moved.withColumns({"vx": _slope("mx"), "vy": _slope("my"), "ahead": ahead})
     return moved.withColumn("turned", F.coalesce("ahead", F.lag("ahead").over(track()))).drop("ahead")
 
 
-def broken_limits(moved: DataFrame) -> DataFrame:
-    """One row per track: names of the limits that it exceeds once re-timed, in a fixed order; empty if none."""
+def broken_limits(moved: DataFrame, tracks: DataFrame) -> DataFrame:
+    """One row per track: names of the limits that it exceeds once re-timed, in a fixed order; empty if none.
+
+    The points of a track meet its moved places in one row per track, not in each of its rows.
+    """
     before = lambda c: F.lag(c).over(track())
     df = moved.withColumns({"step": F.hypot(F.col("mx") - before("mx"), F.col("my") - before("my")), "speed": F.hypot("vx", "vy"),
                             "turn": F.abs(F.pmod(F.col("turned") - before("turned") + math.pi, F.lit(2 * math.pi)) - math.pi)})
     next_step = F.lead("step").over(track())
     df = df.withColumns({"path_speed": F.coalesce((F.col("step") + next_step) / 2, "step", next_step) / FRAME_S, "accel": _slope("speed")})
     df = df.withColumn("jerk", _slope("accel"))
-    off = F.array_min(F.transform("points", lambda p: F.hypot(F.col("mx") - p["center_x"], F.col("my") - p["center_y"])))
+    nearest = lambda m: F.array_min(F.transform("points", lambda p: F.hypot(m["mx"] - p["center_x"], m["my"] - p["center_y"])))
     finite = F.min(F.abs(F.col("mx") + F.col("my") + F.col("vx") + F.col("vy") + F.col("turned")) < float("inf"))
     limits = [("POSITION", F.max("step") >= MAX_POS_JUMP_M), ("VELOCITY", F.max(F.abs(F.col("path_speed") - F.col("speed")) / F.greatest("speed", F.lit(1.0))) > 0.10),
               ("ACCELERATION", F.max(F.abs("accel")) > MAX_ACCEL_MPS2), ("JERK", F.max(F.abs("jerk")) > MAX_JERK_MPS3),
-              ("HEADING", F.max("turn") >= MAX_HEADING_JUMP_RAD), ("CROSS_TRACK", F.max(off) >= MAX_CROSS_TRACK_M)]
-    return df.groupBy(*TRACK).agg(F.when(finite, F.concat_ws(",", *[F.when(hit, F.lit(name)) for name, hit in limits])).otherwise(F.lit("NAN")).alias("broken"))
+              ("HEADING", F.max("turn") >= MAX_HEADING_JUMP_RAD), ("CROSS_TRACK", F.col("off") >= MAX_CROSS_TRACK_M)]
+    per = df.groupBy(*TRACK).agg(finite.alias("finite"), *[hit.alias(name) for name, hit in limits[:-1]], F.collect_list(F.struct("mx", "my")).alias("places"))
+    per = per.join(tracks.select(*TRACK, "points"), TRACK).withColumn("off", F.array_max(F.transform("places", nearest))).withColumn(*limits[-1])
+    hits = [F.when(F.col(name), F.lit(name)) for name, _ in limits]
+    return per.select(*TRACK, F.when(F.col("finite"), F.concat_ws(",", *hits)).otherwise(F.lit("NAN")).alias("broken"))
 
 
 def warp_tracks(states: DataFrame, *, alpha: float = 0.15) -> DataFrame:
@@ -90,7 +96,7 @@ def warp_tracks(states: DataFrame, *, alpha: float = 0.15) -> DataFrame:
     rows = states.select("scenario_id", F.col("track_id").cast("long").alias("track_id"), F.col("time_index").cast("int").alias("time_index"), *[F.col(c).cast("double").alias(c) for c in KINEMATIC])
     tracks = _track_verdicts(rows)
     moved = durable(retimed(rows, tracks, alpha))
-    verdict = durable(tracks.select(*TRACK, "refused").join(broken_limits(moved), TRACK, "left").select(*TRACK, F.coalesce(
+    verdict = durable(tracks.select(*TRACK, "refused").join(broken_limits(moved, tracks), TRACK, "left").select(*TRACK, F.coalesce(
         "refused", F.when(F.col("broken") == "", F.lit("OK")).otherwise(F.concat(F.lit("PHYSICAL_GATES_FAILED:"), "broken"))).alias("reason")))
     new = moved.select(*TRACK, "time_index", F.struct(F.col("mx").alias("center_x"), F.col("my").alias("center_y"), F.col("vx").alias("velocity_x"),
                                                       F.col("vy").alias("velocity_y"), F.col("turned").alias("heading")).alias("w"))
