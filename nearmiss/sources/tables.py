@@ -37,17 +37,23 @@ def bucket_of(buckets: int):
     return F.pmod(F.xxhash64("scenario_id"), F.lit(buckets)).cast("int")
 
 
+#: Rows that a task sorts by bucket before it writes them.
+_ROWS_PER_TASK = 500_000
+
+
 def write_table(df: DataFrame, path: str, name: str, *, buckets: int = 64, rows_per_file: int = 2_000_000, mode: str = "errorifexists") -> None:
     """Aligned Parquet, partitioned by the number of hash buckets of the scenario id and the bucket.
 
     A directory per scenario would be one tiny file each; buckets keep files large and still prune. The bucket count is part of the
     path, so readers need not know it and tables written with different counts can share a folder. A bucket is spread over as many
-    tasks and files as its share of the rows needs, whatever scenario they belong to.
+    tasks and files as its share of the rows needs, whatever scenario they belong to. The number of tasks follows that of the rows.
     """
-    spread = max(1, -(-df.count() // (buckets * rows_per_file)))
+    rows = df.count()
+    spread = max(1, -(-rows // (buckets * rows_per_file)))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // _ROWS_PER_TASK))
     out = align(df, SCHEMAS[name]).withColumns({"buckets": F.lit(buckets), "bucket": bucket_of(buckets)})
     out = out.withColumn("spread", F.pmod(F.xxhash64(*[c for c in out.columns if c not in ("bucket", "buckets")]), F.lit(spread)))
-    (out.repartition("bucket", "spread").drop("spread").write.mode(mode).option("maxRecordsPerFile", 2 * rows_per_file)
+    (out.repartition(tasks, "bucket", "spread").drop("spread").write.mode(mode).option("maxRecordsPerFile", 2 * rows_per_file)
      .partitionBy("buckets", "bucket").parquet(f"{path}/{name}"))
 
 
