@@ -7,10 +7,13 @@ from nearmiss.functions.columns import flag
 from nearmiss.operators.kinematics import kinematics
 from nearmiss.operators.frames import frame_labels, scene_criticality
 from nearmiss.operators.mapjoin import dispersion, lane_context, nearest_distance, signal_context
-from nearmiss.operators.pairs import FRAME, ego_states, ego_track, frame_join, frame_presence, full_state, not_null
+from nearmiss.operators.pairs import FRAME, ego_states, ego_track, frame_presence, full_state, not_null
 from nearmiss.operators.profile import ordered
 from nearmiss.session import durable_rows
 
+# Frames that share a task in the history join; a third of the 91.
+SPAN = 31
+
 
 def ego_motion(presence: DataFrame) -> DataFrame:
     """Ego acceleration and yaw rate per frame, 0 where undefined."""
@@ -27,14 +30,16 @@ def past_actor_pairs(states: DataFrame, presence: DataFrame, focal: DataFrame, *
                      radius_m: float = RADIUS_M) -> DataFrame:
     """Usable actors of any class at frames u in [t - steps, t] against the ego state and focal actor of t.
 
-    The range is turned into an equi join by repeating the one-row-per-frame
-    ego side for each u; the actor rows are shuffled once.
+    Frames t are cut into spans of `SPAN`; an actor row goes to the span of u and, near its end, to the next one too. A span's actors are
+    streamed past its few ego rows, and what is grouped by span and frame later needs no further shuffle.
     """
-    ego = (ego_states(presence).drop("ego_track_id").join(focal, FRAME, "left")
-           .withColumn("u", F.explode(F.sequence(F.greatest(F.col("time_index") - steps, F.lit(0)), F.col("time_index")))))
+    t, u = F.col("time_index"), F.col("u")
+    span = lambda x: F.floor(x / F.lit(SPAN)).cast("int")
+    ego = ego_states(presence).drop("ego_track_id").join(focal, FRAME, "left").withColumn("span", span(t))
     actors = (states.filter(~flag(F.col("is_sdc")) & full_state())
-              .filter(not_null()).select("scenario_id", F.col("time_index").alias("u"), "track_id", "object_type", *G.prefixed("t_")))
-    pairs = G.with_relative_state(frame_join(ego, actors, "u"))
+              .filter(not_null()).select("scenario_id", F.col("time_index").alias("u"), "track_id", "object_type", *G.prefixed("t_"))
+              .filter(u >= 0).withColumn("span", F.explode(F.sequence(span(u), span(u + steps)))))
+    pairs = G.with_relative_state(actors.hint("merge").join(ego, ["scenario_id", "span"]).filter(u.between(t - steps, t)))
     return (pairs.withColumnRenamed("pair_distance_m", "d").filter(F.col("d") <= radius_m)
             .withColumns({"is_focal": flag(F.col("track_id") == F.col("focal_id")), "closing": G.closing_speed("d")}))
 
@@ -53,7 +58,8 @@ def actor_context(past: DataFrame) -> DataFrame:
     focal = lambda x: F.max(F.when(now & c("is_focal"), x))
     within = lambda r: F.count_if(now & (c("d") <= r))
     kind = lambda *names: F.count_if(now & c("object_type").isin(*names))
-    per_u = past.groupBy(*FRAME, "u").agg(
+    at = ["scenario_id", "span", "time_index"]
+    per_u = past.groupBy(*at, "u").agg(
         F.coalesce(F.sum(pressure), F.lit(0.0)).alias("pressure"),
         within(30.0).alias("n30"), within(50.0).alias("n50"), within(70.0).alias("n70"),
         kind("TYPE_VEHICLE").alias("veh"), kind("TYPE_PEDESTRIAN").alias("ped"), kind("TYPE_CYCLIST").alias("cyc"),
@@ -63,12 +69,12 @@ def actor_context(past: DataFrame) -> DataFrame:
         F.max(third(F.when(moving, positive))).alias("pmax"), F.count_if(now & other & (c("closing") > 0)).alias("n_closing"),
         focal(lon).alias("lon"), focal(lat).alias("lat"), focal(vlon).alias("vlon"), focal(vlat).alias("vlat"),
         focal(G.speed("t_")).alias("fspd"))
-    keep = [x for x in per_u.columns if x not in (*FRAME, "u", "pressure")]
+    keep = [x for x in per_u.columns if x not in (*at, "u", "pressure")]
     first_u = F.greatest(c("time_index") - HISTORY_FRAMES, F.lit(0))
-    return per_u.groupBy(*FRAME).agg(
+    return per_u.groupBy(*at).agg(
         *[F.max(here(c(x))).alias(x) for x in keep],
         F.sum("pressure").alias("p_total"), F.max("pressure").alias("p_peak"),
-        F.max(here(c("pressure"))).alias("p_now"), F.max(F.when(c("u") == first_u, c("pressure"))).alias("p_first"))
+        F.max(here(c("pressure"))).alias("p_now"), F.max(F.when(c("u") == first_u, c("pressure"))).alias("p_first")).drop("span")
 
 
 def composition_changes(states: DataFrame, *, include_ego: bool = False) -> DataFrame:
@@ -127,13 +133,16 @@ def physics_controls(frames: DataFrame, presence: DataFrame, context: DataFrame)
 
 
 def static_context(presence: DataFrame, points: DataFrame, signals: DataFrame) -> DataFrame:
-    """Seven map features per usable ego frame, plus the stop-signal count."""
+    """Seven map features per usable ego frame, plus the stop-signal count.
+
+    Each look-up is stored by itself, so that the shuffles of one are gone before the next.
+    """
     pos = ego_positions(presence)
     kinds = ["crosswalk", "stop_sign", "speed_bump", "road_edge"]
     near = nearest_distance(pos, points.filter(F.col("feature_type").isin(*kinds)))
-    near = near.groupBy(*FRAME).agg(*[F.min(F.when(F.col("feature_type") == k, F.col("distance_m"))).alias(k) for k in kinds])
-    rows = (pos.select(*FRAME).join(near, FRAME, "left").join(lane_context(pos, points), FRAME, "left")
-            .join(signal_context(pos, signals), FRAME, "left"))
+    near = durable_rows(near.groupBy(*FRAME).agg(*[F.min(F.when(F.col("feature_type") == k, F.col("distance_m"))).alias(k) for k in kinds]))
+    lanes, stops = durable_rows(lane_context(pos, points)), durable_rows(signal_context(pos, signals))
+    rows = pos.select(*FRAME).join(near, FRAME, "left").join(lanes, FRAME, "left").join(stops, FRAME, "left")
     far, none = F.lit(100.0), F.lit(0.0)
     values = [*[F.coalesce(k, far) for k in kinds], F.coalesce("lane_points", none), F.coalesce("lane_dispersion", none), F.coalesce("signal_m", far)]
     return rows.select(*FRAME, *[v.alias(n) for n, v in zip(E_STATIC, values)], F.coalesce("stop_signals", none).alias(E_DYNAMIC[-1]))
@@ -173,17 +182,21 @@ def frame_feature_table(states: DataFrame, points: DataFrame, signals: DataFrame
     """Labels at 2 / 3 / 5 s, scenario-equal weight and 39 features for every valid frame.
 
     The per-frame tables that several feature groups read (ego presence, frame
-    outcomes, actor context) are stored once; the actor table is read four times.
+    outcomes, actor context) are stored once, as are the map and history
+    features, so that the shuffles behind them are gone before the last join;
+    the actor table is read four times.
     """
     presence = durable_rows(frame_presence(states)) if presence is None else presence
     frames = durable_rows(scene_criticality(states, presence)) if frames is None else frames
     context = durable_rows(actor_context(past_actor_pairs(states, presence, focal_of(frames))))
+    static = durable_rows(static_context(presence, points, signals))
+    history = durable_rows(history_context(frames, states, presence, context))
     return (frame_labels(frames).select(*FRAME, "status", "target_ttc_s", "target_c_t", "target_y_tau_2s", "target_y_tau_3s",
                                         "target_y_tau_5s", "weight_scenario_equal")
             .join(physics_controls(frames, presence, context), FRAME, "left")
-            .join(static_context(presence, points, signals), FRAME, "left")
+            .join(static, FRAME, "left")
             .join(dynamic_context(presence, context), FRAME, "left")
-            .join(history_context(frames, states, presence, context), FRAME, "left"))
+            .join(history, FRAME, "left"))
 
 
 def scenario_feature_means(table: DataFrame, features: list) -> DataFrame:

@@ -86,18 +86,25 @@ def nearest_distance(positions: DataFrame, points: DataFrame) -> DataFrame:
             .unionByName(_nearest_in_cells(only(positions, "left_semi"), durable_rows(only(points, "left_semi")))))
 
 
-def _nearest_packed(positions: DataFrame, points: DataFrame) -> DataFrame:
-    """nearest_distance for scenarios of few points, each one cell."""
-    of_level = ["scenario_id", "level", "cx", "cy"]
+_OF_LEVEL = ["scenario_id", "level", "cx", "cy"]
+
+
+def _packed(positions: DataFrame, points: DataFrame, fields: list) -> tuple:
+    """Positions and points on the last level, whose points are one array per cell and type."""
     in_level = points.withColumn("level", F.lit(LEVELS)).withColumns({"cx": _level_cell("gx"), "cy": _level_cell("gy")})
-    packed = durable_rows(in_level.groupBy(*of_level, "feature_type").agg(F.collect_list(F.struct("x", "y")).alias("points")))
     looked = positions.withColumn("level", F.lit(LEVELS)).withColumn("cx", _window(F.col("x0"), F.col("x0"))).withColumn("cy", _window(F.col("y0"), F.col("y0")))
+    return looked, durable_rows(in_level.groupBy(*_OF_LEVEL, "feature_type").agg(F.collect_list(F.struct(*fields)).alias("points")))
+
+
+def _nearest_packed(positions: DataFrame, points: DataFrame) -> DataFrame:
+    """nearest_distance for scenarios of few points, each one cell."""
+    looked, packed = _packed(positions, points, ["x", "y"])
 
     def d2(p):
         dx, dy = p["x"] - F.col("x0"), p["y"] - F.col("y0")
         return dx * dx + dy * dy
 
-    return looked.join(packed, of_level).select(*FRAME, "feature_type", F.sqrt(F.array_min(F.transform("points", d2))).alias("distance_m"))
+    return looked.join(packed, _OF_LEVEL).select(*FRAME, "feature_type", F.sqrt(F.array_min(F.transform("points", d2))).alias("distance_m"))
 
 
 def _nearest_in_cells(positions: DataFrame, points: DataFrame) -> DataFrame:
@@ -147,11 +154,38 @@ def lane_headings(points: DataFrame, *, chunk: int = 4096) -> DataFrame:
 def lane_context(positions: DataFrame, points: DataFrame, *, radius_m: float = 50.0) -> DataFrame:
     """Lane points within the radius and their heading dispersion.
 
-    Cells within reach are looked up by key. Those wholly inside contribute their sums; only cells on the rim are opened.
+    The points of a small scenario (`PACKED`) travel as one array, which each of its positions meets once. In others, cells within reach are
+    looked up by key; those wholly inside contribute their sums, only cells on the rim are opened.
     """
-    lanes = with_cells(lane_headings(points))
-    sums = lambda: [F.count("*").alias("n"), F.sum(F.cos("lane_heading")).alias("sc"), F.sum(F.sin("lane_heading")).alias("ss")]
-    cells = cell_summary(lanes, sums())
+    lanes = durable_rows(with_cells(lane_headings(points)).select("scenario_id", "feature_type", "gx", "gy", "x", "y", F.cos("lane_heading").alias("c"), F.sin("lane_heading").alias("s")))
+    crowded = durable_rows(lanes.groupBy("scenario_id").agg(F.count("*").alias("n")).filter(F.col("n") > PACKED).select("scenario_id"))
+    if crowded.isEmpty():
+        out = _lanes_packed(positions, lanes, radius_m)
+    else:
+        only = lambda df, how: df.join(crowded, "scenario_id", how)
+        out = (_lanes_packed(only(positions, "left_anti"), only(lanes, "left_anti"), radius_m)
+               .unionByName(_lanes_in_cells(only(positions, "left_semi"), durable_rows(only(lanes, "left_semi")), radius_m)))
+    return out.select(*FRAME, F.col("n").cast("double").alias("lane_points"),
+                      F.when(F.col("n") > 2, dispersion(F.col("sc") / F.col("n"), F.col("ss") / F.col("n")))
+                       .otherwise(F.lit(0.0)).alias("lane_dispersion"))
+
+
+def _lanes_packed(positions: DataFrame, lanes: DataFrame, radius_m: float) -> DataFrame:
+    """Count and heading sums (n, sc, ss) per position for scenarios of few points, each one array."""
+    looked, packed = _packed(positions, lanes, ["x", "y", "c", "s"])
+
+    def inside(p):
+        dx, dy = p["x"] - F.col("x0"), p["y"] - F.col("y0")
+        return dx * dx + dy * dy <= radius_m * radius_m
+
+    near = looked.join(packed, _OF_LEVEL).select(*FRAME, F.filter("points", inside).alias("near")).filter(F.size("near") > 0)
+    total = lambda field: F.aggregate("near", F.lit(0.0), lambda a, p: a + p[field])
+    return near.select(*FRAME, F.size("near").cast("long").alias("n"), total("c").alias("sc"), total("s").alias("ss"))
+
+
+def _lanes_in_cells(positions: DataFrame, lanes: DataFrame, radius_m: float) -> DataFrame:
+    """The same by cells."""
+    cells = cell_summary(lanes, [F.count("*").alias("n"), F.sum("c").alias("sc"), F.sum("s").alias("ss")])
     r2 = radius_m * radius_m
     at_cell = ["scenario_id", "feature_type", "gx", "gy"]
     reach = radius_m + SLACK_M
@@ -160,12 +194,9 @@ def lane_context(positions: DataFrame, points: DataFrame, *, radius_m: float = 5
     met = _bounds(looked.join(cells.hint("merge"), ["scenario_id", "gx", "gy"])).filter(F.col("low2") <= r2)
     inside = met.filter(F.col("high2") <= r2).select(*FRAME, "n", "sc", "ss")
     rim = met.filter(F.col("high2") > r2).select(*at_cell, "time_index", "x0", "y0")
-    opened = salted_join(rim, lanes.select(*at_cell, "x", "y", "lane_heading"), at_cell, ["x", "y"], buckets=2).filter(_d2() <= r2)
-    opened = opened.select(*FRAME, F.lit(1).cast("long").alias("n"), F.cos("lane_heading").alias("sc"), F.sin("lane_heading").alias("ss"))
-    out = inside.unionByName(opened).groupBy(*FRAME).agg(F.sum("n").alias("n"), F.sum("sc").alias("sc"), F.sum("ss").alias("ss"))
-    return out.select(*FRAME, F.col("n").cast("double").alias("lane_points"),
-                      F.when(F.col("n") > 2, dispersion(F.col("sc") / F.col("n"), F.col("ss") / F.col("n")))
-                       .otherwise(F.lit(0.0)).alias("lane_dispersion"))
+    opened = salted_join(rim, lanes.select(*at_cell, "x", "y", "c", "s"), at_cell, ["x", "y"], buckets=2).filter(_d2() <= r2)
+    opened = opened.select(*FRAME, F.lit(1).cast("long").alias("n"), F.col("c").alias("sc"), F.col("s").alias("ss"))
+    return inside.unionByName(opened).groupBy(*FRAME).agg(F.sum("n").alias("n"), F.sum("sc").alias("sc"), F.sum("ss").alias("ss"))
 
 
 def dispersion(mean_cos: Column, mean_sin: Column) -> Column:
