@@ -44,7 +44,7 @@ def signals_in_radius(spark, sf_dir):
 
 
 def _context(spark, sf_dir):
-    s = states(spark, sf_dir)
+    s = durable_rows(states(spark, sf_dir))
     presence = durable_rows(frame_presence(s))
     frames = durable_rows(scene_criticality(s, presence))
     return s, presence, frames, durable_rows(X.actor_context(X.past_actor_pairs(s, presence, X.focal_of(frames))))
@@ -80,7 +80,8 @@ def composition_turnover(spark, sf_dir):
 
 
 def feature_table(spark, sf_dir):
-    return X.frame_feature_table(states(spark, sf_dir), map_points(spark, sf_dir), signals(spark, sf_dir))
+    """The views of actors and map points are read several times, so each is derived once."""
+    return X.frame_feature_table(durable_rows(states(spark, sf_dir)), durable_rows(map_points(spark, sf_dir)), signals(spark, sf_dir))
 
 
 @query
