@@ -1,4 +1,6 @@
 """Flat table storage: declared schemas, bucketed layout, guards and manifests."""
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from nearmiss.operators.quality import split_guard  # noqa: F401  (re-exported next to the readers)
@@ -92,12 +94,42 @@ def blocked_files(df: DataFrame) -> DataFrame:
     return df.select(path.alias("file_path"), bad.alias("blocked")).filter("blocked").distinct()
 
 
-def file_manifest(spark, path: str, *, glob: str = "*") -> DataFrame:
-    """Path, split part, extension, size and SHA-256 of every file below a folder."""
+#: Files above this size are digested as a stream: Spark's value of a file ends at 2 GiB and is held whole.
+_WHOLE_BYTES = 1 << 25
+
+
+def _digest_in_jvm(spark, path: str) -> str:
+    """SHA-256 of a file of any file system that Spark reads, a megabyte at a time."""
+    jvm = spark._jvm
+    place, digest = jvm.org.apache.hadoop.fs.Path(path), jvm.java.security.MessageDigest.getInstance("SHA-256")
+    stream = jvm.java.security.DigestInputStream(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place), digest)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), 1 << 20, True)
+    return bytes(digest.digest()).hex()
+
+
+def _digest_in_task(path: str) -> str:
+    """SHA-256 of a file: URI, read as a stream."""
+    with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def file_manifest(spark, path: str, *, glob: str = "*", whole_bytes: int = _WHOLE_BYTES) -> DataFrame:
+    """Path, split part, extension, size and SHA-256 of every file below a folder.
+
+    Files of up to `whole_bytes` are one value each. Larger ones are streamed, each by one task; on file systems that only Spark's JVM
+    opens, by the driver one after the other, because no task could read them in parts.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path))
-    return files.select("path", F.regexp_extract("path", r"split=([^/]+)", 1).alias("split"),
-                        F.regexp_extract("path", r"\.([^./]+)$", 1).alias("extension"),
-                        F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    about = ["path", F.regexp_extract("path", r"split=([^/]+)", 1).alias("split"), F.regexp_extract("path", r"\.([^./]+)$", 1).alias("extension"), F.col("length").alias("size_bytes")]
+    small = files.filter(F.col("length") <= whole_bytes).select(*about, F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole_bytes).select(*about)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        large = large.withColumn("sha256", F.udf(_digest_in_task)("path"))
+    else:
+        digests = [(r.path, _digest_in_jvm(spark, r.path)) for r in large.select("path").collect()]
+        large = large.join(spark.createDataFrame(digests, "path string, sha256 string"), "path")
+    return small.unionByName(large)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
