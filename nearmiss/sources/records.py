@@ -73,11 +73,28 @@ def without_repeats(records: DataFrame, *, broadcast_rows: int = 1_000_000) -> D
     return records.join(losers, ["source_file", "position"], "left_anti").select(*records.columns)
 
 
+#: Ids that are broadcast to find their records; more of them are joined by shuffling the records.
+_BROADCAST_IDS = 200_000
+
+
+def by_ids(records: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """records joined left_semi or left_anti to stored ids (a null id is an id); the records stay in their tasks while the ids are few."""
+    few = F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids
+    return records.join(few, records["scenario_id"].eqNullSafe(few["scenario_id"]), how)
+
+
 def distinct_scenarios(records: DataFrame) -> DataFrame:
-    """One record per id: the first by file name, whichever task reads it first."""
+    """One record per id: the first by file name, whichever task reads it first.
+
+    Ids that come more than once are found first, and only their records are shuffled.
+    """
+    repeated = durable(records.groupBy("scenario_id").agg(F.count("*").alias("n")).filter("n > 1").select("scenario_id"))
+    if repeated.isEmpty():
+        return records
     order = F.struct(F.col("source_file"), F.xxhash64(*[c for c in records.columns]))
     body = F.struct(*records.columns)
-    return records.groupBy("scenario_id").agg(F.min_by(body, order).alias("r")).select("r.*")
+    several = by_ids(records, repeated, "left_semi").groupBy("scenario_id").agg(F.min_by(body, order).alias("r")).select("r.*")
+    return by_ids(records, repeated, "left_anti").unionByName(several)
 
 
 def _has(c: str):
