@@ -1,20 +1,24 @@
 """Boosted trees: many fits grown together, one pass over one binned matrix per tree level.
 
 Feature sets, labels (thresholds) and permuted copies are columns of one matrix of bytes. For every level of the current tree of every fit, one
-Arrow pass adds up gradient, hessian and count per (node, feature, bin); only these sums reach the driver, which finds the splits. Gradients are rounded to a
-fixed point so that sums of doubles are exact: for given cuts (approximate quantiles) the splits do not depend on how rows are dealt to tasks. Trees are grown to the depth and then cut back to the
-`leaves` that growing best-first would have split, which needs no further pass.
+pass adds up gradient, hessian and count per (node, feature, bin) of the smaller child of each split; the larger one is its parent less that. Only these
+sums reach the driver, which finds the splits. The rows and the margins of the trees grown so far stay cached, so a tree is applied once. Gradients are
+rounded to a fixed point so that sums of doubles are exact: for given cuts (approximate quantiles) the splits do not depend on how rows are dealt to tasks.
+Trees are grown to the depth and then cut back to the `leaves` that growing best-first would have split, which needs no further pass.
 """
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from nearmiss.session import durable
 
 MISSING = 255  # label of rows that take no part in a fit
 _SUMMED_AT_ONCE = 64
-_SAVE_EVERY = 10
+_SAVE_EVERY = 20
+#: Rows that are worked on at once, the least rows worth a task, and the bytes a task may hold before there are more tasks than cores.
+_BLOCK_ROWS, _TASK_ROWS, _TASK_BYTES = 1 << 15, 1 << 12, 1 << 26
 
 
 class Trees:
@@ -37,14 +41,15 @@ class Trees:
 def route(binned, columns, feature, cut):
     """The node in which each row ends."""
     n = binned.shape[1]
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    while True:
-        f = feature[at]
-        go = f >= 0
-        if not go.any():
-            return at
-        right = binned[columns[np.maximum(f, 0)], rows] > cut[at]
-        at = np.where(go, 2 * at + 1 + right, at)
+    inner, nodes = feature >= 0, np.arange(len(feature))
+    # A leaf is its own left child, and no bin is above its cut.
+    first, last, child = columns[np.maximum(feature, 0)] * n, np.where(inner, cut, 255).astype(np.uint8), np.where(inner, 2 * nodes + 1, nodes)
+    flat, rows, at, reached = np.ascontiguousarray(binned).reshape(-1), np.arange(n), np.zeros(n, np.int64), np.array([0])
+    while inner[reached].any():
+        at = child[at] + (flat[first[at] + rows] > last[at])
+        reached = reached[inner[reached]]
+        reached = np.concatenate([2 * reached + 1, 2 * reached + 2])
+    return at
 
 
 def quantile_cuts(df: DataFrame, columns: list, bins: int) -> list:
@@ -64,7 +69,7 @@ def matrix(train: DataFrame, columns: list, labels: list, weight: str, cuts: lis
                           (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
 
     def pack(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, _TASK_ROWS) for whole in batches for i in range(0, whole.num_rows, _TASK_ROWS)):
             values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             binned, y = bin_columns(values[:len(columns)], cuts), np.stack(values[len(columns):-1]).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), *[pa.array([x.tobytes()]) for x in (binned, y, values[-1].astype(float))]], names=["n", "bins", "labels", "w"])
@@ -72,20 +77,40 @@ def matrix(train: DataFrame, columns: list, labels: list, weight: str, cuts: lis
     return picked.mapInArrow(pack, "n long, bins binary, labels binary, w binary")
 
 
-def _summed(rows: DataFrame, tasks: int) -> list:
-    """Sum of the vectors of each fit; many tasks are summed in groups before the driver sees them."""
-    def add(key, table):
-        total = np.sum([np.frombuffer(x, float) for x in table.column("v").to_pylist()], axis=0)
-        return pa.table({"fit": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int64()), "v": pa.array([total.tobytes()])})
+def _summed(parts: RDD, tasks: int) -> list:
+    """Sums per fit of the rows (task, arrays per fit); many tasks are summed in groups before the driver sees them."""
+    def add(task, rows):
+        total = None
+        for _, arrays in rows:
+            total = arrays if total is None else [x + y for x, y in zip(total, arrays)]
+        if total is not None:
+            yield task, total
 
     while tasks > _SUMMED_AT_ONCE:
         tasks = -(-tasks // _SUMMED_AT_ONCE)
-        rows = rows.withColumn("task", F.floor(F.col("task") / _SUMMED_AT_ONCE).cast("long")).groupBy("fit", "task").applyInArrow(add, "fit int, task long, v binary")
-    out = {}
-    for r in rows.select("fit", "v").collect():
-        v = np.frombuffer(bytes(r.v), float)
-        out[r.fit] = out[r.fit] + v if r.fit in out else v
-    return out
+        parts = parts.map(lambda x, groups=tasks: (x[0] % groups, x[1])).partitionBy(tasks, int).mapPartitionsWithIndex(add)
+    return next(add(0, parts.collect()), (0, None))[1]
+
+
+def _laid_out(blocks: DataFrame, tasks: int, n_columns: int, n_labels: int, starts: list) -> RDD:
+    """Cached rows (bins, labels, weights, margins [fit, row]) of `_BLOCK_ROWS` at most; margins are the starts unless the block holds some."""
+    def opened(r):
+        binned, y = np.frombuffer(r.bins, np.uint8).reshape(n_columns, r.n), np.frombuffer(r.labels, np.uint8).reshape(n_labels, r.n)
+        saved = np.frombuffer(r.margins, float).reshape(len(starts), r.n) if "margins" in r else np.repeat(np.array(starts)[:, None], r.n, 1)
+        return binned, y, np.frombuffer(r.w, float), saved
+
+    def joined(rows):
+        held, n = [], 0
+        for r in rows:
+            if held and n + r.n > _BLOCK_ROWS:
+                yield tuple(np.concatenate(x, -1) for x in zip(*held))
+                held, n = [], 0
+            held.append(opened(r))
+            n += r.n
+        if held:
+            yield tuple(np.concatenate(x, -1) for x in zip(*held))
+
+    return blocks.repartition(tasks).rdd.mapPartitions(joined).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def best_splits(hist: np.ndarray, min_rows: int):
@@ -165,7 +190,8 @@ def fit_together(train: DataFrame, fits: dict, *, weight: str | None = None, max
     model = Boosted(columns, cuts, {})
     blocks = durable(matrix(train, columns, labels, weight, cuts))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    sums = train.agg(*[x for i, y in enumerate(labels) for x in (F.sum(F.when(F.col(y) == 1, w)).alias(f"p{i}"), F.sum(F.when(F.col(y).isNotNull(), w)).alias(f"n{i}"))]).first()
+    sums = train.agg(*[x for i, y in enumerate(labels) for x in (F.sum(F.when(F.col(y) == 1, w)).alias(f"p{i}"), F.sum(F.when(F.col(y).isNotNull(), w)).alias(f"n{i}"))],
+                     F.count("*").alias("rows")).first()
     places, label_at = [model.of(fits[n][0]) for n in names], [labels.index(fits[n][1]) for n in names]
     for n, i in zip(names, label_at):
         total = sums[f"n{i}"] or 0.0
@@ -174,67 +200,88 @@ def fit_together(train: DataFrame, fits: dict, *, weight: str | None = None, max
     scale = 2.0 ** np.floor(51 - np.log2(max(1.0, *[sums[f"n{i}"] or 0.0 for i in range(len(labels))])))
     starts, n_columns, n_labels, n_fits = [model.fits[n].start for n in names], len(columns), len(labels), len(names)
 
-    def opened(batch, i, pending):
-        """(bins, margins [fit, row], labels, weights) of a block; margins are those saved and the pending trees."""
-        n = batch.column(0)[i].as_py()
-        binned = np.frombuffer(batch.column(1)[i].as_py(), np.uint8).reshape(n_columns, n)
-        y, weights = np.frombuffer(batch.column(2)[i].as_py(), np.uint8).reshape(n_labels, n), np.frombuffer(batch.column(3)[i].as_py(), float)
-        saved = np.frombuffer(batch.column(4)[i].as_py(), float).reshape(n_fits, n) if batch.num_columns > 4 else np.repeat(np.array(starts)[:, None], n, 1)
-        return binned, np.stack([saved[k] + Trees(0.0, []).margins(binned, places[k], pending[k]) for k in range(n_fits)]), y, weights
-
-    def gradients(active, grown, pending):
-        """Sums per (node, feature, bin) of every fit; active: open nodes of each fit, grown: (feature, cut) of its current tree."""
-        def run(batches):
-            from pyspark import TaskContext
-
-            total = [np.zeros((len(a), len(p), bins, 3)) for a, p in zip(active, places)]
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    binned, margins, y, weights = opened(batch, i, pending)
-                    for k, nodes in enumerate(active):
-                        if not len(nodes):
-                            continue
-                        own = np.full(len(grown[k][0]), -1, np.int64)
-                        own[nodes] = np.arange(len(nodes))
-                        at = own[route(binned, places[k], *grown[k])]
-                        rows = np.flatnonzero((at >= 0) & (y[label_at[k]] != MISSING))
-                        p = 1 / (1 + np.exp(-margins[k, rows]))
-                        g, h = np.rint(scale * weights[rows] * (p - y[label_at[k], rows])), np.rint(scale * weights[rows] * p * (1 - p))
-                        for j, c in enumerate(places[k]):
-                            cell = at[rows] * bins + binned[c, rows]
-                            for s, v in enumerate((g, h, None)):
-                                total[k][:, j, :, s] += np.bincount(cell, v, len(nodes) * bins).reshape(len(nodes), bins)
-            task = TaskContext.get().partitionId()
-            for k, v in enumerate(total):
-                if v.size:
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int64()), pa.array([v.tobytes()])], names=["fit", "task", "v"])
+    at_column = [{int(c): j for j, c in enumerate(p)} for p in places]
+
+    def gradients(wanted, grown):
+        """Sums per (feature, value, node and bin) of the wanted nodes of every fit; grown: (feature, cut) of its current tree."""
+        def slopes(y, weights, margins):
+            p = 1 / (1 + np.exp(-margins))
+            return np.rint(scale * weights * (p - y)), np.rint(scale * weights * p * (1 - p))
+
+        def at_root(total, fits, binned, labels, weights, margins):
+            """Every row is in the one node, so that the fits share the cells of a column."""
+            values = {}
+            for k in fits:
+                y = labels[label_at[k]]
+                taken = y != MISSING
+                own = taken.astype(float)
+                values[k] = (*slopes(np.where(taken, y, 0), weights * own, margins[k]), None if taken.all() else own)
+            for c in range(n_columns):
+                cell, rows = binned[c].astype(np.int64), None
+                for k in fits:
+                    if c not in at_column[k]:
+                        continue
+                    j, (g, h, own) = at_column[k][c], values[k]
+                    if own is None and rows is None:
+                        rows = np.bincount(cell, None, bins)
+                    for s, v in enumerate((np.bincount(cell, g, bins), np.bincount(cell, h, bins), rows if own is None else np.bincount(cell, own, bins))):
+                        total[k][j, s] += v
+
+        def below(total, k, binned, labels, weights, margins):
+            own = np.full(size, -1, np.int64)
+            own[wanted[k]] = np.arange(len(wanted[k])) * bins
+            slot, y = own[route(binned, places[k], *grown[k])], labels[label_at[k]]
+            rows = np.flatnonzero((slot >= 0) & (y != MISSING))
+            slot, (g, h) = slot[rows], slopes(y[rows], weights[rows], margins[k, rows])
+            for j, c in enumerate(places[k]):
+                cell = slot + binned[c].take(rows)
+                for s, v in enumerate((g, h, None)):
+                    total[k][j, s] += np.bincount(cell, v, len(wanted[k]) * bins)
+
+        def run(task, blocks):
+            total = [np.zeros((len(p), 3, len(a) * bins)) for a, p in zip(wanted, places)]
+            roots = [k for k, a in enumerate(wanted) if len(a) and a[0] == 0]
+            for block in blocks:
+                if roots:
+                    at_root(total, roots, *block)
+                for k, a in enumerate(wanted):
+                    if len(a) and a[0] != 0:
+                        below(total, k, *block)
+            yield task, total
 
         return run
 
-    def save(pending):
-        def run(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    margins = opened(batch, i, pending)[1]
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, 1) for c in range(4)], pa.array([margins.tobytes()])], names=["n", "bins", "labels", "w", "margins"])
+    def applied(trees):
+        """Blocks with the margins after one more tree of each fit."""
+        def run(blocks):
+            for binned, y, weights, margins in blocks:
+                yield binned, y, weights, np.stack([margins[k] + value[route(binned, places[k], feature, cut)] for k, (feature, cut, value) in enumerate(trees)])
 
         return run
 
     size, inner = 2 ** (max_depth + 1) - 1, 2 ** max_depth - 1
-    pending = [[] for _ in names]
-    cached = blocks.persist()
-    tasks = cached.rdd.getNumPartitions()
+    spark, held = train.sparkSession, sums["rows"] * (n_columns + n_labels + 8 + 8 * n_fits)
+    tasks = max(1, min(-(-sums["rows"] // _TASK_ROWS), max(spark.sparkContext.defaultParallelism, -(-held // _TASK_BYTES))))
+    lay_out = lambda df: _laid_out(df, tasks, n_columns, n_labels, starts)
+    state, before = lay_out(blocks), None
     for t in range(max_iter):
         grown = [(np.full(size, -1, np.int64), np.zeros(size, np.int64)) for _ in names]
         gain, sums_of = np.zeros((n_fits, inner)), np.zeros((n_fits, size, 3))
-        active = [np.array([0]) for _ in names]
+        active, wanted, above = [np.array([0]) for _ in names], [np.array([0]) for _ in names], [{} for _ in names]
         for _ in range(max_depth):
-            found = _summed(cached.mapInArrow(gradients(active, grown, pending), "fit int, task long, v binary"), tasks)
+            found = _summed(state.mapPartitionsWithIndex(gradients(wanted, grown)), tasks)
+            if before is not None:
+                before.unpersist()
+                before = None
             for k in range(n_fits):
-                if not len(active[k]) or k not in found:
-                    active[k] = np.zeros(0, np.int64)
+                if not len(active[k]) or found is None:
+                    active[k] = wanted[k] = np.zeros(0, np.int64)
                     continue
-                hist = found[k].reshape(len(active[k]), len(places[k]), bins, 3)
+                seen = found[k].reshape(len(places[k]), 3, len(wanted[k]), bins).transpose(2, 0, 3, 1)
+                at = {int(i): x for i, x in zip(wanted[k], seen)}
+                # The other child of a split is its parent less the child that was added up: the sums are whole numbers.
+                hist = np.stack([at[i] if i in at else above[k][(i - 1) // 2] - at[i + 1 if i % 2 else i - 1] for i in active[k].tolist()])
+                above[k] = dict(zip(active[k].tolist(), hist))
                 hist = hist / np.array([scale, scale, 1.0])
                 if active[k][0] == 0:
                     sums_of[k, 0] = hist[0, 0].sum(0)
@@ -244,18 +291,23 @@ def fit_together(train: DataFrame, fits: dict, *, weight: str | None = None, max
                 gain[k, nodes], grown[k][0][nodes], grown[k][1][nodes] = g[ok], feature[ok], cut[ok]
                 sums_of[k, 2 * nodes + 1], sums_of[k, 2 * nodes + 2] = left[ok], sums_of[k, nodes] - left[ok]
                 active[k] = np.sort(np.concatenate([2 * nodes + 1, 2 * nodes + 2]))
+                wanted[k] = np.sort(np.where(sums_of[k, 2 * nodes + 1, 2] <= sums_of[k, 2 * nodes + 2, 2], 2 * nodes + 1, 2 * nodes + 2))
             if not any(len(a) for a in active):
                 break
+        trees = []
         for k, n in enumerate(names):
             split = np.zeros(size, bool)
             split[:inner] = prune(gain[k], leaves)
             feature, value = np.where(split, grown[k][0], -1), -rate * sums_of[k, :, 0] / np.maximum(sums_of[k, :, 1], 1e-12)
-            model.fits[n].add(feature, grown[k][1], value)
-            pending[k].append((feature, grown[k][1], value))
-        if (t + 1) % _SAVE_EVERY == 0 and t + 1 < max_iter:
-            saved = durable(cached.mapInArrow(save(pending), "n long, bins binary, labels binary, w binary, margins binary"))
-            cached.unpersist()
-            cached, pending = saved.persist(), [[] for _ in names]
-            tasks = cached.rdd.getNumPartitions()
-    cached.unpersist()
+            trees.append((feature, grown[k][1], value))
+            model.fits[n].add(*trees[-1])
+        if t + 1 < max_iter:
+            before, state = state, state.mapPartitions(applied(trees)).persist(StorageLevel.MEMORY_AND_DISK)
+            if (t + 1) % _SAVE_EVERY == 0:
+                flat = state.map(lambda b: (b[0].shape[1], *[bytearray(np.ascontiguousarray(x).tobytes()) for x in b]))
+                saved = durable(spark.createDataFrame(flat, "n long, bins binary, labels binary, w binary, margins binary", verifySchema=False))
+                before.unpersist()
+                state.unpersist()
+                before, state = None, lay_out(saved)
+    state.unpersist()
     return model
